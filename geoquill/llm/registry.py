@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from geoquill.llm import mixing
+from geoquill.llm import mixing, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_url_filter": urlfilter.op2_url_filter,
         "op4_mix_sources": mixing.op4_mix_sources,
     }
 
