@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoquill.llm import mixing, toxicity, urlfilter
+from geoquill.llm import decontam, linededup, mixing, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_url_filter": urlfilter.op2_url_filter,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op8_line_dedup": linededup.op8_line_dedup,
+        "op10_decontaminate": decontam.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL}
+    return {"op4_mix_sources": mixing.OP4_SQL, "op8_line_dedup": linededup.OP8_SQL}
