@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from geoquill.llm import decontam, linededup, mixing, toxicity, urlfilter
+from geoquill.llm import decontam, langid, linededup, lmscore, mixing, secrets, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_url_filter": urlfilter.op2_url_filter,
+        "op3_language_id": langid.op3_language_id,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_lm_score": lmscore.op7_lm_score,
         "op8_line_dedup": linededup.op8_line_dedup,
+        "op9_secret_scan": secrets.op9_secret_scan,
         "op10_decontaminate": decontam.op10_decontaminate,
     }
 
