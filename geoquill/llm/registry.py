@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoquill.llm import decontam, jaccard, langid, linededup, lmscore, mixing, secrets, toxicity, urlfilter
+from geoquill.llm import decontam, jaccard, langid, linededup, lmscore, media, mixing, secrets, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": urlfilter.op2_url_filter,
         "op3_language_id": langid.op3_language_id,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_media_column": media.op5_media_column,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_lm_score": lmscore.op7_lm_score,
         "op8_line_dedup": linededup.op8_line_dedup,
