@@ -53,6 +53,16 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
+def own_places(edits: int) -> list[int]:
+    """Places in probe_keys of the line's own index keys: no length less, no shift."""
+    out, place = [], 0
+    for i in range(edits + 1):
+        shifts = range(max(-i, -(edits - i)), min(i, edits - i) + 1)
+        out.append(place + shifts.index(0))
+        place += len(shifts)
+    return out
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_", F.xxhash64("doc_id", "text"))
 
@@ -63,19 +73,37 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
     return split.where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
 
 
-def near_pairs(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
-    """h of lines that have an earlier line within `edits` edits, other than themselves."""
-    index = uniq.select(F.explode("index").alias("key"), F.col("h").alias("s"), F.col("first").alias("s_first"))
-    probe = uniq.select(F.explode("probe").alias("key"), F.col("h").alias("r"), F.col("first").alias("r_first")).where("key is not null")
-    pairs = probe.join(index, "key").where("r <> s").select(
-        F.when(F.col("r_first") < F.col("s_first"), F.col("r")).otherwise(F.col("s")).alias("early"),
-        F.when(F.col("r_first") < F.col("s_first"), F.col("s")).otherwise(F.col("r")).alias("late"),
-    ).distinct()
-    pairs = write_table(pairs, "line_pairs")
-    wanted = pairs.select(F.explode(F.array("early", "late")).alias("h")).distinct()
-    texts = write_table(lines(docs, least).select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line_texts")
-    both = pairs.join(texts.select(F.col("h").alias("early"), F.col("line").alias("a")), "early").join(texts.select(F.col("h").alias("late"), F.col("line").alias("b")), "late")
-    return both.where(F.levenshtein("a", "b", edits) >= 0).select(F.col("late").alias("h")).distinct()
+def _late(pairs: DataFrame, docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
+    """h of the later line of those pairs (a, b) that are within `edits` edits."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = write_table(lines(docs, least).select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
+    side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
+    return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
+
+
+def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
+    """h of lines that have an earlier line within `edits` edits, other than themselves.
+
+    Every probe first meets the earliest line of its key. Only where a key has more lines, and the later line of a pair isn't
+    known as late yet, are they compared with each other, so that a family of like lines costs about its size.
+    """
+    index = uniq.select(F.explode("index").alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "h").alias("at"))
+    heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at.doc_id").alias("head_doc"), F.min("at").alias("head")).select("key", "n", F.col("head.h").alias("head"))
+    probe = uniq.select("h", F.posexplode("probe").alias("place", "key")).where("key is not null")
+    own = F.col("place").isin(own_places(edits))
+    met = write_table(probe.join(heads, "key").where("h <> head or n > 1").select("key", "h", "head", "n", own.alias("own")), "line_met")
+    first = write_table(met.where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
+    late = write_table(_late(first, docs, uniq, edits, least), "late_first")
+    more = met.where("n > 1").join(uniq.select("h", "first"), "h").join(late.withColumn("done", F.lit(True)), "h", "left")
+    more = write_table(more.select("key", "h", "first", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
+    r = more.select("key", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("done").alias("done_a"))
+    s = more.where("own").select("key", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("done").alias("done_b"))
+    open_r = r.where("not done_a").join(s, "key").where("a <> b and fb < fa").select("a", "b")
+    open_s = s.where("not done_b").join(r, "key").where("a <> b and fa < fb").select("a", "b")
+    rest = open_r.union(open_s).distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    rest = write_table(rest, "line_pairs_rest")
+    return late if rest.isEmpty() else late.union(_late(rest, docs, uniq, edits, least)).distinct()
 
 
 def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -86,7 +114,7 @@ def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHAR
         F.array(*index_keys(F.col("line"), length, edits)).alias("index"), F.array(*probe_keys(F.col("line"), length, edits)).alias("probe"),
     )
     uniq = write_table(keyed.groupBy("h").agg(F.min(F.struct("first", "index", "probe")).alias("m")).select("h", "m.*"), "lines")
-    late = write_table(near_pairs(docs, uniq, edits, least), "late")
+    late = write_table(near_lines(docs, uniq, edits, least), "late")
     firsts = uniq.select("h", "first").join(late.withColumn("late", F.lit(True)), "h", "left")
     where = lines(docs, least).select("h", "row_", "line_no", F.struct("doc_id", "row_", "line_no").alias("at"))
     gone = where.join(firsts, "h").where(F.col("late") | ~F.col("at").eqNullSafe(F.col("first")))
