@@ -8,7 +8,8 @@ length it could match, the few substrings that the shift bounds allow. Candidate
 threshold (Spark's banded dynamic programme; Spark has no bit-parallel function, and this operator takes no UDF).
 
 Scale: identical lines are aggregated first, so the join sees each distinct line once and no copies meet each other; only
-64-bit keys are shuffled, and texts are fetched for candidates alone. Both sides of the join are plain shuffles that AQE can split.
+hashes are shuffled, and texts are fetched for candidates alone: a sieve of at most SIEVE hash classes,
+broadcast on that bound, holds back nearly all other lines before the shuffle. Keys of 32 bits that fall together by chance cost a comparison. Both sides of the join are plain shuffles that AQE can split.
 
 Defined cases: null text is no line and stays null; an empty text is one empty line; null doc_ids come first in order; rows
 alike in doc_id and text count as one row; an empty table gives an empty result.
@@ -23,6 +24,7 @@ from geoquill.llm.common import prepare, read, write_table
 
 MAX_EDITS = 2
 MIN_CHARS = 32
+SIEVE = 1 << 18
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -36,7 +38,7 @@ def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     out = []
     for i in range(edits + 1):
         start, size = segment(length, i, edits + 1)
-        out.append(F.xxhash64(F.lit(i), length, line.substr(start, size)))
+        out.append(F.hash(F.lit(i), length, line.substr(start, size)))
     return out
 
 
@@ -49,7 +51,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
             start, size = segment(other, i, edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 ok = (start + shift >= 1) & (start + shift + size - 1 <= length)
-                out.append(F.when(ok, F.xxhash64(F.lit(i), other, line.substr((start + shift).cast("int"), size))))
+                out.append(F.when(ok, F.hash(F.lit(i), other, line.substr((start + shift).cast("int"), size))))
     return out
 
 
@@ -76,7 +78,10 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
 def _late(pairs: DataFrame, docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
     """h of the later line of those pairs (a, b) that are within `edits` edits."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = write_table(lines(docs, least).select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
+    wanted = write_table(wanted, "line_wanted")
+    classes = wanted.select(F.pmod("h", F.lit(SIEVE)).alias("class")).distinct()  # at most SIEVE rows
+    some = lines(docs, least).select("h", "line").withColumn("class", F.pmod("h", F.lit(SIEVE))).join(F.broadcast(classes), "class", "left_semi")
+    texts = write_table(some.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
     side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
     return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
@@ -113,11 +118,11 @@ def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHAR
         "h", F.struct("doc_id", "row_", "line_no").alias("first"),
         F.array(*index_keys(F.col("line"), length, edits)).alias("index"), F.array(*probe_keys(F.col("line"), length, edits)).alias("probe"),
     )
-    uniq = write_table(keyed.groupBy("h").agg(F.min(F.struct("first", "index", "probe")).alias("m")).select("h", "m.*"), "lines")
+    uniq = write_table(keyed.groupBy("h").agg(F.min(F.struct("first", "index", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n"), "lines")
     late = write_table(near_lines(docs, uniq, edits, least), "late")
-    firsts = uniq.select("h", "first").join(late.withColumn("late", F.lit(True)), "h", "left")
-    where = lines(docs, least).select("h", "row_", "line_no", F.struct("doc_id", "row_", "line_no").alias("at"))
-    gone = where.join(firsts, "h").where(F.col("late") | ~F.col("at").eqNullSafe(F.col("first")))
+    firsts = uniq.select("h", "first", "n").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late").drop("n")
+    gone = lines(docs, least).select("h", "doc_id", "row_", "line_no").join(firsts, "h")
+    gone = gone.where(F.col("late") | ~F.struct("doc_id", "row_", "line_no").eqNullSafe(F.col("first")))
     return gone.groupBy("row_").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
