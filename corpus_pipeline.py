@@ -1,8 +1,30 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, a mixed training corpus out.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's result is written
+as Parquet in the shared folder and read again, so a lost executor costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from geoquill.llm import decontam, jaccard, linededup, mixing, toxicity
+from geoquill.llm.common import prepare, read, write_table
+
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("line_dedup", linededup.stage),
+    ("ngram_jaccard", jaccard.stage),
+    ("decontaminate", decontam.stage),
+    ("mix_sources", mixing.stage),
+]
+
+#: SQL can't express the learned toxicity score; the stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), name)
+    return docs

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import WORD, write_table
+from geoquill.llm.common import WORD, prepare, read, write_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -40,6 +40,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"),
+        F.xxhash64("doc_id", "text", "source").alias("row_"),
     ).withColumn("src_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
 
 
@@ -71,12 +72,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken (= copies * size)."""
+    """Per document: doc_id, row_ (hash of id, text and source), size, source_size, target, copies, taken (= copies * size)."""
     base = write_table(sized(docs), "sizes")
     per = write_table(targets(base, weights, share, most), "targets")
     splits = (F.lit(1) + F.floor(F.col("n_docs") / BUCKET_ROWS)).cast("long")
     placed = base.join(per, "src_key").select(
-        "doc_id", "size", "src_key", "source_size", "target",
+        "doc_id", "size", "row_", "src_key", "source_size", "target",
         F.floor(F.sqrt(F.col("size").cast("double"))).cast("long").alias("cls"),
         (_uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % splits).alias("part"),
     )
@@ -92,20 +93,24 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         placed.join(starts, cell)
         .withColumn("i", index).withColumn("e", each).withColumn("u", offset)
         .withColumn("copies", (F.floor(F.col("u") + F.col("e") * (F.col("i") + 1)) - F.floor(F.col("u") + F.col("e") * F.col("i"))).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "row_", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; needs ids that are unique and not null to find the rows again."""
-    copies = plan_mix(docs, weights, share, most, seed).where("copies > 0").select("doc_id", "copies")
-    again = docs.join(copies.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id") == F.col("mix_id")).drop("mix_id")
-    return again.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    """The rows of docs, each as often as the mix takes it, with copy_no from 1. Rows alike in id, text and source count together."""
+    taken = plan_mix(docs, weights, share, most, seed).groupBy("row_").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = docs.withColumn("row_", F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))).dropDuplicates(["row_"])
+    return rows.join(taken, "row_").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("row_", "copies")
 
 
-def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
-    from geoquill.llm.common import prepare, read
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus: columns of docs and copy_no."""
+    prepare(spark)
+    return mix(docs)
+
 
+def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = read(prepare(spark), sf_dir, "documents")
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
