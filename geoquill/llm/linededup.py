@@ -148,8 +148,10 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines, with all their columns; n_chars follows the text where there is one."""
     prepare(spark)
-    return dedup(docs)
+    out = dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 OP8_SQL = r"""
