@@ -35,10 +35,10 @@ def _(t):
     return d.select("id", "region", L.parse_region("region").alias("p")).select("id", "region", "p.country_key", "p.state")
 
 
-@query("p06_filter_regions", "SELECT id, lower(country) AS country_key, state FROM fx_farms WHERE lower(country) IN ('brazil', 'china') OR lower(country) = 'india' AND state IN ('', 'S2') OR lower(country) = 'kenya' AND state IN ('', 'S0', 'S4')")
+@query("p06_filter_regions", "SELECT id, lower(country) AS country_key, state FROM fx_farms WHERE lower(country) IN ('nation_3', 'nation_7') OR lower(country) = 'nation_10' AND state IN ('', 'S2') OR lower(country) = 'nation_15' AND state IN ('', 'S0', 'S4')")
 def _(t):
     d = t("fx_farms").select("id", F.lower("country").alias("country_key"), "state")
-    regions = d.sparkSession.createDataFrame([("brazil", None), ("china", None), ("india", "S2"), ("kenya", "S0"), ("kenya", "S4")], "country_key string, state string")
+    regions = d.sparkSession.createDataFrame([("nation_3", None), ("nation_7", None), ("nation_10", "S2"), ("nation_15", "S0"), ("nation_15", "S4")], "country_key string, state string")
     return L.filter_regions(d, regions)
 
 
@@ -161,9 +161,9 @@ def _(t):
     return J.normalize_columns(t("fx_clusters"), COLUMNS, ["eval_set"])
 
 
-@query("j01_lookup", "WITH r AS (SELECT adm0, arg_max(final_label, ord) AS final_label FROM fx_clusters WHERE ord % 3 = 0 AND final_label IS NOT NULL AND country_key <> 'china' GROUP BY adm0) SELECT candidate_id, adm0, coalesce(r.final_label, 'none') AS final_label FROM (SELECT candidate_id, adm0 FROM fx_scored) LEFT JOIN r USING (adm0)")
+@query("j01_lookup", "WITH r AS (SELECT adm0, arg_max(final_label, ord) AS final_label FROM fx_clusters WHERE ord % 3 = 0 AND final_label IS NOT NULL AND country_key <> 'nation_5' GROUP BY adm0) SELECT candidate_id, adm0, coalesce(r.final_label, 'none') AS final_label FROM (SELECT candidate_id, adm0 FROM fx_scored) LEFT JOIN r USING (adm0)")
 def _(t):
-    right = t("fx_clusters").where("ord % 3 = 0 and final_label is not null and country_key <> 'china'")
+    right = t("fx_clusters").where("ord % 3 = 0 and final_label is not null and country_key <> 'nation_5'")
     return J.lookup(t("fx_scored").select("candidate_id", "adm0"), right, "adm0", {"final_label": "none"}, "ord")
 
 
@@ -190,23 +190,23 @@ def _(t):
 
 @query("j15_stage_audit", """
 SELECT country, coalesce(a, 0) AS source, coalesce(b, 0) AS csv, coalesce(c, 0) AS scored, coalesce(a, 0) = coalesce(b, 0) AND coalesce(a, 0) = coalesce(c, 0) AS equal FROM (SELECT country, count(*) AS a FROM fx_clusters GROUP BY 1)
-FULL JOIN (SELECT country, count(*) AS b FROM fx_clusters WHERE country <> 'CHINA' GROUP BY 1) USING (country) FULL JOIN (SELECT country, count(*) AS c FROM fx_scored GROUP BY 1) USING (country)""")
+FULL JOIN (SELECT country, count(*) AS b FROM fx_clusters WHERE country <> 'NATION_5' GROUP BY 1) USING (country) FULL JOIN (SELECT country, count(*) AS c FROM fx_scored GROUP BY 1) USING (country)""")
 def _(t):
     c = t("fx_clusters")
-    return J.stage_audit({"source": c, "csv": c.where("country <> 'CHINA'"), "scored": t("fx_scored")}, "country")
+    return J.stage_audit({"source": c, "csv": c.where("country <> 'NATION_5'"), "scored": t("fx_scored")}, "country")
 
 
 MERGED = {"adm0": "string", "cluster_id": "string", "final_label": "string", "num_bldgs": "int"}
 
 
 @query("u02_merge_clusters", """
-WITH n AS (SELECT adm0, cluster_id, final_label, num_bldgs + 1 AS num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'B%' OR adm0 LIKE 'C%'), m AS (SELECT adm0, cluster_id, 'NotFarm' AS final_label, num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'C%' AND ord % 2 = 0),
-a AS (SELECT adm0, cluster_id, final_label, num_bldgs, ord, 0 AS k FROM fx_clusters WHERE adm0 NOT LIKE 'B%' AND adm0 NOT LIKE 'C%' UNION ALL SELECT *, 1 FROM n UNION ALL SELECT *, 2 FROM m)
+WITH n AS (SELECT adm0, cluster_id, final_label, num_bldgs + 1 AS num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'NAT1%' OR adm0 LIKE 'NAT2%'), m AS (SELECT adm0, cluster_id, 'NotFarm' AS final_label, num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'NAT2%' AND ord % 2 = 0),
+a AS (SELECT adm0, cluster_id, final_label, num_bldgs, ord, 0 AS k FROM fx_clusters WHERE adm0 NOT LIKE 'NAT1%' AND adm0 NOT LIKE 'NAT2%' UNION ALL SELECT *, 1 FROM n UNION ALL SELECT *, 2 FROM m)
 SELECT adm0, cluster_id, final_label, num_bldgs, ord FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, ord DESC) AS r FROM a) WHERE r = 1""")
 def _(t):
     c = t("fx_clusters")
-    one = c.where("adm0 like 'B%' or adm0 like 'C%'").withColumn("num_bldgs", F.col("num_bldgs") + 1)
-    two = c.where("adm0 like 'C%' and ord % 2 = 0").withColumn("final_label", F.lit("NotFarm"))
+    one = c.where("adm0 like 'NAT1%' or adm0 like 'NAT2%'").withColumn("num_bldgs", F.col("num_bldgs") + 1)
+    two = c.where("adm0 like 'NAT2%' and ord % 2 = 0").withColumn("final_label", F.lit("NotFarm"))
     return J.merge_clusters(c, [one, two], MERGED)
 
 
