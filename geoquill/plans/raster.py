@@ -1 +1,162 @@
-"""Queries."""
+"""Queries on pixels and patches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geoquill.operators import patches as P
+from geoquill.operators import raster as R
+from geoquill.plans.registry import query
+
+KEPT = "fx_pixels WHERE obs_ts >= '1993-01-01' AND obs_ts < '1998-01-01' AND cloud_pct < 30"
+COMPOSITE = f"c AS (SELECT tile_id, row, col, {', '.join(f'median({b}) AS {b}' for b in R.BANDS)} FROM {KEPT} GROUP BY tile_id, row, col)"
+INDICES = "i AS (SELECT *, (b8 - b4) / nullif(b8 + b4, 0) AS ndvi, (b11 - b8) / nullif(b11 + b8, 0) AS ndbi, (b3 - b8) / nullif(b3 + b8, 0) AS ndwi, (b3 - b11) / nullif(b3 + b11, 0) AS mndwi, (b4 + b3 + b2) / 3 AS brightness, b11 AS swir FROM c)"
+
+
+def _composite(t):
+    return R.composite_median(t("fx_pixels"), "1993-01-01", "1998-01-01", 30)
+
+
+@query("a33_composite_median", f"WITH {COMPOSITE} SELECT tile_id, row, col, {', '.join(f'round({b}, 4) AS {b}' for b in R.BANDS)} FROM c")
+def _(t):
+    return _composite(t).select("tile_id", "row", "col", *[F.round(b, 4).alias(b) for b in R.BANDS])
+
+
+@query("p18_spectral_indices", f"WITH {COMPOSITE}, {INDICES} SELECT tile_id, row, col, {', '.join(f'round({x}, 6) AS {x}' for x in ('ndvi', 'ndbi', 'ndwi', 'mndwi', 'brightness', 'swir'))} FROM i")
+def _(t):
+    return R.spectral_indices(_composite(t)).select("tile_id", "row", "col", *[F.round(x, 6).alias(x) for x in ("ndvi", "ndbi", "ndwi", "mndwi", "brightness", "swir")])
+
+
+@query("p19_mask_ndbi", f"WITH {COMPOSITE}, {INDICES} SELECT tile_id, row, col, coalesce(ndbi > 0.1 AND ndvi < 0.6 AND ndwi < 0.2 AND mndwi < 0.2, FALSE) AS mask FROM i")
+def _(t):
+    return R.spectral_indices(_composite(t)).select("tile_id", "row", "col", R.mask_ndbi(0.1, 0.6, 0.2).alias("mask"))
+
+
+@query("p20_mask_metal_roof", f"WITH {COMPOSITE}, {INDICES} SELECT tile_id, row, col, coalesce(brightness > 900 AND ndvi < 0.5 AND swir > 2500 AND mndwi < 0.1, FALSE) AS mask FROM i")
+def _(t):
+    return R.spectral_indices(_composite(t)).select("tile_id", "row", "col", R.mask_metal_roof(900, 0.5, 2500).alias("mask"))
+
+
+@query("p21_mask_landcover", "SELECT tile_id, row, col, arg_min(landcover, (-n) * 100 + landcover) = 1 AS mask FROM (SELECT tile_id, row, col, landcover, count(*) AS n FROM fx_pixels GROUP BY ALL) GROUP BY tile_id, row, col")
+def _(t):
+    return R.mask_landcover(t("fx_pixels"), 1)
+
+
+@query("p22_mask_sar", "SELECT tile_id, row, col, median(vv_db) > -12 AS mask FROM fx_pixels GROUP BY tile_id, row, col")
+def _(t):
+    return R.mask_sar(t("fx_pixels"), -12.0)
+
+
+@query("p23_detect_footprints", "SELECT building_id, greatest(a, b) AS length_m, least(a, b) AS width_m, round(greatest(a, b) / (least(a, b) + 0.001e0), 6) AS aspect_ratio FROM (SELECT *, 10e0 + ord % 90 AS a, 5e0 + ord % 50 AS b FROM fx_buildings WHERE confidence >= 0.6 AND area_m2 BETWEEN 500 AND 40000)")
+def _(t):
+    b = t("fx_buildings").withColumns({"side_a_m": F.lit(10.0) + F.col("ord") % 90, "side_b_m": F.lit(5.0) + F.col("ord") % 50})
+    return R.detect_footprints(b, 500, 40000, 0.6).select("building_id", "length_m", "width_m", F.round("aspect_ratio", 6).alias("aspect_ratio"))
+
+
+@query("p26_morphological_open")
+def _(t):
+    return R.morphological_open(R.mask_sar(t("fx_pixels"), -10.0), 1)
+
+
+@query("p27_vectorize_mask")
+def _(t):
+    return R.vectorize_mask(R.mask_sar(t("fx_pixels"), -9.0), 8, 8, 10).select("tile_id", "row", "col", "component")
+
+
+@query("p25_geometry_properties")
+def _(t):
+    found = R.vectorize_mask(R.mask_sar(t("fx_pixels"), -9.0), 8, 8, 10)
+    return R.geometry_properties(found, 1e-3, (-60.0, -30.0), 0.9)
+
+
+@query("u09_run_tiles")
+def _(t):
+    return R.run_tiles(t("fx_pixels"), ["ndbi", "metal_roof", "landcover", "sar"], (8, 8), 10, 1e-4, (-60.0, -30.0), 0.9, 0, 100.0)
+
+
+@query("p28_channel_subset", "SELECT candidate_id, round(list_sum(list_transform(data[33:48], lambda x: CAST(x AS DOUBLE))), 6) AS first, round(list_sum(list_transform(data[1:16], lambda x: CAST(x AS DOUBLE))), 6) AS second FROM fx_patches")
+def _(t):
+    places, _ = P.channel_subset(["B4", "B2"], ["B2", "B3", "B4"], ["NDWI"])
+    total = lambda a, n: F.round(F.aggregate(F.slice("data", a, n), F.lit(0.0), lambda s, x: s + x.cast("double")), 6)
+    return P.take_channels(t("fx_patches"), places).select("candidate_id", total(1, 16).alias("first"), total(17, 16).alias("second"))
+
+
+@query("p29_centre_crop", "SELECT candidate_id, CAST(data[6] AS DOUBLE) AS a, CAST(data[11] AS DOUBLE) AS b, CAST(data[59] AS DOUBLE) AS z, 16 AS n FROM fx_patches")
+def _(t):
+    d = P.centre_crop(t("fx_patches"), 2)
+    at = lambda k: F.get("data", F.lit(k)).cast("double")
+    return d.select("candidate_id", at(0).alias("a"), at(3).alias("b"), at(15).alias("z"), F.size("data").alias("n"))
+
+
+@query("p30_scale_patch", "SELECT candidate_id, CAST(data[1] AS DOUBLE) / 10000e0 AS a, CAST(data[48] AS DOUBLE) / 10000e0 AS b, CAST(data[49] AS DOUBLE) AS c FROM fx_patches")
+def _(t):
+    d = t("fx_patches").withColumn("data", F.col("data").cast("array<double>")).withColumn("data", P.scale_patch(3))
+    at = lambda k: F.get("data", F.lit(k))
+    return d.select("candidate_id", at(0).alias("a"), at(47).alias("b"), at(48).alias("c"))
+
+
+@query("p31_augment_patches")
+def _(t):
+    d = t("fx_patches").withColumn("data", F.transform("data", lambda x: x.cast("float")))
+    return P.augment_patches(d, P.Augment(rotate_deg=15, crop=(0.7, 1.0), brightness=0.1, band_jitter=0.05, noise=0.01, channel_dropout=0.1, cutout=2), 42)
+
+
+@query("p32_clear_fraction", "SELECT candidate_id, round(1 - len(list_filter(data, lambda x: x < 0)) / 64e0, 4) AS clear FROM fx_patches")
+def _(t):
+    d = t("fx_patches").withColumn("data", F.transform("data", lambda x: F.when(x < 0, F.lit(float("nan"))).otherwise(x)))
+    return d.select("candidate_id", P.clear_fraction().alias("clear"))
+
+
+@query("p33_utm_grid", "SELECT building_id, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lng + 180) / 6) + 1 AS INT) AS epsg, round(lng - 640e0 / 2 / 111000, 6) AS min_lon, round(lat + 640e0 / 2 / 111000, 6) AS max_lat FROM fx_buildings")
+def _(t):
+    return t("fx_buildings").select("building_id", P.utm_grid()["epsg"].alias("epsg"), P.patch_bbox(640.0).alias("b")).select("building_id", "epsg", F.round("b.min_lon", 6).alias("min_lon"), F.round("b.max_lat", 6).alias("max_lat"))
+
+
+HASH = P.config_hash({"bands": ["B2", "B3", "B4"], "size": 64})
+
+
+@query("p34_patch_path", f"SELECT id, coalesce(nullif(country, ''), '_') || '/' || coalesce(nullif(state, ''), '_') || '/{HASH}/' || id || '.npy' AS path FROM fx_farms")
+def _(t):
+    return t("fx_farms").withColumn("candidate_id", F.col("id")).select("id", P.patch_path(HASH).alias("path"))
+
+
+@query("p35_row_hash", "SELECT candidate_id, substr(sha256(candidate_id || ':' || country), 1, 12) AS h FROM fx_scored")
+def _(t):
+    return t("fx_scored").select("candidate_id", F.substring(F.sha2(F.concat_ws(":", "candidate_id", "country"), 256), 1, 12).alias("h"))
+
+
+@query("p36_same_imagery", f"SELECT candidate_id FROM (SELECT candidate_id, CASE WHEN ord % 3 = 0 THEN '{HASH}' ELSE 'other' END AS h FROM fx_scored) WHERE h = '{HASH}'")
+def _(t):
+    reg = t("fx_scored").withColumn("imagery_config_hash", F.when(F.col("ord") % 3 == 0, HASH).otherwise("other"))
+    return P.same_imagery(reg, HASH).select("candidate_id")
+
+
+@query("p48_band_stack", "SELECT candidate_id, 8 AS n_channels, len(data) * 2 AS n FROM fx_patches")
+def _(t):
+    d = t("fx_patches")
+    return P.band_stack(d, d).select("candidate_id", "n_channels", F.size("data").alias("n"))
+
+
+@query("a23_band_stats", """
+WITH m AS (SELECT candidate_id, label, k AS channel, list_avg(list_transform(data[k * 16 + 1:k * 16 + 16], lambda x: CAST(x AS DOUBLE))) AS mean FROM fx_patches, range(4) r(k))
+SELECT label, CAST(channel AS INT) AS channel, count(*) AS n, round(avg(mean), 6) AS mean, round(stddev_pop(mean), 6) AS std FROM m GROUP BY 1, 2""")
+def _(t):
+    d = t("fx_patches")
+    return P.band_stats(P.band_means(d), d.select("candidate_id", "label"), "label")
+
+
+@query("f04_score_candidates")
+def _(t):
+    scored = P.score_candidates(t("fx_patches"), P.LinearScorer([[1, -1], [-2, 2], [0.5, -0.5], [3, -3]]))
+    from geoquill.functions.labels import confidence_tier, predict_label
+
+    got = scored.withColumn("p", predict_label(F.col("probs"))).select("candidate_id", F.round("p.score", 6).alias("predicted_score"), F.col("p.label").alias("predicted_label"))
+    return got.withColumn("confidence_tier", confidence_tier("predicted_score"))
+
+
+@query("f05_fit_patch_classifier")
+def _(t):
+    d = t("fx_patches")
+    labels = d.select("candidate_id", (F.col("label") % 2).cast("double").alias("label"))
+    model = P.fit_patch_classifier(d, labels)
+    return model.transform(P.classifier_features(d)).select("candidate_id", F.col("prediction").cast("int").alias("predicted_label"))
