@@ -1 +1,161 @@
-"""Queries."""
+"""Queries that run several operators end to end: merged farms, converted clusters, footprints, map elements, exports and streams."""
+
+from __future__ import annotations
+
+import struct
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from geoquill.functions import labels as L
+from geoquill.operators import sampling as N
+from geoquill.operators import spatial as S
+from geoquill.operators.metrics import outcome_class
+from geoquill.plans.metrics import OUTCOME
+from geoquill.plans.registry import query
+from geoquill.plans.space import CASCADE
+from geoquill.sources import readers, sinks
+from geoquill.sources.tables import shared_dir
+
+
+@query("s01_farm_source", "SELECT id, name, lat, lng, species, category, 'FarmTransparency' AS source, 'X' AS country, coalesce(state, '') AS state FROM fx_farms WHERE lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0 AND species IN ('Chickens', 'Ducks', 'Cows/Cattle') AND lower(coalesce(category, '')) LIKE '%farm%'")
+def _(t):
+    rows = t("fx_farms").select(F.col("id").alias("Id"), F.col("name").alias("Name"), F.col("lat").alias("Lat"), F.col("lng").alias("Lng"), F.col("species").alias("Species"), F.col("category").alias("Categories"), F.col("state").alias("State"))
+    return readers.farms(rows, "FarmTransparency", "X", ["Chickens", "Ducks", "Cows/Cattle"], ["Farm"])
+
+
+@query("s03_known_farms")
+def _(t):
+    farms = t("fx_farms").where(L.valid_coords())
+    return S.dedup_proximity(farms, 20000.0).select("id", "source", "country")
+
+
+ELEMENT = "osm_id, lat, lng, name, building"
+
+
+@query("s09_osm_elements", "SELECT 'way/' || osm_id AS osm_id, lat, lng, coalesce(name, '') AS name, building FROM fx_osm_tags WHERE osm_id % 7 <> 0 UNION ALL SELECT 'node/' || osm_id, lat, lng, coalesce(name, ''), building FROM fx_osm_tags WHERE osm_id % 7 = 0 AND osm_id % 2 = 0")
+def _(t):
+    tags = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("building"), F.col("building")), lambda k, v: v.isNotNull())
+    node = F.col("osm_id") % 7 == 0
+    here = ~node | (F.col("osm_id") % 2 == 0)
+    element = F.struct(
+        F.when(node, "node").otherwise("way").alias("type"), F.col("osm_id").alias("id"), F.when(node & here, F.col("lat")).alias("lat"), F.when(node & here, F.col("lng")).alias("lon"),
+        F.when(~node, F.struct(F.col("lat").alias("lat"), F.col("lng").alias("lon"))).alias("center"), tags.alias("tags"),
+    )
+    landed = t("fx_osm_tags").select(F.to_json(F.struct(F.array(element, element).alias("elements"))).alias("value"))
+    return readers.elements(landed).select("osm_id", "lat", "lng", "name", F.try_element_at("tags", F.lit("building")).alias("building"))
+
+
+@query("s15_features", "SELECT provider AS source, area_m2, lat, lng FROM fx_buildings")
+def _(t):
+    props = F.struct(F.col("provider").alias("source"), "area_m2", F.col("lng").alias("centroid_lon"), F.col("lat").alias("centroid_lat"))
+    geometry = F.when(F.col("ord") % 3 != 0, F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")))
+    landed = t("fx_buildings").select(F.to_json(F.struct(F.array(F.struct(geometry.alias("geometry"), props.alias("properties"))).alias("features"))).alias("value"))
+    return readers.features(landed).select("source", "area_m2", "lat", "lng")
+
+
+def _box(lng: pd.Series, lat: pd.Series) -> pd.Series:
+    corners = lambda x, y: [(x, y), (x + 0.002, y), (x + 0.002, y + 0.001), (x, y + 0.001), (x, y)]
+    return pd.Series([struct.pack("<BIII10d", 1, 3, 1, 5, *[v for p in corners(x, y) for v in p]) for x, y in zip(lng, lat, strict=True)])
+
+
+@query("s12_wkb_centroid", "SELECT building_id, round(lng + 0.001e0, 6) AS lng, round(lat + 0.0005e0, 6) AS lat FROM fx_buildings")
+def _(t):
+    box = F.pandas_udf(_box, "binary")
+    d = t("fx_buildings").select("building_id", box("lng", "lat").alias("geometry")).withColumn("c", readers.wkb_centroid("geometry"))
+    return d.select("building_id", F.round("c.lng", 6).alias("lng"), F.round("c.lat", 6).alias("lat"))
+
+
+@query("j16_tile_filter", "SELECT DISTINCT b.building_id FROM fx_buildings b JOIN fx_country c ON b.lng BETWEEN c.min_lon AND c.max_lon AND b.lat BETWEEN c.min_lat AND c.max_lat WHERE c.ord < 5")
+def _(t):
+    boxes = t("fx_country").where("ord < 5")
+    inside = F.col("lng").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
+    return t("fx_buildings").select("building_id", "lat", "lng").join(S.small(boxes.select("min_lon", "max_lon", "min_lat", "max_lat")), inside, "left_semi").select("building_id")
+
+
+@query("u07_find_farms", "SELECT osm_id, species FROM (SELECT osm_id, CASE WHEN contains(x, 'chicken') OR contains(x, 'poultry') OR contains(x, 'broiler') OR contains(x, 'layer') OR contains(x, 'egg') OR contains(x, 'hen') OR contains(x, 'hatchery') THEN 'Chickens' END AS species FROM (SELECT osm_id, lower(concat_ws(' ', coalesce(name, ''), building, landuse)) AS x FROM fx_osm_tags)) WHERE species IS NOT NULL")
+def _(t):
+    kind = L.classify_species(F.col("name"), F.array_compact(F.array("building", "landuse")))["species"]
+    return t("fx_osm_tags").select("osm_id", kind.alias("species")).where(L.species_in("species", ["Chickens"]))
+
+
+@query("u08_convert_clusters", """
+SELECT cluster_id AS id, country_key, CASE WHEN final_label = 'NotFarm' THEN 0 WHEN final_label LIKE 'Farm: Poultry%' THEN 1 ELSE 2 END AS label, final_label AS category, coalesce(viz_status, '') AS viz_status, coalesce(CAST(eval_set AS INT), 0) AS eval_set,
+       (SELECT arg_min(b.country_key, b.ord) FROM fx_country b WHERE c.lng BETWEEN b.min_lon AND b.max_lon AND c.lat BETWEEN b.min_lat AND b.max_lat) AS state
+FROM fx_clusters c WHERE final_label IN ('NotFarm', 'Farm: Poultry: Meat Chickens', 'Farm: Poultry: Eggs', 'Farm: Poultry: Unspecified/Other', 'Farm: Pigs', 'Farm: Cattle')
+AND NOT (coalesce(original_label, '') ILIKE '%osm%' AND (coalesce(standardized_label LIKE 'Farm%', FALSE) OR standardized_label IS NULL AND regexp_matches(lower(original_label), 'sty|chicken|poultry|cowshed|livestock|animal_breeding|pig|farm')))""")
+def _(t):
+    kept = t("fx_clusters").where(L.not_ambiguous("final_label") & L.not_excluded("final_label", L.AMBIGUOUS_TYPES) & ~L.is_osm_farm() & F.col("final_label").isNotNull())
+    done = L.fill_defaults(kept, ["viz_status"], ["eval_set"]).withColumn("label", L.label_three_class("final_label"))
+    boxes = t("fx_country").withColumnRenamed("country_key", "state")
+    return S.bbox_lookup(done, boxes, "state", "ord", "cluster_id").select(F.col("cluster_id").alias("id"), "country_key", "label", F.col("final_label").alias("category"), "viz_status", "eval_set", "state")
+
+
+@query("u06_building_candidates", f"{CASCADE} SELECT 'bf_' || building_id AS id, label, unified_label AS category, (SELECT arg_min(c.country_key, c.ord) FROM fx_country c WHERE l.lng BETWEEN c.min_lon AND c.max_lon AND l.lat BETWEEN c.min_lat AND c.max_lat) AS region FROM l")
+def _(t):
+    labelled = S.label_buildings(t("fx_buildings").drop("country_key"), t("fx_farms"), 3000)
+    placed = S.bbox_lookup(labelled, t("fx_country"), "country_key", "ord", "building_id")
+    return placed.select(F.concat(F.lit("bf_"), "building_id").alias("id"), "label", F.col("unified_label").alias("category"), F.col("country_key").alias("region"))
+
+
+@query("u05_build_candidates")
+def _(t):
+    farms = t("fx_farms").where(L.valid_coords())
+    positives = S.dedup_proximity(farms, 100.0)
+    rows = positives.select("id", "lat", "lng", F.lit(1).alias("label"), "source", "country", "state", F.lower("country").alias("region"))
+    negatives = N.stratified_negatives(t("fx_country"), positives, 20, 5000.0)
+    extra = t("fx_clusters").where("final_label is not null").select(F.col("cluster_id").alias("id"), "lat", "lng", L.label_binary("final_label").alias("label"), F.lit("clusters").alias("source"), "country", F.lit("").alias("state"), F.col("country_key").alias("region"))
+    return rows.unionByName(negatives).unionByName(S.drop_near_existing(extra, rows.unionByName(negatives), 200.0))
+
+
+@query("k10_map_layers", f"SELECT o AS layer, CASE o WHEN 'TP' THEN '#2ca02c' WHEN 'FP' THEN '#d62728' WHEN 'FN' THEN '#ff7f0e' WHEN 'TN' THEN '#1f77b4' ELSE '#999999' END AS colour, count(*) AS n FROM (SELECT {OUTCOME} AS o FROM fx_scored) GROUP BY o")
+def _(t):
+    colours = {"TP": "#2ca02c", "FP": "#d62728", "FN": "#ff7f0e", "TN": "#1f77b4"}
+    return sinks.layer_counts(sinks.map_layers(t("fx_scored"), outcome_class(), colours, ["candidate_id", "predicted_score"]))
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/geoquill-{uuid.uuid4().hex}/{name}"
+
+
+@query("k01_write_read_candidates", "SELECT building_id, country_key FROM fx_buildings WHERE country_key IN ('nation_1', 'nation_2')")
+def _(t):
+    d = t("fx_buildings")
+    path = _folder(d.sparkSession, "candidates")
+    sinks.write_candidates(d, path)
+    return readers.read_candidates(d.sparkSession, path, ["nation_1", "nation_2"]).select("building_id", "country_key")
+
+
+@query("k03_write_read_scored", "SELECT candidate_id, predicted_score, split FROM fx_scored")
+def _(t):
+    d = t("fx_scored")
+    path = _folder(d.sparkSession, "scored")
+    sinks.write_scored(d, path, "2024-01-01")
+    return d.sparkSession.read.parquet(f"{path}/current").select("candidate_id", "predicted_score", "split")
+
+
+@query("k06_export_results", "SELECT building_id, area_m2, lat, lng FROM fx_buildings")
+def _(t):
+    d = t("fx_buildings")
+    path = _folder(d.sparkSession, "export")
+    sinks.export_results(d, path, ["building_id", "area_m2"])
+    back = d.sparkSession.read.text(f"{path}/geojson").select(F.from_json("value", "geometry struct<coordinates:array<double>>, properties struct<building_id:string,area_m2:double>").alias("f"))
+    return back.select("f.properties.*", F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"))
+
+
+@query("ts1_resume_scoring", "SELECT CAST(user_id AS VARCHAR) AS candidate_id, count(*) > 0 AS seen FROM events GROUP BY 1")
+def _(t):
+    from geoquill.streaming.scoring import resume_scoring
+
+    events = t("events").select(F.col("user_id").cast("string").alias("candidate_id"))
+    spark = events.sparkSession
+    base = _folder(spark, "stream")
+    half = F.pmod(F.xxhash64("candidate_id"), F.lit(2))
+    for k in range(2):  # two batches of files; the second also replays the first
+        events.where(half <= k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("candidate_id string").parquet(f"{base}/in")
+        score = lambda d: d.select("candidate_id", F.lit(True).alias("seen"), F.lit(None).cast("string").alias("error"))
+        resume_scoring(stream, score, f"{base}/registry", f"{base}/failures", "h1", f"{base}/check").awaitTermination()
+    return spark.read.parquet(f"{base}/registry").select("candidate_id", "seen")
