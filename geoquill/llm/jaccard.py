@@ -254,7 +254,12 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
         q = at.where("short").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         d = at.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("short").alias("sb"))
         meets = q.join(d, (q["token"] == d["token"]) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (~F.col("sb") | (F.col("a") < F.col("b"))))
-        apart = apart.union(meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        # What two sets share below the end of either prefix is counted here, or they meet at a rare token and are in pairs; above it lie at most
+        # n - prefix_size(n) = ceil(0.8 n) - 1 shingles of the one whose prefix ends first. Pairs that can't reach the similarity so aren't opened.
+        beyond = lambda n: F.floor((F.col(n) * LEAST + 99) / 100) - 1
+        enough = (F.col("shared") + F.greatest(beyond("na"), beyond("nb"))) * (100 + LEAST) >= (F.col("na") + F.col("nb")) * LEAST
+        counted = meets.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(enough)
+        apart = apart.union(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     rest = write_table(apart.distinct().join(first, ["a", "b"], "left_anti"), "pairs_rest")
     more = write_table(verified(rest, texts), "linked_rest")
     return groups if more.isEmpty() else components(linked.union(more))
