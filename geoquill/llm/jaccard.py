@@ -117,15 +117,16 @@ def hot_tokens(table: DataFrame, hot: int, buckets: int) -> np.ndarray:
 
 
 def _prefixes(frame: pd.DataFrame, hot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-    """For each set: key, n, folded rare tokens of its prefix, folded common ones of its plain prefix, and whether it is short of rare ones."""
+    """For each set: key, n, folded rare tokens of its prefix, common ones of its plain prefix, and whether it is short of rare ones."""
     for n, key, low in zip(frame["n"].tolist(), frame["key"].tolist(), frame["low"], strict=True):
-        t = _fold(np.frombuffer(low, np.uint64))
+        raw = np.frombuffer(low, np.uint64)
+        t = _fold(raw)
         p = prefix_size(n)
         at = np.minimum(np.searchsorted(hot, t), max(0, len(hot) - 1))
         common = hot[at] == t if len(hot) else np.zeros(len(t), bool)
         rare = t[~common]
         short = len(rare) < p
-        yield key, n, t[:p][~common[:p]] if short else rare[:p], t[:p][common[:p]], short
+        yield key, n, t[:p][~common[:p]] if short else rare[:p], raw[:p][common[:p]], short
 
 
 def rare_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -177,7 +178,7 @@ def common_rows(table: DataFrame, hot: np.ndarray) -> DataFrame:
             rows = [r for r in _prefixes(frame, hot) if len(r[3])]
             sizes = [len(r[3]) for r in rows]
             yield pd.DataFrame({
-                "token": np.concatenate([*(r[3] for r in rows), np.zeros(0, np.uint32)]).astype(np.int64), "key": np.repeat(np.array([r[0] for r in rows], np.int64), sizes),
+                "token": np.concatenate([*(r[3] for r in rows), np.zeros(0, np.uint64)]).astype(np.int64), "key": np.repeat(np.array([r[0] for r in rows], np.int64), sizes),
                 "n": np.repeat(np.array([r[1] for r in rows], np.int64), sizes), "short": np.repeat(np.array([r[4] for r in rows], bool), sizes),
             })
 

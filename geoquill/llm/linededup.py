@@ -129,12 +129,12 @@ def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHAR
 def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
     """docs with repeats cut out of text; a document that had lines and lost all of them goes."""
     names = docs.columns
-    drops = dropped_lines(docs, edits, least).withColumnRenamed("row_", "drop_row_")
+    drops = dropped_lines(docs, edits, least).select(F.col("row_").alias("_drop_row"), F.col("dropped").alias("_drops"))
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("dropped", i))
-    out = _rows(docs).join(drops, F.col("row_") == F.col("drop_row_"), "left")
-    left = out.where(F.col("dropped").isNull() | (F.size("dropped") < F.size(parts)))
-    return left.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*names)
+    kept = F.filter(parts, lambda x, i: ~F.array_contains("_drops", i))
+    out = docs.withColumn("_line_row", F.xxhash64("doc_id", "text")).join(drops, F.col("_line_row") == F.col("_drop_row"), "left")
+    left = out.where(F.col("_drops").isNull() | (F.size("_drops") < F.size(parts)))
+    return left.withColumn("text", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*names)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

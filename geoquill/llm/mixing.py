@@ -40,7 +40,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64("doc_id", "text", "source").alias("row_"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")).alias("row_"),
     ).withColumn("src_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
 
 
@@ -99,9 +99,9 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with copy_no from 1. Rows alike in id, text and source count together."""
-    taken = plan_mix(docs, weights, share, most, seed).groupBy("row_").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = docs.withColumn("row_", F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))).dropDuplicates(["row_"])
-    return rows.join(taken, "row_").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("row_", "copies")
+    taken = plan_mix(docs, weights, share, most, seed).groupBy(F.col("row_").alias("_mix_row")).agg(F.sum("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
+    rows = docs.withColumn("_mix_row", F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))).dropDuplicates(["_mix_row"])
+    return rows.join(taken, "_mix_row").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("_mix_row", "_mix_copies")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, n_toxic: int, n_clean: i
     words = F.array_distinct(F.split(F.trim(folded(text_of())), " "))
     few = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 3)
     # Copies and near copies of a text teach nothing more, so one of each stays.
-    return kept.select(folded(text_of()).alias("fold"), words.alias("words"), few.alias("few"), "toxic").dropDuplicates(["few", "toxic"]).drop("few")
+    return kept.select(folded(text_of()).alias("_fold"), words.alias("words"), few.alias("few"), "toxic").dropDuplicates(["few", "toxic"]).drop("few")
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -114,14 +114,14 @@ class Matcher:
 
 
 def with_hits(df: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS) -> DataFrame:
-    """Adds hits (struct of weight and words) for the column fold."""
+    """Adds _hits (struct of weight and words) for the column _fold."""
     matcher = Matcher(lexicon, tuple(exceptions))
 
     @F.pandas_udf("weight double, words long")
     def hits(folds: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"weight": [matcher.weigh(x) for x in folds], "words": [max(0, x.count(" ") - 1) for x in folds]})
 
-    return df.withColumn("hits", hits("fold"))
+    return df.withColumn("_hits", hits("_fold"))
 
 
 def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[flo
     """Lexicon and logistic coefficients from the labelled sample."""
     sample = write_table(labelled_sample(docs, labels, TRAIN_TOXIC, TRAIN_CLEAN), "toxicity_sample")
     lexicon = {f" {w}": x for w, x in LEXICON.items()} | learn_lexicon(sample)
-    rows = with_hits(sample, lexicon).select("hits.weight", "hits.words", "toxic").collect()  # at most TRAIN_TOXIC + TRAIN_CLEAN
+    rows = with_hits(sample, lexicon).select("_hits.weight", "_hits.words", "toxic").collect()  # at most TRAIN_TOXIC + TRAIN_CLEAN
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return lexicon, DEFAULT_MODEL
@@ -152,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[flo
 def score(docs: DataFrame, lexicon: dict[str, float], model: tuple[float, ...], exceptions=EXCEPTIONS) -> DataFrame:
     """docs with tox_weight, tox_words and tox_score."""
     a, b, c = model
-    out = with_hits(docs.withColumn("fold", folded(text_of())), lexicon, exceptions)
-    x = a * F.log1p("hits.weight") + b * F.least(100 * F.col("hits.weight") / F.greatest("hits.words", F.lit(20)), F.lit(50.0)) + c
-    return out.withColumns({"tox_weight": F.col("hits.weight"), "tox_words": F.col("hits.words"), "tox_score": 1 / (1 + F.exp(-x))}).drop("fold", "hits")
+    out = with_hits(docs.withColumn("_fold", folded(text_of())), lexicon, exceptions)
+    x = a * F.log1p("_hits.weight") + b * F.least(100 * F.col("_hits.weight") / F.greatest("_hits.words", F.lit(20)), F.lit(50.0)) + c
+    return out.withColumns({"tox_weight": F.col("_hits.weight"), "tox_words": F.col("_hits.words"), "tox_score": 1 / (1 + F.exp(-x))}).drop("_fold", "_hits")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
