@@ -24,7 +24,7 @@ from geoquill.llm.common import prepare, read, write_table
 
 MAX_EDITS = 2
 MIN_CHARS = 32
-SIEVE = 1 << 18
+SIEVE = 1 << 21
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -34,16 +34,8 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (base * i + longer + 1).cast("int"), (base + F.when(F.lit(i) >= parts - rest, 1).otherwise(0)).cast("int")
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    out = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits + 1)
-        out.append(F.hash(F.lit(i), length, line.substr(start, size)))
-    return out
-
-
 def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys by which a line finds lines shorter by 0 to `edits`: for segment i only shifts that leave the edits balanced."""
+    """Keys by which a line finds lines shorter by 0 to `edits`: for segment i only shifts that leave the edits balanced. Those of own_places are its index keys."""
     out = []
     for less in range(edits + 1):
         other = (length - less).cast("int")
@@ -75,40 +67,54 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
     return split.where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
 
 
-def _late(pairs: DataFrame, docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
-    """h of the later line of those pairs (a, b) that are within `edits` edits."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = write_table(wanted, "line_wanted")
+def _texts(pairs: DataFrame, docs: DataFrame, uniq: DataFrame, least: int) -> DataFrame:
+    """h, line, first of every line in the pairs (a, b)."""
+    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line_wanted")
     classes = wanted.select(F.pmod("h", F.lit(SIEVE)).alias("class")).distinct()  # at most SIEVE rows
     some = lines(docs, least).select("h", "line").withColumn("class", F.pmod("h", F.lit(SIEVE))).join(F.broadcast(classes), "class", "left_semi")
-    texts = write_table(some.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
+    return write_table(some.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
+
+
+def _late(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """h of the later line of those pairs (a, b) that are within `edits` edits."""
     side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
     return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
 
 
+def letter_keys(line: Column, edits: int) -> Column:
+    """Hashes of the counts of letters and digits, dealt into 2 * edits + 1 groups. An edit changes the counts of two characters at most, so lines within
+    `edits` edits agree in one group at least."""
+    groups = 2 * edits + 1
+    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    return F.array(*[F.xxhash64(F.lit(g), *[count(c) for c in "etaoinshrdlucmwfgypbvkjxqz0123456789"[g::groups]]) for g in range(groups)])
+
+
 def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
     """h of lines that have an earlier line within `edits` edits, other than themselves.
 
     Every probe first meets the earliest line of its key. Only where a key has more lines, and the later line of a pair isn't
-    known as late yet, are they compared with each other, so that a family of like lines costs about its size.
+    known as late yet, are they compared with each other, and then only where the counts of a group of letters agree: a family of like lines
+    costs about its size, and so do lines that share a segment alone.
     """
-    index = uniq.select(F.explode("index").alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "h").alias("at"))
-    heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at.doc_id").alias("head_doc"), F.min("at").alias("head")).select("key", "n", F.col("head.h").alias("head"))
+    at = own_places(edits)
+    index = uniq.select(F.explode(F.array(*[F.get("probe", F.lit(k)) for k in at])).alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "h").alias("at"))
+    heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).select("key", "n", F.col("head.h").alias("head"))
     probe = uniq.select("h", F.posexplode("probe").alias("place", "key")).where("key is not null")
-    own = F.col("place").isin(own_places(edits))
-    met = write_table(probe.join(heads, "key").where("h <> head or n > 1").select("key", "h", "head", "n", own.alias("own")), "line_met")
+    met = write_table(probe.join(heads, "key").where("h <> head or n > 1").select("key", "h", "head", "n", F.col("place").isin(at).alias("own")), "line_met")
     first = write_table(met.where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
-    late = write_table(_late(first, docs, uniq, edits, least), "late_first")
-    more = met.where("n > 1").join(uniq.select("h", "first"), "h").join(late.withColumn("done", F.lit(True)), "h", "left")
-    more = write_table(more.select("key", "h", "first", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
-    r = more.select("key", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("done").alias("done_a"))
-    s = more.where("own").select("key", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("done").alias("done_b"))
-    open_r = r.where("not done_a").join(s, "key").where("a <> b and fb < fa").select("a", "b")
-    open_s = s.where("not done_b").join(r, "key").where("a <> b and fa < fb").select("a", "b")
+    texts = _texts(first, docs, uniq, least)
+    late = write_table(_late(first, texts, edits), "late_first")
+    letters = texts.select("h", "first", F.explode(letter_keys(F.col("line"), edits)).alias("letters"))
+    more = met.where("n > 1").select("key", "h", "own").join(letters, "h").join(late.withColumn("done", F.lit(True)), "h", "left")
+    more = write_table(more.select("key", "letters", "h", "first", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
+    r = more.select("key", "letters", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("done").alias("done_a"))
+    s = more.where("own").select("key", "letters", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("done").alias("done_b"))
+    open_r = r.where("not done_a").join(s, ["key", "letters"]).where("a <> b and fb < fa").select("a", "b")
+    open_s = s.where("not done_b").join(r, ["key", "letters"]).where("a <> b and fa < fb").select("a", "b")
     rest = open_r.union(open_s).distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     rest = write_table(rest, "line_pairs_rest")
-    return late if rest.isEmpty() else late.union(_late(rest, docs, uniq, edits, least)).distinct()
+    return late if rest.isEmpty() else late.union(_late(rest, texts, edits)).distinct()
 
 
 def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -116,9 +122,9 @@ def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHAR
     length = F.length("line")
     keyed = lines(docs, least).select(
         "h", F.struct("doc_id", "row_", "line_no").alias("first"),
-        F.array(*index_keys(F.col("line"), length, edits)).alias("index"), F.array(*probe_keys(F.col("line"), length, edits)).alias("probe"),
+        F.array(*probe_keys(F.col("line"), length, edits)).alias("probe"),
     )
-    uniq = write_table(keyed.groupBy("h").agg(F.min(F.struct("first", "index", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n"), "lines")
+    uniq = write_table(keyed.groupBy("h").agg(F.min(F.struct("first", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n"), "lines")
     late = write_table(near_lines(docs, uniq, edits, least), "late")
     firsts = uniq.select("h", "first", "n").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late").drop("n")
     gone = lines(docs, least).select("h", "doc_id", "row_", "line_no").join(firsts, "h")
