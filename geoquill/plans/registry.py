@@ -9,7 +9,7 @@ from geoquill.plans.fixtures import oracle, table
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("metrics", "labels", "space", "splits", "raster", "flows")
+MODULES = ("metrics", "labels", "space", "splits", "raster", "flows", "tables")
 
 
 def query(name: str, sql: str | None = None) -> Callable:

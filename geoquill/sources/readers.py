@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -135,9 +136,8 @@ def wkb_centroid(column: str) -> Column:
     return centroid(F.col(column))
 
 
-def read_patches(spark: SparkSession, path: str) -> DataFrame:
-    """candidate_id, n_channels, height, width, data of .npy files of (C, H, W); structured or (H, W, C) arrays are turned."""
-    import io
+def decode_patches(files: DataFrame) -> DataFrame:
+    """candidate_id, n_channels, height, width, data of .npy contents (path, content) of (C, H, W); structured or (H, W, C) arrays are turned."""
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -147,10 +147,14 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((name.rsplit("/", 1)[-1].removesuffix(".npy"), *a.shape, a.astype(np.float32).ravel()))
             yield pd.DataFrame(rows, columns=["candidate_id", "n_channels", "height", "width", "data"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(decode, "candidate_id string, n_channels int, height int, width int, data array<float>")
 
 
+def read_patches(spark: SparkSession, path: str) -> DataFrame:
+    """Patches of a folder of .npy files."""
+    return decode_patches(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path))
+
+
 def normalise_layout(a: np.ndarray) -> np.ndarray:
     """(C, H, W) of named bands, (H, W) or (H, W, C) where the last axis is the shortest."""
     if a.dtype.names:
