@@ -65,7 +65,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     counts = (
         sample.select("toxic", F.explode(F.array_distinct(F.flatten(F.array(*stems, whole)))).alias("entry"))
         .groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        .where((F.col("t") >= max(8, toxic // 100)) & (F.col("entry") != "  "))
+        .where((F.col("t") >= max(5, toxic // 150)) & (F.col("entry") != "  "))
         .withColumn("weight", F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)))
         .where(F.col("weight") >= LEAST_WEIGHT)
     )
