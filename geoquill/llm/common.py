@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +38,48 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+#: Folders of tables that the innermost settled() drops at its end; on the driver only.
+_SCOPES: list[list[str]] = []
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/geoquill-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark).rstrip('/')}/geoquill-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of build(); the tables that build() wrote on the way are dropped, for nothing reads them any more."""
+    _SCOPES.append([])
+    try:
+        made, own = build(), _SCOPES[-1]
+        _SCOPES[-1] = []
+        out = write_table(made, name)
+        kept, _SCOPES[-1] = _SCOPES[-1], own
+    finally:
+        dropped = _SCOPES.pop()
+        for folder in dropped:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if _SCOPES:
+        _SCOPES[-1] += kept
+    return out
+
+
+#: Classes of a sieve, and so the most rows that it broadcasts.
+SIEVE = 1 << 21
+
+
+def sieved(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose 64-bit hash is in wanted. Hash classes, at most SIEVE of them and broadcast on that bound, hold back nearly all other rows
+    before the shuffle while wanted is small; beyond that they pass, and the join decides."""
+    classes = wanted.select(F.pmod(column, F.lit(SIEVE)).alias("_class")).distinct()
+    some = df.withColumn("_class", F.pmod(column, F.lit(SIEVE))).join(F.broadcast(classes), "_class", "left_semi").drop("_class")
+    return some.join(wanted.select(column), column, "left_semi")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, text_of, write_table
+from geoquill.llm.common import prepare, read, settled, sieved, text_of, write_table
 
 WORDS = 5
 LEAST = 80  # per cent
@@ -237,7 +237,8 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
         candidates = candidates.union(common.select("key"))
     named = table.groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(candidates.distinct(), "key", "left_semi")
     whole = docs.select(F.col("text"), F.xxhash64("text").alias("text_hash"))
-    texts = write_table(whole.join(named, "text_hash").dropDuplicates(["key"]).select("key", "text"), "texts")
+    named = write_table(named, "named")
+    texts = write_table(sieved(whole, "text_hash", named).join(named, "text_hash").dropDuplicates(["key"]).select("key", "text"), "texts")
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * LEAST
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -268,6 +269,10 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 def with_components(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row of docs."""
+    return settled(docs.sparkSession, lambda: _with_components(docs), "components")
+
+
+def _with_components(docs: DataFrame) -> DataFrame:
     table = write_table(sets(docs), "sets")
     groups = links(docs, table)
     each = table.select("doc_id", "text_hash", "n", "key").join(groups, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

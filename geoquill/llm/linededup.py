@@ -8,8 +8,7 @@ length it could match, the few substrings that the shift bounds allow. Candidate
 threshold (Spark's banded dynamic programme; Spark has no bit-parallel function, and this operator takes no UDF).
 
 Scale: identical lines are aggregated first, so the join sees each distinct line once and no copies meet each other; only
-hashes are shuffled, and texts are fetched for candidates alone: a sieve of at most SIEVE hash classes,
-broadcast on that bound, holds back nearly all other lines before the shuffle. Keys of 32 bits that fall together by chance cost a comparison. Both sides of the join are plain shuffles that AQE can split.
+hashes are shuffled, and texts are fetched for candidates alone, through a sieve. Keys of 32 bits that fall together by chance cost a comparison. Both sides of the join are plain shuffles that AQE can split.
 
 Defined cases: null text is no line and stays null; an empty text is one empty line; null doc_ids come first in order; rows
 alike in doc_id and text count as one row; an empty table gives an empty result.
@@ -20,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, write_table
+from geoquill.llm.common import prepare, read, settled, sieved, write_table
 
 MAX_EDITS = 2
 MIN_CHARS = 32
-SIEVE = 1 << 21
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -70,9 +68,7 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
 def _texts(pairs: DataFrame, docs: DataFrame, uniq: DataFrame, least: int) -> DataFrame:
     """h, line, first of every line in the pairs (a, b)."""
     wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line_wanted")
-    classes = wanted.select(F.pmod("h", F.lit(SIEVE)).alias("class")).distinct()  # at most SIEVE rows
-    some = lines(docs, least).select("h", "line").withColumn("class", F.pmod("h", F.lit(SIEVE))).join(F.broadcast(classes), "class", "left_semi")
-    return write_table(some.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
+    return write_table(sieved(lines(docs, least).select("h", "line"), "h", wanted).dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
 
 
 def _late(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -119,6 +115,10 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> Data
 
 def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
     """row_, dropped: the line numbers to drop, for rows that have any."""
+    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, least), "drops")
+
+
+def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     length = F.length("line")
     keyed = lines(docs, least).select(
         "h", F.struct("doc_id", "row_", "line_no").alias("first"),
@@ -145,7 +145,7 @@ def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> Da
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
-    drops = write_table(dropped_lines(docs), "drops").withColumnRenamed("row_", "drop_row_")
+    drops = dropped_lines(docs).withColumnRenamed("row_", "drop_row_")
     sizes = _rows(docs).select("doc_id", "row_", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     return sizes.join(drops, F.col("row_") == F.col("drop_row_"), "left").select(
