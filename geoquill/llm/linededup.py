@@ -78,20 +78,31 @@ def _late(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
 
 
-def letter_keys(line: Column, edits: int) -> Column:
-    """Hashes of the counts of letters and digits, dealt into 2 * edits + 1 groups. An edit changes the counts of two characters at most, so lines within
+LETTERS = "etaoinshrdlucmwfgypbvkjxqz0123456789"
+
+
+def letter_counts(line: Column) -> Column:
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def letter_keys(counts: Column, edits: int) -> Column:
+    """Hashes of the letter counts, dealt into 2 * edits + 1 groups. An edit changes the counts of two characters at most, so lines within
     `edits` edits agree in one group at least."""
     groups = 2 * edits + 1
-    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    return F.array(*[F.xxhash64(F.lit(g), *[count(c) for c in "etaoinshrdlucmwfgypbvkjxqz0123456789"[g::groups]]) for g in range(groups)])
+    return F.array(*[F.xxhash64(F.lit(g), *[F.get(counts, F.lit(k)) for k in range(g, len(LETTERS), groups)]) for g in range(groups)])
+
+
+def letters_apart(a: str, b: str) -> Column:
+    """Sum of the differences of two lines' letter counts: at most twice the edits."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
 
 def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
     """h of lines that have an earlier line within `edits` edits, other than themselves.
 
     Every probe first meets the earliest line of its key. Only where a key has more lines, and the later line of a pair isn't
-    known as late yet, are they compared with each other, and then only where the counts of a group of letters agree: a family of like lines
-    costs about its size, and so do lines that share a segment alone.
+    known as late yet, do they meet each other, and then only where the counts of a group of letters agree and all counts together differ by two for each
+    edit at most: a family of like lines costs about its size, and so do lines that share a segment alone.
     """
     at = own_places(edits)
     index = uniq.select(F.explode(F.array(*[F.get("probe", F.lit(k)) for k in at])).alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "h").alias("at"))
@@ -101,13 +112,14 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> Data
     first = write_table(met.where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
     texts = _texts(first, docs, uniq, least)
     late = write_table(_late(first, texts, edits), "late_first")
-    letters = texts.select("h", "first", F.explode(letter_keys(F.col("line"), edits)).alias("letters"))
+    letters = texts.select("h", "first", letter_counts(F.col("line")).alias("counts")).withColumn("letters", F.explode(letter_keys(F.col("counts"), edits)))
     more = met.where("n > 1").select("key", "h", "own").join(letters, "h").join(late.withColumn("done", F.lit(True)), "h", "left")
-    more = write_table(more.select("key", "letters", "h", "first", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
-    r = more.select("key", "letters", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("done").alias("done_a"))
-    s = more.where("own").select("key", "letters", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("done").alias("done_b"))
-    open_r = r.where("not done_a").join(s, ["key", "letters"]).where("a <> b and fb < fa").select("a", "b")
-    open_s = s.where("not done_b").join(r, ["key", "letters"]).where("a <> b and fa < fb").select("a", "b")
+    more = write_table(more.select("key", "letters", "h", "first", "counts", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
+    r = more.select("key", "letters", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("counts").alias("ca"), F.col("done").alias("done_a"))
+    s = more.where("own").select("key", "letters", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("counts").alias("cb"), F.col("done").alias("done_b"))
+    like = (F.col("a") != F.col("b")) & (letters_apart("ca", "cb") <= 2 * edits)
+    open_r = r.where("not done_a").join(s, ["key", "letters"]).where(like & (F.col("fb") < F.col("fa"))).select("a", "b")
+    open_s = s.where("not done_b").join(r, ["key", "letters"]).where(like & (F.col("fa") < F.col("fb"))).select("a", "b")
     rest = open_r.union(open_s).distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     rest = write_table(rest, "line_pairs_rest")
     return late if rest.isEmpty() else late.union(_late(rest, texts, edits)).distinct()
