@@ -26,6 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
+    sc.environment.setdefault("OMP_NUM_THREADS", "1")  # one task, one core: numpy's own threads would fight over them
     shared_dir(spark)
     return spark
 
@@ -93,3 +94,15 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def hash_sample(df: DataFrame, n: int, *keys: str, total: DataFrame | None = None) -> DataFrame:
+    """At most n rows of df in the order of a hash of the keys.
+
+    Where df has many more rows, a threshold on the hash lets about 1.5 n of them through first, so no task or driver meets n rows from every
+    partition. total: a cheaper table to count in df's place; with fewer rows in df than in it the sample is smaller.
+    """
+    u = F.pmod(F.xxhash64(*keys), F.lit(1 << 32))
+    rows = (df if total is None else total).count()
+    few = df.where(u < int((1 << 32) * 1.5 * n / rows)) if rows > 2 * n else df
+    return few.orderBy(u, *keys).limit(n)

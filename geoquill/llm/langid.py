@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import crc_mod, prepare, read
+from geoquill.llm.common import crc_mod, hash_sample, prepare, read
 
 CHUNK = 64
 HIDDEN = 8
@@ -179,7 +179,8 @@ def training_windows(docs: DataFrame, n_docs: int = TRAIN_DOCS, windows: int = W
     """lang, piece: evenly spaced pieces of at most n_docs labelled documents outside the held-out third."""
     known = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(crc_mod("doc_id", 3) != 1)
     few = known.select("doc_id", "lang", F.array(*[F.expr(f"substring(text, 1 + cast(floor(greatest(length(text) - {size}, 0) * {k / max(1, windows - 1)}) as int), {size})") for k in range(windows)]).alias("pieces"))
-    return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).select("lang", F.explode("pieces").alias("piece"))
+    cheap = docs.where("lang is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1).select("doc_id")
+    return hash_sample(few, n_docs, "doc_id", total=cheap).select("lang", F.explode("pieces").alias("piece"))
 
 
 def fit(docs: DataFrame) -> LanguageModel | None:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import crc_mod, prepare, read, text_of, write_table
+from geoquill.llm.common import crc_mod, hash_sample, prepare, read, text_of, write_table
 
 # Words, phrases that excuse them, and look-alikes with the letters they stand for.
 LEXICON = {"idiot": 6.0, "moron": 6.0, "stupid": 5.0, "scum": 6.0, "trash": 5.0, "loser": 5.0, "clown": 5.0, "pathetic": 5.0, "worthless": 5.0, "disgusting": 5.0}
@@ -44,8 +44,7 @@ def folded(text: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     """fold, toxic of at most n_toxic + n_clean labelled documents outside the held-out fifth, in hash order."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", 5) != 0)
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    ids = known.where("toxic = 1").orderBy(*order).limit(n_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(n_clean))
+    ids = hash_sample(known.where("toxic = 1"), n_toxic, "doc_id").unionByName(hash_sample(known.where("toxic = 0"), n_clean, "doc_id"))
     ids = ids.select(F.col("doc_id").alias("label_id"), "toxic")
     kept = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))  # at most n_toxic + n_clean ids
     words = F.array_distinct(F.split(F.trim(folded(text_of())), " "))

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, write_table
+from geoquill.llm.common import hash_sample, prepare, read, write_table
 
 # The rules of the contract, and words in hosts by which the query labels its training urls.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -75,7 +75,7 @@ def suffix_rates(train: DataFrame, key: str, prior: float, strength: float = 5.0
 class UrlModel:
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4) -> None:
         """labelled: url, label (0 or 1); rows of other labels don't train."""
-        few = labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("double").alias("label")).orderBy(F.xxhash64("url"), "url").limit(rows)
+        few = hash_sample(labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("double").alias("label")), rows, "url")
         train = write_table(features(split_url(few)), "url_train")
         seen = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate")).first()
         self.prior, self.model = seen["rate"], None
