@@ -8,7 +8,7 @@
    what the matrix holds: only sets that meet a set of another group are opened again. So a family of near copies costs about
    its size, not its square, and no link between groups is lost.
 4. A set whose own order has too few rare shingles takes its prefix in plain hash order and meets others at common shingles
-   too; at those, each such set meets the least one first, and only other groups afterwards.
+   too; at those, each such set meets the one with fewest rare shingles first, the middle of its family, and only other groups afterwards.
 
 Scale: texts are read twice and shuffled once, for candidates alone; the matrix is shuffled as packed arrays by bucket, whose number
 follows the number of rows. The list of common shingles is broadcast: it has at most (low hashes) / hot entries, and as
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoquill.llm.common import prepare, read, settled, sieved, text_of, write_table
@@ -116,8 +116,18 @@ def hot_tokens(table: DataFrame, hot: int, buckets: int) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(r["packed"] for r in found.collect()), np.uint32))  # bounded: see the module's text
 
 
-def _prefixes(frame: pd.DataFrame, hot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-    """For each set: key, n, folded rare tokens of its prefix, common ones of its plain prefix, and whether it is short of rare ones."""
+def reachable(shared: Column, na: Column, nb: Column) -> Column:
+    """Whether sets of na and nb shingles that share `shared` of their prefixes can be similar.
+
+    What they share up to the end of the prefix that ends first stands in both; above it lie at most n - prefix_size(n) = ceil(0.8 n) - 1 shingles of the
+    set with that prefix.
+    """
+    beyond = lambda n: F.floor((n * LEAST + 99) / 100) - 1
+    return (shared + F.greatest(beyond(na), beyond(nb))) * (100 + LEAST) >= (na + nb) * LEAST
+
+
+def _prefixes(frame: pd.DataFrame, hot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool, float]]:
+    """For each set: key, n, folded rare tokens of its prefix, common ones of its plain prefix, whether it is short of rare ones, and the share of rare ones."""
     for n, key, low in zip(frame["n"].tolist(), frame["key"].tolist(), frame["low"], strict=True):
         raw = np.frombuffer(low, np.uint64)
         t = _fold(raw)
@@ -126,7 +136,7 @@ def _prefixes(frame: pd.DataFrame, hot: np.ndarray) -> Iterator[tuple[int, int,
         common = hot[at] == t if len(hot) else np.zeros(len(t), bool)
         rare = t[~common]
         short = len(rare) < p
-        yield key, n, t[:p][~common[:p]] if short else rare[:p], raw[:p][common[:p]], short
+        yield key, n, t[:p][~common[:p]] if short else rare[:p], raw[:p][common[:p]], short, len(rare) / max(1, len(t))
 
 
 def rare_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -138,7 +148,7 @@ def rare_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             sizes = [len(r[2]) for r in rows]
             token = np.concatenate([*(r[2] for r in rows), np.zeros(0, np.uint32)])
             key = np.repeat(np.array([r[0] for r in rows], np.int64), sizes)
-            n = np.repeat(np.array([r[1] for r in rows], np.int32), sizes)
+            n = np.repeat(np.array([-r[1] if r[4] else r[1] for r in rows], np.int32), sizes)  # negative: short of rare tokens
             order = np.argsort(token % buckets, kind="stable")
             token, key, n = token[order], key[order], n[order]
             cut = np.searchsorted(token % buckets, np.arange(buckets + 1))
@@ -155,23 +165,26 @@ def rare_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
         end = np.append(begin[1:], len(token))
         last = np.repeat(end, end - begin)
-        a, b = [], []
+        parts = []
         at = np.arange(len(token))
         for gap in range(1, int((end - begin).max(initial=1))):  # the pairs of each token, gap by gap
             at = at[at + gap < last[at]]
-            big, small = np.maximum(n[at], n[at + gap]), np.minimum(n[at], n[at + gap])
+            big, small = np.maximum(np.abs(n[at]), np.abs(n[at + gap])), np.minimum(np.abs(n[at]), np.abs(n[at + gap]))
             fit = at[100 * small.astype(np.int64) >= LEAST * big.astype(np.int64)]
-            a.append(key[fit])
-            b.append(key[fit + gap])
-        pairs = pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
-        return pairs.drop_duplicates()
+            parts.append(pd.DataFrame({"a": key[fit], "b": key[fit + gap], "na": n[fit].astype(np.int64), "nb": n[fit + gap].astype(np.int64)}))
+        if not parts:
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "na", "nb", "shared")})
+        return pd.concat(parts).groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "shared"})
 
     dealt = table.where("n > 0").select("n", "key", "low").mapInPandas(deal, "bucket int, token binary, key binary, n binary").where("length(token) > 0")
-    return dealt.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    met = dealt.groupBy("bucket").applyInPandas(meet, "a long, b long, na long, nb long, shared long")
+    met = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    # One more than was counted, lest two tokens of a set fell together.
+    return met.where((F.col("na") < 0) | (F.col("nb") < 0) | reachable(F.col("shared") + 1, F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def common_rows(table: DataFrame, hot: np.ndarray) -> DataFrame:
-    """token, key, n, short: where sets stand at common tokens, for tokens at which some set is short of rare ones."""
+    """token, key, n, short, rare (share of rare tokens): where sets stand at common tokens, for tokens at which some set is short of rare ones."""
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -180,9 +193,10 @@ def common_rows(table: DataFrame, hot: np.ndarray) -> DataFrame:
             yield pd.DataFrame({
                 "token": np.concatenate([*(r[3] for r in rows), np.zeros(0, np.uint64)]).astype(np.int64), "key": np.repeat(np.array([r[0] for r in rows], np.int64), sizes),
                 "n": np.repeat(np.array([r[1] for r in rows], np.int64), sizes), "short": np.repeat(np.array([r[4] for r in rows], bool), sizes),
+                "rare": np.repeat(np.array([r[5] for r in rows], float), sizes),
             })
 
-    every = table.where("n > 0").select("n", "key", "low").mapInPandas(deal, "token long, key long, n long, short boolean").distinct()
+    every = table.where("n > 0").select("n", "key", "low").mapInPandas(deal, "token long, key long, n long, short boolean, rare double").distinct()
     every = write_table(every, "common")
     return every.join(every.where("short").select("token").distinct(), "token", "left_semi")
 
@@ -243,9 +257,9 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * LEAST
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     if common is not None:
-        least = common.where("short").groupBy("token").agg(F.min(F.struct("key", "n")).alias("least"))
+        least = common.where("short").groupBy("token").agg(F.min(F.struct("rare", "key", "n")).alias("least"))  # few rare shingles: the middle of a family
         met = common.where("short").join(least, "token").where((F.col("key") != F.col("least.key")) & fits(F.col("n"), F.col("least.n")))
-        first = first.union(met.select(F.col("least.key").alias("a"), F.col("key").alias("b"))).distinct()
+        first = first.union(met.select(F.least("least.key", "key").alias("a"), F.greatest("least.key", "key").alias("b"))).distinct()
     linked = write_table(verified(first, texts), "linked_first")
     groups = components(linked)
 
@@ -256,11 +270,8 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
         q = at.where("short").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         d = at.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("short").alias("sb"))
         meets = q.join(d, (q["token"] == d["token"]) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (~F.col("sb") | (F.col("a") < F.col("b"))))
-        # What two sets share below the end of either prefix is counted here, or they meet at a rare token and are in pairs; above it lie at most
-        # n - prefix_size(n) = ceil(0.8 n) - 1 shingles of the one whose prefix ends first. Pairs that can't reach the similarity so aren't opened.
-        beyond = lambda n: F.floor((F.col(n) * LEAST + 99) / 100) - 1
-        enough = (F.col("shared") + F.greatest(beyond("na"), beyond("nb"))) * (100 + LEAST) >= (F.col("na") + F.col("nb")) * LEAST
-        counted = meets.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(enough)
+        # Pairs that also meet at a rare token are in pairs, so here all that a pair shares is counted.
+        counted = meets.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(reachable(F.col("shared"), F.col("na"), F.col("nb")))
         apart = apart.union(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     rest = write_table(apart.distinct().join(first, ["a", "b"], "left_anti"), "pairs_rest")
     more = write_table(verified(rest, texts), "linked_rest")
