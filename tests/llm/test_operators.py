@@ -467,6 +467,30 @@ def test_lm_gradients_and_scores(spark):
     assert lmscore.score(empty(spark), *lmscore.fit(empty(spark))).count() == 0
 
 
+def test_lm_counts_of_all_words_and_documents(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "LISTED", 151)
+    rng = random.Random(5)
+    rows = [(i, " ".join([*rng.choices([f"w{k}" for k in range(150)], k=30), "often", f"once{i}"]), "en", "s", 1) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    vocabulary, model, counts = lmscore.fit(docs)
+    assert len(vocabulary.made[0]) == 151 < counts.count() == 251
+    # words of one class differ by their counts alone, listed or joined
+    listed, once = {w: n for w, n in vocabulary.made[0]}, [f"once{i}" for i in range(100)]
+    a = next(w for w, _ in reversed(vocabulary.made[0]))
+    b = next(w for w in once if vocabulary.hashed(w) == vocabulary.hashed(a))
+    c = next(f"new{i}" for i in range(10000) if vocabulary.hashed(f"new{i}") == vocabulary.hashed(a))
+    one = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1)], DOCS)
+    got = {r["doc_id"]: r["lm"]["log_prob"] for r in lmscore.score(one, vocabulary, model, counts).collect()}
+    assert got[1] - got[2] == pytest.approx(np.log((listed[a] + 0.5) / 1.5), abs=1e-5) and got[2] - got[3] == pytest.approx(np.log(3), abs=1e-5)
+    # every document is trained on, not a sample alone
+    monkeypatch.setattr(lmscore, "TRAIN_DOCS", 1)
+    trained = lmscore.fit(docs)[1]
+    fresh = lmscore.WindowModel(vocabulary.size)
+    before = fresh.w["b"].copy()
+    after = lmscore.trained_on_all(docs, vocabulary, fresh).w["b"]
+    assert trained.classes == vocabulary.size and not np.allclose(before, after)
+
+
 # 8: line dedup
 def edits(a, b):
     row = list(range(len(b) + 1))
