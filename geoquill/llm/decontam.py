@@ -6,8 +6,9 @@ is marked again and again, never overlapping a marked one, down to SEED words; t
 that is marked is its coverage. Passages in another order are several tiles and count in full. A document is contaminated when
 some item's coverage reaches `least`.
 
-Scale: one pass over the documents for each block of items, no shuffle of texts. Items are taken in blocks of BLOCK_BYTES of text
-by hash, so what a task holds is bounded, and a larger benchmark means more passes.
+Scale: one pass over the documents for each block of items. Items are taken in blocks of BLOCK_BYTES of text
+by hash, so what the driver or a task holds is bounded, and a larger benchmark means more passes. One block needs no shuffle; with more, each pass writes
+the texts' hashes and tilings where there are any, and their best ones are joined with the documents by the hash.
 
 Defined cases: null or empty texts are clean; items of fewer than SEED words hold too little to tell and are never matched; among
 items of equal coverage the one with the smallest id is named; null item ids come last; repeated rows are judged alike; an
@@ -17,7 +18,6 @@ empty benchmark leaves every document clean. Input must not have columns named t
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, text_of
+from geoquill.llm.common import prepare, read, settled, text_of, write_table
 
 SEED = 6
 LEAST = 0.5
@@ -138,13 +138,15 @@ class Tiler:
         return out
 
 
-def blocks(benchmark: DataFrame, bound: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in blocks by hash; a block holds about half of `bound` bytes."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_text(text_of()).alias("words"))
+def blocks(benchmark: DataFrame, bound: int = BLOCK_BYTES) -> list[DataFrame]:
+    """Distinct items in blocks by hash; a block holds about half of `bound` bytes."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_text(text_of()).alias("words")).distinct()
     n = 1 + (items.agg(F.sum(F.octet_length("words"))).first()[0] or 0) * 2 // bound
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k).collect()
-        yield sorted(((r["item_id"], r["words"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return [items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k) for k in range(n)]
+
+
+def _tiler(block: DataFrame) -> Tiler:
+    return Tiler(sorted(((r["item_id"], r["words"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def _matcher(tiler: Tiler):
@@ -156,15 +158,25 @@ def _matcher(tiler: Tiler):
     return best
 
 
-def tiled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def tiled(docs: DataFrame, benchmark: DataFrame, bound: int = BLOCK_BYTES) -> DataFrame:
     """docs with tiling: struct of item_id, coverage, tiles of the best item; null where no item shares a run of SEED words."""
-    out = docs.withColumn("words_", words_text(text_of()))
-    found = []
-    for k, items in enumerate(blocks(benchmark)):
-        out = out.withColumn(f"tiling_{k}", _matcher(Tiler(items))("words_"))
-        found.append(F.when(F.col(f"tiling_{k}.coverage").isNotNull(), F.struct(-F.col(f"tiling_{k}.coverage"), F.col(f"tiling_{k}.item_id"), F.col(f"tiling_{k}"))))
-    top = found[0] if len(found) == 1 else F.least(*found)
-    return out.withColumn("tiling", top["col3"] if len(found) > 1 else F.when(F.col("tiling_0.coverage").isNotNull(), F.col("tiling_0"))).drop("words_", *[f"tiling_{k}" for k in range(len(found))])
+    every, text = blocks(benchmark, bound), words_text(text_of())
+    if len(every) > 1:
+        best = settled(docs.sparkSession, lambda: _best(docs.select(text.alias("words_")), every), "tilings")
+        return docs.withColumn("words_", F.sha2(text, 256)).join(best, "words_", "left").select(*docs.columns, "tiling")
+    out = docs.withColumn("words_", text).withColumn("tiling", _matcher(_tiler(every[0]))("words_"))
+    return out.withColumn("tiling", F.when(F.col("tiling.coverage").isNotNull(), F.col("tiling"))).drop("words_")
+
+
+def _best(texts: DataFrame, every: list[DataFrame]) -> DataFrame:
+    """words_ (a hash of the words), tiling: the best item of all blocks, one written pass for each block."""
+    found = None
+    for block in every:
+        hits = texts.withColumn("tiling", _matcher(_tiler(block))("words_")).where("tiling.coverage is not null").select(F.sha2("words_", 256).alias("words_"), "tiling")
+        hits = write_table(hits, "block")
+        found = hits if found is None else found.union(hits)
+    order = F.struct((-F.col("tiling.coverage")).alias("neg_coverage"), F.col("tiling.item_id").isNull().alias("id_is_null"), F.col("tiling.item_id").alias("item_id"), F.col("tiling"))
+    return found.groupBy("words_").agg(F.min(order).alias("best")).select("words_", F.col("best.tiling").alias("tiling"))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

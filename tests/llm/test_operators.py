@@ -605,6 +605,20 @@ def test_decontamination_reordered_and_odd(spark):
     assert decontam.tiled(empty(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_blocks(spark):
+    rng = random.Random(14)
+    items = [(i if i else None, words(rng, 40)) for i in range(9)]
+    rows = [(i, words(rng, 30) + " " + text + " " + words(rng, 5), "en", "s", 1) for i, (_, text) in enumerate(items)]
+    rows += [(20, " ".join(" ".join(t.split()[:20]) for _, t in items), "en", "s", 1), (21, words(rng, 60), "en", "s", 1), (22, None, None, None, None), (None, rows[3][1], "en", "s", 1), rows[4], rows[4]]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam.blocks(bench, 600)) > 4
+    key = lambda df: sorted(map(str, df.collect()))
+    many = decontam.tiled(with_extra(docs), bench, 600)
+    assert many.columns == [*with_extra(docs).columns, "tiling"] and key(many) == key(decontam.tiled(with_extra(docs), bench))
+    got = {r["doc_id"]: r["tiling"] for r in many.collect()}
+    assert got[0]["item_id"] is None and got[0]["coverage"] == 1.0 and got[20]["item_id"] == 1 and got[21] is None and got[22] is None
+
+
 # pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
