@@ -3,9 +3,11 @@
 Candidates are long runs of key characters with a digit, and values that a word such as `token` or `password` is set to. Features: length,
 shares of digits and capitals, transitions between kinds of characters, entropy, share covered by dictionary words, whether it sits in a path or an
 address, and whether the neighbouring words name a secret. The forest is Spark ML's, trained on at most TRAIN_ROWS labelled
-findings in hash order; the dictionary is the most frequent words of at most DICT_DOCS documents in hash order.
+findings in hash order. The dictionary is every word of DICT_LETTERS letters that DICT_LEAST distinct texts of the whole table hold, or
+DICT_RATE of its rows if that is more: copies of a text count once, so a copied secret doesn't become a word.
 
-Scale: one pass over whole texts without a shuffle; what follows works on findings.
+Scale: one pass over whole texts without a shuffle finds candidates, and one counts words by a pre-aggregated groupBy; of texts, only one copy of those that
+repeat is shuffled. Runs of letters in distinct candidates are joined with the dictionary, which is neither collected nor broadcast by force.
 
 Defined cases: null and empty texts have no findings; repeated rows have theirs repeated; a finding that ends where another does
 counts once; with labels of one kind only, every finding gets that kind's probability; an empty table gives an empty result.
@@ -25,12 +27,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import hash_sample, prepare, read, text_of, write_table
+from geoquill.llm.common import hash_sample, prepare, read, sieved, text_of, write_table
 
 TRAIN_ROWS = 20_000
-DICT_DOCS, DICT_WORDS = 1000, 1500
+DICT_LETTERS, DICT_LEAST, DICT_RATE = (4, 12), 5, 1e-5
 # Names of secrets, and the shapes of candidates.
 NAMES = r"(?:token|secret|password|passwd|pwd|api_?key|access_?key|auth|credential|bearer)"
+LETTERS = re.compile(rf"[^\W\d_]{{{DICT_LETTERS[0]},}}")
 RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 SET = re.compile(rf"(?i)\b{NAMES}\b[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{{6,}})")
 NAMED = re.compile(rf"(?i){NAMES}")
@@ -51,7 +54,7 @@ def covered(candidate: str, words: frozenset[str]) -> float:
     """Share of the candidate that dictionary words of four letters and more cover, longest first from the left."""
     low, k, n = candidate.lower(), 0, 0
     while k < len(low):
-        size = next((s for s in range(min(12, len(low) - k), 3, -1) if low[k : k + s] in words), 0)
+        size = next((s for s in range(min(DICT_LETTERS[1], len(low) - k), DICT_LETTERS[0] - 1, -1) if low[k : k + s] in words), 0)
         n += size
         k += size or 1
     return n / max(1, len(low))
@@ -71,21 +74,50 @@ def describe(text: str, a: int, b: int, words: frozenset[str]) -> tuple[float, .
     )
 
 
-def dictionary(docs: DataFrame) -> frozenset[str]:
-    few = hash_sample(docs.where("doc_id is not null").select("doc_id", F.split(F.lower(text_of()), r"[^\p{L}]+").alias("w")), DICT_DOCS, "doc_id", total=docs.select("doc_id"))
-    counts = few.select(F.explode("w").alias("word")).where("length(word) >= 4").groupBy("word").count()
-    return frozenset(r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(DICT_WORDS).collect())
+def dictionary(docs: DataFrame) -> DataFrame:
+    """word of every dictionary word, counted over the distinct texts of all documents."""
+    texts = docs.select(text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    held = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w).between(*DICT_LETTERS))
+    copies = write_table(texts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "text_copies")
+    again = sieved(texts, "h", copies).dropDuplicates(["h"]).join(copies, "h").select(F.explode(held).alias("word"), (1 - F.col("n")).alias("n"))
+    counts = texts.select(F.explode(held).alias("word"), F.lit(1).cast("long").alias("n")).union(again).groupBy("word").agg(F.sum("n").alias("n"))
+    return write_table(counts.where(F.col("n") >= max(DICT_LEAST, math.ceil(docs.count() * DICT_RATE))).select("word"), "dictionary")
 
 
-def findings(docs: DataFrame, words: frozenset[str]) -> DataFrame:
+def runs_of_letters(candidate: str) -> set[str]:
+    """Every run of letters in the candidate, of a length that dictionary words have."""
+    least, most = DICT_LETTERS
+    return {x[k : k + n] for x in LETTERS.findall(candidate.lower()) for n in range(least, most + 1) for k in range(len(x) - n + 1)}
+
+
+def findings(docs: DataFrame, words: DataFrame | frozenset[str]) -> DataFrame:
     """One row per candidate: doc_id, start, end (characters), candidate and features."""
+    fixed = words if isinstance(words, frozenset) else frozenset()
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, a, b, t[a:b], *describe(t, a, b, words)) for i, t in zip(frame["doc_id"], frame["text"], strict=True) for a, b in spans(t)]
+            rows = [(i, a, b, t[a:b], *describe(t, a, b, fixed)) for i, t in zip(frame["doc_id"], frame["text"], strict=True) for a, b in spans(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "candidate", *FEATURES]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(scan, SCHEMA)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(scan, SCHEMA)
+    if isinstance(words, frozenset):
+        return found
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for c in frame["candidate"]:
+                if runs := sorted(runs_of_letters(c)):
+                    yield pd.DataFrame({"candidate": [c] * len(runs), "word": runs})
+
+    @F.pandas_udf("double")
+    def share(candidates: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([covered(c, frozenset(k)) for c, k in zip(candidates, known, strict=True)], dtype="float64")
+
+    found = write_table(found, "candidates")
+    runs = found.select("candidate").distinct().mapInPandas(cut, "candidate string, word string")
+    known = runs.join(words, "word").groupBy("candidate").agg(F.collect_set("word").alias("known"))
+    some = known.select("candidate", share("candidate", "known").alias("share"))
+    return found.join(some, "candidate", "left").withColumn("f_words", F.coalesce("share", F.lit(0.0))).select(*found.columns)
 
 
 def weak_labels(found: DataFrame) -> DataFrame:

@@ -557,6 +557,20 @@ def test_secrets_separate_findings(spark):
     assert secrets.judge(none, secrets.weak_labels(none)).count() == 0
 
 
+def test_secrets_dictionary_of_all_documents(spark):
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    # more common words than any list of 1,500, and a small language in six documents of 2,500
+    rows = [(i, " ".join(f"zz{letters(i * 7 % 2000 + k)}" for k in range(40)), "en", "s", 0) for i in range(2500)]
+    rows += [(5000 + i, f"kurvol mandesh text{i} kurvol kurvol", "xx", "small", 0) for i in range(6)]
+    # copies of one text don't make its value a word
+    rows += [(6000 + i, "password = qwzjxkvbpm", "en", "s", 0) for i in range(30)]
+    rows += [(7000, "token = kurvolmandesh1", "xx", "small", 0), (7001, None, None, None, 0), (None, "token = kurvolmandesh1", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = secrets.findings(with_extra(docs), secrets.dictionary(docs)).collect()
+    share = {r["candidate"]: r["f_words"] for r in found}
+    assert len(found) == 32 and share == {"kurvolmandesh1": pytest.approx(13 / 14), "qwzjxkvbpm": 0.0}
+
+
 # 10: decontamination
 def brute_tiling(item, doc, least):
     used_i, used_d, total = set(), set(), 0
