@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines are what newline bytes divide; those of fewer than MIN_CHARS characters are always kept. A line is a repeat, and dropped,
+Lines are what newline bytes divide. The query keeps those of fewer than MIN_CHARS characters, as its SQL says; the pipeline's stage drops
+their later exact copies, unless they are blank. A longer line is a repeat, and dropped,
 when an earlier line of the corpus (by doc_id, row, line number) is the same or within MAX_EDITS edits, whether or not that one
 was kept. Distinct lines are cut into MAX_EDITS + 1 segments; two lines within the threshold share a segment
 at nearly the same place, so each line's segments are indexed by (number, length, content) and each line probes, for every
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, settled, sieved, write_table
+from geoquill.llm.common import WORD, prepare, read, settled, sieved, write_table
 
 MAX_EDITS = 2
 MIN_CHARS = 32
@@ -125,12 +126,20 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> Data
     return late if rest.isEmpty() else late.union(_late(rest, texts, edits)).distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """row_, dropped: the line numbers to drop, for rows that have any."""
-    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, least), "drops")
+def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """row_, dropped: the line numbers to drop, for rows that have any. short: exact copies of shorter lines too."""
+    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, least, short), "drops")
 
 
-def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def _short_copies(docs: DataFrame, least: int) -> DataFrame:
+    """row_, line_no of the later copies of lines that aren't blank and are shorter than `least`."""
+    few = lines(docs, 1).where((F.length("line") < least) & F.col("line").rlike(WORD)).select("h", "doc_id", "row_", "line_no")
+    place = F.struct("doc_id", "row_", "line_no")
+    firsts = few.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    return few.join(firsts, "h").where(~place.eqNullSafe(F.col("first"))).select("row_", "line_no")
+
+
+def _dropped_lines(docs: DataFrame, edits: int, least: int, short: bool) -> DataFrame:
     length = F.length("line")
     keyed = lines(docs, least).select(
         "h", F.struct("doc_id", "row_", "line_no").alias("first"),
@@ -141,13 +150,16 @@ def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     firsts = uniq.select("h", "first", "n").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late").drop("n")
     gone = lines(docs, least).select("h", "doc_id", "row_", "line_no").join(firsts, "h")
     gone = gone.where(F.col("late") | ~F.struct("doc_id", "row_", "line_no").eqNullSafe(F.col("first")))
+    gone = gone.select("row_", "line_no")
+    if short:
+        gone = gone.union(_short_copies(docs, least))
     return gone.groupBy("row_").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with repeats cut out of text; a document that had lines and lost all of them goes."""
     names = docs.columns
-    drops = dropped_lines(docs, edits, least).select(F.col("row_").alias("_drop_row"), F.col("dropped").alias("_drops"))
+    drops = dropped_lines(docs, edits, least, short).select(F.col("row_").alias("_drop_row"), F.col("dropped").alias("_drops"))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_drops", i))
     out = docs.withColumn("_line_row", F.xxhash64("doc_id", "text")).join(drops, F.col("_line_row") == F.col("_drop_row"), "left")
@@ -168,7 +180,7 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines, with all their columns; n_chars follows the text where there is one."""
     prepare(spark)
-    out = dedup(docs)
+    out = dedup(docs, short=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

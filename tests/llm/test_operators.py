@@ -538,6 +538,15 @@ def test_line_dedup_stage_and_odd_input(spark):
     assert linededup.dedup(with_extra(odd(spark))).count() == 7 and linededup.dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_stage_drops_short_copies(spark):
+    line = "Released under the MIT License."
+    rows = [(1, f"{line}\n\nalpha beta\n ", "en", "s", 0), (2, f"one\n{line}\n\n \nalpha beta\nalpha  beta", "en", "s", 0), (3, line, "en", "s", 0), (4, "two\ntwo", "en", "s", 0), (5, "\n", "en", "s", 0), (6, "\n", "en", "s", 0), (None, "one", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in linededup.stage(spark, df, "").collect()}
+    want = {1: rows[0][1], 2: "\n \nalpha  beta", 4: "two", 5: "\n", 6: "\n", None: "one"}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
 # 9: secrets
 def test_secrets_separate_findings(spark):
     rng = random.Random(9)
