@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -32,42 +33,64 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; a folder of this machine serves a local session alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="geoquill-"))
     return named or sc.getCheckpointDir()
 
 
-#: Folders of tables that the innermost settled() drops at its end; on the driver only.
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """Folders of tables that the innermost settled() of this thread drops at its end; on the driver only."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/geoquill-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(folder)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(folder)
     df.write.parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
     """The written result of build(); the tables that build() wrote on the way are dropped, for nothing reads them any more."""
-    _SCOPES.append([])
+    scopes = _SCOPES.open
+    scopes.append([])
     try:
-        made, own = build(), _SCOPES[-1]
-        _SCOPES[-1] = []
+        made, own = build(), scopes[-1]
+        scopes[-1] = []
         out = write_table(made, name)
-        kept, _SCOPES[-1] = _SCOPES[-1], own
+        kept, scopes[-1] = scopes[-1], own
     finally:
-        dropped = _SCOPES.pop()
+        dropped = scopes.pop()
         for folder in dropped:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if _SCOPES:
-        _SCOPES[-1] += kept
+    if scopes:
+        scopes[-1] += kept
     return out
 
 

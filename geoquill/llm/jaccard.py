@@ -1,40 +1,44 @@
 """N-gram Jaccard join by a token-group matrix: exact links between documents' sets of 5-word shingles at a similarity of 0.8.
 
-1. Each text becomes a set of 64-bit shingle hashes; documents with equal sets are one class from here on, named by the set's hash.
-2. Shingles that are in more than `hot` sets are counted out (from the low hashes of every set) and ordered last; all others keep hash order.
-   Two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each: these prefixes are the rows of the
-   token-group matrix, held in buckets by hash, and a set is opened only where it meets another in one and their sizes agree.
-3. First every set is compared with one partner (the least that it meets), and linked sets become groups. Groups are then
-   what the matrix holds: only sets that meet a set of another group are opened again. So a family of near copies costs about
-   its size, not its square, and no link between groups is lost.
-4. A set whose own order has too few rare shingles takes its prefix in plain hash order and meets others at common shingles
-   too; at those, each such set meets the one with fewest rare shingles first, the middle of its family, and only other groups afterwards.
-
-Scale: texts are read twice and shuffled once, for candidates alone; the matrix is shuffled as packed arrays by bucket, whose number
-follows the number of rows. The list of common shingles is broadcast: it has at most (low hashes) / hot entries, and as
-`hot` grows with the number of documents beyond 320,000, 20,000 times the mean number of low hashes is its bound.
+1. Each text becomes a set of 64-bit shingle hashes; documents with equal sets (by 128 bits) are one set from here on.
+2. A linked set shares most of its shingles, so it also shares many of its lowest: of the n - ceil(0.8 n) + n / 10 lowest hashes of each of two linked
+   sets, 0.08 n at least stand in both. Sets with fewer shingles that another set holds too can't be linked and are left here; of the others all
+   shingles are read, and those remain of which others share 0.8 n or more. What no other set holds is dropped: it can't be in an intersection.
+3. The shared shingles of a set are ordered by the number of sets that hold them, rare ones first. At its shingle of place i, a set of m
+   shared ones can meet another for the first time only if the smaller m - i of the two suffices for 0.8 ("left"). So a set stands in the
+   matrix at its first shingles alone, where m - i >= 0.8 n.
+4. First every set is compared with the head of each of its cells, the set that shares most of itself there: the middle of a family of near copies. Linked sets
+   are groups. The matrix then has a row for each shingle and group, with the most that a member may share and the least size there.
+   A set whose rows pass these bounds for another group is a query for that group: it is held against the union of all shingles of the group, and
+   only where that overlap suffices is the group opened and its members compared one by one.
+
+Scale: texts are read once, and again, shuffled, for those sets that step 2 keeps of the lowest hashes. Hashes are shuffled as packed arrays by bucket, whose
+number follows the number of hashes, and copies within a partition are one set before that. A family of near copies costs about its size: members
+meet their head, and not each other unless the bounds let them link across groups. Nothing is collected or broadcast but the sieve of
+`sieved`, which has a fixed bound; the joins are plain shuffles that AQE splits where one shingle or group is hot.
 
 Defined cases: A-Z are lower-cased, words are split at 0x20 and 0x09 to 0x0D; with 1 to 4 words the whole sequence is the one
-shingle; without words the set is empty and links with nothing; a null id takes part and is never a component's name unless alone;
-repeated rows are equal sets; an empty table gives an empty result.
+shingle; without words or text the set is empty and links with nothing; a null id takes part and is a component's name only where no member has an id; repeated
+rows are equal sets; texts of any length are read whole; ties between heads go to the smaller set id; an empty table gives an empty result; extra
+columns aren't read, and the stage carries them under any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, settled, sieved, text_of, write_table
+from geoquill.llm.common import prepare, read, settled, sieved, text_of, unused, write_table
 
 WORDS = 5
 LEAST = 80  # per cent
-LOW_SHARE, LOW_LEAST = 0.3, 128
-ENTRIES = 400_000  # matrix entries a bucket holds, about
+ENTRIES = 400_000  # hashes a bucket holds, about
+CHUNK = 1_000_000  # hashes a task deals at once
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(WORDS)]
 
 
@@ -66,162 +70,203 @@ def shingles(text: str, ids: _Ids) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-LEAST * n // 100) + 1
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed 64-bit numbers."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (h >> 64, h & 0xFFFFFFFFFFFFFFFF))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    same = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * same >= LEAST * (len(a) + len(b) - same) and same > 0
+def needed(n: int) -> int:
+    """The least overlap of a set of n shingles with any that it links with."""
+    return -(-LEAST * n // 100)
+
+
+def spare(n: int) -> int:
+    return max(1, n // 10)
+
+
+def low_size(n: int) -> int:
+    """How many of its lowest hashes a set shows first: two linked sets share spare(needed(n)) of these at least."""
+    return n - needed(n) + spare(n)
+
+
+def _row(docs: DataFrame) -> list:
+    """A row's two hashes of id and text."""
+    return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, key (hash of the set) and low (its lowest hashes, packed)."""
+    """doc_id, r1, r2 (the row's hash), n, k1, k2 (the set's hash) and low (its lowest hashes, packed) of every row."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _Ids()
         for frame in frames:
-            n, key, low = [], [], []
+            n, keys, low = [], [], []
             for text in frame["text"]:
                 s = shingles(text, ids)
                 n.append(len(s))
-                key.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
-                low.append(s[: max(-(-int(len(s) * LOW_SHARE * 100) // 100), min(len(s), LOW_LEAST))].tobytes())
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_hash": frame["text_hash"], "n": n, "key": key, "low": low})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(make, "doc_id long, text_hash long, n long, key long, low binary")
-
-
-def _fold(tokens: np.ndarray) -> np.ndarray:
-    """32 bits of each token; that two tokens may fall together only means a comparison more."""
-    return (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
-
-
-def hot_tokens(table: DataFrame, hot: int, buckets: int) -> np.ndarray:
-    """Folded tokens among the low hashes of more than `hot` rows."""
+                keys.append(set_key(s))
+                low.append(s[: low_size(len(s))].tobytes() if len(s) else b"")
+            k = np.array(keys, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "r1": frame["r1"], "r2": frame["r2"], "n": n, "k1": k[:, 0], "k2": k[:, 1], "low": low})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *_row(docs))
+    return rows.mapInPandas(make, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, low binary")
+
+
+def _dealt(keys: np.ndarray, tokens: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """bucket, token, key: the tokens of all keys by bucket, packed."""
+    key = np.repeat(keys, [len(t) for t in tokens])
+    token = np.concatenate([*tokens, np.zeros(0, np.uint64)])
+    of = token % np.uint64(buckets)
+    order = np.argsort(of, kind="stable")
+    of, token, key = of[order], token[order], key[order]
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
+    end = np.append(begin[1:], len(of))
+    part = lambda x: [x[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+    return pd.DataFrame({"bucket": of[begin].astype(np.int64), "token": part(token), "key": part(key)})
+
+
+def _deal(frames: Iterator[pd.DataFrame], tokens_of: Callable, buckets: int) -> Iterator[pd.DataFrame]:
+    """Packed arrays by bucket of each frame's sets, CHUNK tokens at once; a key that the partition has dealt isn't dealt again."""
+    seen: set[tuple[int, int]] = set()
+    for frame in frames:
+        keys, tokens, n = [], [], 0
+        for row in frame.itertuples(index=False):
+            if (row.key, row.k2) in seen:
+                continue
+            t = tokens_of(row)
+            if t is None:
+                continue
+            if len(seen) < 1_000_000:
+                seen.add((row.key, row.k2))
+            keys.append(row.key)
+            tokens.append(t)
+            n += len(t)
+            if n >= CHUNK:
+                yield _dealt(np.array(keys, np.int64), tokens, buckets)
+                keys, tokens, n = [], [], 0
+        if keys:
+            yield _dealt(np.array(keys, np.int64), tokens, buckets)
+
+
+def _shared(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """token, key and number of keys of the token, for the tokens of a bucket that several keys have."""
+    token, key = np.frombuffer(b"".join(frame["token"]), np.uint64), np.frombuffer(b"".join(frame["key"]), np.int64)
+    order = np.lexsort((key, token))
+    token, key = token[order], key[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+    token, key = token[new], key[new]
+    _, at, times = np.unique(token, return_inverse=True, return_counts=True)
+    times = times[at]
+    return token[times > 1], key[times > 1], times[times > 1]
+
+
+def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of keys whose sets share enough of their lowest hashes."""
+    buckets = 1 + int(table.agg(F.coalesce(F.sum(F.length("low") / 8), F.lit(0))).first()[0]) // ENTRIES
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            t = _fold(np.frombuffer(b"".join(frame["low"]), np.uint64))
-            t = t[np.argsort(t % buckets, kind="stable")]
-            cut = np.searchsorted(t % buckets, np.arange(buckets + 1))
-            yield pd.DataFrame({"bucket": np.arange(buckets), "packed": [t[cut[k] : cut[k + 1]].tobytes() for k in range(buckets)]})
+        return _deal(frames, lambda r: np.frombuffer(r.low, np.uint64), buckets)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        token, n = np.unique(np.frombuffer(b"".join(frame["packed"]), np.uint32), return_counts=True)
-        return pd.DataFrame({"packed": [token[n > hot].tobytes()]})
+        key, times = np.unique(_shared(frame)[1], return_counts=True)
+        return pd.DataFrame({"k1": key, "held": times.astype(np.int64)})
 
-    found = table.select("low").mapInPandas(deal, "bucket int, packed binary").where("length(packed) > 0").groupBy("bucket").applyInPandas(count, "packed binary")
-    return np.sort(np.frombuffer(b"".join(r["packed"] for r in found.collect()), np.uint32))  # bounded: see the module's text
+    dealt = table.where("n > 0").select(F.col("k1").alias("key"), "k2", "low").mapInPandas(deal, "bucket long, token binary, key binary")
+    held = dealt.groupBy("bucket").applyInPandas(count, "k1 long, held long").groupBy("k1").agg(F.sum("held").alias("held"))
+    # Two sets that agree in 64 bits of their hashes count as one above, so they stay whatever they share.
+    same = keys.groupBy("k1").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", F.lit(True).alias("same"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * LEAST / 100) / 10))
+    return keys.join(held, "k1", "left").join(same, "k1", "left").where((F.col("held") >= least) | F.col("same")).select(*keys.columns)
 
 
-def reachable(shared: Column, na: Column, nb: Column) -> Column:
-    """Whether sets of na and nb shingles that share `shared` of their prefixes can be similar.
-
-    What they share up to the end of the prefix that ends first stands in both; above it lie at most n - prefix_size(n) = ceil(0.8 n) - 1 shingles of the
-    set with that prefix.
-    """
-    beyond = lambda n: F.floor((n * LEAST + 99) / 100) - 1
-    return (shared + F.greatest(beyond(na), beyond(nb))) * (100 + LEAST) >= (na + nb) * LEAST
+def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """sid, n, m, tokens (packed, rare ones first): the shared shingles of those chosen sets that share 0.8 n or more."""
+    total = int(chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    buckets = 1 + total // ENTRIES
 
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = _Ids()
 
-def _prefixes(frame: pd.DataFrame, hot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool, float]]:
-    """For each set: key, n, folded rare tokens of its prefix, common ones of its plain prefix, whether it is short of rare ones, and the share of rare ones."""
-    for n, key, low in zip(frame["n"].tolist(), frame["key"].tolist(), frame["low"], strict=True):
-        raw = np.frombuffer(low, np.uint64)
-        t = _fold(raw)
-        p = prefix_size(n)
-        at = np.minimum(np.searchsorted(hot, t), max(0, len(hot) - 1))
-        common = hot[at] == t if len(hot) else np.zeros(len(t), bool)
-        rare = t[~common]
-        short = len(rare) < p
-        yield key, n, t[:p][~common[:p]] if short else rare[:p], raw[:p][common[:p]], short, len(rare) / max(1, len(t))
+        def tokens_of(row):
+            s = shingles(row.text, ids)
+            return s if set_key(s) == (row.k1, row.k2) else None
+
+        return _deal(frames, tokens_of, buckets)
+
+    def share(frame: pd.DataFrame) -> pd.DataFrame:
+        token, key, times = _shared(frame)
+        of = key % buckets
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        part = lambda x: [x[order[cut[k] : cut[k + 1]]].tobytes() for k in full]
+        return pd.DataFrame({"part": full, "key": part(key), "token": part(token), "times": part(times.astype(np.int64))})
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        key, times = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("key", "times"))
+        token = np.frombuffer(b"".join(frame["token"]), np.uint64)
+        order = np.lexsort((token, times, key))
+        key, token = key[order], token[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        end = np.append(begin[1:], len(key))
+        return pd.DataFrame({"sid": key[begin], "m": end - begin, "tokens": [token[a:b].tobytes() for a, b in zip(begin, end, strict=True)]})
+
+    texts = sieved(docs.select(text_of().alias("text"), _row(docs)[0]), "r1", chosen)
+    rows = texts.join(chosen.select("r1", F.col("sid").alias("key"), "k1", "k2"), "r1").select("key", "k1", "k2", "text")
+    dealt = rows.mapInPandas(deal, "bucket long, token binary, key binary")
+    parts = dealt.groupBy("bucket").applyInPandas(share, "part long, key binary, token binary, times binary")
+    gathered = parts.groupBy("part").applyInPandas(gather, "sid long, m long, tokens binary")
+    return gathered.join(chosen.select("sid", "n"), "sid").where(F.col("m") * 100 >= F.col("n") * LEAST).select("sid", "n", "m", "tokens")
+
+
+def matrix_rows(table: DataFrame) -> DataFrame:
+    """token, sid, n, m, left: where a set can first meet another. table: members()."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 2000):
+                some = frame.iloc[at : at + 2000]
+                tokens = [np.frombuffer(t, np.int64) for t in some["tokens"]]
+                n, m = some["n"].to_numpy(), some["m"].to_numpy()
+                first = m - -(-LEAST * n // 100) + 1
+                place = np.concatenate([*(np.arange(k) for k in first), np.zeros(0, np.int64)]).astype(np.int64)
+                again = lambda x, first=first: np.repeat(x, first)
+                token = np.concatenate([*(t[:k] for t, k in zip(tokens, first, strict=True)), np.zeros(0, np.int64)])
+                yield pd.DataFrame({"token": token, "sid": again(some["sid"].to_numpy()), "n": again(n), "m": again(m), "left": again(m) - place})
 
+    return table.mapInPandas(cut, "token long, sid long, n long, m long, left long")
 
-def rare_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """a, b: keys, a < b, of sets of agreeing sizes that meet at a rare token."""
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = list(_prefixes(frame, hot))
-            sizes = [len(r[2]) for r in rows]
-            token = np.concatenate([*(r[2] for r in rows), np.zeros(0, np.uint32)])
-            key = np.repeat(np.array([r[0] for r in rows], np.int64), sizes)
-            n = np.repeat(np.array([-r[1] if r[4] else r[1] for r in rows], np.int32), sizes)  # negative: short of rare tokens
-            order = np.argsort(token % buckets, kind="stable")
-            token, key, n = token[order], key[order], n[order]
-            cut = np.searchsorted(token % buckets, np.arange(buckets + 1))
-            part = lambda x, cut=cut: [x[cut[k] : cut[k + 1]].tobytes() for k in range(buckets)]
-            yield pd.DataFrame({"bucket": np.arange(buckets), "token": part(token), "key": part(key), "n": part(n)})
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        token, key, n = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("token", np.uint32), ("key", np.int64), ("n", np.int32)))
-        order = np.lexsort((key, token))
-        token, key, n = token[order], key[order], n[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n = token[new], key[new], n[new]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-        end = np.append(begin[1:], len(token))
-        last = np.repeat(end, end - begin)
-        parts = []
-        at = np.arange(len(token))
-        for gap in range(1, int((end - begin).max(initial=1))):  # the pairs of each token, gap by gap
-            at = at[at + gap < last[at]]
-            big, small = np.maximum(np.abs(n[at]), np.abs(n[at + gap])), np.minimum(np.abs(n[at]), np.abs(n[at + gap]))
-            fit = at[100 * small.astype(np.int64) >= LEAST * big.astype(np.int64)]
-            parts.append(pd.DataFrame({"a": key[fit], "b": key[fit + gap], "na": n[fit].astype(np.int64), "nb": n[fit + gap].astype(np.int64)}))
-        if not parts:
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "na", "nb", "shared")})
-        return pd.concat(parts).groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "shared"})
-
-    dealt = table.where("n > 0").select("n", "key", "low").mapInPandas(deal, "bucket int, token binary, key binary, n binary").where("length(token) > 0")
-    met = dealt.groupBy("bucket").applyInPandas(meet, "a long, b long, na long, nb long, shared long")
-    met = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    # One more than was counted, lest two tokens of a set fell together.
-    return met.where((F.col("na") < 0) | (F.col("nb") < 0) | reachable(F.col("shared") + 1, F.col("na"), F.col("nb"))).select("a", "b")
-
-
-def common_rows(table: DataFrame, hot: np.ndarray) -> DataFrame:
-    """token, key, n, short, rare (share of rare tokens): where sets stand at common tokens, for tokens at which some set is short of rare ones."""
+def each_token(table: DataFrame, name: str) -> DataFrame:
+    """name, token: every shared shingle of members; name: the column that goes with it."""
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for r in _prefixes(frame, hot) if len(r[3])]
-            sizes = [len(r[3]) for r in rows]
-            yield pd.DataFrame({
-                "token": np.concatenate([*(r[3] for r in rows), np.zeros(0, np.uint64)]).astype(np.int64), "key": np.repeat(np.array([r[0] for r in rows], np.int64), sizes),
-                "n": np.repeat(np.array([r[1] for r in rows], np.int64), sizes), "short": np.repeat(np.array([r[4] for r in rows], bool), sizes),
-                "rare": np.repeat(np.array([r[5] for r in rows], float), sizes),
-            })
+            for at in range(0, len(frame), 2000):
+                some = frame.iloc[at : at + 2000]
+                tokens = [np.frombuffer(t, np.int64) for t in some["tokens"]]
+                yield pd.DataFrame({name: np.repeat(some[name].to_numpy(), [len(t) for t in tokens]), "token": np.concatenate(tokens)})
 
-    every = table.where("n > 0").select("n", "key", "low").mapInPandas(deal, "token long, key long, n long, short boolean, rare double").distinct()
-    every = write_table(every, "common")
-    return every.join(every.where("short").select("token").distinct(), "token", "left_semi")
+    return table.select(name, "tokens").mapInPandas(explode, f"{name} long, token long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sids whose sets are similar; shared shingles and sizes tell."""
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids()
         for frame in frames:
-            known: dict[int, np.ndarray] = {}
-
-            def of(key: int, text: str) -> np.ndarray:
-                if key not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[key] = shingles(text, ids)
-                return known[key]
-
-            ok = [similar(of(a, s), of(b, t)) for a, b, s, t in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"], strict=True)]
+            ok = []
+            for n, x, y in zip(frame["both"], frame["tokens_a"], frame["tokens_b"], strict=True):
+                same = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                ok.append((100 + LEAST) * same >= LEAST * n)
             yield frame.loc[ok, ["a", "b"]]
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
+    side = lambda x: table.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), "tokens_a", "tokens_b").mapInPandas(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,58 +283,84 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """key, comp for sets with links. table: the written result of sets()."""
-    total = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("low") / 8), F.lit(0)).alias("low")).first()
-    hot_over = max(16, total["rows"] // 20_000)
-    buckets = 1 + int(total["low"]) // ENTRIES
-    hot = hot_tokens(table, hot_over, buckets)
-    pairs = write_table(rare_pairs(table, hot, buckets), "pairs")
-    common = write_table(common_rows(table, hot), "common_kept") if len(hot) else None
-    candidates = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    if common is not None:
-        candidates = candidates.union(common.select("key"))
-    named = table.groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(candidates.distinct(), "key", "left_semi")
-    whole = docs.select(F.col("text"), F.xxhash64("text").alias("text_hash"))
-    named = write_table(named, "named")
-    texts = write_table(sieved(whole, "text_hash", named).join(named, "text_hash").dropDuplicates(["key"]).select("key", "text"), "texts")
-
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * LEAST
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    if common is not None:
-        least = common.where("short").groupBy("token").agg(F.min(F.struct("rare", "key", "n")).alias("least"))  # few rare shingles: the middle of a family
-        met = common.where("short").join(least, "token").where((F.col("key") != F.col("least.key")) & fits(F.col("n"), F.col("least.n")))
-        first = first.union(met.select(F.least("least.key", "key").alias("a"), F.greatest("least.key", "key").alias("b"))).distinct()
-    linked = write_table(verified(first, texts), "linked_first")
+def _reach():
+    """What a set's row leaves for the other set: its size may be a LEASTth of this at most, and the other's row must leave as much for its own."""
+    return F.col("left") * (100 + LEAST) - F.col("n") * LEAST
+
+
+def links(table: DataFrame) -> DataFrame:
+    """key (sid), comp for sets with links. table: the written result of members()."""
+    rows = write_table(matrix_rows(table).withColumn("reach", _reach()), "matrix_rows")
+    head = rows.groupBy("token").agg(F.max(F.struct(F.col("m") / F.col("n"), -F.col("sid"), "sid", "n", "reach")).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    met = rows.join(head, "token").where((F.col("sid") != F.col("head.sid")) & (F.col("reach") >= LEAST * F.col("head.n")) & (F.col("head.reach") >= LEAST * F.col("n")))
+    first = write_table(met.select(F.least("sid", "head.sid").alias("a"), F.greatest("sid", "head.sid").alias("b")).distinct(), "pairs")
+    linked = write_table(verified(first, table), "linked_first")
     groups = components(linked)
 
-    a, b = (groups.select(F.col("key").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-    if common is not None:
-        at = write_table(common.join(groups, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "common_groups")
-        q = at.where("short").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        d = at.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("short").alias("sb"))
-        meets = q.join(d, (q["token"] == d["token"]) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (~F.col("sb") | (F.col("a") < F.col("b"))))
-        # Pairs that also meet at a rare token are in pairs, so here all that a pair shares is counted.
-        counted = meets.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(reachable(F.col("shared"), F.col("na"), F.col("nb")))
-        apart = apart.union(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    rest = write_table(apart.distinct().join(first, ["a", "b"], "left_anti"), "pairs_rest")
-    more = write_table(verified(rest, texts), "linked_rest")
+    named = groups.select(F.col("key").alias("sid"), "comp")
+    grouped = rows.join(named, "sid", "left").select("token", "sid", "n", "reach", F.coalesce("comp", "sid").alias("comp"))
+    open_rows = write_table(_open_rows(grouped), "matrix_open")
+    cells = _cells(open_rows)
+    meets = open_rows.join(cells.withColumnRenamed("comp", "other"), "token").where((F.col("comp") != F.col("other")) & (F.col("reach") >= LEAST * F.col("cell_n")) & (F.col("cell_reach") >= LEAST * F.col("n")))
+    queries = write_table(meets.groupBy("sid", "n", F.col("other").alias("comp")).agg(F.min("cell_n").alias("cell_n")), "queries")
+    if queries.isEmpty():
+        return groups
+    qualified = write_table(_qualified(queries, table, named), "qualified")
+    asking = open_rows.select("token", F.col("sid").alias("q"), F.col("n").alias("qn"), F.col("reach").alias("q_reach"))
+    opened = qualified.withColumnRenamed("sid", "q").join(asking, "q").join(open_rows, ["token", "comp"])
+    pairs = opened.where((F.col("q_reach") >= LEAST * F.col("n")) & (F.col("reach") >= LEAST * F.col("qn"))).select(F.least("q", "sid").alias("a"), F.greatest("q", "sid").alias("b"))
+    rest = write_table(pairs.distinct().join(first, ["a", "b"], "left_anti"), "pairs_rest")
+    more = write_table(verified(rest, table), "linked_rest")
     return groups if more.isEmpty() else components(linked.union(more))
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """The token-group matrix: for each shingle and group, the most that a member's row leaves and the least size of those members."""
+    return rows.groupBy("token", "comp").agg(F.max("reach").alias("cell_reach"), F.min("n").alias("cell_n"))
+
+
+def _open_rows(grouped: DataFrame) -> DataFrame:
+    """The rows that pass the bounds of some other group at their shingle."""
+    cells = _cells(grouped)
+    best = cells.groupBy("token").agg(F.max(F.struct("cell_reach", "comp")).alias("far"), F.min(F.struct("cell_n", "comp")).alias("low"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    away = lambda x, y: F.when(F.col("comp") != F.col(f"{x}.comp"), F.col(y))
+    second = cells.join(best, "token").groupBy("token").agg(
+        F.first("far").alias("far"), F.first("low").alias("low"), F.max(away("far", "cell_reach")).alias("far_2"), F.min(away("low", "cell_n")).alias("low_2")
+    )
+    reach = F.when(F.col("comp") == F.col("far.comp"), F.col("far_2")).otherwise(F.col("far.cell_reach"))
+    least = F.when(F.col("comp") == F.col("low.comp"), F.col("low_2")).otherwise(F.col("low.cell_n"))
+    return grouped.join(second, "token").where((reach >= LEAST * F.col("n")) & (F.col("reach") >= LEAST * least)).select("token", "sid", "n", "reach", "comp")
+
+
+def _qualified(queries: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame:
+    """sid, comp: queries that share enough with the union of all shingles of the group."""
+    asked = queries.select("comp").distinct()
+    inside = table.join(named, "sid", "left").select("tokens", F.coalesce("comp", "sid").alias("comp")).join(asked, "comp", "left_semi")
+    unions = write_table(each_token(inside, "comp").distinct(), "unions")
+    asking = each_token(table.join(queries.select("sid").distinct(), "sid", "left_semi"), "sid").join(queries, "sid")
+    held = asking.join(unions, ["comp", "token"]).groupBy("sid", "comp", "n", "cell_n").agg(F.count(F.lit(1)).alias("held"))
+    return held.where(F.col("held") * (100 + LEAST) >= (F.col("n") + F.col("cell_n")) * LEAST).select("sid", "comp")
+
+
 def with_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every row of docs."""
+    """doc_id, r1, r2 (the row's hash), n_shingles, component_id, and group (a component's number, null for empty sets) of every row of docs."""
     return settled(docs.sparkSession, lambda: _with_components(docs), "components")
 
 
 def _with_components(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text")
     table = write_table(sets(docs), "sets")
-    groups = links(docs, table)
-    each = table.select("doc_id", "text_hash", "n", "key").join(groups, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    names = each.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("name"))
-    out = each.join(names, "comp", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    keys = table.where("n > 0").groupBy("k1", "k2").agg(F.min("n").alias("n"), F.min("r1").alias("r1"), F.min("doc_id").alias("least_id"))
+    keys = write_table(keys.withColumn("sid", F.monotonically_increasing_id()), "set_keys")
+    chosen = write_table(candidates(table, keys), "candidates")
+    groups = links(write_table(members(docs, chosen), "members"))
+    placed = keys.join(groups, F.col("sid") == F.col("key"), "left").select("k1", "k2", "least_id", F.coalesce("comp", "sid").alias("group"))
+    names = placed.groupBy("group").agg(F.min("least_id").alias("name"))
+    placed = placed.join(names, "group").select("k1", "k2", "group", "name")
+    out = table.where("n > 0").select("doc_id", "r1", "r2", "n", "k1", "k2").join(placed, ["k1", "k2"])
+    out = out.select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"), "group")
+    alone = table.where("n = 0").select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    return out.union(alone)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -297,12 +368,27 @@ def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return with_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, then the smallest hash of id and text; of rows alike in both, any. Rows without words stay."""
+    r1, r2, drop, times = unused(docs, "r1", "r2", "drop", "times")
+    each = with_components(docs).where("group is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")
+    first = each.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    judged = each.join(first, "group").select("r1", "r2", ((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))).alias("drop"))
+    judged = judged.groupBy(F.col("r1").alias(r1), F.col("r2").alias(r2)).agg(F.max("drop").alias(drop), F.count(F.lit(1)).alias(times))
+    # Of rows that are neither dropped nor single, one stays; all others are unique or have no words.
+    judged = write_table(judged.where(F.col(drop) | (F.col(times) > 1)), "judged")
+    a, b = _row(docs)
+    kept = docs.withColumns({r1: a, r2: b}).join(judged, [r1, r2], "left")
+    single = kept.where(F.col(drop).isNull())
+    repeated = kept.where(~F.col(drop)).dropDuplicates([r1, r2])
+    return single.union(repeated).select(*docs.columns)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without an id or words stay."""
+    """One document of each component, see keep_one: nulls, repeats, empty tables and extra columns as there."""
     prepare(spark)
-    names = docs.columns
-    gone = with_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*names)
+    return keep_one(docs)
 
 
 OP6_SQL = r"""
