@@ -99,13 +99,18 @@ SIEVE = 1 << 21
 
 
 def sieved(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows of df whose 64-bit hash is in wanted. Hash classes, at most SIEVE of them and broadcast on that bound, hold back nearly all other rows
+    """Rows of df whose hash, a number or hash_128, is in wanted. Hash classes, at most SIEVE of them and broadcast on that bound, hold back nearly all other rows
     before the shuffle while wanted is small; beyond that they pass, and the join decides."""
-    classes = wanted.select(F.pmod(column, F.lit(SIEVE)).alias("_class")).distinct()
-    some = df.withColumn("_class", F.pmod(column, F.lit(SIEVE))).join(F.broadcast(classes), "_class", "left_semi").drop("_class")
+    classes = wanted.select(F.pmod(F.xxhash64(column), F.lit(SIEVE)).alias("_class")).distinct()
+    some = df.withColumn("_class", F.pmod(F.xxhash64(column), F.lit(SIEVE))).join(F.broadcast(classes), "_class", "left_semi").drop("_class")
     return some.join(wanted.select(column), column, "left_semi")
 
 
+def hash_128(*columns: str) -> Column:
+    """128 bits of the columns' values; nulls differ from empty texts."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

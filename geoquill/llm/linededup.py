@@ -1,18 +1,19 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines are what newline bytes divide. The query keeps those of fewer than MIN_CHARS characters, as its SQL says; the pipeline's stage drops
-their later exact copies, unless they are blank. A longer line is a repeat, and dropped,
-when an earlier line of the corpus (by doc_id, row, line number) is the same or within MAX_EDITS edits, whether or not that one
-was kept. Distinct lines are cut into MAX_EDITS + 1 segments; two lines within the threshold share a segment
+Lines are what newline bytes divide. A line that isn't blank is a repeat, and dropped, when the same line stands earlier in the corpus (by
+doc_id, row, line number), or, if it has MIN_CHARS characters or more, when an earlier line of as many is within MAX_EDITS edits, whether or not that
+one was kept: MIN_CHARS says what a near copy is, not which lines are read, for two edits in a few characters are another text. Distinct
+lines are cut into MAX_EDITS + 1 segments; two lines within the threshold share a segment
 at nearly the same place, so each line's segments are indexed by (number, length, content) and each line probes, for every
-length it could match, the few substrings that the shift bounds allow. Candidates are verified by levenshtein with the
-threshold (Spark's banded dynamic programme; Spark has no bit-parallel function, and this operator takes no UDF).
+length it could match, the few substrings that the shift bounds allow. Candidates are verified by a banded bit-parallel edit distance: an automaton
+whose states, MAX_EDITS + 1 lanes of 2 * MAX_EDITS + 1 diagonals each, are the bits of one integer that every character moves at once.
 
-Scale: identical lines are aggregated first, so the join sees each distinct line once and no copies meet each other; only
+Scale: identical lines are aggregated first, by 128 bits of their content, so the join sees each distinct line once, by a number, and no copies meet each other; only
 hashes are shuffled, and texts are fetched for candidates alone, through a sieve. Keys of 32 bits that fall together by chance cost a comparison. Both sides of the join are plain shuffles that AQE can split.
 
-Defined cases: null text is no line and stays null; an empty text is one empty line; null doc_ids come first in order; rows
-alike in doc_id and text count as one row; an empty table gives an empty result.
+Defined cases: null text is no line and stays null; an empty text is one blank line; blank lines (nothing but 0x20 and 0x09 to 0x0D) are never repeats; null doc_ids come first in order; rows
+alike in doc_id and text count as one row, and all of them keep or lose the same lines; lines of any length are compared whole; of equal lines the earliest stays, so there are no
+ties; an empty table gives an empty result; extra columns aren't read by `dropped_lines`, and carried by `dedup` under any name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import WORD, prepare, read, settled, sieved, write_table
+from geoquill.llm.common import WORD, hash_128, prepare, read, settled, sieved, unused, write_table
 
 MAX_EDITS = 2
 MIN_CHARS = 32
@@ -57,26 +58,57 @@ def own_places(edits: int) -> list[int]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("row_", hash_128("doc_id", "text"))
 
 
-def lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, row_, line_no, line of the lines that are long enough, with h, a hash of the line."""
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row_, line_no, line of the lines that aren't blank, with h, a hash of the line."""
     split = _rows(docs.select("doc_id", "text")).select("doc_id", "row_", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    return split.where(F.col("line").rlike(WORD)).withColumn("h", hash_128("line"))
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, uniq: DataFrame, least: int) -> DataFrame:
-    """h, line, first of every line in the pairs (a, b)."""
-    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line_wanted")
-    return write_table(sieved(lines(docs, least).select("h", "line"), "h", wanted).dropDuplicates(["h"]).join(uniq.select("h", "first"), "h"), "line_texts")
+def _texts(pairs: DataFrame, docs: DataFrame, uniq: DataFrame) -> DataFrame:
+    """id, line, first of every line in the pairs (a, b)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = write_table(uniq.select("id", "h", "first").join(wanted, "id"), "line_wanted")
+    return write_table(sieved(lines(docs).select("h", "line"), "h", wanted).dropDuplicates(["h"]).join(wanted, "h").select("id", "line", "first"), "line_texts")
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two texts are within `edits` edits, by a banded bit-parallel automaton.
+
+    After i characters of a, bit j of lane d tells whether the first i + j - edits characters of b can be made of them with d edits. A character
+    of a keeps the bits where b has the same one; to the next lane go all bits (substitution), those shifted down (insertion) and, after the step,
+    those shifted up (deletion).
+    """
+    wide = 2 * edits + 1
+    lanes = [1 << (wide * d) for d in range(edits + 1)]
+    whole, low, high = (1 << wide * (edits + 1)) - 1, sum(lanes), sum(x << (wide - 1) for x in lanes)
+    num = lambda x: F.lit(x).cast("long")
+    letters = F.split(b, "")
+    # The place of every character of b that a step compares is looked up in an array; places outside it give null, which is no match.
+    at = lambda i, j: F.get(letters, i + (j - edits))
+    same = F.transform(F.split(a, ""), lambda x, i: sum((F.when(at(i, j) == x, num(low << j)).otherwise(num(0)) for j in range(1, wide)), F.when(at(i, 0) == x, num(low)).otherwise(num(0))))
+
+    def step(state: Column, match: Column) -> Column:
+        down = F.shiftright(state, 1).bitwiseAND(num(whole & ~high))
+        out = state.bitwiseAND(match).bitwiseOR(F.shiftleft(state.bitwiseOR(down), wide).bitwiseAND(num(whole)))
+        for _ in range(edits):
+            out = out.bitwiseOR(F.shiftleft(out.bitwiseAND(num(whole & ~high)), wide + 1).bitwiseAND(num(whole)))
+        return out
+
+    start = sum((1 << (edits + k)) << (wide * d) for d in range(edits + 1) for k in range(d + 1))
+    end = F.aggregate(same, num(start), step)
+    last = (F.length(b) - F.length(a) + (edits + wide * edits)).cast("int")
+    near = F.abs(F.length(a) - F.length(b)) <= edits
+    return near & (end.bitwiseAND(F.call_function("shiftleft", num(1), F.greatest(last, F.lit(0)))) != 0)
 
 
 def _late(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """h of the later line of those pairs (a, b) that are within `edits` edits."""
-    side = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
-    return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
+    """id of the later line of those pairs (a, b) that are within `edits` edits."""
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
 LETTERS = "etaoinshrdlucmwfgypbvkjxqz0123456789"
@@ -98,26 +130,27 @@ def letters_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
 
-def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> DataFrame:
-    """h of lines that have an earlier line within `edits` edits, other than themselves.
+def near_lines(docs: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
+    """id of lines that have an earlier line within `edits` edits, other than themselves. uniq: id, h, first, probe (null for lines that have no near copies).
 
     Every probe first meets the earliest line of its key. Only where a key has more lines, and the later line of a pair isn't
     known as late yet, do they meet each other, and then only where the counts of a group of letters agree and all counts together differ by two for each
     edit at most: a family of like lines costs about its size, and so do lines that share a segment alone.
     """
     at = own_places(edits)
-    index = uniq.select(F.explode(F.array(*[F.get("probe", F.lit(k)) for k in at])).alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "h").alias("at"))
-    heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).select("key", "n", F.col("head.h").alias("head"))
-    probe = uniq.select("h", F.posexplode("probe").alias("place", "key")).where("key is not null")
-    met = write_table(probe.join(heads, "key").where("h <> head or n > 1").select("key", "h", "head", "n", F.col("place").isin(at).alias("own")), "line_met")
-    first = write_table(met.where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
-    texts = _texts(first, docs, uniq, least)
+    long = uniq.where("probe is not null")
+    index = long.select(F.explode(F.array(*[F.get("probe", F.lit(k)) for k in at])).alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "id").alias("at"))
+    heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).select("key", "n", F.col("head.id").alias("head"))
+    probe = long.select("id", F.posexplode("probe").alias("place", "key")).where("key is not null")
+    met = write_table(probe.join(heads, "key").where("id <> head or n > 1").select("key", "id", "head", "n", F.col("place").isin(at).alias("own")), "line_met")
+    first = write_table(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
+    texts = _texts(first, docs, uniq)
     late = write_table(_late(first, texts, edits), "late_first")
-    letters = texts.select("h", "first", letter_counts(F.col("line")).alias("counts")).withColumn("letters", F.explode(letter_keys(F.col("counts"), edits)))
-    more = met.where("n > 1").select("key", "h", "own").join(letters, "h").join(late.withColumn("done", F.lit(True)), "h", "left")
-    more = write_table(more.select("key", "letters", "h", "first", "counts", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
-    r = more.select("key", "letters", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("counts").alias("ca"), F.col("done").alias("done_a"))
-    s = more.where("own").select("key", "letters", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("counts").alias("cb"), F.col("done").alias("done_b"))
+    letters = texts.select("id", "first", letter_counts(F.col("line")).alias("counts")).withColumn("letters", F.explode(letter_keys(F.col("counts"), edits)))
+    more = met.where("n > 1").select("key", "id", "own").join(letters, "id").join(late.withColumn("done", F.lit(True)), "id", "left")
+    more = write_table(more.select("key", "letters", "id", "first", "counts", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
+    r = more.select("key", "letters", F.col("id").alias("a"), F.col("first").alias("fa"), F.col("counts").alias("ca"), F.col("done").alias("done_a"))
+    s = more.where("own").select("key", "letters", F.col("id").alias("b"), F.col("first").alias("fb"), F.col("counts").alias("cb"), F.col("done").alias("done_b"))
     like = (F.col("a") != F.col("b")) & (letters_apart("ca", "cb") <= 2 * edits)
     open_r = r.where("not done_a").join(s, ["key", "letters"]).where(like & (F.col("fb") < F.col("fa"))).select("a", "b")
     open_s = s.where("not done_b").join(r, ["key", "letters"]).where(like & (F.col("fa") < F.col("fb"))).select("a", "b")
@@ -126,45 +159,34 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, least: int) -> Data
     return late if rest.isEmpty() else late.union(_late(rest, texts, edits)).distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """row_, dropped: the line numbers to drop, for rows that have any. short: exact copies of shorter lines too."""
-    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, least, short), "drops")
+def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """row_, dropped: the line numbers to drop, for rows that have any. least: characters of a line that has near copies."""
+    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, least), "drops")
 
 
-def _short_copies(docs: DataFrame, least: int) -> DataFrame:
-    """row_, line_no of the later copies of lines that aren't blank and are shorter than `least`."""
-    few = lines(docs, 1).where((F.length("line") < least) & F.col("line").rlike(WORD)).select("h", "doc_id", "row_", "line_no")
-    place = F.struct("doc_id", "row_", "line_no")
-    firsts = few.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    return few.join(firsts, "h").where(~place.eqNullSafe(F.col("first"))).select("row_", "line_no")
-
-
-def _dropped_lines(docs: DataFrame, edits: int, least: int, short: bool) -> DataFrame:
-    length = F.length("line")
-    keyed = lines(docs, least).select(
-        "h", F.struct("doc_id", "row_", "line_no").alias("first"),
-        F.array(*probe_keys(F.col("line"), length, edits)).alias("probe"),
-    )
-    uniq = write_table(keyed.groupBy("h").agg(F.min(F.struct("first", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n"), "lines")
-    late = write_table(near_lines(docs, uniq, edits, least), "late")
-    firsts = uniq.select("h", "first", "n").join(late.withColumn("late", F.lit(True)), "h", "left").where("n > 1 or late").drop("n")
-    gone = lines(docs, least).select("h", "doc_id", "row_", "line_no").join(firsts, "h")
-    gone = gone.where(F.col("late") | ~F.struct("doc_id", "row_", "line_no").eqNullSafe(F.col("first")))
-    gone = gone.select("row_", "line_no")
-    if short:
-        gone = gone.union(_short_copies(docs, least))
+def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    length, place = F.length("line"), F.struct("doc_id", "row_", "line_no")
+    keys = F.when(length >= max(least, edits + 1), F.array(*probe_keys(F.col("line"), length, edits)))
+    keyed = lines(docs).select("h", place.alias("first"), keys.alias("probe"))
+    uniq = keyed.groupBy("h").agg(F.min(F.struct("first", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n")
+    uniq = write_table(uniq.withColumn("id", F.monotonically_increasing_id()), "lines")
+    late = write_table(near_lines(docs, uniq, edits), "late")
+    firsts = uniq.select("id", "h", "first", "n").join(late.withColumn("late", F.lit(True)), "id", "left").where("n > 1 or late").select("h", "first", "late")
+    gone = lines(docs).select("h", "doc_id", "row_", "line_no").join(firsts, "h")
+    gone = gone.where(F.col("late") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("row_").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
     """docs with repeats cut out of text; a document that had lines and lost all of them goes."""
     names = docs.columns
-    drops = dropped_lines(docs, edits, least, short).select(F.col("row_").alias("_drop_row"), F.col("dropped").alias("_drops"))
+    row, drops = unused(docs, "row_", "drops")
+    found = dropped_lines(docs, edits, least).select(F.col("row_").alias(row), F.col("dropped").alias(drops))
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("_drops", i))
-    out = docs.withColumn("_line_row", F.xxhash64("doc_id", "text")).join(drops, F.col("_line_row") == F.col("_drop_row"), "left")
-    left = out.where(F.col("_drops").isNull() | (F.size("_drops") < F.size(parts)))
-    return left.withColumn("text", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*names)
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(drops), i))
+    out = docs.withColumn(row, hash_128("doc_id", "text")).join(found, row, "left")
+    left = out.where(F.col(drops).isNull() | (F.size(drops) < F.size(parts)))
+    return left.withColumn("text", F.when(F.col(drops).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*names)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -173,24 +195,24 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     sizes = _rows(docs).select("doc_id", "row_", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     return sizes.join(drops, F.col("row_") == F.col("drop_row_"), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines")
+        "doc_id", "n_lines", F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines")
     )
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines, with all their columns; n_chars follows the text where there is one."""
+    """Documents without repeated lines, with all their columns; n_chars follows the text where there is one. Nulls, repeats, empty tables: as for the module."""
     prepare(spark)
-    out = dedup(docs, short=True)
+    out = dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 OP8_SQL = r"""
 WITH rows AS (SELECT DISTINCT doc_id, text FROM documents),
 parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM rows),
-long AS (SELECT * FROM parts WHERE length(line) >= 32),
-uniq AS (SELECT line, min(row(doc_id, line_no)) AS first, length(line) AS n FROM long GROUP BY line),
-late AS (SELECT DISTINCT b.line FROM uniq a JOIN uniq b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first AND levenshtein(a.line, b.line) <= 2),
-gone AS (SELECT p.doc_id, p.text, p.line_no FROM long p JOIN uniq u USING (line)
+full AS (SELECT * FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+uniq AS (SELECT line, min(row(doc_id, line_no)) AS first, length(line) AS n FROM full GROUP BY line),
+late AS (SELECT DISTINCT b.line FROM uniq a JOIN uniq b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.n >= 32 AND b.n >= 32 AND a.first < b.first AND levenshtein(a.line, b.line) <= 2),
+gone AS (SELECT p.doc_id, p.text, p.line_no FROM full p JOIN uniq u USING (line)
          WHERE row(p.doc_id, p.line_no) <> u.first OR p.line IN (SELECT line FROM late)),
 drops AS (SELECT doc_id, text, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS l FROM gone GROUP BY 1, 2)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::INT AS n_lines, coalesce(r.n, 0)::INT AS n_dropped, coalesce(r.l, '') AS dropped_lines

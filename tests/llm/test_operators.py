@@ -523,7 +523,7 @@ def test_line_dedup_against_brute_force(spark):
         for k, line in enumerate(t.split("\n")):
             first.setdefault(line, (i, k))
     for i, t in docs:
-        gone = [k for k, x in enumerate(t.split("\n")) if len(x) >= 32 and (first[x] != (i, k) or any(len(y) >= 32 and first[y] < first[x] and edits(x, y) <= 2 for y in first))]
+        gone = [k for k, x in enumerate(t.split("\n")) if x.strip() and (first[x] != (i, k) or len(x) >= 32 and any(len(y) >= 32 and first[y] < first[x] and edits(x, y) <= 2 for y in first))]
         want[i] = gone
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = linededup._rows(df).join(linededup.dropped_lines(df), "row_", "left").collect()
@@ -535,7 +535,30 @@ def test_line_dedup_stage_and_odd_input(spark):
     df = spark.createDataFrame([(1, f"{line}\nshort", "x"), (2, f"other\n{line}!", "y"), (3, line, "z"), (4, None, "n"), (5, "", "e")], "doc_id long, text string, dropped_ string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
     assert got == {1: f"{line}\nshort", 2: "other", 4: None, 5: ""}
-    assert linededup.dedup(with_extra(odd(spark))).count() == 7 and linededup.dedup(empty(spark)).count() == 0
+    clash = df.withColumnRenamed("dropped_", "drops").selectExpr("*", "1 AS row_", "2 AS _drops", "3 AS h")
+    assert linededup.dedup(clash).columns == clash.columns and linededup.dedup(clash).count() == 4
+    # the text of document 5 stands in document 4 already; rows alike keep the same lines
+    assert linededup.dedup(with_extra(odd(spark))).count() == 6 and linededup.dedup(empty(spark)).count() == 0
+
+
+def test_bit_parallel_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(1), []
+    for _ in range(1500):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 14)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 5)):
+            if b:
+                at = rng.randrange(len(b))
+                b[at : at + rng.randrange(0, 2)] = rng.choice(["", "a", "b", "😀"])
+        rows.append((a, "".join(b)))
+    rows += [("x" * 5000, "x" * 4999 + "y"), ("x" * 5000, "y" + "x" * 4997)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for k in (1, 2, 3):
+        got = df.select("a", "b", linededup.within(F.col("a"), F.col("b"), k).alias("near")).collect()
+        assert all(r["near"] == (abs(len(r["a"]) - len(r["b"])) <= k and edits(r["a"], r["b"]) <= k) for r in got if len(r["a"]) < 100)
+        assert [r["near"] for r in got if len(r["a"]) > 100] == [True, k >= 3]
 
 
 def test_line_dedup_stage_drops_short_copies(spark):
