@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items become words (lower case, letters and digits only). Shared runs of SEED words, found by a
+Documents and test items become words (lower case, letters and digits only). Shared runs of SEED words, or of all words of a shorter item, found by a
 rolling Karp-Rabin hash, are the seeds that join a document with items. For each such pair the longest run common to both
 is marked again and again, never overlapping a marked one, down to SEED words; the share of the item's words
 that is marked is its coverage. Passages in another order are several tiles and count in full. A document is contaminated when
@@ -10,14 +10,16 @@ Scale: one pass over the documents for each block of items. Items are taken in b
 by hash, so what the driver or a task holds is bounded, and a larger benchmark means more passes. One block needs no shuffle; with more, each pass writes
 the texts' hashes and tilings where there are any, and their best ones are joined with the documents by the hash.
 
-Defined cases: null or empty texts are clean; items of fewer than SEED words hold too little to tell and are never matched; among
-items of equal coverage the one with the smallest id is named; null item ids come last; repeated rows are judged alike; an
-empty benchmark leaves every document clean. Input must not have columns named tiling or words_.
+Defined cases: null or empty texts are clean; items of fewer than SEED words are matched as a whole, but those of one or two (LEAST_WORDS) stand in any text and are never matched; among
+items of equal coverage the one with the smallest id is named; null item ids come last; of matches of one length the first in the item, then in the document, is marked; repeated rows are judged
+alike; texts of any length are read whole; an empty benchmark leaves every document clean, an empty table gives an empty result; extra columns are carried, but one named as
+the result (`name`) is overwritten.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import prepare, read, settled, text_of, write_table
+from geoquill.llm.common import prepare, read, settled, text_of, unused, write_table
 
-SEED = 6
+SEED, LEAST_WORDS = 6, 3
 LEAST = 0.5
 BLOCK_BYTES = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +95,32 @@ def tile(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least:
     return int(in_item.sum()), tiles
 
 
+class Seeds:
+    """Runs of `size` words of items by hash: item numbers and places."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], size: int) -> None:
+        self.size = size
+        hashes = [runs(items[k], size) for k in numbers]
+        keys = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        of = np.repeat(np.array(numbers, int), [len(h) for h in hashes])
+        at = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, int)]).astype(int)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of, self.at = keys[order], of[order], at[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.keys >> np.uint64(44)).astype(int)] = True
+
+    def found(self, every: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """document, place in all words, and the range of seeds, for every run of the documents' words that is a seed."""
+        if len(every) < self.size:
+            return
+        h = runs(every, self.size)
+        hit = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(int)])
+        lo, hi = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
+        doc = np.searchsorted(ends, hit, "right")
+        whole = (hi > lo) & (hit + self.size <= ends[np.minimum(doc, len(ends) - 1)])
+        yield from zip(doc[whole].tolist(), hit[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True)
+
+
 class Tiler:
     """Items of one block with their seeds; the best item of each text."""
 
@@ -100,14 +128,14 @@ class Tiler:
         self.names = [i for i, _ in items]
         ids = _Ids()
         self.items = [np.fromiter(map(ids.__getitem__, text.split()), np.uint64) for _, text in items]
-        hashes = [runs(x, SEED) for x in self.items]
-        self.keys = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        self.at = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, int)]).astype(int)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.of, self.at = self.keys[order], self.of[order], self.at[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.keys >> np.uint64(44)).astype(int)] = True
+        by: dict[int, list[int]] = {}
+        for k, x in enumerate(self.items):
+            if len(x) >= LEAST_WORDS:
+                by.setdefault(min(SEED, len(x)), []).append(k)
+        self.seeds = [Seeds(self.items, numbers, size) for size, numbers in sorted(by.items())]
+
+    def order(self, k: int, marked: int) -> tuple[float, bool, int]:
+        return -marked / len(self.items[k]), self.names[k] is None, self.names[k] or 0
 
     def best(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """For each text: index of the best item (-1: none), words marked, words of the item, tiles."""
@@ -115,25 +143,16 @@ class Tiler:
         every = np.fromiter((ids[w] for ws in words for w in ws), np.uint64)
         lengths = np.array([len(ws) for ws in words], int)
         out = [(-1, 0, 0, 0)] * len(texts)
-        if not len(self.keys) or len(every) < SEED:
-            return out
         ends = np.cumsum(lengths)
-        h = runs(every, SEED)
-        hit = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(int)])
-        lo, hi = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
-        doc = np.searchsorted(ends, hit, "right")
-        whole = (hi > lo) & (hit + SEED <= ends[doc])
         pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for p, d, a, b in zip(hit[whole].tolist(), doc[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True):
-            for k in range(a, b):
-                pairs.setdefault((d, int(self.of[k])), []).append((int(self.at[k]), p - int(ends[d] - lengths[d])))
-        for (d, k), seeds in pairs.items():
+        for seeds in self.seeds:
+            for d, p, a, b in seeds.found(every, ends):
+                for k in range(a, b):
+                    pairs.setdefault((d, int(seeds.of[k])), []).append((int(seeds.at[k]), p - int(ends[d] - lengths[d])))
+        for (d, k), places in pairs.items():
             item = self.items[k]
-            marked, tiles = tile(item, every[ends[d] - lengths[d] : ends[d]], seeds)
-            old = out[d]
-            name = self.names[k]
-            mine, other = (-marked / len(item), name is None, name or 0), (-old[1] / max(1, old[2]), old[0] >= 0 and self.names[old[0]] is None, (self.names[old[0]] or 0) if old[0] >= 0 else 0)
-            if old[0] < 0 or mine < other:
+            marked, tiles = tile(item, every[ends[d] - lengths[d] : ends[d]], places, min(SEED, len(item)))
+            if out[d][0] < 0 or self.order(k, marked) < self.order(*out[d][:2]):
                 out[d] = k, marked, len(item), tiles
         return out
 
@@ -158,14 +177,17 @@ def _matcher(tiler: Tiler):
     return best
 
 
-def tiled(docs: DataFrame, benchmark: DataFrame, bound: int = BLOCK_BYTES) -> DataFrame:
-    """docs with tiling: struct of item_id, coverage, tiles of the best item; null where no item shares a run of SEED words."""
+def tiled(docs: DataFrame, benchmark: DataFrame, bound: int = BLOCK_BYTES, name: str = "tiling") -> DataFrame:
+    """docs with the column `name`: struct of item_id, coverage, tiles of the best item; null where no item shares a seed."""
     every, text = blocks(benchmark, bound), words_text(text_of())
+    (words,) = unused(docs, "words_")
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     if len(every) > 1:
         best = settled(docs.sparkSession, lambda: _best(docs.select(text.alias("words_")), every), "tilings")
-        return docs.withColumn("words_", F.sha2(text, 256)).join(best, "words_", "left").select(*docs.columns, "tiling")
-    out = docs.withColumn("words_", text).withColumn("tiling", _matcher(_tiler(every[0]))("words_"))
-    return out.withColumn("tiling", F.when(F.col("tiling.coverage").isNotNull(), F.col("tiling"))).drop("words_")
+        best = best.select(F.col("words_").alias(words), F.col("tiling").alias(name))
+        return docs.select(*kept, F.sha2(text, 256).alias(words)).join(best, words, "left").select(*kept, name)
+    out = docs.select(*kept, text.alias(words)).withColumn(name, _matcher(_tiler(every[0]))(words))
+    return out.withColumn(name, F.when(F.col(f"{name}.coverage").isNotNull(), F.col(name))).drop(words)
 
 
 def _best(texts: DataFrame, every: list[DataFrame]) -> DataFrame:
@@ -188,7 +210,7 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with all their columns."""
+    """Documents that hold no benchmark item, with all their columns. Nulls, repeats, empty tables: as for the module."""
     prepare(spark)
-    names = docs.columns
-    return tiled(docs, read(spark, sf_dir, "benchmark")).where(F.coalesce(F.col("tiling.coverage"), F.lit(0.0)) < LEAST).select(*names)
+    (name,) = unused(docs, "tiling")
+    return tiled(docs, read(spark, sf_dir, "benchmark"), name=name).where(F.coalesce(F.col(f"{name}.coverage"), F.lit(0.0)) < LEAST).select(*docs.columns)

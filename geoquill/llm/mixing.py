@@ -10,8 +10,9 @@ bounded number of rows (pre-aggregated), then within each bucket, so a source wi
 many tasks.
 
 Defined cases: null text has size 0; the null source is a source of its own and comes last; a source of size 0 has target 0
-and gives nothing; null ids sort first; repeated rows are separate documents; an empty table gives an empty result; extra
-columns are ignored by `plan_mix` and carried by `mix`.
+and gives nothing; null ids sort first; repeated rows are separate documents, and rows that differ in any column stay apart; rows alike in size and id
+stand next to each other in any order; texts are counted whole; an empty table gives an empty result; extra
+columns are ignored by `plan_mix` and carried by `mix` under any name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import WORD, prepare, read, write_table
+from geoquill.llm.common import WORD, prepare, read, settled, unused, write_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -34,13 +35,19 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]))
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size in words, source, and the source's key, which tells null from any text."""
+    """doc_id, size in words, source, row_ (a hash of the whole row), and the source's key, which tells null from any text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")).alias("row_"),
+        row_hash(docs).alias("row_"),
     ).withColumn("src_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
 
 
@@ -72,7 +79,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, row_ (hash of id, text and source), size, source_size, target, copies, taken (= copies * size)."""
+    """Per document: doc_id, row_ (hash of the row), size, source_size, target, copies, taken (= copies * size)."""
+    return settled(docs.sparkSession, lambda: _plan_mix(docs, weights, share, most, seed), "mix_plan")
+
+
+def _plan_mix(docs: DataFrame, weights, share: float, most: float, seed: int) -> DataFrame:
     base = write_table(sized(docs), "sizes")
     per = write_table(targets(base, weights, share, most), "targets")
     splits = (F.lit(1) + F.floor(F.col("n_docs") / BUCKET_ROWS)).cast("long")
@@ -98,20 +109,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with copy_no from 1. Rows alike in id, text and source count together."""
-    taken = plan_mix(docs, weights, share, most, seed).groupBy(F.col("row_").alias("_mix_row")).agg(F.sum("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
-    rows = docs.withColumn("_mix_row", F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))).dropDuplicates(["_mix_row"])
-    return rows.join(taken, "_mix_row").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("_mix_row", "_mix_copies")
+    """The rows of docs, each as often as the mix takes it, with the number of the copy (copy_no, or with underscores where docs has it) from 1. Rows alike in all columns count together."""
+    row, copies, copy_no = unused(docs, "row_", "copies", "copy_no")
+    taken = plan_mix(docs, weights, share, most, seed).groupBy(F.col("row_").alias(row)).agg(F.sum("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.withColumn(row, row_hash(docs)).dropDuplicates([row])
+    return rows.join(taken, row).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(row, copies)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: columns of docs and copy_no."""
+    """The mixed corpus: columns of docs and copy_no. Nulls, repeats, empty tables: as for the module."""
     prepare(spark)
     return mix(docs)
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = read(prepare(spark), sf_dir, "documents")
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text", "source")
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

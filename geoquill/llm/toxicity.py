@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding lower-cases, replaces look-alike letters and digits that stand for letters, and turns every run of other characters into
-one space, so that an entry with a leading space is a word stem and one with spaces at both ends a whole word. A small fixed
+Folding lower-cases, replaces look-alike letters (of other scripts, full-width, mathematical, circled) and digits that stand for letters, drops invisible
+characters and combining marks, and turns every run of other characters into one space, so that an entry with a leading space is a word stem and one with spaces at both ends a whole word. A small fixed
 lexicon is widened by stems and words that a bounded sample of labelled documents (TRAIN_TOXIC and TRAIN_CLEAN rows by hash
 order) shows far more often in toxic ones. Hits inside an exception phrase don't count. The score is logistic in the weight of
 the hits and in that weight by length.
@@ -10,18 +10,21 @@ Scale: one pass over the texts without a shuffle; the automaton is bounded by th
 pre-aggregated groupBy.
 
 Defined cases: null and empty text count as a text without words (low score); null ids are scored, and never train; repeated
-ids in labels count once (toxic if any row says so); with no labels of both kinds the fixed lexicon decides alone.
+ids in labels count once (toxic if any row says so); repeated rows get equal scores, and a score of 0.5 counts as toxic; texts of any length are read whole; with no labels of both kinds the
+fixed lexicon decides alone; an empty table gives an empty result; extra columns are carried, but tox_weight, tox_words and tox_score are overwritten.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import crc_mod, hash_sample, prepare, read, text_of, write_table
+from geoquill.llm.common import crc_mod, hash_sample, prepare, read, text_of, unused, write_table
 
 # Words, phrases that excuse them, and look-alikes with the letters they stand for.
 LEXICON = {"idiot": 6.0, "moron": 6.0, "stupid": 5.0, "scum": 6.0, "trash": 5.0, "loser": 5.0, "clown": 5.0, "pathetic": 5.0, "worthless": 5.0, "disgusting": 5.0}
@@ -29,6 +32,13 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown
 LOOK_ALIKE = "аеорсухіјѕԁһԛԝвкмнтαοερνικυ0134578@$"
 STANDS_FOR = "aeopcyxijsdhqwbkmhtaoepvikuoieastbas"
 
+#: Characters beyond ASCII that are a plain letter or digit in another form, by Unicode's compatibility rule, and characters that don't show.
+_FORMS = {chr(c): x for c in range(0x2000, min(0x1FBFF, sys.maxunicode)) if len(x := unicodedata.normalize("NFKC", chr(c)).lower()) == 1 and x.isascii() and x.isalnum()}
+_PLAIN = dict(zip(LOOK_ALIKE, STANDS_FOR, strict=True))
+MATCHING = LOOK_ALIKE + "".join(_FORMS)
+REPLACING = STANDS_FOR + "".join(_PLAIN.get(x, x) for x in _FORMS.values())
+HIDDEN = r"[\p{Mn}\p{Cf}]+"
+
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 LEAST_WEIGHT = 3.0
 STEM = (3, 10)
@@ -37,7 +47,7 @@ DEFAULT_MODEL = (1.0, 0.5, -2.0)
 
 
 def folded(text: Column) -> Column:
-    letters = F.translate(F.lower(text), LOOK_ALIKE, STANDS_FOR)
+    letters = F.translate(F.regexp_replace(F.lower(text), HIDDEN, ""), MATCHING, REPLACING)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(letters, r"[^\p{L}]+", " ")), F.lit(" "))
 
 
@@ -112,15 +122,15 @@ class Matcher:
         return sum(w for at, (_, w) in best.items() if not any(a <= at < b for a, b in excused))
 
 
-def with_hits(df: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS) -> DataFrame:
-    """Adds _hits (struct of weight and words) for the column _fold."""
+def with_hits(df: DataFrame, lexicon: dict[str, float], exceptions=EXCEPTIONS, fold: str = "_fold", name: str = "_hits") -> DataFrame:
+    """Adds the column `name` (struct of weight and words) for the column `fold`."""
     matcher = Matcher(lexicon, tuple(exceptions))
 
     @F.pandas_udf("weight double, words long")
     def hits(folds: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"weight": [matcher.weigh(x) for x in folds], "words": [max(0, x.count(" ") - 1) for x in folds]})
 
-    return df.withColumn("_hits", hits("_fold"))
+    return df.withColumn(name, hits(fold))
 
 
 def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -151,9 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[flo
 def score(docs: DataFrame, lexicon: dict[str, float], model: tuple[float, ...], exceptions=EXCEPTIONS) -> DataFrame:
     """docs with tox_weight, tox_words and tox_score."""
     a, b, c = model
-    out = with_hits(docs.withColumn("_fold", folded(text_of())), lexicon, exceptions)
-    x = a * F.log1p("_hits.weight") + b * F.least(100 * F.col("_hits.weight") / F.greatest("_hits.words", F.lit(20)), F.lit(50.0)) + c
-    return out.withColumns({"tox_weight": F.col("_hits.weight"), "tox_words": F.col("_hits.words"), "tox_score": 1 / (1 + F.exp(-x))}).drop("_fold", "_hits")
+    fold, hits = unused(docs, "_fold", "_hits")
+    out = with_hits(docs.withColumn(fold, folded(text_of())), lexicon, exceptions, fold, hits)
+    weight, words = F.col(f"{hits}.weight"), F.col(f"{hits}.words")
+    x = a * F.log1p(weight) + b * F.least(100 * weight / F.greatest(words, F.lit(20)), F.lit(50.0)) + c
+    return out.withColumns({"tox_weight": weight, "tox_words": words, "tox_score": 1 / (1 + F.exp(-x))}).drop(fold, hits)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -167,8 +179,9 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic, with all their columns."""
+    """Documents that aren't toxic, with all their columns. Nulls, repeats, empty tables: as for the module."""
     prepare(spark)
     lexicon, model = fit(docs, read(spark, sf_dir, "labels"))
-    names = docs.columns
-    return score(docs, lexicon, model).where("tox_score < 0.5").select(*names)
+    renamed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    texts = renamed.withColumns({c: F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text")})
+    return score(texts, lexicon, model).where("tox_score < 0.5").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

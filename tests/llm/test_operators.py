@@ -605,7 +605,7 @@ def test_secrets_dictionary_of_all_documents(spark):
 
 # 10: decontamination
 def brute_tiling(item, doc, least):
-    used_i, used_d, total = set(), set(), 0
+    used_i, used_d, total, tiles = set(), set(), 0, 0
     while True:
         best = (0, 0, 0)
         for i in range(len(item)):
@@ -616,11 +616,12 @@ def brute_tiling(item, doc, least):
                 if n > best[0]:
                     best = (n, i, j)
         if best[0] < least:
-            return total
+            return total, tiles
         n, i, j = best
         used_i |= set(range(i, i + n))
         used_d |= set(range(j, j + n))
         total += n
+        tiles += 1
 
 
 def test_tiling_against_brute_force():
@@ -633,9 +634,39 @@ def test_tiling_against_brute_force():
             doc += item[a : a + rng.randrange(1, 14)] if rng.random() < 0.6 else [rng.randrange(6, 9)]
         item, doc = np.array(item, np.uint64), np.array(doc, np.uint64)
         seeds = [(i, j) for i in range(len(item) - 3) for j in range(len(doc) - 3) if (item[i : i + 4] == doc[j : j + 4]).all()]
-        got, _ = decontam.tile(item, doc, seeds, 4)
-        want = brute_tiling(item.tolist(), doc.tolist(), 4)
-        assert abs(got - want) <= 4  # ties between runs of one length may be broken otherwise
+        assert decontam.tile(item, doc, seeds, 4) == brute_tiling(item.tolist(), doc.tolist(), 4)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(15)
+    items = [(k if k % 4 else None, words(rng, rng.choice([1, 2, 3, 5, 6, 20, 40]))) for k in range(24)] + [(50, "the same item stands here twice"), (49, "the same item stands here twice"), (None, "the same item stands here twice")]
+    rows = []
+    for i in range(40):
+        parts = [words(rng, 12)]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            parts += [" ".join(w[a:] + w[:a]), words(rng, rng.randrange(4))]
+        rows.append((i, " ".join(parts)))
+    rows += [(40, items[24][1]), (41, None), (42, "")]
+
+    def best(text):
+        found = []
+        for name, item in items:
+            w = item.split()
+            n, tiles = brute_tiling(w, (text or "").split(), min(6, len(w))) if len(w) >= 3 else (0, 0)
+            if n:
+                found.append((-n / len(w), name is None, name or 0, tiles))
+        return min(found, default=None)
+
+    want = {i: best(t) for i, t in rows}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (decontam.BLOCK_BYTES, 400):
+        got = {r["doc_id"]: r["tiling"] for r in decontam.tiled(docs, bench, bound).collect()}
+        for i, x in want.items():
+            assert (got[i] is None) == (x is None)
+            assert x is None or (got[i]["coverage"], got[i]["item_id"]) == (-x[0], None if x[1] else x[2])
+    assert want[40][2] == 49
 
 
 def test_decontamination_reordered_and_odd(spark):
@@ -660,6 +691,8 @@ def test_decontamination_in_blocks(spark):
     assert len(decontam.blocks(bench, 600)) > 4
     key = lambda df: sorted(map(str, df.collect()))
     many = decontam.tiled(with_extra(docs), bench, 600)
+    clash = docs.selectExpr("*", "1 as tiling", "2 as words_")
+    assert decontam.tiled(clash, bench).columns == [*docs.columns, "words_", "tiling"]
     assert many.columns == [*with_extra(docs).columns, "tiling"] and key(many) == key(decontam.tiled(with_extra(docs), bench))
     got = {r["doc_id"]: r["tiling"] for r in many.collect()}
     assert got[0]["item_id"] is None and got[0]["coverage"] == 1.0 and got[20]["item_id"] == 1 and got[21] is None and got[22] is None
