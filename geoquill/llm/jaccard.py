@@ -7,7 +7,7 @@
 3. The shared shingles of a set are ordered by the number of sets that hold them, rare ones first. At its shingle of place i, a set of m
    shared ones can meet another for the first time only if the smaller m - i of the two suffices for 0.8 ("left"). So a set stands in the
    matrix at its first shingles alone, where m - i >= 0.8 n.
-4. First every set is compared with the head of each of its cells, the set that shares most of itself there: the middle of a family of near copies. Linked sets
+4. First every set is compared with the head of each of its cells, the set that leaves most of itself there: the middle of a family of near copies. Linked sets
    are groups. The matrix then has a row for each shingle and group, with the most that a member may share and the least size there.
    A set whose rows pass these bounds for another group is a query for that group: it is held against the union of all shingles of the group, and
    only where that overlap suffices is the group opened and its members compared one by one.
@@ -19,7 +19,7 @@ meet their head, and not each other unless the bounds let them link across group
 
 Defined cases: A-Z are lower-cased, words are split at 0x20 and 0x09 to 0x0D; with 1 to 4 words the whole sequence is the one
 shingle; without words or text the set is empty and links with nothing; a null id takes part and is a component's name only where no member has an id; repeated
-rows are equal sets; texts of any length are read whole; ties between heads go to the smaller set id; an empty table gives an empty result; extra
+rows are equal sets; texts of any length are read whole; ties between heads go to the larger set number; an empty table gives an empty result; extra
 columns aren't read, and the stage carries them under any name.
 """
 
@@ -203,11 +203,11 @@ def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         cut = np.searchsorted(of[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
         part = lambda x: [x[order[cut[k] : cut[k + 1]]].tobytes() for k in full]
-        return pd.DataFrame({"part": full, "key": part(key), "token": part(token), "times": part(times.astype(np.int64))})
+        few = np.minimum(times, 0xFFFF).astype(np.uint16)  # only an order, the same for all
+        return pd.DataFrame({"part": full, "key": part(key), "token": part(token), "times": part(few)})
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        key, times = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("key", "times"))
-        token = np.frombuffer(b"".join(frame["token"]), np.uint64)
+        key, token, times = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("key", np.int64), ("token", np.uint64), ("times", np.uint16)))
         order = np.lexsort((token, times, key))
         key, token = key[order], token[order]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
@@ -222,8 +222,11 @@ def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return gathered.join(chosen.select("sid", "n"), "sid").where(F.col("m") * 100 >= F.col("n") * LEAST).select("sid", "n", "m", "tokens")
 
 
-def matrix_rows(table: DataFrame) -> DataFrame:
-    """token, sid, n, m, left: where a set can first meet another. table: members()."""
+def matrix_rows(table: DataFrame, group: str = "sid") -> DataFrame:
+    """token, sid, n, reach, and comp (the column `group`): where a set can first meet another. table: members().
+
+    reach is what the row leaves for the other set: its size may be a LEASTth of this at most, and the other's row must leave as much for its own.
+    """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -235,9 +238,10 @@ def matrix_rows(table: DataFrame) -> DataFrame:
                 place = np.concatenate([*(np.arange(k) for k in first), np.zeros(0, np.int64)]).astype(np.int64)
                 again = lambda x, first=first: np.repeat(x, first)
                 token = np.concatenate([*(t[:k] for t, k in zip(tokens, first, strict=True)), np.zeros(0, np.int64)])
-                yield pd.DataFrame({"token": token, "sid": again(some["sid"].to_numpy()), "n": again(n), "m": again(m), "left": again(m) - place})
+                reach = (again(m) - place) * (100 + LEAST) - again(n) * LEAST
+                yield pd.DataFrame({"token": token, "sid": again(some["sid"].to_numpy()), "n": again(n), "reach": reach, "comp": again(some["comp"].to_numpy())})
 
-    return table.mapInPandas(cut, "token long, sid long, n long, m long, left long")
+    return table.select("sid", "n", "m", "tokens", F.col(group).alias("comp")).mapInPandas(cut, "token long, sid long, n long, reach long, comp long")
 
 
 def each_token(table: DataFrame, name: str) -> DataFrame:
@@ -283,23 +287,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _reach():
-    """What a set's row leaves for the other set: its size may be a LEASTth of this at most, and the other's row must leave as much for its own."""
-    return F.col("left") * (100 + LEAST) - F.col("n") * LEAST
-
-
 def links(table: DataFrame) -> DataFrame:
     """key (sid), comp for sets with links. table: the written result of members()."""
-    rows = write_table(matrix_rows(table).withColumn("reach", _reach()), "matrix_rows")
-    head = rows.groupBy("token").agg(F.max(F.struct(F.col("m") / F.col("n"), -F.col("sid"), "sid", "n", "reach")).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    rows = write_table(matrix_rows(table).drop("comp"), "matrix_rows")
+    head = rows.groupBy("token").agg(F.max(F.struct(F.col("reach") / F.col("n"), "sid", "n", "reach")).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     met = rows.join(head, "token").where((F.col("sid") != F.col("head.sid")) & (F.col("reach") >= LEAST * F.col("head.n")) & (F.col("head.reach") >= LEAST * F.col("n")))
     first = write_table(met.select(F.least("sid", "head.sid").alias("a"), F.greatest("sid", "head.sid").alias("b")).distinct(), "pairs")
     linked = write_table(verified(first, table), "linked_first")
     groups = components(linked)
 
     named = groups.select(F.col("key").alias("sid"), "comp")
-    grouped = rows.join(named, "sid", "left").select("token", "sid", "n", "reach", F.coalesce("comp", "sid").alias("comp"))
-    open_rows = write_table(_open_rows(grouped), "matrix_open")
+    grouped = matrix_rows(table.join(named, "sid", "left").withColumn("group", F.coalesce("comp", "sid")).drop("comp"), "group")
+    mixed = grouped.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
+    open_rows = write_table(_open_rows(write_table(grouped.join(mixed, "token"), "matrix_mixed")), "matrix_open")
     cells = _cells(open_rows)
     meets = open_rows.join(cells.withColumnRenamed("comp", "other"), "token").where((F.col("comp") != F.col("other")) & (F.col("reach") >= LEAST * F.col("cell_n")) & (F.col("cell_reach") >= LEAST * F.col("n")))
     queries = write_table(meets.groupBy("sid", "n", F.col("other").alias("comp")).agg(F.min("cell_n").alias("cell_n")), "queries")
