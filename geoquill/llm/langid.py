@@ -1,38 +1,41 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A text's UTF-8 bytes are cut into chunks of CHUNK; in each, one network reads forwards and one backwards, every position gets
-a probability for each language, and a document's probabilities are the means over all its positions. The gates use x / (1 + |x|),
-scaled to (0, 1) for the update and reset gates: as smooth as a sigmoid for this, and several times cheaper.
+One network reads a text's UTF-8 bytes forwards and one backwards, every position gets a probability for each language, and a document's
+probabilities are the means over all its positions. So that one array operation serves many texts, they are read in chunks of CHUNK bytes; the forward
+network begins WARM bytes before its chunk and the backward one WARM bytes behind it, so that neither starts a chunk without a state.
 
-Training takes WINDOWS pieces of CHUNK characters from at most TRAIN_DOCS labelled documents in hash order. Scoring is one pass over
+Training takes WINDOWS pieces of PIECE characters from at most TRAIN_DOCS labelled documents, as many of each language, in hash order. Scoring is one pass over
 whole texts without a shuffle; a task holds one Arrow batch.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with nothing to learn from, all are `und`; null and
-repeated ids are scored like others.
+repeated ids are scored like others; of equal probabilities the first language by code point is named; texts of any length are read whole; an empty table gives an empty
+result; extra columns are carried, but lang_pred and lang_score are overwritten.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import crc_mod, hash_sample, prepare, read
+from geoquill.llm.common import crc_mod, prepare, read, unused
 
-CHUNK = 64
+CHUNK, WARM, PIECE = 128, 32, 64
 HIDDEN = 8
 TRAIN_DOCS, WINDOWS = 3000, 4
+#: Documents of a language that are taken at least, if it has them.
+LANG_DOCS = 20
 STEPS, BATCH, RATE = 500, 192, 0.01
-ROWS = 4096  # chunks that are run together
+ROWS = 2048  # chunks that are run together
 
 
-def _squash(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
-    """x / (1 + |x|), in place."""
-    room = np.abs(x, out=room)
-    room += 1
-    x /= room
-    return x
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, 80, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Reader:
@@ -47,19 +50,17 @@ class Reader:
         """bytes_ (t, n) -> yields the state (h, n) after each step; keep collects what backward needs."""
         h, n = self.h, bytes_.shape[1]
         x, u, c = self.p["x"], self.p["u"], self.p["c"]
-        state = np.zeros((h, n), np.float32)
-        g, a, room = (np.empty((3 * h, n), np.float32) for _ in range(3))
+        state = np.zeros((h, n), x.dtype)
+        g, a, room = (np.empty((3 * h, n), x.dtype) for _ in range(3))
         for row in bytes_:
             np.matmul(u, state, out=g)
             np.take(x, row, axis=1, out=a, mode="clip")
             a[: 2 * h] += g[: 2 * h]
-            _squash(a[: 2 * h], room[: 2 * h])
-            a[: 2 * h] *= 0.5
-            a[: 2 * h] += 0.5
+            _sigmoid(a[: 2 * h])
             g[2 * h :] += c
             np.multiply(a[h : 2 * h], g[2 * h :], out=room[:h])
             a[2 * h :] += room[:h]
-            _squash(a[2 * h :], room[:h])
+            np.tanh(a[2 * h :], out=a[2 * h :])
             if keep is not None:
                 keep.append((row, state, a.copy(), g[2 * h :].copy()))
             step = state - a[2 * h :]
@@ -76,9 +77,9 @@ class Reader:
         for (row, before, a, gn), d in zip(reversed(kept), reversed(dstates), strict=True):
             dh = dh + d
             z, r, n = a[:h], a[h : 2 * h], a[2 * h :]
-            dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
-            dz = dh * (before - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-            dr = dn * gn * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+            dn = dh * (1 - z) * (1 - n**2)
+            dz = dh * (before - n) * z * (1 - z)
+            dr = dn * gn * r * (1 - r)
             dg = np.concatenate([dz, dr, dn * r])
             grads["u"] += dg @ before.T
             grads["c"] += dg[2 * h :].sum(1, keepdims=True)
@@ -101,14 +102,16 @@ class LanguageModel:
     def params(self) -> list[dict[str, np.ndarray]]:
         return [self.readers[0].p, self.readers[1].p, self.out]
 
-    def probabilities(self, bytes_: np.ndarray) -> np.ndarray:
-        """(t, n) bytes -> (t, languages, n), for every position."""
-        h = self.readers[0].h
-        logits = np.empty((len(bytes_), len(self.langs), bytes_.shape[1]), np.float32)
-        for t, state in enumerate(self.readers[0].run(bytes_)):
-            np.matmul(self.out["w"][:, :h], state, out=logits[t])
-        for t, state in enumerate(self.readers[1].run(bytes_[::-1])):
-            logits[len(bytes_) - 1 - t] += self.out["w"][:, h:] @ state
+    def probabilities(self, bytes_: np.ndarray, skip: int = 0) -> np.ndarray:
+        """(t, n) bytes -> (t - 2 * skip, languages, n), for every position but the first and last `skip`, which the networks only start on."""
+        h, t = self.readers[0].h, len(bytes_) - 2 * skip
+        logits = np.empty((t, len(self.langs), bytes_.shape[1]), np.float32)
+        for k, state in enumerate(self.readers[0].run(bytes_[: skip + t]), -skip):
+            if k >= 0:
+                np.matmul(self.out["w"][:, :h], state, out=logits[k])
+        for k, state in enumerate(self.readers[1].run(bytes_[: skip - 1 if skip else None : -1]), -skip):
+            if k >= 0:
+                logits[t - 1 - k] += self.out["w"][:, h:] @ state
         logits += self.out["b"]
         logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
@@ -159,13 +162,14 @@ class LanguageModel:
         out = np.zeros((len(texts), len(self.langs)))
         if not chunks.sum():
             return out
-        data = np.frombuffer(b"".join(b.ljust(c * CHUNK, b" ") for b, c in zip(texts, chunks.tolist(), strict=True)), np.uint8).reshape(-1, CHUNK)
+        edge = b" " * WARM
+        data = np.frombuffer(b"".join(edge + b.ljust(c * CHUNK, b" ") + edge for b, c in zip(texts, chunks.tolist(), strict=True)), np.uint8)
         doc = np.repeat(np.arange(len(texts)), chunks)
         first = np.cumsum(chunks) - chunks
+        start = np.arange(len(doc)) * CHUNK + doc * 2 * WARM
         valid = np.minimum(CHUNK, lengths[doc] - (np.arange(len(doc)) - first[doc]) * CHUNK)
         for a in range(0, len(doc), ROWS):
-            part = np.ascontiguousarray(data[a : a + ROWS].T)
-            p = self.probabilities(part)
+            p = self.probabilities(data[start[a : a + ROWS] + np.arange(CHUNK + 2 * WARM)[:, None]], WARM)
             short = np.flatnonzero(valid[a : a + ROWS] < CHUNK)
             sums = p.sum(0)
             for k in short.tolist():
@@ -175,23 +179,31 @@ class LanguageModel:
         return out / np.maximum(lengths, 1)[:, None]
 
 
-def training_windows(docs: DataFrame, n_docs: int = TRAIN_DOCS, windows: int = WINDOWS, size: int = CHUNK) -> DataFrame:
-    """lang, piece: evenly spaced pieces of at most n_docs labelled documents outside the held-out third."""
-    known = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).where(crc_mod("doc_id", 3) != 1)
-    few = known.select("doc_id", "lang", F.array(*[F.expr(f"substring(text, 1 + cast(floor(greatest(length(text) - {size}, 0) * {k / max(1, windows - 1)}) as int), {size})") for k in range(windows)]).alias("pieces"))
-    cheap = docs.where("lang is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1).select("doc_id")
-    return hash_sample(few, n_docs, "doc_id", total=cheap).select("lang", F.explode("pieces").alias("piece"))
+def training_windows(docs: DataFrame, n_docs: int = TRAIN_DOCS, windows: int = WINDOWS, size: int = PIECE) -> DataFrame:
+    """lang, piece: evenly spaced pieces of at most n_docs labelled documents outside the held-out third, or LANG_DOCS of each language if that is more."""
+    named = docs.where("lang is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1)
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    each = max(LANG_DOCS, n_docs // max(1, len(counts)))
+    # A threshold on a hash lets about 1.5 times as many through, so the sort below meets a bounded number of rows.
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    limits = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit((1 << 32) if n <= 2 * each else int((1 << 32) * 1.5 * each / n)))]
+    known = named.where(u < F.element_at(F.create_map(*limits), F.col("lang"))) if limits else named
+    known = known.where(F.col("text").rlike(r"\p{L}"))
+    pieces = F.array(*[F.expr(f"substring(text, 1 + cast(floor(greatest(length(text) - {size}, 0) * {k / max(1, windows - 1)}) as int), {size})") for k in range(windows)])
+    few = known.select("doc_id", "lang", pieces.alias("pieces"), F.row_number().over(Window.partitionBy("lang").orderBy(u, "doc_id")).alias("nr")).where(F.col("nr") <= each)
+    return few.select("lang", F.explode("pieces").alias("piece"))
 
 
 def fit(docs: DataFrame) -> LanguageModel | None:
-    rows = training_windows(docs).collect()  # at most TRAIN_DOCS * WINDOWS pieces of CHUNK characters
-    langs = sorted({r["lang"] for r in rows})
+    rows = training_windows(docs.select("doc_id", "lang", "text")).collect()  # bounded: see training_windows
+    rows = sorted((r["lang"], r["piece"]) for r in rows)
+    langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
-    pieces = [r["piece"].encode()[:CHUNK] for r in rows]
-    data = np.frombuffer(b"".join(p.ljust(CHUNK, b" ") for p in pieces), np.uint8).reshape(-1, CHUNK)
+    pieces = [piece.encode()[:PIECE] for _, piece in rows]
+    data = np.frombuffer(b"".join(p.ljust(PIECE, b" ") for p in pieces), np.uint8).reshape(-1, PIECE)
     model = LanguageModel(langs)
-    model.train(data, np.array([len(p) for p in pieces]), np.array([langs.index(r["lang"]) for r in rows]))
+    model.train(data, np.array([len(p) for p in pieces]), np.array([langs.index(lang) for lang, _ in rows]))
     return model
 
 
@@ -206,8 +218,9 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return pd.DataFrame({"lang": [model.langs[k] for k in p.argmax(1)], "score": np.clip(p.max(1), 0, 1)})
 
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("best_", best("text"))
-    return out.withColumns({"lang_pred": F.when(known, F.col("best_.lang")).otherwise("und"), "lang_score": F.when(known, F.col("best_.score")).otherwise(0.0)}).drop("best_")
+    (name,) = unused(docs, "best_")
+    out = docs.withColumn(name, best("text"))
+    return out.withColumns({"lang_pred": F.when(known, F.col(f"{name}.lang")).otherwise("und"), "lang_score": F.when(known, F.col(f"{name}.score")).otherwise(0.0)}).drop(name)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """Lossless WebP (VP8L) in numpy: a decoder of the whole format and an encoder for what media columns store.
 
 Pixels are uint32 ARGB in arrays of (height, width). The decoder reads prefix codes, back-references and the colour cache, meta prefix
-groups, and inverts predictor, cross-colour, subtract-green and palette transforms. Streams whose codes all have one length and that have neither
-references nor groups, such as the encoder's default, are decoded by array operations.
+groups, and inverts predictor, cross-colour, subtract-green and palette transforms. Files are decoded many at a time: each is parsed up to its next entropy-coded
+image, and the images of all files then advance together, a pixel of each at a step, by array operations; the few longest, and images with meta
+prefix groups, are read pixel by pixel.
+
+The encoder takes the cheapest of four forms by the entropy of its channels (as it is, green subtracted, predicted from the row above or the pixel before, or a
+palette), finds back-references by hashes of three pixels, sends repeated pixels through the colour cache, and gives every channel a prefix code of mixed lengths.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
-from collections.abc import Sequence
+from collections.abc import Generator, Sequence
 
 import numpy as np
 
@@ -20,76 +26,52 @@ BLACK = 0xFF000000
 PREDICTOR, CROSS, SUBTRACT_GREEN, PALETTE = range(4)
 
 
+#: Fewer images than this are read pixel by pixel.
+FEW = 16
+
+
 class Bits:
     """Reads little-endian bit fields."""
 
     def __init__(self, data: bytes) -> None:
-        self.data, self.at = data, 0
-        self.window, self.held, self.byte = 0, 0, 0
+        self.data, self.at, self.size = data + bytes(16), 0, 8 * len(data)
 
     def read(self, n: int) -> int:
-        while self.held < n:
-            chunk = self.data[self.byte : self.byte + 8]
-            if not chunk:
-                if self.held + 64 < n or self.byte > len(self.data) + 64:
-                    raise ValueError("the stream ends early")
-                chunk = b"\0" * 8
-            self.window |= int.from_bytes(chunk, "little") << self.held
-            self.held += 8 * len(chunk)
-            self.byte += len(chunk)
-        out = self.window & ((1 << n) - 1)
-        self.window >>= n
-        self.held -= n
-        self.at += n
+        out = int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 8], "little") >> (self.at & 7) & ((1 << n) - 1)
+        self.seek(self.at + n)
         return out
 
     def seek(self, bit: int) -> None:
-        self.at, self.byte, self.window, self.held = bit, bit >> 3, 0, 0
-        if bit & 7:
-            self.at -= bit & 7
-            self.read(bit & 7)
+        if bit > self.size:
+            raise ValueError("the stream ends early")
+        self.at = bit
+
+
+@functools.cache
+def _reversed(n: int) -> np.ndarray:
+    """All numbers of n bits, with their bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
 class Prefix:
-    """A canonical prefix code from its lengths: symbols by (length, code)."""
+    """A canonical prefix code from its lengths. table: 16 * symbol + length by the next `bits` bits of the stream."""
 
     def __init__(self, lengths: Sequence[int]) -> None:
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
-        if not len(used):
-            used = np.array([0])
-        self.symbols = used[np.argsort(lengths[used], kind="stable")]
-        sizes = lengths[self.symbols]
-        self.single = int(self.symbols[0]) if len(used) == 1 else None
-        if self.single is None and sum(2.0 ** -sizes) != 1.0:
+        if len(used) <= 1:
+            self.bits, self.table = 0, np.array([16 * (int(used[0]) if len(used) else 0)], np.int64)
+            return
+        symbols = used[np.argsort(lengths[used], kind="stable")]
+        sizes = lengths[symbols].astype(np.int64)
+        self.bits = int(sizes[-1])
+        each = 1 << (self.bits - sizes)
+        if each.sum() != 1 << self.bits:
             raise ValueError("the prefix code isn't complete")
-        #: The length of all codes, or None where they differ.
-        self.uniform = 0 if self.single is not None else int(sizes[0]) if sizes[0] == sizes[-1] else None
-        self.sizes, self.by_code = sizes, None
-
-    def table(self) -> dict[tuple[int, int], int]:
-        """Symbols by (length, code); for codes of one length by (length, code read as a little-endian field)."""
-        made, code, last = {}, 0, 0
-        for s, n in zip(self.symbols.tolist(), self.sizes.tolist(), strict=True):
-            code <<= n - last
-            last = n
-            made[n, int(f"{code:0{n}b}"[::-1], 2) if self.uniform else code] = s
-            code += 1
-        return made
-
-    def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        if self.by_code is None:
-            self.by_code = self.table()
-        if self.uniform:
-            return self.by_code[self.uniform, bits.read(self.uniform)]
-        code = 0
-        for n in range(1, int(self.sizes[-1]) + 1):
-            code = code << 1 | bits.read(1)
-            if (n, code) in self.by_code:
-                return self.by_code[n, code]
-        raise ValueError("no such prefix code")
+        self.table = np.repeat(16 * symbols + sizes, each)[_reversed(self.bits)]
 
 
 def read_prefix(bits: Bits, size: int) -> Prefix:
@@ -104,103 +86,233 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         of[k] = bits.read(3)
     code = Prefix(of)
+    table, mask = code.table.tolist(), (1 << code.bits) - 1
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, before = 0, 8
+    at, before, data, place = 0, 8, bits.data, bits.at
+    window, held = 0, 0
     while at < size and left > 0:
         left -= 1
-        s = code.read(bits)
+        if held < 14:  # a symbol and its extra bits
+            window, held = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7), 64 - (place & 7)
+        entry = table[window & mask]
+        s = entry >> 4
         if s < 16:
             lengths[at] = s
             at += 1
-            before = s or before
-            continue
-        value, n = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + n > size:
-            raise ValueError("a run of code lengths is too long")
-        lengths[at : at + n] = [value] * n
-        at += n
+            if s:
+                before = s
+            n = entry & 15
+        else:
+            n, (extra, least) = entry & 15, ((2, 3), (3, 3), (7, 11))[s - 16]
+            times = least + (window >> n & ((1 << extra) - 1))
+            n += extra
+            if at + times > size:
+                raise ValueError("a run of code lengths is too long")
+            if s == 16:
+                lengths[at : at + times] = [before] * times
+            at += times
+        window >>= n
+        held -= n
+        place += n
+    bits.seek(place)
     return Prefix(lengths)
 
 
-def _value(symbol: int, bits: Bits) -> int:
-    """Lengths and distances: a prefix symbol and extra bits."""
-    if symbol < 4:
-        return symbol + 1
-    extra = symbol - 2 >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
+class Image:
+    """An entropy-coded image that waits to be read: where it begins, its codes by group, and what groups there are."""
 
+    def __init__(self, bits: Bits, width: int, total: int, cache_bits: int, codes: list[list[Prefix]], groups: list[int] | None, group_bits: int) -> None:
+        self.bits, self.width, self.total, self.cache_bits, self.codes, self.groups, self.group_bits = bits, width, total, cache_bits, codes, groups, group_bits
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image, flat."""
+
+def parse_image(bits: Bits, width: int, height: int, main: bool) -> Generator[Image, np.ndarray, np.ndarray]:
+    """Gives the images to be read, the last of them this one; is sent their pixels, and returns its own, flat."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, group_bits, across = None, 0, 0
+    groups, group_bits = None, 0
     if main and bits.read(1):
         group_bits = bits.read(3) + 2
-        across = (width + (1 << group_bits) - 1) >> group_bits
-        groups = (read_pixels(bits, across, (height + (1 << group_bits) - 1) >> group_bits, False) >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
+        numbers = yield from parse_image(bits, (width + (1 << group_bits) - 1) >> group_bits, (height + (1 << group_bits) - 1) >> group_bits, False)
+        groups = (numbers >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_prefix(bits, n) for n in sizes] for _ in range(1 + max(groups or [0]))]
-    total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    lengths = [c.uniform for c in (green, red, blue, alpha)]
-    if groups is None and not cache_bits and None not in lengths and green.symbols.max() < 256:
-        return _uniform(bits, total, (green, red, blue, alpha))
-    out, cache, n = [0] * total, [0] * (1 << cache_bits), 0
-    cached = 0  # pixels already put in the cache
+    return (yield Image(bits, width, width * height, cache_bits, codes, groups, group_bits))
+
+
+def _distance(code: int, width: int) -> int:
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+class Progress:
+    """How far an image is: pixels, the next one's number, bit, what is left to copy from how far back, and the cache."""
+
+    def __init__(self, pixels: list[int], n: int, at: int, left: int, far: int, cache: list[int]) -> None:
+        self.pixels, self.n, self.at, self.left, self.far, self.cache = pixels, n, at, left, far, cache
+
+
+def read_on(image: Image, now: Progress) -> np.ndarray:
+    """Reads the rest of an image pixel by pixel."""
+    data, at, n, out, cache = image.bits.data, now.at, now.n, now.pixels, now.cache
+    total, width, shift = image.total, image.width, 32 - image.cache_bits
+    codes = [[(c.table.tolist(), (1 << c.bits) - 1) for c in group] for group in image.codes]
+    groups, block = image.groups, image.group_bits
+    across = (width + (1 << block) - 1) >> block
+    (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (away, away_mask) = codes[0]
+    left, far = now.left, now.far
     while n < total:
+        if left:
+            end = n + left
+            for k in range(n, end):
+                out[k] = p = out[k - far]
+                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+            n, left = end, 0
+            continue
         if groups is not None:
-            green, red, blue, alpha, distance = codes[groups[(n // width >> group_bits) * across + (n % width >> group_bits)]]
-        else:
-            green, red, blue, alpha, distance = codes[0]
-        s = green.read(bits)
+            (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (away, away_mask) = codes[groups[(n // width >> block) * across + (n % width >> block)]]
+        window = int.from_bytes(data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)
+        e = green[window & green_mask]
+        window >>= e & 15
+        at += e & 15
+        s = e >> 4
         if s < 256:
-            r, b = red.read(bits), blue.read(bits)
-            out[n] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
-            n += 1
+            e = red[window & red_mask]
+            window >>= e & 15
+            f = blue[window & blue_mask]
+            window >>= f & 15
+            g = alpha[window & alpha_mask]
+            at += (e & 15) + (f & 15) + (g & 15)
+            p = g >> 4 << 24 | e >> 4 << 16 | s << 8 | f >> 4
         elif s < 280:
-            length, far = _value(s - 256, bits), _value(distance.read(bits), bits)
-            if far > 120:
-                far -= 120
-            else:
-                x, y = NEAR[far - 1]
-                far = max(1, x + y * width)
-            if far > n or n + length > total:
+            s -= 256
+            extra = max(0, s - 2 >> 1)
+            left = (s if s < 4 else ((2 + (s & 1)) << extra) + (window & ((1 << extra) - 1))) + 1
+            at += extra
+            window = int.from_bytes(data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)
+            e = away[window & away_mask]
+            window >>= e & 15
+            s = e >> 4
+            extra = max(0, s - 2 >> 1)
+            far = _distance((s if s < 4 else ((2 + (s & 1)) << extra) + (window & ((1 << extra) - 1))) + 1, width)
+            at += (e & 15) + extra
+            if far > n or n + left > total:
                 raise ValueError("a reference leaves the image")
-            for k in range(n, n + length):
-                out[k] = out[k - far]
-            n += length
+            continue
         else:
-            while cached < n:
-                cache[(CACHE_FACTOR * out[cached] & 0xFFFFFFFF) >> 32 - cache_bits] = out[cached]
-                cached += 1
-            out[n] = cache[s - 280]
-            n += 1
+            p = cache[s - 280]
+        out[n] = p
+        cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+        n += 1
+        if at > image.bits.size:
+            raise ValueError("the stream ends early")
+    image.bits.seek(at)
     return np.array(out, np.uint32)
 
 
-def _uniform(bits: Bits, total: int, codes: Sequence[Prefix]) -> np.ndarray:
-    """Pixels whose channels have codes of one length each: every pixel has the same number of bits."""
-    each = sum(c.uniform for c in codes)
-    first, last = bits.at >> 3, (bits.at + each * total + 7) >> 3
-    if last > len(bits.data):
-        raise ValueError("the stream ends early")
-    field = np.unpackbits(np.frombuffer(bits.data, np.uint8, last - first, first), bitorder="little")[bits.at & 7 :][: each * total].reshape(total, each)
-    out, at = np.zeros(total, np.uint32), 0
-    for code, shift in zip(codes, (8, 16, 0, 24), strict=True):
-        rank = np.zeros(total, np.uint16)
-        for k in range(at, at + code.uniform):
-            rank = rank << 1 | field[:, k]
-        out |= code.symbols.astype(np.uint32)[rank] << np.uint32(shift)
-        at += code.uniform
-    bits.seek(bits.at + each * total)
+def _fresh(image: Image) -> Progress:
+    return Progress([0] * image.total, 0, image.bits.at, 0, 0, [0] * (1 << image.cache_bits))
+
+
+def read_together(images: list[Image]) -> list[np.ndarray]:
+    """The pixels of many images: one of each at a step, by array operations, as long as there are FEW at least."""
+    order = sorted((k for k in range(len(images)) if images[k].groups is None), key=lambda k: -images[k].total)
+    out: list = [None] * len(images)
+    if len(order) >= FEW:
+        for k, pixels in zip(order, _steps([images[k] for k in order]), strict=True):
+            out[k] = pixels
+    return [read_on(i, _fresh(i)) if p is None else p for i, p in zip(images, out, strict=True)]
+
+
+def _steps(images: list[Image]) -> list[np.ndarray]:
+    """images: the longest first, without groups."""
+    parts = [i.bits.data for i in images]
+    starts = np.cumsum([0, *(len(x) for x in parts)])
+    raw = np.frombuffer(b"".join(parts) + bytes(8), np.uint8).astype(np.uint64)
+    words = raw[: len(raw) - 7].copy()
+    for k in range(1, 8):
+        words |= raw[k : len(raw) - 7 + k] << np.uint64(8 * k)
+    tables = [c for i in images for c in i.codes[0]]
+    ends = np.cumsum([0, *(len(c.table) for c in tables)])
+    table = np.concatenate([c.table for c in tables])
+    base = ends[:-1].reshape(-1, 5).T.copy()
+    mask = np.array([(1 << c.bits) - 1 for c in tables], np.uint64).reshape(-1, 5).T.copy()
+    pos = np.array([i.bits.at for i in images], np.int64) + 8 * starts[:-1]
+    last = np.array([i.bits.size for i in images], np.int64) + 8 * starts[:-1]
+    totals = [i.total for i in images]
+    total, width = np.array(totals), np.array([i.width for i in images])
+    offset = np.cumsum([0, *totals])
+    pixels = np.zeros(offset[-1], np.int64)
+    slots = np.cumsum([0, *(1 << i.cache_bits for i in images)])
+    cache, shift = np.zeros(slots[-1], np.int64), np.array([32 - i.cache_bits for i in images])
+    left, far = np.zeros(len(images), np.int64), np.ones(len(images), np.int64)
+    near = np.array(NEAR)
+
+    def peek(p: np.ndarray) -> np.ndarray:
+        return words[p >> 3] >> (p & 7).astype(np.uint64)
+
+    def value(symbol: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.maximum(0, (symbol - 2) >> 1)
+        more = (peek(p) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, p + extra
+
+    k, n = len(images), 0
+    while k >= FEW:
+        p, copying = pos[:k], left[:k] > 0
+        w = peek(p)
+        e = table[base[0, :k] + (w & mask[0, :k]).astype(np.int64)]
+        symbol, size = e >> 4, e & 15
+        w >>= size.astype(np.uint64)
+        r = table[base[1, :k] + (w & mask[1, :k]).astype(np.int64)]
+        w >>= (r & 15).astype(np.uint64)
+        b = table[base[2, :k] + (w & mask[2, :k]).astype(np.int64)]
+        p1 = p + size
+        p3 = p1 + (r & 15) + (b & 15)
+        a = table[base[3, :k] + (peek(np.minimum(p3, last[:k])) & mask[3, :k]).astype(np.int64)]
+        plain = symbol < 256
+        new = np.where(plain, (a >> 4) << 24 | (r >> 4) << 16 | symbol << 8 | b >> 4, cache[slots[:k] + np.where(plain, 0, np.maximum(symbol - 280, 0)) * ~copying])
+        pos[:k] = np.where(copying, p, np.where(plain, p3 + (a & 15), p1))
+        refs = np.flatnonzero(~copying & ~plain & (symbol < 280))
+        if len(refs):
+            length, q = value(symbol[refs] - 256, pos[refs])
+            e = table[base[4, refs] + (peek(q) & mask[4, refs]).astype(np.int64)]
+            code, q = value(e >> 4, q + (e & 15))
+            at = near[np.minimum(code, len(near)) - 1]
+            back = np.where(code > len(near), code - len(near), np.maximum(1, at[:, 0] + at[:, 1] * width[refs]))
+            if (back > n).any() or (n + length > total[refs]).any():
+                raise ValueError("a reference leaves the image")
+            pos[refs], left[refs], far[refs] = q, length, back
+            copying[refs] = True
+        if copying.any():
+            new = np.where(copying, pixels[offset[:k] + np.maximum(n - far[:k], 0)], new)
+            left[:k] -= copying
+        pixels[offset[:k] + n] = new
+        cache[slots[:k] + ((CACHE_FACTOR * new & 0xFFFFFFFF) >> shift[:k])] = new
+        if (pos[:k] > last[:k]).any():
+            raise ValueError("the stream ends early")
+        n += 1
+        while k and totals[k - 1] <= n:
+            k -= 1
+    out = []
+    for j, i in enumerate(images):
+        i.bits.seek(int(pos[j] - 8 * starts[j]))
+        own = pixels[offset[j] : offset[j + 1]]
+        if i.total > n:
+            out.append(read_on(i, Progress(own.tolist(), n, i.bits.at, int(left[j]), int(far[j]), cache[slots[j] : slots[j + 1]].tolist())))
+        else:
+            out.append(own.astype(np.uint32))
     return out
 
 
+def _octets(pixels: np.ndarray) -> np.ndarray:
+    """(n, 4) uint8 of alpha, red, green, blue."""
+    return np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(*pixels.shape, 4)[..., ::-1]
+
+
 def _channels(pixels: np.ndarray) -> np.ndarray:
-    """(n, 4) int32 of alpha, red, green, blue."""
-    return np.stack([pixels >> np.uint32(s) & np.uint32(255) for s in (24, 16, 8, 0)], -1).astype(np.int32)
+    return _octets(pixels).astype(np.int32)
 
 
 def _pixels(channels: np.ndarray) -> np.ndarray:
@@ -269,8 +381,8 @@ def _cross(pixels: np.ndarray, width: int, height: int, elements: np.ndarray, bi
     return _pixels(c)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels (height, width) of a lossless WebP file."""
+def parse(data: bytes) -> Generator[Image, np.ndarray, np.ndarray]:
+    """Gives the images of a lossless WebP file one after the other, is sent their pixels, and returns the file's pixels (height, width)."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or len(data) < 25:
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -289,17 +401,17 @@ def decode(data: bytes) -> np.ndarray:
         seen.add(kind)
         if kind in (PREDICTOR, CROSS):
             block = bits.read(3) + 2
-            part = read_pixels(bits, (coded + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block, False)
+            part = yield from parse_image(bits, (coded + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block, False)
             undo.append((kind, coded, part, block))
         elif kind == PALETTE:
             n = bits.read(8) + 1
-            table = _pixels(np.cumsum(_channels(read_pixels(bits, n, 1, False)), 0))
+            table = _pixels(np.cumsum(_channels((yield from parse_image(bits, n, 1, False))), 0))
             bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, coded, table, bundle))
             coded = (coded + (1 << bundle) - 1) >> bundle
         else:
             undo.append((kind, coded, None, 0))
-    pixels = read_pixels(bits, coded, height, True)
+    pixels = yield from parse_image(bits, coded, height, True)
     for kind, wide, extra, b in reversed(undo):
         if kind == PREDICTOR:
             pixels = _predict(pixels, wide, height, extra, b, True)
@@ -314,6 +426,26 @@ def decode(data: bytes) -> np.ndarray:
     return pixels.reshape(height, width)
 
 
+def decode_many(files: Sequence[bytes]) -> list[np.ndarray]:
+    """The pixels (height, width) of lossless WebP files."""
+    out: list = [None] * len(files)
+    waiting = [(k, g, next(g)) for k, g in enumerate(map(parse, files))]
+    while waiting:
+        read, still = read_together([image for _, _, image in waiting]), []
+        for (k, g, _), pixels in zip(waiting, read, strict=True):
+            try:
+                still.append((k, g, g.send(pixels)))
+            except StopIteration as done:
+                out[k] = done.value
+        waiting = still
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels (height, width) of a lossless WebP file."""
+    return decode_many([data])[0]
+
+
 def _unbundle(pixels: np.ndarray, width: int, height: int, table: np.ndarray, bundle: int) -> np.ndarray:
     per, each = 1 << bundle, 8 >> bundle
     green = (pixels >> np.uint32(8) & np.uint32(255)).reshape(height, -1)
@@ -336,65 +468,91 @@ class Writer:
             self.value >>= 8 * whole
             self.n -= 8 * whole
 
+    def fields(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many fields at once."""
+        of = np.repeat(np.arange(len(values)), sizes)
+        if not len(of):
+            return
+        place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        packed = np.packbits((values[of] >> place & 1).astype(np.uint8), bitorder="little").tobytes()
+        self.put(int.from_bytes(packed, "little"), len(of))
+
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
-def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """Symbols that spell code lengths, each with its extra value and that value's bits: runs of zeros by 17 and 18, repeats by 16."""
-    edges = np.flatnonzero(np.diff(lengths)) + 1
-    out = []
-    for at, end in zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)], strict=True):
-        n, left = int(lengths[at]), end - at
-        if n:
-            out.append((n, 0, 0))
-            left -= 1
-        while left >= 3:
-            part = min(left, 138 if not n else 6)
-            out.append((16, part - 3, 2) if n else (17, part - 3, 3) if part < 11 else (18, part - 11, 7))
-            left -= part
-        out += [(n, 0, 0)] * left
-    return out
+#: A run of zeros that one symbol spells, or a length.
+SPELT = re.compile(rb"\x00{3,138}|[\x00-\x0f]")
 
 
 def write_lengths(w: Writer, lengths: np.ndarray) -> None:
-    """A prefix code: simple where it has one symbol below 256, else its lengths in runs, under a code of one length."""
+    """A prefix code: simple where it has one symbol below 256, else its lengths, runs of zeros by 17 and 18, under a code of one length."""
     used = np.flatnonzero(lengths)
     if len(used) == 1 and used[0] < 256:
-        w.put(0b101, 3)
-        w.put(int(used[0]), 8)
+        w.put(0b101 | int(used[0]) << 3, 11)
         return
-    spelt = _runs(lengths)
-    kinds = sorted({s for s, _, _ in spelt})
+    runs = SPELT.findall(np.asarray(lengths, np.uint8).tobytes())
+    symbols = [x[0] if (n := len(x)) < 3 else 17 if n < 11 else 18 for x in runs]
+    kinds = sorted(set(symbols))
     size = max(1, (len(kinds) - 1).bit_length())
     if len(kinds) > 1:
         kinds = sorted(kinds + [k for k in range(19) if k not in kinds][: (1 << size) - len(kinds)])
-    w.put(0, 1)
-    w.put(15, 4)
-    for k in LENGTH_ORDER:
-        w.put(size if k in kinds else 0, 3)
-    w.put(0, 1)
-    rank = {k: int(f"{i:0{size}b}"[::-1], 2) for i, k in enumerate(kinds)}
-    for s, extra, n in spelt:
-        if len(kinds) > 1:
-            w.put(rank[s], size)
-        if n:
-            w.put(extra, n)
-
-
-def uniform_lengths(counts: np.ndarray) -> np.ndarray:
-    """One length for every symbol that occurs, with others added to fill the code."""
+    w.put(15 << 1, 5)
+    w.put(sum((size if k in kinds else 0) << 3 * at for at, k in enumerate(LENGTH_ORDER)), 3 * len(LENGTH_ORDER))
+    code = dict(zip(kinds, _reversed(size).tolist(), strict=False))
+    size *= len(kinds) > 1
+    value, n = 0, 1
+    for x, s in zip(runs, symbols, strict=True):
+        value |= code[s] << n
+        n += size
+        if s == 17:
+            value |= (len(x) - 3) << n
+            n += 3
+        elif s == 18:
+            value |= (len(x) - 11) << n
+            n += 7
+    w.put(value, n)
+
+
+def mixed_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a complete prefix code, at most 15: the rounded-up information of each symbol, shortened, common symbols first, until the code is full."""
+    out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
-    n = (len(used) - 1).bit_length()
-    out = np.zeros(len(counts), int)
-    if not n:
+    if len(used) <= 1:
         out[used[:1] if len(used) else 0] = 1
         return out
-    out[used] = n
-    out[np.flatnonzero(out == 0)[: (1 << n) - len(used)]] = n
+    c = np.maximum(counts[used], -(-int(counts.sum()) // (1 << 13))).astype(np.float64)
+    sizes = np.maximum(1, np.ceil(np.log2(c.sum() / c))).astype(np.int64)
+    most = int(sizes.max())
+    room = (1 << most) - int((1 << (most - sizes)).sum())
+    order = np.argsort(-c, kind="stable").tolist()
+    sizes = sizes.tolist()
+    while room:
+        for k in order:
+            gain = 1 << (most - sizes[k])
+            if gain <= room and sizes[k] > 1:
+                sizes[k] -= 1
+                room -= gain
+                if not room:
+                    break
+    out[used] = sizes
     return out
 
 
+def code_words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol the bits of its code, first one lowest, and their number; none where there is one symbol."""
+    words, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        symbols = used[np.argsort(lengths[used], kind="stable")]
+        size = lengths[symbols]
+        most = int(size[-1])
+        each = 1 << (most - size)
+        words[symbols] = _reversed(most)[np.cumsum(each) - each]
+        sizes[symbols] = size
+    return words, sizes
+
+
 def _start(w: Writer, width: int, height: int) -> None:
     w.put(0x2F, 8)
     w.put(width - 1, 14)
@@ -408,27 +566,162 @@ def _file(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(stream)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream
 
 
+def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and distances as prefix symbols, extra values and their numbers of bits."""
+    v = values - 1
+    top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+    extra = np.maximum(top - 1, 0)
+    second = v >> extra & 1
+    small = v < 4
+    return np.where(small, v, 2 * top + second), np.where(small, 0, v & ((1 << extra) - 1)), np.where(small, 0, extra)
+
+
+@functools.cache
+def _near_codes(width: int) -> dict[int, int]:
+    """The codes of the distances that the neighbourhood names."""
+    out: dict[int, int] = {}
+    for code in range(1, len(NEAR) + 1):
+        out.setdefault(_distance(code, width), code)
+    return out
+
+
+def _before(values: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same value, or -1."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1)
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def references(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """Place, length and distance of back-references, from left to right: runs of three pixels and more that stand at the last place where their first three do."""
+    if len(flat) < 4:
+        return []
+    p = flat.astype(np.uint64)
+    triple = p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ p[2:] * np.uint64(0x165667B19E3779F9)
+    back = _before(triple)
+    out, at = [], 0
+    for n in np.flatnonzero(back >= 0).tolist():
+        if n < at:
+            continue
+        q = int(back[n])
+        size, step = 0, 64
+        while size < 4096 and n + size < len(flat):
+            a, b = flat[n + size : n + size + step], flat[q + size : q + size + step][: len(flat) - n - size]
+            differ = np.flatnonzero(a[: len(b)] != b)
+            size += int(differ[0]) if len(differ) else len(b)
+            if len(differ) or not len(b):
+                break
+        size = min(size, 4096)
+        if size >= 3:
+            out.append((n, size, n - q))
+            at = n + size
+    return out
+
+
+def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
+    """An entropy-coded image with references, a colour cache where it helps, and a code of mixed lengths for each channel."""
+    refs = references(flat)
+    copied = np.zeros(len(flat) + 1, np.int64)
+    for n, size, _ in refs:
+        copied[n] += 1
+        copied[n + size] -= 1
+    alone = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
+    bits = min(8, max(1, len(flat).bit_length() - 2))
+    slot = (np.uint64(CACHE_FACTOR) * flat.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
+    last = _before(slot)
+    hit = np.zeros(len(flat), bool)
+    hit[last >= 0] = flat[last[last >= 0]] == flat[last >= 0]
+    channels = _octets(flat)
+    if (channels.min(0) == channels.max(0))[[0, 1, 3]].all() or hit[alone].sum() < 8:  # one channel alone costs no more than the cache
+        hit[:], bits = False, 0
+    cached = alone[hit[alone]]
+    plain = alone[~hit[alone]]
+    n, size, far = (np.array(x, np.int64) for x in (zip(*refs, strict=True) if refs else ((), (), ())))
+    near = _near_codes(width)
+    size_symbol, size_extra, size_bits = _split(size)
+    far_symbol, far_extra, far_bits = _split(np.array([near.get(d, d + len(NEAR)) for d in far.tolist()], np.int64))
+    green = np.bincount(np.concatenate([channels[plain, 2], 256 + size_symbol, 280 + slot[cached]]), minlength=280 + (1 << bits if bits else 0))
+    lengths = [mixed_lengths(green), *(mixed_lengths(np.bincount(channels[plain, c], minlength=256)) for c in (1, 3, 0)), mixed_lengths(np.bincount(far_symbol, minlength=40))]
+    w.put(1 if bits else 0, 1)
+    if bits:
+        w.put(bits, 4)
+    if main:
+        w.put(0, 1)
+    for one in lengths:
+        write_lengths(w, one)
+    words = [code_words(one) for one in lengths]
+    value, count = np.zeros((len(flat), 4), np.int64), np.zeros((len(flat), 4), np.int64)
+    for k, c in enumerate((2, 1, 3, 0)):
+        value[plain, k], count[plain, k] = words[k][0][channels[plain, c]], words[k][1][channels[plain, c]]
+    value[cached, 0], count[cached, 0] = words[0][0][280 + slot[cached]], words[0][1][280 + slot[cached]]
+    if refs:
+        value[n] = np.stack([words[0][0][256 + size_symbol], size_extra, words[4][0][far_symbol], far_extra], 1)
+        count[n] = np.stack([words[0][1][256 + size_symbol], size_bits, words[4][1][far_symbol], far_bits], 1)
+    w.fields(value.ravel(), count.ravel())
+
+
+def _cost(octets: np.ndarray) -> float:
+    """Bits of pixels (n, 4) by the entropy of their channels."""
+    n = np.bincount((octets + np.arange(0, 1024, 256, dtype=np.int32)).ravel(), minlength=1024)
+    n = n[n > 0]
+    return float((n * np.log2(len(octets) / n)).sum()) + 5 * len(n)
+
+
+def _subtracted(octets: np.ndarray, width: int, form: int | tuple[int, int]) -> np.ndarray:
+    """What a form leaves of pixels (n, 4): green taken away, or the prediction of mode 1 (left) or 2 (above) all over the image."""
+    out = octets.copy()
+    if form == SUBTRACT_GREEN:
+        out[:, 1::2] -= octets[:, 2:3]
+        return out
+    out[0, 0] = (int(octets[0, 0]) + 1) & 255  # less 255
+    if form[1] == 2:
+        out[1:width] -= octets[: min(width, len(out)) - 1]
+        out[width:] -= octets[: max(0, len(out) - width)]
+    else:
+        out[1:] -= octets[:-1]
+        if len(out) > width:
+            out[width::width] = octets[width::width] - octets[:-width:width]
+    return out
+
+
 def encode(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of pixels (height, width) by codes of one length for each channel, written by array operations."""
+    """A lossless WebP file of pixels (height, width), in the form that the entropy of its channels says is the smallest."""
     height, width = pixels.shape
-    flat = pixels.ravel()
+    flat = np.ascontiguousarray(pixels).ravel()
     w = Writer()
     _start(w, width, height)
-    w.put(0, 3)  # no transform, no cache, no groups
-    fields = []
-    for shift, size in ((8, 280), (16, 256), (0, 256), (24, 256)):
-        channel = (flat >> np.uint32(shift)).astype(np.uint8)
-        lengths = uniform_lengths(np.bincount(channel, minlength=size))
-        write_lengths(w, lengths)
-        if np.count_nonzero(lengths) > 1:
-            n = int(lengths.max())
-            rank = np.zeros(256, np.uint16)
-            rank[np.flatnonzero(lengths[:256])] = np.arange(np.count_nonzero(lengths[:256]))
-            fields.append((rank[:, None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8)[channel])
-    write_lengths(w, np.array([1]))
-    head, loose = w.bytes(), w.n & 7
-    if not fields:
-        return _file(head)
-    body = np.concatenate(fields, 1).ravel()
-    tail = np.unpackbits(np.frombuffer(head[-1:], np.uint8), bitorder="little")[:loose] if loose else np.zeros(0, np.uint8)
-    return _file((head[:-1] if loose else head) + np.packbits(np.concatenate([tail, body]), bitorder="little").tobytes())
+    table, index = np.unique(flat, return_inverse=True)
+    octets = _octets(flat)
+    forms = [(_cost(octets), -1, octets)]
+    for form, more in ((SUBTRACT_GREEN, 0), ((PREDICTOR, 1), 60), ((PREDICTOR, 2), 60)):
+        left = _subtracted(octets, width, form)
+        forms.append((_cost(left) + more, form, left))
+    if len(table) <= 256:
+        steps = _octets(table).copy()
+        steps[1:] -= _octets(table)[:-1]
+        forms.append((_cost(steps) + _cost(_octets(index.astype(np.uint32) << np.uint32(8))), PALETTE, steps))
+    _, form, left = min(forms, key=lambda x: x[0])
+    left = flat if form == -1 else _pixels(left)
+    wide = width
+    if form == PALETTE:
+        w.put(1 | PALETTE << 1, 3)
+        w.put(len(table) - 1, 8)
+        write_image(w, left, len(table), False)
+        bundle = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
+        wide = (width + (1 << bundle) - 1) >> bundle
+        cells = np.zeros((height, wide << bundle), np.int64)
+        cells[:, :width] = index.reshape(height, width)
+        left = ((cells.reshape(height, wide, 1 << bundle) << ((8 >> bundle) * np.arange(1 << bundle))).sum(2).ravel().astype(np.uint32) << np.uint32(8)) | np.uint32(BLACK)
+    elif form == SUBTRACT_GREEN:
+        w.put(1 | SUBTRACT_GREEN << 1, 3)
+    elif form != -1:
+        w.put(1 | PREDICTOR << 1, 3)
+        w.put(7, 3)
+        block = 1 << 9
+        cells = ((width + block - 1) // block) * ((height + block - 1) // block)
+        write_image(w, np.full(cells, BLACK | form[1] << 8, np.uint32), (width + block - 1) // block, False)
+    w.put(0, 1)
+    write_image(w, left, wide, True)
+    return _file(w.bytes())

@@ -129,17 +129,39 @@ def test_langid_gradients():
 
 def states(reader, data):
     """The recurrence written out plainly."""
-    f = lambda x: x / (1 + np.abs(x))
+    gate = lambda x: 1 / (1 + np.exp(-x))
     h, out, s = reader.h, [], np.zeros((reader.h, data.shape[1]))
     for row in data:
         a, g = reader.p["x"][:, row], reader.p["u"] @ s
-        z, r = 0.5 + 0.5 * f(a[:h] + g[:h]), 0.5 + 0.5 * f(a[h : 2 * h] + g[h : 2 * h])
-        n = f(a[2 * h :] + r * (g[2 * h :] + reader.p["c"]))
+        z, r = gate(a[:h] + g[:h]), gate(a[h : 2 * h] + g[h : 2 * h])
+        n = np.tanh(a[2 * h :] + r * (g[2 * h :] + reader.p["c"]))
         s = (1 - z) * n + z * s
         out.append(s)
     return out
 
 
+def test_langid_pools_every_position_of_long_texts():
+    """Chunks with a start before and behind them give what one reading from end to end gives."""
+    model = langid.LanguageModel(["a", "b", "c"], hidden=4, seed=2)
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 5, 127, 128, 129, 1000, 3000)]
+    got = model.documents(texts)
+    for text, row in zip(texts, got, strict=True):
+        data = np.frombuffer(b" " * langid.WARM + text + b" " * langid.WARM, np.uint8)[:, None]
+        h = model.readers[0].h
+        forward, backward = states(model.readers[0], data), states(model.readers[1], data[::-1])[::-1]
+        logits = np.stack([model.out["w"][:, :h] @ f + model.out["w"][:, h:] @ b + model.out["b"] for f, b in zip(forward, backward, strict=True)])[langid.WARM : -langid.WARM, :, 0]
+        p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        assert np.abs(p.mean(0) - row).max() < 0.01
+
+
+def test_langid_takes_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANG_DOCS", 2)
+    rows = [(i, "der die das " * 9, "de", "s", 1) for i in range(300)] + [(1000 + i, "uno dos tres " * 9, "xx", "s", 1) for i in range(6)]
+    got = {r["lang"]: r["n"] for r in langid.training_windows(spark.createDataFrame(rows, DOCS), 30, 4).groupBy("lang").count().withColumnRenamed("count", "n").collect()}
+    assert 0 < got["xx"] <= 24 and 0 < got["de"] <= 60
+
+
 def test_langid_learns_and_odd_input(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("".join(rng.choice("aeiklm" if i % 2 else "oruwzt") for _ in range(5)) for _ in range(30)), "xx" if i % 2 else "yy", "s", 1) for i in range(200)]
@@ -363,6 +385,69 @@ def test_webp_cross_colour_green_and_palette():
         assert (webp.decode(webp._file(w.bytes())) == table[index]).all()
 
 
+def test_webp_of_another_encoder():
+    """A published 1 x 1 file, and one written out bit by bit."""
+    import base64
+
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).shape == (1, 1)
+    fields = [(0x2F, 8), (3, 14), (0, 14), (0, 1), (0, 3)]  # 4 x 1
+    fields += [(0, 1), (0, 1), (0, 1)]  # no transform, no cache, no groups
+    # green: lengths 1, 2, 2 for the symbols 0, 1, 256 (a reference of length 1), spelt by a code of the symbols 0, 1, 2 and 18
+    fields += [(0, 1), (15, 4)] + [(2 if k in (0, 1, 2, 18) else 0, 3) for k in webp.LENGTH_ORDER] + [(0, 1)]
+    fields += [(2, 2), (1, 2), (3, 2), (127, 7), (3, 2), (105, 7), (1, 2), (3, 2), (12, 7)]  # 1, 2, 138 and 116 zeros, 2, 23 zeros
+    fields += [(1, 1), (0, 1), (1, 1), (200, 8)]  # red is 200
+    fields += [(1, 1), (1, 1), (0, 1), (0, 1), (7, 8)]  # blue is 0 or 7
+    fields += [(1, 1), (0, 1), (1, 1), (255, 8)]  # alpha is 255
+    fields += [(1, 1), (0, 1), (0, 1), (1, 1)]  # distance code 2: one to the left
+    fields += [(0, 1), (1, 1)]  # green 0, blue 7
+    fields += [(1, 2), (0, 1)]  # green 1, blue 0
+    fields += [(3, 2), (3, 2)]  # twice a reference of length 1
+    w = webp.Writer()
+    for value, size in fields:
+        w.put(value, size)
+    assert [hex(p) for p in webp.decode(webp._file(w.bytes())).ravel().tolist()] == ["0xffc80007", "0xffc80100", "0xffc80100", "0xffc80100"]
+
+
+def test_media_files_use_the_format(spark):
+    """Files of texts have codes of mixed lengths, references, a colour cache and transforms, and are read together as they are one by one."""
+    rng = random.Random(3)
+    texts = ["a", "", "ab" * 40, "the cat sat on the mat. " * 30, *(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(n)) for n in range(20, 400, 10)), words(rng, 900), "é" * 3000]
+    payloads = [media.payload(t.encode()) for t in texts]
+    files = [media.stored(p) for p in payloads]
+    assert list(media.all_samples(files, [len(p) for p in payloads])) == payloads and [media.samples(f, len(p)) for f, p in zip(files, payloads, strict=True)] == payloads
+    kinds, caches, references, mixed = set(), 0, 0, 0
+    for f in files:
+        bits = webp.Bits(f[20:])
+        bits.seek(40)
+        kinds.add(bits.read(2) >> 1 if bits.read(1) else None)
+        steps = webp.parse(f)
+        image = next(steps)
+        while True:
+            caches += image.cache_bits > 0
+            green = image.codes[0][0].table
+            references += bool(((green >> 4 >= 256) & (green >> 4 < 280)).any())
+            mixed += len(set((green & 15).tolist())) > 1
+            try:
+                image = steps.send(webp.read_on(image, webp._fresh(image)))
+            except StopIteration:
+                break
+    assert len(kinds) > 1 and caches > 5 and references > 20 and mixed > 40
+    assert sum(map(len, files)) < 0.6 * sum(map(len, payloads))
+
+
+@pytest.mark.parametrize("form", ["plain", "green", "left", "above", "palette"])
+def test_webp_encoder_forms(form):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:40, :33].astype(np.uint32)
+    noise = rng.integers(0, 256, (40, 33)).astype(np.uint32)
+    pixels = {
+        "plain": np.uint32(0xFF000000) | noise << 16 | noise[::-1] << 8, "green": np.uint32(0xFF000000) | noise << 16 | noise << 8 | noise,
+        "left": np.uint32(0xFF000000) | (x * 7 + y * y * 31 & 255) << 16 | (x * 5 + noise[:, :1] & 255) << 8, "above": np.uint32(0xFF000000) | noise[:1] << 16 | (noise[:1] + y & 255) << 8,
+        "palette": rng.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32)[noise % 9],
+    }[form]
+    assert (webp.decode(webp.encode(pixels)) == pixels).all()
+
+
 def test_media_round_trip(spark):
     docs = odd(spark)
     got = media.with_media(with_extra(docs)).collect()
