@@ -25,7 +25,7 @@ columns aren't read, and the stage carries them under any name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,7 @@ WORDS = 5
 LEAST = 80  # per cent
 ENTRIES = 400_000  # hashes a bucket holds, about
 CHUNK = 1_000_000  # hashes a task deals at once
+LOW_BYTES = 6  # of the lowest hashes, which only choose candidates
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(WORDS)]
 
 
@@ -76,6 +77,23 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (h >> 64, h & 0xFFFFFFFFFFFFFFFF))
 
 
+def packed(x: np.ndarray, size: int = 8) -> bytes:
+    """The low `size` bytes of 64-bit numbers, byte by byte: what is alike in all of them takes little room once compressed."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def unpacked(parts: Iterable[bytes], size: int = 8) -> np.ndarray:
+    """The numbers of all parts; those packed in less than 8 bytes aren't negative."""
+    parts = list(parts)
+    out = np.zeros((sum(map(len, parts)) // size, 8), np.uint8)
+    at = 0
+    for p in parts:
+        n = len(p) // size
+        out[at : at + n, :size] = np.frombuffer(p, np.uint8).reshape(size, n).T
+        at += n
+    return out.view(np.int64).ravel()
+
+
 def needed(n: int) -> int:
     """The least overlap of a set of n shingles with any that it links with."""
     return -(-LEAST * n // 100)
@@ -106,7 +124,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 s = shingles(text, ids)
                 n.append(len(s))
                 keys.append(set_key(s))
-                low.append(s[: low_size(len(s))].tobytes() if len(s) else b"")
+                low.append(packed(s[: low_size(len(s))] >> np.uint64(64 - 8 * LOW_BYTES), LOW_BYTES) if len(s) else b"")
             k = np.array(keys, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "r1": frame["r1"], "r2": frame["r2"], "n": n, "k1": k[:, 0], "k2": k[:, 1], "low": low})
 
@@ -114,7 +132,7 @@ def sets(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(make, "doc_id long, r1 long, r2 long, n long, k1 long, k2 long, low binary")
 
 
-def _dealt(keys: np.ndarray, tokens: list[np.ndarray], buckets: int) -> pd.DataFrame:
+def _dealt(keys: np.ndarray, tokens: list[np.ndarray], buckets: int, key_size: int, token_size: int) -> pd.DataFrame:
     """bucket, token, key: the tokens of all keys by bucket, packed."""
     key = np.repeat(keys, [len(t) for t in tokens])
     token = np.concatenate([*tokens, np.zeros(0, np.uint64)])
@@ -123,11 +141,11 @@ def _dealt(keys: np.ndarray, tokens: list[np.ndarray], buckets: int) -> pd.DataF
     of, token, key = of[order], token[order], key[order]
     begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
     end = np.append(begin[1:], len(of))
-    part = lambda x: [x[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
-    return pd.DataFrame({"bucket": of[begin].astype(np.int64), "token": part(token), "key": part(key)})
+    part = lambda x, size: [packed(x[a:b], size) for a, b in zip(begin, end, strict=True)]
+    return pd.DataFrame({"bucket": of[begin].astype(np.int64), "token": part(token, token_size), "key": part(key, key_size)})
 
 
-def _deal(frames: Iterator[pd.DataFrame], tokens_of: Callable, buckets: int) -> Iterator[pd.DataFrame]:
+def _deal(frames: Iterator[pd.DataFrame], tokens_of: Callable, buckets: int, key_size: int = 8, token_size: int = 8) -> Iterator[pd.DataFrame]:
     """Packed arrays by bucket of each frame's sets, CHUNK tokens at once; a key that the partition has dealt isn't dealt again."""
     seen: set[tuple[int, int]] = set()
     for frame in frames:
@@ -144,15 +162,15 @@ def _deal(frames: Iterator[pd.DataFrame], tokens_of: Callable, buckets: int) ->
             tokens.append(t)
             n += len(t)
             if n >= CHUNK:
-                yield _dealt(np.array(keys, np.int64), tokens, buckets)
+                yield _dealt(np.array(keys, np.int64), tokens, buckets, key_size, token_size)
                 keys, tokens, n = [], [], 0
         if keys:
-            yield _dealt(np.array(keys, np.int64), tokens, buckets)
+            yield _dealt(np.array(keys, np.int64), tokens, buckets, key_size, token_size)
 
 
-def _shared(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared(frame: pd.DataFrame, key_size: int = 8, token_size: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """token, key and number of keys of the token, for the tokens of a bucket that several keys have."""
-    token, key = np.frombuffer(b"".join(frame["token"]), np.uint64), np.frombuffer(b"".join(frame["key"]), np.int64)
+    token, key = unpacked(frame["token"], token_size), unpacked(frame["key"], key_size)
     order = np.lexsort((key, token))
     token, key = token[order], key[order]
     new = np.ones(len(token), bool)
@@ -165,21 +183,26 @@ def _shared(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of keys whose sets share enough of their lowest hashes."""
-    buckets = 1 + int(table.agg(F.coalesce(F.sum(F.length("low") / 8), F.lit(0))).first()[0]) // ENTRIES
+    seen = table.agg(F.coalesce(F.sum(F.length("low") / LOW_BYTES), F.lit(0)).alias("low"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = 1 + int(seen["low"]) // ENTRIES
+    # A set goes by as many bytes of its hash as nearly all sets need to differ.
+    size = min(7, max(4, (2 * int(seen["rows"]).bit_length() + 11) // 8))
+    short = F.col("k1").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("key")
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _deal(frames, lambda r: np.frombuffer(r.low, np.uint64), buckets)
+        return _deal(frames, lambda r: unpacked([r.low], LOW_BYTES).view(np.uint64), buckets, size, LOW_BYTES)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        key, times = np.unique(_shared(frame)[1], return_counts=True)
-        return pd.DataFrame({"k1": key, "held": times.astype(np.int64)})
-
-    dealt = table.where("n > 0").select(F.col("k1").alias("key"), "k2", "low").mapInPandas(deal, "bucket long, token binary, key binary")
-    held = dealt.groupBy("bucket").applyInPandas(count, "k1 long, held long").groupBy("k1").agg(F.sum("held").alias("held"))
-    # Two sets that agree in 64 bits of their hashes count as one above, so they stay whatever they share.
-    same = keys.groupBy("k1").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", F.lit(True).alias("same"))
+        key, times = np.unique(_shared(frame, size, LOW_BYTES)[1], return_counts=True)
+        return pd.DataFrame({"key": key, "held": times.astype(np.int64)})
+
+    dealt = table.where("n > 0").select(short, "k2", "low").mapInPandas(deal, "bucket long, token binary, key binary")
+    held = dealt.groupBy("bucket").applyInPandas(count, "key long, held long").groupBy("key").agg(F.sum("held").alias("held"))
+    # Sets that agree in these bytes count as one above, so they stay whatever they share.
+    keyed = keys.withColumn("key", short)
+    same = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key", F.lit(True).alias("same"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * LEAST / 100) / 10))
-    return keys.join(held, "k1", "left").join(same, "k1", "left").where((F.col("held") >= least) | F.col("same")).select(*keys.columns)
+    return keyed.join(held, "key", "left").join(same, "key", "left").where((F.col("held") >= least) | F.col("same")).select(*keys.columns)
 
 
 def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -202,12 +225,12 @@ def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         order = np.argsort(of, kind="stable")
         cut = np.searchsorted(of[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
-        part = lambda x: [x[order[cut[k] : cut[k + 1]]].tobytes() for k in full]
-        few = np.minimum(times, 0xFFFF).astype(np.uint16)  # only an order, the same for all
-        return pd.DataFrame({"part": full, "key": part(key), "token": part(token), "times": part(few)})
+        few = np.minimum(times, 0xFFFF)  # only an order, the same for all
+        part = lambda x, size: [packed(x[order[cut[k] : cut[k + 1]]], size) for k in full]
+        return pd.DataFrame({"part": full, "key": part(key, 8), "token": part(token, 8), "times": part(few, 2)})
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        key, token, times = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("key", np.int64), ("token", np.uint64), ("times", np.uint16)))
+        key, token, times = unpacked(frame["key"]), unpacked(frame["token"]).view(np.uint64), unpacked(frame["times"], 2)
         order = np.lexsort((token, times, key))
         key, token = key[order], token[order]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
