@@ -85,20 +85,22 @@ def within(a: Column, b: Column, edits: int) -> Column:
     lanes = [1 << (wide * d) for d in range(edits + 1)]
     whole, low, high = (1 << wide * (edits + 1)) - 1, sum(lanes), sum(x << (wide - 1) for x in lanes)
     num = lambda x: F.lit(x).cast("long")
-    letters = F.split(b, "")
-    # The place of every character of b that a step compares is looked up in an array; places outside it give null, which is no match.
-    at = lambda i, j: F.get(letters, i + (j - edits))
-    same = F.transform(F.split(a, ""), lambda x, i: sum((F.when(at(i, j) == x, num(low << j)).otherwise(num(0)) for j in range(1, wide)), F.when(at(i, 0) == x, num(low)).otherwise(num(0))))
+    once = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))  # noqa: E731  x is computed once, however often use names it
+
+    def matches(letters: Column) -> Column:
+        # The place of every character of b that a step compares is looked up in an array; places outside it give null, which is no match.
+        bit = lambda x, i, j: F.when(F.get(letters, i + (j - edits)) == x, num(low << j)).otherwise(num(0))
+        return F.transform(F.split(a, ""), lambda x, i: sum((bit(x, i, j) for j in range(1, wide)), bit(x, i, 0)))
 
     def step(state: Column, match: Column) -> Column:
         down = F.shiftright(state, 1).bitwiseAND(num(whole & ~high))
-        out = state.bitwiseAND(match).bitwiseOR(F.shiftleft(state.bitwiseOR(down), wide).bitwiseAND(num(whole)))
-        for _ in range(edits):
-            out = out.bitwiseOR(F.shiftleft(out.bitwiseAND(num(whole & ~high)), wide + 1).bitwiseAND(num(whole)))
-        return out
+        moved = state.bitwiseAND(match).bitwiseOR(F.shiftleft(state.bitwiseOR(down), wide).bitwiseAND(num(whole)))
+        # Deletions go on to the next lane, and from there to the one after it.
+        further = lambda x, k: x.bitwiseOR(F.shiftleft(further(x, k - 1).bitwiseAND(num(whole & ~high)), wide + 1).bitwiseAND(num(whole))) if k else x
+        return once(moved, lambda x: further(x, edits))
 
     start = sum((1 << (edits + k)) << (wide * d) for d in range(edits + 1) for k in range(d + 1))
-    end = F.aggregate(same, num(start), step)
+    end = F.aggregate(once(F.split(b, ""), matches), num(start), step)
     last = (F.length(b) - F.length(a) + (edits + wide * edits)).cast("int")
     near = F.abs(F.length(a) - F.length(b)) <= edits
     return near & (end.bitwiseAND(F.call_function("shiftleft", num(1), F.greatest(last, F.lit(0)))) != 0)
