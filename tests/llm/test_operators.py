@@ -556,6 +556,7 @@ def test_lm_counts_of_all_words_and_documents(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "LISTED", 151)
     rng = random.Random(5)
     rows = [(i, " ".join([*rng.choices([f"w{k}" for k in range(150)], k=30), "often", f"once{i}"]), "en", "s", 1) for i in range(100)]
+
     docs = spark.createDataFrame(rows, DOCS)
     vocabulary, model, counts = lmscore.fit(docs)
     assert len(vocabulary.made[0]) == 151 < counts.count() == 251
@@ -576,6 +577,31 @@ def test_lm_counts_of_all_words_and_documents(spark, monkeypatch):
     assert trained.classes == vocabulary.size and not np.allclose(before, after)
 
 
+def test_lm_scores_are_sums_over_words_and_beat_counts(spark):
+    """Held-out documents score better than by word counts alone, and a score is the sum of the network's and the shares' logs."""
+    rng = random.Random(8)
+    tongues = [[f"{a}{b}{end}" for a in "bcdfglmnprst" for b in "aeiou"] for end in ("on", "et", "iz", "ua")]
+    make = lambda: " ".join(rng.choices(rng.choice(tongues), k=60))
+    docs = spark.createDataFrame([(i, make(), "en", "s", 1) for i in range(300)], DOCS)
+    vocabulary, model, counts = lmscore.fit(docs)
+    new = [make() for _ in range(20)]
+    got = {r["doc_id"]: r["lm"]["log_prob"] for r in lmscore.score(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(new)], DOCS), vocabulary, model, counts).collect()}
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    unigram = [sum(np.log((n.get(w, 0) + 0.5) / (sum(n.values()) + 0.5 * (len(n) + 1))) for w in t.split()) for t in new]
+    assert np.mean(list(got.values())) > np.mean(unigram) + 20
+    for i, text in enumerate(new[:5]):
+        ws, want = text.split(), 0.0
+        cls = [int(vocabulary.classes[vocabulary[w]]) for w in ws]
+        for k, c in enumerate(cls):
+            x = model.w["a"].astype(float).copy()
+            for o, gap in enumerate(model.OFFSETS):
+                x += model.w["e"][cls[k + gap] if 0 <= k + gap < len(cls) else vocabulary.size] @ model.w["p"][o]
+            z = (x / (1 + np.abs(x))) @ model.w["o"] + model.w["b"]
+            want += z[c] - np.log(np.exp(z).sum())
+            want += 0.0 if c < vocabulary.top else np.log((n.get(ws[k], 0) + 0.5) / vocabulary.totals[c - vocabulary.top])
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 # 8: line dedup
 def edits(a, b):
     row = list(range(len(b) + 1))
