@@ -1,14 +1,16 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features, in DataFrame functions only.
 
 Features of a url: lengths, depth, digit ratio, entropy of its characters, parameters, hyphens and labels of the host, and smoothed block
-rates of the host's last two and last three labels in the training rows (suffix statistics). The trees are Spark ML's, trained on at most
-TRAIN_ROWS labelled urls in hash order.
+rates of the host's last two and last three labels in the training rows (suffix statistics). A training row's own rates come from the other FOLDS - 1 folds, so its
+label isn't among its features. The trees are Spark ML's, trained on at most TRAIN_ROWS labelled urls in hash order. The operator takes labelled urls; the query labels
+its own by what the pages say, in their html, which no feature reads.
 
 Scale: one pass over the urls; rules are an array literal tested in place, so no url is shuffled for them. The suffix
 statistics have at most 2 * TRAIN_ROWS rows and are broadcast on that bound.
 
-Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule; repeated urls are judged alike; with
-no labelled urls of both kinds what no rule decides is allowed.
+Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule; repeated urls are judged alike, and null ids are kept; of rules of one length
+that fit the first by code point counts; a probability of 0.5 blocks; urls of any length are read whole; with no labelled urls of both kinds what no rule decides is allowed; an empty table gives an
+empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import hash_sample, prepare, read, write_table
+from geoquill.llm.common import hash_sample, prepare, read, settled, write_table
 
-# The rules of the contract, and words in hosts by which the query labels its training urls.
+# The rules of the contract, and words by which the query labels its training urls where a page's html has them.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 BAD_WORDS = ("casino", "pills", "bets", "adult", "spam", "ads-track")
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, FOLDS = 20_000, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -69,14 +71,19 @@ FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_host_digit
 
 
 def suffix_rates(train: DataFrame, key: str, prior: float, strength: float = 5.0) -> DataFrame:
-    return train.groupBy(key).agg(((F.sum("label") + prior * strength) / (F.count(F.lit(1)) + strength)).alias(f"f_{key}"))
+    """key, fold, f_key: the smoothed block rate of each suffix without the fold's rows, and with all rows where fold is null."""
+    rate = lambda y, n: (y + prior * strength) / (n + strength)
+    folds = train.groupBy(key, "fold").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n"))
+    whole = folds.groupBy(key).agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"))
+    apart = folds.join(whole, key).select(key, "fold", rate(F.col("all_y") - F.col("y"), F.col("all_n") - F.col("n")).alias(f"f_{key}"))
+    return apart.union(whole.select(key, F.lit(None).cast("int").alias("fold"), rate(F.col("all_y"), F.col("all_n")).alias(f"f_{key}")))
 
 
 class UrlModel:
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4) -> None:
         """labelled: url, label (0 or 1); rows of other labels don't train."""
         few = hash_sample(labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("double").alias("label")), rows, "url")
-        train = write_table(features(split_url(few)), "url_train")
+        train = write_table(features(split_url(few)).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(FOLDS)).cast("int")), "url_train")
         seen = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate")).first()
         self.prior, self.model = seen["rate"], None
         if 0 < self.prior < 1:
@@ -85,8 +92,11 @@ class UrlModel:
             self.model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1).fit(made)
 
     def vectors(self, df: DataFrame) -> DataFrame:
-        for key, rates in self.rates.items():  # at most TRAIN_ROWS rows each
-            df = df.join(F.broadcast(rates), key, "left").withColumn(f"f_{key}", F.coalesce(F.col(f"f_{key}"), F.lit(self.prior)))
+        """df with features; training rows, which have a fold, by the rates of the other folds."""
+        on = ["fold"] if "fold" in df.columns else []
+        for key, rates in self.rates.items():  # at most (FOLDS + 1) * TRAIN_ROWS rows each
+            rates = rates.where("fold is not null") if on else rates.where("fold is null").drop("fold")
+            df = df.join(F.broadcast(rates), [key, *on], "left").withColumn(f"f_{key}", F.coalesce(F.col(f"f_{key}"), F.lit(self.prior)))
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -108,11 +118,10 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
 
 
 def labelled_urls(pages: DataFrame) -> DataFrame:
-    """Training labels of the query: 1 where the host has one of BAD_WORDS."""
-    bad = split_url(pages.select("url"))
-    return bad.select("url", F.col("host").rlike("|".join(BAD_WORDS)).cast("int").alias("label"))
+    """Training labels of the query: 1 where the page's html has one of BAD_WORDS. Pages without html don't train."""
+    return pages.select("url", F.lower("html").rlike("|".join(BAD_WORDS)).cast("int").alias("label"))
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = read(prepare(spark), sf_dir, "pages")
-    return judge(pages, UrlModel(labelled_urls(pages)))
+    return settled(spark, lambda: judge(pages, UrlModel(labelled_urls(pages))), "url_verdicts")
