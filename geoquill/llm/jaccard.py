@@ -37,7 +37,7 @@ from geoquill.llm.common import prepare, read, settled, sieved, text_of, unused,
 
 WORDS = 5
 LEAST = 80  # per cent
-ENTRIES = 400_000  # hashes a bucket holds, about
+ENTRIES = 1_500_000  # hashes a bucket holds, about: in few buckets the sets' numbers repeat and take little room
 CHUNK = 1_000_000  # hashes a task deals at once
 LOW_BYTES = 6  # of the lowest hashes, which only choose candidates
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(WORDS)]
@@ -222,7 +222,7 @@ def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     def share(frame: pd.DataFrame) -> pd.DataFrame:
         token, key, times = _shared(frame)
         of = key % buckets
-        order = np.argsort(of, kind="stable")
+        order = np.lexsort((key, of))
         cut = np.searchsorted(of[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
         few = np.minimum(times, 0xFFFF)  # only an order, the same for all
@@ -291,6 +291,8 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
                 ok.append((100 + LEAST) * same >= LEAST * n)
             yield frame.loc[ok, ["a", "b"]]
 
+    needed_sets = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    table = table.join(needed_sets, "sid", "left_semi")
     side = lambda x: table.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), "tokens_a", "tokens_b").mapInPandas(check, "a long, b long")
