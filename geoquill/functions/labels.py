@@ -92,6 +92,22 @@ def filter_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     return df.join(wanted, (F.col("country_key") == F.col("_key")) & free, "left_semi")
 
 
+def with_region(df: DataFrame, countries: DataFrame) -> DataFrame:
+    """Adds country_key, for the country's display name, and region, `country` or `country/state`; unknown countries get null. countries: country, country_key, one row each."""
+    keys = countries.select(F.col("country").alias("_name"), F.col("country_key").alias("_key"))
+    named = df.drop("country_key").join(keys, F.col("country") == F.col("_name"), "left").withColumn("country_key", F.col("_key")).drop("_name", "_key")
+    return named.withColumn("region", F.when(F.col("country_key").isNotNull(), region_string()))
+
+
+def all_regions(*lists: Sequence[str] | None) -> list[str]:
+    """The regions of all lists, in their order; missing lists have none."""
+    return [r for one in lists for r in one or ()]
+
+
+def labeled_only(df: DataFrame, label: str = "label") -> DataFrame:
+    return df.where(F.col(label).cast("int") != -1)
+
+
 # Cluster labels.
 def not_ambiguous(column: str) -> Column:
     return ~F.col(column).eqNullSafe("Ambiguous")

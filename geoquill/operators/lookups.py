@@ -41,9 +41,12 @@ def cap_per_group(df: DataFrame, keys: Sequence[str], n: int, *order: str | Colu
 
 
 def sequence_ids(df: DataFrame, prefix: str, group: str, *order: str) -> DataFrame:
-    """id `prefix_group_number`, numbered from 0 in each group."""
-    number = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("id", F.concat_ws("_", F.lit(prefix), F.col(group), number.cast("string")))
+    """id `prefix_group_number`, numbered from 0 in each group; the order is unique in a group."""
+    from geoquill.operators.ranks import ordered_rank
+
+    numbers = ordered_rank(df.select(group, *order), [group], list(order), "_number")
+    out = df.join(numbers, [group, *order])
+    return out.withColumn("id", F.concat_ws("_", F.lit(prefix), F.col(group), (F.col("_number") - 1).cast("string"))).drop("_number")
 
 
 def normalize_columns(df: DataFrame, columns: dict[str, str], flags: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,8 @@
 """Quality of scored candidates: confusion counts, rates, curves, sweeps and weights.
 
 All are lazy transforms of a scored table (true_label, predicted_score, ...). Rows whose true_label isn't 0 or 1 have no ground truth.
-Curves need running counts in score order; they are taken over score buckets first and then inside each bucket, so no window
-holds all rows of a group in one task.
+Curves need running counts in score order, and quantiles places; they are taken over parts of the scores' range first, whose borders come from a sample, and then
+inside each part, so no window or buffer holds all rows of a group.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoquill.operators.ranks import in_parts, quantiles
+
 SPLITS = ("train", "val", "test", "inspected", "eval", "generalization")
-BUCKETS_PER_UNIT = 1024
 
 
 def known(df: DataFrame) -> DataFrame:
@@ -118,25 +119,26 @@ def composition(df: DataFrame, key: str) -> DataFrame:
 
 
 def score_stats(df: DataFrame, key: str, score: str) -> DataFrame:
-    q = F.percentile(score, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return df.groupBy(key).agg(F.count(score).alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_samp(score), 6).alias("std"), q.alias("q")).select(
-        key, "n", "mean", "std", *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("q25", "median", "q75")))
-    )
+    names = ("q25", "median", "q75")
+    sums = df.groupBy(key).agg(F.count(score).alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_samp(score), 6).alias("std"))
+    q = quantiles(df, [key], score, (0.25, 0.5, 0.75), names).select(F.col(key).alias("_key"), *(F.round(x, 6).alias(x) for x in names))
+    return sums.join(q, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
-def outcome_medians(df: DataFrame, key: str = "country") -> DataFrame:
-    """Rows and exact median score by key and outcome, with an ALL row for each outcome."""
-    return (
-        df.withColumn("outcome", outcome_class()).groupingSets([[F.col(key), F.col("outcome")], [F.col("outcome")]], key, "outcome")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.median("predicted_score"), 6).alias("median_score"))
-        .withColumn(key, F.coalesce(F.col(key), F.lit("ALL")))
-    )
+def outcome_medians(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows and exact median score by keys and outcome, with a row of ALL keys for each outcome."""
+    keys = keys or ("country",)
+    rows = df.withColumn("outcome", outcome_class()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("ALL")).alias(k) for k in keys], "outcome", "predicted_score")
+    rows = rows.union(rows.select(*[F.lit("ALL").alias(k) for k in keys], "outcome", "predicted_score"))
+    by = [*keys, "outcome"]
+    q = quantiles(rows, by, "predicted_score", (0.5,), ("median_score",))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(q.select(*by, F.round("median_score", 6).alias("median_score")), by, "left")
 
 
 def curve(df: DataFrame, *keys: str, score: str = "predicted_score", label: str = "true_label") -> DataFrame:
     """For each distinct score of a group, from high to low: p and n at it, tp and fp at or above it, and the totals pos and neg."""
     per = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    per = per.withColumn("bucket", F.floor(F.col("score") * BUCKETS_PER_UNIT))
+    per = in_parts(per, *keys, "score").withColumnRenamed("_part", "bucket")
     sums = per.groupBy(*keys, "bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
@@ -191,7 +193,8 @@ def weight_sweep(df: DataFrame, first: str, second: str, steps: int = 10) -> Dat
 def sequential_filter_sweep(df: DataFrame, gate: str, shares: Sequence[float] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5), least: int = 100) -> DataFrame:
     """Areas of the rest after the rows below each quantile of `gate` are dropped; sweeps that keep fewer than `least` rows are left out."""
     rows = known(df)
-    cuts = rows.agg(F.percentile(gate, F.array(*map(F.lit, shares))).alias("c")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("q"), F.col("c").alias("cut"))).alias("z")).select("z.q", "z.cut")
+    names = [f"c{k}" for k in range(len(shares))]
+    cuts = quantiles(rows, [], gate, shares, names).select(F.explode(F.array(*[F.struct(F.lit(p).alias("q"), F.col(c).alias("cut")) for p, c in zip(shares, names, strict=True)])).alias("z")).select("z.q", "z.cut")
     kept = rows.join(F.broadcast(cuts), F.col(gate) >= F.col("cut"))
     c = curve(kept, "q")
     return auc_of_curve(c, "q").join(kept.groupBy("q").agg(F.count(F.lit(1)).alias("kept")), "q").where(F.col("kept") >= least)
@@ -244,8 +247,8 @@ def score_histogram(df: DataFrame, key: str, score: str, bins: int = 20) -> Data
 def morphology_by_outcome(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact quartiles of each feature by outcome."""
     long = df.withColumn("outcome", outcome_class()).select("outcome", *(F.col(c).cast("double").alias(c) for c in features)).unpivot("outcome", list(features), "feature", "value")
-    q = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return long.groupBy("outcome", "feature").agg(F.count("value").alias("n"), q.alias("q")).select("outcome", "feature", "n", *(F.round(F.col("q")[k], 4).alias(x) for k, x in enumerate(("q25", "median", "q75"))))
+    names = ("q25", "median", "q75")
+    return quantiles(long, ["outcome", "feature"], "value", (0.25, 0.5, 0.75), names).select("outcome", "feature", F.col("_n").alias("n"), *(F.round(x, 4).alias(x) for x in names))
 
 
 def group_weights(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -262,12 +265,14 @@ def split_distribution(df: DataFrame, classes: Sequence[int]) -> DataFrame:
     return wide.select("split", *(F.col(str(c)).alias(f"n_{c}") for c in classes), *(F.round(F.col(str(c)) / total, 6).alias(f"share_{c}") for c in classes))
 
 
-def fp_breakdown(df: DataFrame, state: Column, tier: Column) -> DataFrame:
-    """False positives by split, by state and by confidence tier, in one pass."""
+def fp_breakdown(df: DataFrame, state: Column, tier: Column, top: int = 15) -> DataFrame:
+    """False positives by split, by state (the `top` states with most, the first by name on a tie) and by confidence tier, in one pass."""
     fp = df.where(outcome_class() == "FP").select("split", state.alias("state"), tier.alias("tier"))
     sets = fp.groupingSets([[F.col("split")], [F.col("state")], [F.col("tier")]], "split", "state", "tier").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
     kind = F.when(F.col("g") == 3, "split").when(F.col("g") == 5, "state").otherwise("tier")
-    return sets.select(kind.alias("by"), F.coalesce("split", "state", "tier").alias("value"), "n")
+    rows = sets.select(kind.alias("by"), F.coalesce("split", "state", "tier").alias("value"), "n")  # one row for each split, state and tier
+    first = rows.where("by = 'state'").orderBy(F.desc("n"), "value").limit(top)
+    return rows.where("by <> 'state'").union(first)
 
 
 def country_f1_summary(df: DataFrame, least: int = 5) -> DataFrame:
@@ -287,6 +292,16 @@ def model_comparison(df: DataFrame, first: str, cut_first: float, second: str, c
     return known(df).groupBy("country").agg(F.count(F.lit(1)).alias("n"), *out)
 
 
+def class_comparison(df: DataFrame, score: str, kind: str, first: str, second: str, threshold: float = 0.5) -> DataFrame:
+    """Share of rows predicted positive and median score of each kind, and the area under the curve of the score between two kinds."""
+    rows = df.where(F.col(score).isNotNull() & F.col(kind).isNotNull())
+    medians = quantiles(rows, [kind], score, (0.5,), ("median_score",)).select(kind, F.col("_n").alias("n"), F.round("median_score", 6).alias("median_score"))
+    shares = rows.groupBy(kind).agg(F.round(F.avg((F.col(score) >= threshold).cast("double")), 6).alias("predicted_share"))
+    pair = rows.where(F.col(kind).isin(first, second)).withColumn("_side", (F.col(kind) == first).cast("int"))
+    area = auc(pair, score=score, label="_side").select(F.col("roc_auc").alias("pair_auc"))
+    return medians.join(shares, kind).crossJoin(F.broadcast(area))
+
+
 def log_loss(df: DataFrame, positive_weight: float = 1.0) -> DataFrame:
     """Weighted mean cross entropy of a binary score, clipped away from 0 and 1."""
     p = F.least(F.greatest(F.col("predicted_score"), F.lit(1e-7)), F.lit(1 - 1e-7))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -215,11 +215,49 @@ class LinearScorer:
         return self.predict
 
     def predict(self, batch: np.ndarray) -> np.ndarray:
-        z = batch.mean((2, 3)) @ self.weights
+        z = batch.astype(float).mean((2, 3)) @ self.weights
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row for each channel, in order."""
+        spark.createDataFrame([(k, list(map(float, w))) for k, w in enumerate(self.weights)], "channel int, weights array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> LinearScorer:
+        return cls([r["weights"] for r in spark.read.parquet(path).orderBy("channel").collect()])  # one row a channel
+
+
+def scored_candidates(
+    patches: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], candidates: DataFrame, splits: DataFrame | None, labelled: bool = False, without_split: str = "unknown", threshold: float = 0.5,
+) -> DataFrame:
+    """Patches of the candidates (candidate_id, label, country, ord: the last row of an id counts) with predicted_score, predicted_label, confidence_tier, probs (of all classes), true_label
+    and country, and split. labelled: those of known label alone. Candidates without a split, or all where there are no splits, get `without_split`."""
+    from geoquill.functions.labels import confidence_tier, labeled_only, predict_label
+    from geoquill.operators.lookups import lookup
+
+    wanted = labeled_only(candidates) if labelled else candidates
+    scored = score_candidates(patches.join(wanted.select("candidate_id").distinct(), "candidate_id", "left_semi"), load).withColumn("_p", predict_label(F.col("probs"), threshold))
+    out = scored.select("candidate_id", F.col("_p.score").alias("predicted_score"), F.col("_p.label").alias("predicted_label"), "probs").withColumn("confidence_tier", confidence_tier("predicted_score"))
+    out = lookup(out, wanted, "candidate_id", {"label": -1, "country": ""}, "ord").withColumnRenamed("label", "true_label")
+    if splits is None:
+        return out.withColumn("split", F.lit(without_split))
+    return out.join(splits.groupBy("candidate_id").agg(F.max("split").alias("split")), "candidate_id", "left").withColumn("split", F.coalesce("split", F.lit("unknown")))
+
+
+def evaluate_classifier(model, patches: DataFrame, labels: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """Rates of a fitted or loaded pipeline on every slice: by split, and by split and country (null: all). labels: candidate_id, label, split, country; label -1 has no truth."""
+    from pyspark.ml.functions import vector_to_array
+
+    from geoquill.operators.metrics import counts, rates
+
+    held = labels.where(F.col("split").isin(list(slices)) & (F.col("label") >= 0))
+    scored = model.transform(classifier_features(patches).join(held, "candidate_id")).withColumn("predicted_score", vector_to_array("probability")[1]).withColumn("true_label", F.col("label").cast("int"))
+    sums = scored.groupingSets([[F.col("split")], [F.col("split"), F.col("country")]], "split", "country").agg(F.count(F.lit(1)).alias("n"), *counts())
+    return rates(sums)
+
+
 def fit_patch_classifier(patches: DataFrame, labels: DataFrame, weight: str | None = None):
     """A Spark ML pipeline on channel means, fitted to labels of 0 or more: labels has candidate_id, label and, if named, a weight."""
     from pyspark.ml import Pipeline

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoquill.operators.lookups import cap_per_group
+from geoquill.operators.spatial import dedup_proximity
 from geoquill.sources.tables import write_table
 
 BANDS = ("b2", "b3", "b4", "b8", "b11", "b12")
@@ -167,12 +169,48 @@ METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def run_tiles(obs: DataFrame, methods: Sequence[str], tile: tuple[int, int], across: int, cell_deg: float, origin: tuple[float, float], cos_lat: float, radius: int = 0, least: float = 0.0, most: float = float("inf")) -> DataFrame:
-    """Detections of each method: mask, opening, components, geometry, area filter."""
+def _optical(obs: DataFrame, options: dict) -> DataFrame:
+    bands = tuple(options.get("bands", BANDS))
+    start, end = options.get("date_range", ("1990-01-01", "2100-01-01"))
+    composite = spectral_indices(composite_median(obs, start, end, options.get("max_cloud_cover", 101)))
+    return composite.select("tile_id", "row", "col", *bands, *options.get("indices", ()))
+
+
+def _radar(obs: DataFrame, options: dict) -> DataFrame:
+    bands = tuple(options.get("bands", ("vv_db",)))
+    return obs.groupBy("tile_id", "row", "col").agg(*[F.median(b).alias(b) for b in bands])
+
+
+#: Imagery by the name of its provider: (pixel observations, options) -> one row a pixel with the provider's bands.
+IMAGERY_PROVIDERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {"earth_engine_s2": _optical, "earth_engine_s1": _radar}
+
+
+def imagery(obs: DataFrame, sources: Sequence[dict]) -> DataFrame:
+    """The bands of all sources, side by side for each pixel. A source names its provider, earth_engine_s2 where it doesn't, and the provider's options."""
     out = None
-    for name in methods:
+    for source in sources:
+        name = source.get("provider", "earth_engine_s2")
+        if name not in IMAGERY_PROVIDERS:
+            raise ValueError(f"unknown imagery provider {name!r}; known: {sorted(IMAGERY_PROVIDERS)}")
+        part = IMAGERY_PROVIDERS[name](obs, {k: v for k, v in source.items() if k != "provider"})
+        out = part if out is None else out.join(part, ["tile_id", "row", "col"], "full")
+    return out
+
+
+def run_tiles(
+    obs: DataFrame, methods: Sequence[str], tile: tuple[int, int], across: int, cell_deg: float, origin: tuple[float, float], cos_lat: float, radius: int = 0, least: float = 0.0, most: float = float("inf"),
+    cap: int | None = None, dedup_m: float | None = None,
+) -> DataFrame:
+    """Detections of each method: mask, opening, components, geometry, area filter; the first `cap` of each tile and method by component; and, over all methods, those that
+    no earlier detection (by method, then component) is nearer to than dedup_m. With lat, lng, tile (of the centroid) and ord, the place in that order."""
+    out = None
+    for at, name in enumerate(methods):
         mask = METHODS[name](obs)
         found = vectorize_mask(morphological_open(mask, radius) if radius else mask, *tile, across)
-        rows = geometry_properties(found, cell_deg, origin, cos_lat).where(F.col("area_m2").between(least, most)).withColumn("source", F.lit(name))
+        rows = geometry_properties(found, cell_deg, origin, cos_lat).where(F.col("area_m2").between(least, most)).withColumns({"source": F.lit(name), "ord": F.lit(at).cast("long") * (1 << 40) + F.col("component")})
         out = rows if out is None else out.unionByName(rows)
-    return out
+    place = lambda c, o, n: F.floor((F.col(c) - o) / (cell_deg * n))
+    out = out.withColumns({"lat": F.col("centroid_lat"), "lng": F.col("centroid_lon"), "tile": place("centroid_lat", origin[1], tile[0]) * across + place("centroid_lon", origin[0], tile[1])})
+    if cap is not None:
+        out = cap_per_group(out, ["source", "tile"], cap, "component")
+    return out if dedup_m is None else dedup_proximity(out, dedup_m)

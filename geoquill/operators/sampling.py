@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoquill.functions.labels import valid_coords
 from geoquill.operators.lookups import cap_per_group, keep_first, uniform
-from geoquill.operators.spatial import M, far_from
+from geoquill.operators.spatial import M, dedup_proximity, drop_near_existing, far_from
 from geoquill.operators.splits import hash_rank
 
 
@@ -38,12 +39,23 @@ def top_k_errors(df: DataFrame, n: int, key: str = "candidate_id") -> DataFrame:
     return fp.unionByName(kinds.where("outcome = 'FN'").orderBy("predicted_score", key).limit(n))
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 42) -> DataFrame:
-    """About n draws in proportion to the weight: each row as often as its expected count, whose fraction a hash rounds up or down."""
-    total = F.broadcast(df.agg(F.sum(weight).alias("_total")))
-    e = n * F.col(weight) / F.col("_total")
-    copies = (F.floor(e) + (uniform(key, seed=seed) < e - F.floor(e)).cast("long")).cast("int")
-    return df.crossJoin(total).withColumn("copies", copies).where("copies > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_total", "copies")
+def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """n draws with replacement in proportion to the weight, which isn't negative: the row drawn and the draw's number, from 0.
+
+    Draw k is the hash of k, a share of all weight. Rows lie on a line of weight in order of a hash, by buckets first: a draw finds its bucket among the buckets'
+    sums and then its row in the bucket, so no window holds all rows. Rows of null weight are never drawn.
+    """
+    u = uniform(key, seed=seed)
+    rows = df.where(F.col(weight) > 0).withColumn("_b", F.floor(u * buckets).cast("int")).withColumn("_w", F.col(weight).cast("decimal(38, 6)"))
+    line = Window.orderBy("_b")
+    sums = rows.groupBy("_b").agg(F.sum("_w").cast("decimal(38, 6)").alias("_s")).select("_b", "_s", F.sum("_s").over(line).cast("decimal(38, 6)").alias("_end"))  # at most `buckets` rows
+    total = F.broadcast(sums.agg(F.max("_end").alias("_total")))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), F.lit("draw"), seed=seed).alias("_u")).crossJoin(total)
+    draws = draws.select("draw", (F.col("_u") * F.col("_total").cast("double")).cast("decimal(38, 6)").alias("_x"))
+    spots = draws.join(F.broadcast(sums), (F.col("_x") >= F.col("_end") - F.col("_s")) & (F.col("_x") < F.col("_end"))).select("draw", "_b", (F.col("_x") - (F.col("_end") - F.col("_s"))).alias("_x"))
+    placed = rows.withColumn("_to", F.sum("_w").over(Window.partitionBy("_b").orderBy(u, key)).cast("decimal(38, 6)"))
+    inside = (spots["_b"] == placed["_b"]) & (F.col("_x") >= F.col("_to") - F.col("_w")) & (F.col("_x") < F.col("_to"))
+    return spots.join(placed, inside).select(*df.columns, "draw")
 
 
 def negative_rows(df: DataFrame, prefix: str, source: str) -> DataFrame:
@@ -90,3 +102,43 @@ def osm_building_negatives(tagged: DataFrame, positives: DataFrame, kinds: Seque
     rows = keep_first(rows, ["osm_id"], F.col("lat"), F.col("lng"))
     far = far_from(rows, positives, least, ())
     return sample_cap(far, most, "osm_id", seed).select(F.concat(F.lit("osm_"), F.col("osm_id").cast("string")).alias("id"), "lat", "lng", F.lit(0).alias("label"), F.lit("osm_building").alias("source"), F.col("building").alias("category"))
+
+
+# Negatives by the name of their strategy: (boxes, positives, n for each country, least metres, seed) -> candidate rows.
+NEGATIVE_STRATEGIES: dict[str, Callable[..., DataFrame]] = {
+    "random_rural": random_rural_negatives, "hard_negative": hard_negatives, "stratified": stratified_negatives,
+}
+
+
+def generate_negatives(
+    strategy: str, boxes: DataFrame, positives: DataFrame, per_country: int, least: float, seed: int = 42, tagged: DataFrame | None = None, kinds: Sequence[str] = (), footprints: DataFrame | None = None, ratio: float = 1.0,
+) -> DataFrame:
+    """Negatives of any strategy as id, lat, lng, label, source, country, state, region. osm_buildings takes `tagged` buildings of the `kinds`; building_footprints takes
+    labelled `footprints` (building_id, label, region), keeps their positives too, and ratio times as many negatives; without footprints it falls back to random_rural."""
+    columns = ("id", "lat", "lng", "label", "source", "country", "state", "region")
+    if strategy == "osm_buildings":
+        rows = osm_building_negatives(tagged, positives, kinds, least, per_country * boxes.count(), seed)
+        return rows.withColumns({c: F.lit("") for c in ("country", "state", "region")}).select(*columns)
+    if strategy == "building_footprints":
+        if footprints is None or footprints.isEmpty():
+            return NEGATIVE_STRATEGIES["random_rural"](boxes, positives, per_country, least, seed)
+        kept = downsample_negatives(footprints, ratio, "building_id", seed)
+        return kept.select(F.concat(F.lit("bf_"), "building_id").alias("id"), "lat", "lng", "label", F.lit("building_footprint").alias("source"), "country", F.lit("").alias("state"), F.coalesce("region", F.lit("")).alias("region"))
+    if strategy not in NEGATIVE_STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(NEGATIVE_STRATEGIES)}, osm_buildings, building_footprints")
+    return NEGATIVE_STRATEGIES[strategy](boxes, positives, per_country, least, seed).select(*columns)
+
+
+def build_candidates(
+    farms: DataFrame, boxes: DataFrame, strategy: str, per_country: int, least: float, extra: Sequence[DataFrame] = (), dedup_m: float = 100.0, existing_m: float = 200.0, seed: int = 42, **more,
+) -> DataFrame:
+    """Candidates end to end: positives without near doubles, negatives of the strategy, and extra sources (same columns) that aren't near anything before them."""
+    positives = dedup_proximity(farms.where(valid_coords()), dedup_m)
+    rows = positives.select("id", "lat", "lng", F.lit(1).alias("label"), "source", "country", "state", F.lower("country").alias("region"))
+    negatives = generate_negatives(strategy, boxes, positives, per_country, least, seed, **more)
+    if strategy == "building_footprints":  # footprints near farms stand for the farms themselves
+        rows = rows.limit(0)
+    out = rows.unionByName(negatives)
+    for source in extra:
+        out = out.unionByName(drop_near_existing(source.select(*out.columns), out, existing_m))
+    return out

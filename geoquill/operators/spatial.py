@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoquill.sources.tables import write_table
+from geoquill.sources.tables import kept, steps, write_table
 
 M = 111_000.0
 EARTH = 6_371_000.0
@@ -98,42 +98,76 @@ def validate_matches(candidates: DataFrame, known: DataFrame, radius: float = 20
     return out.withColumns({"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4)})
 
 
-def dedup_proximity(df: DataFrame, radius: float, key: str = "ord", rounds: int = 200) -> DataFrame:
+def dedup_proximity(df: DataFrame, radius: float, key: str = "ord") -> DataFrame:
     """Greedy dedup: rows in order of `key`, which is unique; a row nearer than the radius to an earlier kept row goes (cosine at the kept row).
 
-    The kept rows are the first independent set of the graph of near pairs. Each round keeps rows without an undecided earlier neighbour and drops those
-    with a kept one, over the undecided rows' edges only; every round is a written table, so lost executors cost one round.
+    Rows stand in cells a radius wide. Each round keeps the rows that come before every undecided row of their cell and the eight around it, and decides those near
+    them; so a cell gives one row to compare, and n rows at one spot cost n, not n squared. Rounds go on until all are decided: as many as the longest
+    chain of neighbouring cells whose order rises. Every round is a written table, so lost executors cost one round, and only the kept keys outlive the call.
     """
     pts = _points(df).select(key, "lat", "lng")
     widest = F.broadcast(pts.agg(F.cos(F.radians(F.least(F.coalesce(F.max(F.abs("lat")), F.lit(0.0)), F.lit(89.0)))).alias("k")))
     tall, wide = radius / M, F.lit(radius / M) / F.col("k")
-    at = pts.crossJoin(widest)
-    a = at.select(F.col(key).alias("i"), F.col("lat").alias("ilat"), F.col("lng").alias("ilng"), F.floor(F.col("lng") / wide).alias("cx"), F.floor(F.col("lat") / tall).alias("cy"))
-    b = at.withColumn("c", F.explode(around(F.floor(F.col("lng") / wide), F.floor(F.col("lat") / tall)))).select(F.col(key).alias("j"), "lat", "lng", "c.*")
-    far = F.sqrt(((F.col("lat") - F.col("ilat")) * M) ** 2 + ((F.col("lng") - F.col("ilng")) * M * F.cos(F.radians("ilat"))) ** 2)
-    edges = write_table(a.join(b, ["cx", "cy"]).where((F.col("i") < F.col("j")) & (far < radius)).select("i", "j"), "edges")
-    dropped = None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
-        waiting = edges.select("j").distinct()
-        kept = edges.select("i").distinct().join(waiting, F.col("i") == F.col("j"), "left_anti")  # no earlier neighbour is undecided
-        gone = write_table(edges.join(kept, "i").select("j").distinct(), "gone")
-        dropped = gone if dropped is None else dropped.union(gone)
-        lost = gone.withColumnRenamed("j", "g")
-        edges = write_table(edges.join(lost, F.col("i") == F.col("g"), "left_anti").join(lost, F.col("j") == F.col("g"), "left_anti"), "edges")
-    else:
-        raise RuntimeError(f"dedup did not settle in {rounds} rounds")
-    return df if dropped is None else df.join(dropped.withColumnRenamed("j", key), key, "left_anti")
-
-
-def bbox_lookup(points: DataFrame, boxes: DataFrame, value: str, order: str, key: str) -> DataFrame:
-    """Adds the value of the first box, in registry order, that holds the point. boxes: min_lon, min_lat, max_lon, max_lat."""
+    spread = lambda rows, *names: rows.select(*names, F.explode(around(F.col("cx"), F.col("cy"))).alias("c")).select(*names, "c.*")
+    far = F.sqrt(((F.col("lat") - F.col("klat")) * M) ** 2 + ((F.col("lng") - F.col("klng")) * M * F.cos(F.radians("klat"))) ** 2)
+    with steps(df.sparkSession) as made:
+        at = pts.crossJoin(widest).select(key, "lat", "lng", F.floor(F.col("lng") / wide).alias("cx"), F.floor(F.col("lat") / tall).alias("cy"))
+        open_, found = write_table(at, "undecided"), None
+        while not open_.isEmpty():
+            heads = open_.groupBy("cx", "cy").agg(F.min(key).alias("_head"))
+            least = spread(heads, "_head").groupBy("cx", "cy").agg(F.min("_head").alias("_least"))
+            new = write_table(open_.join(least, ["cx", "cy"]).where(F.col(key) == F.col("_least")).select(key, "lat", "lng", "cx", "cy"), "kept")
+            found = new.select(key) if found is None else found.union(new.select(key))
+            near = spread(new.select(F.col("lat").alias("klat"), F.col("lng").alias("klng"), "cx", "cy"), "klat", "klng").withColumnsRenamed({"cx": "kx", "cy": "ky"})
+            on = (F.col("cx") == F.col("kx")) & (F.col("cy") == F.col("ky")) & (far < radius)
+            open_ = write_table(open_.join(near, on, "left_anti").join(new.select(key), key, "left_anti"), "undecided")
+        if found is None:
+            return df
+        first = kept(made, found, "kept")
+    return df.join(first, key, "left_semi").unionByName(df.where(F.col("lat").isNull() | F.col("lng").isNull()))
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, bound: int = REGISTRY_BOUND) -> DataFrame:
+    """Points joined with the boxes (min_lon, min_lat, max_lon, max_lat) that hold them. Beyond the bound, boxes are dealt to grid cells about as large as a box, so the join stays an equi join."""
     inside = F.col("lng").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    first = points.select(key, "lat", "lng").join(small(boxes.select(F.col(value).alias("_v"), F.col(order).alias("_o"), "min_lon", "min_lat", "max_lon", "max_lat")), inside)
+    if boxes.limit(bound + 1).count() <= bound:
+        return points.join(F.broadcast(boxes), inside)
+    size = F.broadcast(boxes.agg(F.greatest(F.avg(F.col("max_lon") - F.col("min_lon")), F.avg(F.col("max_lat") - F.col("min_lat")), F.lit(1e-3)).alias("_g")))  # one row
+    cell = lambda c: F.floor(F.col(c) / F.col("_g"))
+    dealt = boxes.crossJoin(size).withColumn("_cx", F.explode(F.sequence(cell("min_lon"), cell("max_lon")))).withColumn("_cy", F.explode(F.sequence(cell("min_lat"), cell("max_lat")))).drop("_g")
+    own = points.crossJoin(size).withColumns({"_cx": cell("lng"), "_cy": cell("lat")}).drop("_g")
+    return own.join(dealt, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+
+
+def bbox_lookup(points: DataFrame, boxes: DataFrame, value: str, order: str, key: str, bound: int = REGISTRY_BOUND) -> DataFrame:
+    """Adds the value of the first box, in registry order, that holds the point. boxes: min_lon, min_lat, max_lon, max_lat."""
+    named = boxes.select(F.col(value).alias("_v"), F.col(order).alias("_o"), "min_lon", "min_lat", "max_lon", "max_lat")
+    first = in_boxes(points.select(key, "lat", "lng"), named, bound)
     return points.join(first.groupBy(key).agg(F.min_by("_v", "_o").alias(value)), key, "left")
 
 
+def tile_filter(points: DataFrame, boxes: DataFrame, key: str, bound: int = REGISTRY_BOUND) -> DataFrame:
+    """Points inside any of the boxes."""
+    hits = in_boxes(points.select(key, "lat", "lng"), boxes.select("min_lon", "min_lat", "max_lon", "max_lat"), bound).select(key).distinct()
+    return points.join(hits, key, "left_semi")
+
+
+def region_order(states: DataFrame, countries: DataFrame, state_country: str) -> DataFrame:
+    """One registry of boxes for bbox_lookup: states (state, box) before countries (country_key, ord, box). value, place, box."""
+    box = ("min_lon", "min_lat", "max_lon", "max_lat")
+    first = states.select(F.concat(F.lit(f"{state_country}/"), "state").alias("value"), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord"), F.col("state").alias("name")).alias("place"), *box)
+    return first.union(countries.select(F.col("country_key").alias("value"), F.struct(F.lit(1).alias("kind"), F.col("ord").cast("long").alias("ord"), F.col("country_key").alias("name")).alias("place"), *box))
+
+
+def region_bounds(df: DataFrame, states: DataFrame, countries: DataFrame, state_country: str) -> DataFrame:
+    """Adds the box of country_key and state: the state's where the country is `state_country` and the state is known, else the country's."""
+    box = ("min_lon", "min_lat", "max_lon", "max_lat")
+    s = states.select(F.lit(state_country).alias("country_key"), "state", *[F.col(c).alias(f"s_{c}") for c in box])
+    c = countries.select("country_key", *[F.col(c).alias(f"c_{c}") for c in box])
+    joined = df.join(s, ["country_key", "state"], "left").join(c, "country_key", "left")
+    return joined.select(*df.columns, *[F.when(F.col("s_min_lon").isNotNull(), F.col(f"s_{x}")).otherwise(F.col(f"c_{x}")).alias(x) for x in box])
+
+
 def generate_tiles(boxes: DataFrame, size: float, seeds: DataFrame | None = None, factor: float = 1.5, key: str = "country_key") -> DataFrame:
     """Tiles (key, i, j) of each box; with seeds only those whose zone, the tile's size times the factor around its centre, has one."""
     n = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo)) / size).cast("int") - 1

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geoquill.functions.labels import iso_prefix
 from geoquill.operators.lookups import uniform
+from geoquill.operators.ranks import ordered_rank
 
 
 def _placed(rank: Column, n_test: Column, n_val: Column) -> Column:
@@ -23,17 +24,16 @@ def country_balanced_split(df: DataFrame, val: float, test: float, country: str
     """As many val and test rows from each country as the smallest one gives: max(1, int(size * share)); the rest trains."""
     name = F.coalesce(F.col(country), F.lit("unknown"))
     least = F.broadcast(df.groupBy(name.alias("c")).count().agg(F.coalesce(F.min("count"), F.lit(0)).alias("_least")))  # one row
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(uniform(key, seed=seed), key))
     n = lambda share: F.greatest(F.lit(1), F.floor(F.col("_least") * share).cast("int"))
-    return df.crossJoin(least).withColumn("split", _placed(rank, n(test), n(val))).drop("_least")
+    ranked = hash_rank(df.withColumn("_name", name), uniform(key, seed=seed), key, strata="_name")
+    return ranked.crossJoin(least).withColumn("split", _placed(F.col("_rank"), n(test), n(val))).drop("_least", "_rank", "_name")
 
 
 def stratified_split(df: DataFrame, val: float, test: float, label: str = "label", key: str = "candidate_id", seed: int = 42, at_least: int = 1) -> DataFrame:
     """Shares of val and test in each label; at_least 0 leaves small labels without."""
-    strata = Window.partitionBy(label)
-    n = lambda share: F.greatest(F.lit(at_least), F.floor(F.count(F.lit(1)).over(strata) * share).cast("int"))
-    rank = F.row_number().over(strata.orderBy(uniform(key, seed=seed), key))
-    return df.withColumn("split", _placed(rank, n(test), n(val)))
+    n = lambda share: F.greatest(F.lit(at_least), F.floor(F.col("_size") * share).cast("int"))
+    ranked = hash_rank(df, uniform(key, seed=seed), key, strata=label)
+    return ranked.withColumn("split", _placed(F.col("_rank"), n(test), n(val))).drop("_rank", "_size")
 
 
 def _listed(regions: Sequence[str]) -> Column:
@@ -65,7 +65,7 @@ def region_split(df: DataFrame, train: Sequence[str], val: Sequence[str], test:
     n = F.broadcast(out.agg(F.count_if(F.col("_wait")).alias("_n"), *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in sides]))  # one row
     total = F.col("_train") + F.col("_val") + F.col("_test")
     share = lambda s: F.when((F.col(f"_{s}") > 0) & (total > 0), F.greatest(F.lit(1), F.bround(F.col("_n") * F.col(f"_{s}") / total).cast("int"))).otherwise(0)
-    dealt = out.where("_wait").select(order, F.row_number().over(Window.orderBy(order)).alias("_k"))  # the few rows that wait
+    dealt = ordered_rank(out.where("_wait").select(order), [], [order], "_k")
     joined = out.join(dealt, order, "left").crossJoin(n)
     return joined.withColumn("split", F.when(F.col("_wait"), _placed(F.col("_k"), share("test"), share("val"))).otherwise(F.col("split"))).drop("_wait", "_k", "_n", "_train", "_val", "_test")
 
@@ -82,13 +82,20 @@ def pool_split(df: DataFrame, regions: Sequence[str], val: float, test: float, k
     return ranked.crossJoin(n).withColumn("split", _placed(F.col("_rank"), size(test), size(val))).drop("_rank", "_n")
 
 
-def hash_rank(df: DataFrame, u: Column, key: str, buckets: int = 4096) -> DataFrame:
-    """Adds _rank, from 1, in the order of u (0 to 1) and key, by ranks within buckets of u plus the rows of the buckets before."""
+def hash_rank(df: DataFrame, u: Column, key: str, buckets: int = 4096, strata: str | None = None) -> DataFrame:
+    """Adds _rank, from 1, in the order of u (0 to 1) and key, by ranks within buckets of u plus the rows of the buckets before.
+
+    With strata, ranks are taken in each of its values, and _size is the value's rows.
+    """
+    keys = [strata] if strata else []
     placed = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))  # at most `buckets` rows
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)) + F.col("_before")
-    return placed.join(F.broadcast(sums), "_b").withColumn("_rank", rank).drop("_u", "_b", "_before")
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))  # at most `buckets` rows for each value
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    sums = sums.withColumn("_size", F.sum("_c").over(every)) if strata else F.broadcast(sums)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_u", key)) + F.col("_before")
+    return placed.join(sums.drop("_c"), [*keys, "_b"]).withColumn("_rank", rank).drop("_u", "_b", "_before")
 
 
 def assign_splits(

@@ -16,6 +16,11 @@ SELECT CAST(n_nationkey AS INT) AS ord, lower(n_name) AS country_key, n_name AS
        -60e0 + 5 * n_nationkey AS min_lon, -30e0 + 2 * n_nationkey AS min_lat,
        -54e0 + 5 * n_nationkey AS max_lon, -27e0 + 2 * n_nationkey AS max_lat
 FROM nation
+""",
+    # state boxes inside one country, for lookups that take states before countries
+    "fx_states": """
+SELECT 'S' || CAST(k AS VARCHAR(4)) AS state, min_lon + k * 1e0 AS min_lon, min_lat AS min_lat, min_lon + (k + 1) * 1e0 AS max_lon, min_lat + 2e0 AS max_lat
+FROM fx_country, (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5) x WHERE ord = 1
 """,
     # known farms (two sources; nullable / zero coordinates included)
     "fx_farms": """

@@ -14,7 +14,8 @@ from geoquill.operators import spatial as S
 from geoquill.operators.metrics import outcome_class
 from geoquill.plans.metrics import OUTCOME
 from geoquill.plans.registry import query
-from geoquill.plans.space import CASCADE
+from geoquill.plans.space import CASCADE, TAGGED, greedy
+from geoquill.plans.splits import HARD, RURAL
 from geoquill.sources import readers, sinks
 from geoquill.sources.tables import shared_dir
 
@@ -25,10 +26,10 @@ def _(t):
     return readers.farms(rows, "FarmTransparency", "X", ["Chickens", "Ducks", "Cows/Cattle"], ["Farm"])
 
 
-@query("s03_known_farms")
+@query("s03_known_farms", f"WITH RECURSIVE v AS (SELECT * FROM fx_farms WHERE lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0), {greedy('v', 20000e0)} SELECT id, source, country FROM v SEMI JOIN kept USING (ord)")
 def _(t):
-    farms = t("fx_farms").where(L.valid_coords())
-    return S.dedup_proximity(farms, 20000.0).select("id", "source", "country")
+    farms = t("fx_farms")
+    return readers.known_farms([farms.where("source = 'OSM'"), farms.where("source <> 'OSM'")], 20000.0).select("id", "source", "country")
 
 
 ELEMENT = "osm_id, lat, lng, name, building"
@@ -69,9 +70,7 @@ def _(t):
 
 @query("j16_tile_filter", "SELECT DISTINCT b.building_id FROM fx_buildings b JOIN fx_country c ON b.lng BETWEEN c.min_lon AND c.max_lon AND b.lat BETWEEN c.min_lat AND c.max_lat WHERE c.ord < 5")
 def _(t):
-    boxes = t("fx_country").where("ord < 5")
-    inside = F.col("lng").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    return t("fx_buildings").select("building_id", "lat", "lng").join(S.small(boxes.select("min_lon", "max_lon", "min_lat", "max_lat")), inside, "left_semi").select("building_id")
+    return S.tile_filter(t("fx_buildings"), t("fx_country").where("ord < 5"), "building_id", bound=2).select("building_id")
 
 
 @query("u07_find_farms", "SELECT osm_id, species FROM (SELECT osm_id, CASE WHEN contains(x, 'chicken') OR contains(x, 'poultry') OR contains(x, 'broiler') OR contains(x, 'layer') OR contains(x, 'egg') OR contains(x, 'hen') OR contains(x, 'hatchery') THEN 'Chickens' END AS species FROM (SELECT osm_id, lower(concat_ws(' ', coalesce(name, ''), building, landuse)) AS x FROM fx_osm_tags)) WHERE species IS NOT NULL")
@@ -92,21 +91,32 @@ def _(t):
     return S.bbox_lookup(done, boxes, "state", "ord", "cluster_id").select(F.col("cluster_id").alias("id"), "country_key", "label", F.col("final_label").alias("category"), "viz_status", "eval_set", "state")
 
 
-@query("u06_building_candidates", f"{CASCADE} SELECT 'bf_' || building_id AS id, label, unified_label AS category, (SELECT arg_min(c.country_key, c.ord) FROM fx_country c WHERE l.lng BETWEEN c.min_lon AND c.max_lon AND l.lat BETWEEN c.min_lat AND c.max_lat) AS region FROM l")
+@query("u07_species_counts", "WITH o AS (SELECT osm_id, lat, lng, lower(concat_ws(' ', coalesce(name, ''), building, landuse)) AS x FROM fx_osm_tags) SELECT CASE WHEN contains(x, 'chicken') OR contains(x, 'poultry') OR contains(x, 'broiler') OR contains(x, 'layer') OR contains(x, 'egg') OR contains(x, 'hen') OR contains(x, 'hatchery') THEN 'Chickens' END AS species, count(*) AS n FROM o GROUP BY 1 HAVING species IS NOT NULL")
 def _(t):
-    labelled = S.label_buildings(t("fx_buildings").drop("country_key"), t("fx_farms"), 3000)
+    kind = L.classify_species(F.col("name"), F.array_compact(F.array("building", "landuse")))["species"]
+    found = t("fx_osm_tags").select("osm_id", kind.alias("species")).where(L.species_in("species", ["Chickens"]))
+    return found.groupBy("species").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u06_building_candidates", f"""{CASCADE}, {TAGGED}, w AS (SELECT l.building_id, lat, lng, CASE WHEN split_part(gl, '/', 1) = 'farm' THEN 1 ELSE label END AS label, coalesce(split_part(gl, '/', 2), unified_label) AS category FROM l LEFT JOIN nt USING (building_id))
+SELECT 'bf_' || building_id AS id, w.label, category, (SELECT arg_min(c.country_key, c.ord) FROM fx_country c WHERE w.lng BETWEEN c.min_lon AND c.max_lon AND w.lat BETWEEN c.min_lat AND c.max_lat) AS region
+FROM w JOIN fx_buildings b USING (building_id) WHERE area_m2 BETWEEN 500 AND 40000 AND confidence >= 0.3""")
+def _(t):
+    # The radius of a match depends on the mean latitude of the references alone, so footprints can be filtered first.
+    chosen = readers.query_buildings(t("fx_buildings").drop("country_key"), (-180, -90, 180, 90), 500, 40000, 0.3)
+    labelled = S.enrich_with_tags(S.label_buildings(chosen, t("fx_farms"), 3000), t("fx_osm_tags"), 2000)
     placed = S.bbox_lookup(labelled, t("fx_country"), "country_key", "ord", "building_id")
     return placed.select(F.concat(F.lit("bf_"), "building_id").alias("id"), "label", F.col("unified_label").alias("category"), F.col("country_key").alias("region"))
 
 
-@query("u05_build_candidates")
+@query("u05_build_candidates", f"""WITH RECURSIVE v AS (SELECT * FROM fx_farms WHERE lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0), {greedy('v', 100e0)}, pos AS (SELECT * FROM v SEMI JOIN kept USING (ord)),
+{RURAL.format(n=10).replace('fx_farms', 'pos')}, {HARD.format(n=10).replace('fx_farms', 'pos')},
+r AS (SELECT id, lat, lng, 1 AS label FROM pos UNION ALL SELECT id, lat, lng, 0 FROM rr UNION ALL SELECT id, lat, lng, 0 FROM hr),
+x AS (SELECT cluster_id AS id, lat, lng, CASE WHEN final_label = 'NotFarm' THEN 0 ELSE 1 END AS label FROM fx_clusters WHERE final_label IS NOT NULL)
+SELECT id, label FROM r UNION ALL SELECT id, label FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE sqrt((radians(r.lat) - radians(x.lat)) ** 2 + (radians(r.lng) - radians(x.lng)) ** 2) * 6371000 <= 200)""")
 def _(t):
-    farms = t("fx_farms").where(L.valid_coords())
-    positives = S.dedup_proximity(farms, 100.0)
-    rows = positives.select("id", "lat", "lng", F.lit(1).alias("label"), "source", "country", "state", F.lower("country").alias("region"))
-    negatives = N.stratified_negatives(t("fx_country"), positives, 20, 5000.0)
     extra = t("fx_clusters").where("final_label is not null").select(F.col("cluster_id").alias("id"), "lat", "lng", L.label_binary("final_label").alias("label"), F.lit("clusters").alias("source"), "country", F.lit("").alias("state"), F.col("country_key").alias("region"))
-    return rows.unionByName(negatives).unionByName(S.drop_near_existing(extra, rows.unionByName(negatives), 200.0))
+    return N.build_candidates(t("fx_farms"), t("fx_country"), "stratified", 20, 5000.0, [extra]).select("id", "label")
 
 
 @query("k10_map_layers", f"SELECT o AS layer, CASE o WHEN 'TP' THEN '#2ca02c' WHEN 'FP' THEN '#d62728' WHEN 'FN' THEN '#ff7f0e' WHEN 'TN' THEN '#1f77b4' ELSE '#999999' END AS colour, count(*) AS n FROM (SELECT {OUTCOME} AS o FROM fx_scored) GROUP BY o")

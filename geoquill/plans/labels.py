@@ -167,9 +167,9 @@ def _(t):
     return J.lookup(t("fx_scored").select("candidate_id", "adm0"), right, "adm0", {"final_label": "none"}, "ord")
 
 
-@query("j02_join_scores", "SELECT candidate_id, predicted_score, num_bldgs FROM fx_scored s JOIN fx_clusters c ON s.candidate_id = c.cluster_id WHERE c.ord % 2 = 0")
+@query("j02_join_scores", "SELECT candidate_id, predicted_score, num_bldgs FROM fx_scored s JOIN fx_clusters c ON s.candidate_id = c.cluster_id")
 def _(t):
-    return t("fx_scored").join(t("fx_clusters").where("ord % 2 = 0").select(F.col("cluster_id").alias("candidate_id"), "num_bldgs"), "candidate_id").select("candidate_id", "predicted_score", "num_bldgs")
+    return t("fx_scored").join(t("fx_clusters").select(F.col("cluster_id").alias("candidate_id"), "num_bldgs"), "candidate_id").select("candidate_id", "predicted_score", "num_bldgs")
 
 
 @query("j03_first_match", "WITH r AS (SELECT country, arg_min(id, ord) AS id FROM fx_farms GROUP BY country) SELECT cluster_id, country, r.id FROM fx_clusters LEFT JOIN r USING (country)")

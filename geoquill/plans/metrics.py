@@ -116,6 +116,20 @@ def _(t):
     return m.outcome_medians(t("fx_scored"))
 
 
+@query("a12_medians_by_type", f"""
+WITH o AS (SELECT coalesce(final_label, 'ALL') AS final_label, {OUTCOME} AS outcome, predicted_score FROM fx_scored)
+SELECT final_label, outcome, count(*) AS n, round(median(predicted_score), 6) AS median_score FROM (SELECT * FROM o UNION ALL SELECT 'ALL', outcome, predicted_score FROM o) GROUP BY final_label, outcome""")
+def _(t):
+    return m.outcome_medians(t("fx_scored"), "final_label")
+
+
+@query("a12_medians_by_type_and_country", f"""
+WITH o AS (SELECT coalesce(final_label, 'ALL') AS final_label, country, {OUTCOME} AS outcome, predicted_score FROM fx_scored)
+SELECT final_label, country, outcome, count(*) AS n, round(median(predicted_score), 6) AS median_score FROM (SELECT * FROM o UNION ALL SELECT 'ALL', 'ALL', outcome, predicted_score FROM o) GROUP BY final_label, country, outcome""")
+def _(t):
+    return m.outcome_medians(t("fx_scored"), "final_label", "country")
+
+
 @query("a13_roc_auc", f"WITH {_curve('', 'fx_scored WHERE true_label IN (0, 1)')} SELECT {AREAS} FROM c")
 def _(t):
     return m.auc(m.known(t("fx_scored")))
@@ -237,7 +251,7 @@ TIER = "CASE WHEN predicted_score >= 0.9 THEN 'high' WHEN predicted_score >= 0.7
 
 @query("a29_fp_breakdown", f"""
 WITH f AS (SELECT split, upper(split_part(candidate_id, '_', 1)) AS state, {TIER} AS tier FROM fx_scored WHERE true_label = 0 AND predicted_score >= 0.5)
-SELECT 'split' AS "by", split AS value, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'state', state, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'tier', tier, count(*) FROM f GROUP BY 2""")
+SELECT 'split' AS "by", split AS value, count(*) AS n FROM f GROUP BY 2 UNION ALL (SELECT 'state', state, count(*) FROM f GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15) UNION ALL SELECT 'tier', tier, count(*) FROM f GROUP BY 2""")
 def _(t):
     from geoquill.functions.labels import confidence_tier, iso_prefix
 
@@ -262,6 +276,15 @@ def _(t):
     return m.model_comparison(t("fx_scored"), "template_score_if", 0.0, "predicted_score", 0.5)
 
 
+@query("a31_class_comparison", f"""
+WITH k AS (SELECT final_label AS kind, predicted_score FROM fx_scored WHERE final_label IS NOT NULL), g AS (SELECT kind, count(*) AS n, round(median(predicted_score), 6) AS median_score, round(avg(CASE WHEN predicted_score >= 0.5 THEN 1e0 ELSE 0e0 END), 6) AS predicted_share FROM k GROUP BY kind),
+s AS (SELECT predicted_score, count(*) FILTER (kind = 'Farm: Pigs') AS p, count(*) FILTER (kind = 'Farm: Cattle') AS n FROM k WHERE kind IN ('Farm: Pigs', 'Farm: Cattle') GROUP BY 1),
+b AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY predicted_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM s)
+SELECT *, (SELECT round(sum(p * (below + n / 2)) / max(pos * neg), 6) FROM b) AS pair_auc FROM g""")
+def _(t):
+    return m.class_comparison(t("fx_scored").withColumnRenamed("final_label", "kind"), "predicted_score", "kind", "Farm: Pigs", "Farm: Cattle")
+
+
 @query("a32_log_loss", """
 SELECT round(sum(-w * ln(CASE WHEN true_label = 1 THEN p ELSE 1 - p END)) / sum(w), 6) AS log_loss FROM (SELECT *, least(greatest(predicted_score, 1e-7), 1 - 1e-7) AS p, CASE WHEN true_label = 1 THEN 2e0 ELSE 1e0 END AS w FROM fx_scored WHERE true_label IN (0, 1))""")
 def _(t):

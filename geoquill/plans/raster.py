@@ -112,10 +112,11 @@ def _(t):
     return t("fx_buildings").select("building_id", P.utm_grid()["epsg"].alias("epsg"), P.patch_bbox(640.0).alias("b")).select("building_id", "epsg", F.round("b.min_lon", 6).alias("min_lon"), F.round("b.max_lat", 6).alias("max_lat"))
 
 
-HASH = P.config_hash({"bands": ["B2", "B3", "B4"], "size": 64})
+HASH = P.config_hash({"size": 64, "bands": ["B2", "B3", "B4"]})
+HASH_SQL = """substr(sha256('{"bands": ["B2", "B3", "B4"], "size": 64}'), 1, 12)"""
 
 
-@query("p34_patch_path", f"SELECT id, coalesce(nullif(country, ''), '_') || '/' || coalesce(nullif(state, ''), '_') || '/{HASH}/' || id || '.npy' AS path FROM fx_farms")
+@query("p34_patch_path", f"SELECT id, coalesce(nullif(country, ''), '_') || '/' || coalesce(nullif(state, ''), '_') || '/' || {HASH_SQL} || '/' || id || '.npy' AS path FROM fx_farms")
 def _(t):
     return t("fx_farms").withColumn("candidate_id", F.col("id")).select("id", P.patch_path(HASH).alias("path"))
 
@@ -125,6 +126,11 @@ def _(t):
     return t("fx_scored").select("candidate_id", F.substring(F.sha2(F.concat_ws(":", "candidate_id", "country"), 256), 1, 12).alias("h"))
 
 
+@query("p35_config_hash", f"SELECT candidate_id, {HASH_SQL} AS patches, substr(sha256('{{\"cache\": true}}'), 1, 16) AS cache FROM fx_scored")
+def _(t):
+    return t("fx_scored").select("candidate_id", F.lit(HASH).alias("patches"), F.lit(P.config_hash({"cache": True}, 16)).alias("cache"))
+
+
 @query("p36_same_imagery", f"SELECT candidate_id FROM (SELECT candidate_id, CASE WHEN ord % 3 = 0 THEN '{HASH}' ELSE 'other' END AS h FROM fx_scored) WHERE h = '{HASH}'")
 def _(t):
     reg = t("fx_scored").withColumn("imagery_config_hash", F.when(F.col("ord") % 3 == 0, HASH).otherwise("other"))
@@ -145,18 +151,63 @@ def _(t):
     return P.band_stats(P.band_means(d), d.select("candidate_id", "label"), "label")
 
 
-@query("f04_score_candidates")
+WEIGHTS = [[1, -1], [-2, 2], [0.5, -0.5], [3, -3]]
+
+
+@query("f04_score_candidates", """
+WITH m AS (SELECT candidate_id, [list_avg(list_transform(data[k * 16 + 1:k * 16 + 16], lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))) FOR k IN range(4)] AS c, label % 4 - 1 AS y FROM fx_patches),
+z AS (SELECT candidate_id, y, c[1] - 2 * c[2] + 0.5e0 * c[3] + 3 * c[4] AS z FROM m WHERE label_known), p AS (SELECT candidate_id, y, 1 / (1 + exp(2 * z)) AS s FROM z)
+SELECT candidate_id, round(s, 5) AS predicted_score, CAST(s >= 0.5 AS INT) AS predicted_label, CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.7 THEN 'medium' WHEN s >= 0.5 THEN 'low' ELSE 'very_low' END AS confidence_tier,
+CAST(y AS INT) AS true_label, CASE WHEN candidate_id % 3 = 0 THEN 'unknown' ELSE 'test' END AS split FROM p""".replace("WHERE label_known", "WHERE y <> -1"))
 def _(t):
-    scored = P.score_candidates(t("fx_patches"), P.LinearScorer([[1, -1], [-2, 2], [0.5, -0.5], [3, -3]]))
-    from geoquill.functions.labels import confidence_tier, predict_label
+    from geoquill.plans.flows import _folder
+    from geoquill.sources import readers
 
-    got = scored.withColumn("p", predict_label(F.col("probs"))).select("candidate_id", F.round("p.score", 6).alias("predicted_score"), F.col("p.label").alias("predicted_label"))
-    return got.withColumn("confidence_tier", confidence_tier("predicted_score"))
+    d = t("fx_patches")
+    spark = d.sparkSession
+    path, root = _folder(spark, "model"), _folder(spark, "patches")
+    P.LinearScorer(WEIGHTS).save(spark, path)
+    d.where("candidate_id % 3 <> 0").select("candidate_id", F.lit("test").alias("split")).write.csv(f"{root}/split_assignments.csv", header=True)
+    candidates = d.select("candidate_id", (F.col("label") % 4 - 1).cast("int").alias("label"), F.lit("x").alias("country"), F.col("candidate_id").alias("ord"))
+    splits = readers.read_splits(spark, root, "world").withColumn("candidate_id", F.col("candidate_id").cast("long"))
+    got = P.scored_candidates(d, P.LinearScorer.read(spark, path), candidates, splits, labelled=True)
+    return got.select("candidate_id", F.round("predicted_score", 5).alias("predicted_score"), "predicted_label", "confidence_tier", "true_label", "split")
 
 
 @query("f05_fit_patch_classifier")
 def _(t):
+    """Fits on the training split, saves and loads the pipeline, and rates it on the slices held out."""
+    from pyspark.ml import PipelineModel
+
+    from geoquill.plans.flows import _folder
+
     d = t("fx_patches")
-    labels = d.select("candidate_id", (F.col("label") % 2).cast("double").alias("label"))
-    model = P.fit_patch_classifier(d, labels)
-    return model.transform(P.classifier_features(d)).select("candidate_id", F.col("prediction").cast("int").alias("predicted_label"))
+    slices = F.when(F.col("candidate_id") % 5 < 3, "train").when(F.col("candidate_id") % 5 == 3, "test").otherwise("eval")
+    labels = d.select("candidate_id", (F.col("label") % 2).cast("double").alias("label"), slices.alias("split"), F.concat(F.lit("c"), F.col("candidate_id") % 3).alias("country"))
+    path = _folder(d.sparkSession, "classifier")
+    P.fit_patch_classifier(d, labels.where("split = 'train'").select("candidate_id", "label")).write().overwrite().save(path)
+    return P.evaluate_classifier(PipelineModel.load(path), d, labels, ["test", "eval"])
+
+
+@query("f03_imagery_providers", """
+WITH s AS (SELECT tile_id, row, col, median(b4) AS b4, median(b8) AS b8, median(b11) AS b11 FROM fx_pixels WHERE obs_ts >= '1994-01-01' AND obs_ts < '1997-01-01' AND cloud_pct < 40 GROUP BY ALL), r AS (SELECT tile_id, row, col, median(vv_db) AS vv_db FROM fx_pixels GROUP BY ALL)
+SELECT tile_id, row, col, round(b4, 6) AS b4, round(b8, 6) AS b8, round((b8 - b4) / nullif(b8 + b4, 0), 6) AS ndvi, round(vv_db, 6) AS vv_db FROM s FULL JOIN r USING (tile_id, row, col)""")
+def _(t):
+    got = R.imagery(t("fx_pixels"), [{"bands": ["b4", "b8"], "indices": ["ndvi"], "date_range": ("1994-01-01", "1997-01-01"), "max_cloud_cover": 40}, {"provider": "earth_engine_s1"}])
+    return got.select("tile_id", "row", "col", *[F.round(c, 6).alias(c) for c in ("b4", "b8", "ndvi", "vv_db")])
+
+
+@query("f03_footprint_providers", """
+WITH b AS (SELECT *, substr(country_key, 8) AS iso_code FROM fx_buildings), c AS (SELECT DISTINCT iso_code FROM b WHERE TRY_CAST(iso_code AS INT) % 3 = 0)
+SELECT 'google_open_buildings' AS name, building_id FROM b WHERE provider = 'google_open_buildings' AND confidence >= 0.65 UNION ALL SELECT 'ms_buildings', building_id FROM b WHERE provider = 'ms_buildings'
+UNION ALL SELECT 'auto', building_id FROM b WHERE CASE WHEN iso_code IN (SELECT iso_code FROM c) THEN provider = 'google_open_buildings' AND confidence >= 0.65 ELSE provider = 'ms_buildings' END""")
+def _(t):
+    from geoquill.sources import readers
+
+    b = t("fx_buildings").withColumn("iso_code", F.substring("country_key", 8, 9))
+    coverage = b.select("iso_code").distinct().where(F.expr("try_cast(iso_code AS int) % 3 = 0"))
+    out = None
+    for name in readers.FOOTPRINT_PROVIDERS:
+        rows = readers.footprints(name, b, coverage).select(F.lit(name).alias("name"), "building_id")
+        out = rows if out is None else out.union(rows)
+    return out

@@ -49,7 +49,16 @@ def _(t):
     return S.enrich_with_tags(S.label_buildings(t("fx_buildings"), t("fx_farms"), 3000), t("fx_osm_tags"), 2000).select("building_id", "label", "unified_label")
 
 
-@query("j09_dedup_proximity")
+def greedy(points: str, radius: float) -> str:
+    """CTEs p (points in order) and kept (one list): the rows of points (ord, lat, lng) that greedy dedup keeps."""
+    return f"""p AS (SELECT ord, lat, lng, row_number() OVER (ORDER BY ord) AS i FROM {points}),
+g AS (SELECT 0::BIGINT AS i, [{{'o': -1::BIGINT, 'y': 999e0, 'x': 999e0}}] AS kept
+  UNION ALL SELECT p.i, CASE WHEN len(list_filter(g.kept, lambda k: sqrt(((p.lat - k.y) * 111000) ** 2 + ((p.lng - k.x) * 111000 * cos(radians(k.y))) ** 2) < {radius})) > 0 THEN g.kept
+  ELSE list_append(g.kept, {{'o': p.ord, 'y': p.lat, 'x': p.lng}}) END FROM g JOIN p ON p.i = g.i + 1),
+kept AS (SELECT unnest(kept).o AS ord FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))"""
+
+
+@query("j09_dedup_proximity", f"WITH RECURSIVE {greedy('fx_buildings', 1500e0)} SELECT building_id, ord FROM fx_buildings SEMI JOIN kept USING (ord)")
 def _(t):
     return S.dedup_proximity(t("fx_buildings"), 1500.0).select("building_id", "ord")
 
@@ -82,6 +91,13 @@ def _(t):
     return S.bbox_lookup(t("fx_buildings").drop("country_key"), t("fx_country"), "country_key", "ord", "building_id").select("building_id", "country_key")
 
 
+@query("j13_states_before_countries", """WITH r AS (SELECT 'nation_1/' || state AS v, 0 AS kind, 0 AS ord, state AS name, min_lon, min_lat, max_lon, max_lat FROM fx_states UNION ALL SELECT country_key, 1, ord, country_key, min_lon, min_lat, max_lon, max_lat FROM fx_country)
+SELECT building_id, (SELECT first(v ORDER BY kind, ord, name) FROM r WHERE b.lng BETWEEN min_lon AND max_lon AND b.lat BETWEEN min_lat AND max_lat) AS region FROM fx_buildings b""")
+def _(t):
+    registry = S.region_order(t("fx_states"), t("fx_country"), "nation_1")
+    return S.bbox_lookup(t("fx_buildings"), registry.withColumnRenamed("value", "region"), "region", "place", "building_id", bound=3).select("building_id", "region")
+
+
 TILES = """t0 AS (SELECT country_key, min_lon, min_lat, max_lon, max_lat, i, j FROM fx_country, range(12) a(i), range(6) b(j) WHERE min_lon + i * 0.5e0 < max_lon AND min_lat + j * 0.5e0 < max_lat),
 t1 AS (SELECT country_key, i, j, min_lon + i * 0.5e0 AS x0, least(min_lon + (i + 1) * 0.5e0, max_lon) AS x1, min_lat + j * 0.5e0 AS y0, least(min_lat + (j + 1) * 0.5e0, max_lat) AS y1 FROM t0)"""
 

@@ -129,12 +129,29 @@ def _(t):
     return N.osm_building_negatives(t("fx_osm_tags"), t("fx_farms"), ["warehouse", "house", "yes", "barn"], 3000.0, 200).select("id", "category")
 
 
-@query("l09_weighted_sample", f"""WITH e AS (SELECT building_id, 5000 * area_m2 / sum(area_m2) OVER () AS e FROM fx_buildings), c AS (SELECT building_id, floor(e) + CAST({_u('building_id')} < e - floor(e) AS INT) AS n FROM e)
-SELECT building_id, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INT) AS draw FROM c WHERE n > 0""")
+@query("l09_weighted_sample", f"""WITH r AS (SELECT building_id, floor({_u('building_id')} * 1024)::INT AS b, {_u('building_id')} AS u, area_m2::DECIMAL(38, 6) AS w FROM fx_buildings WHERE area_m2 > 0),
+e AS (SELECT building_id, w, sum(w) OVER (ORDER BY b, u, building_id ROWS UNBOUNDED PRECEDING)::DECIMAL(38, 6) AS hi, sum(w) OVER ()::DECIMAL(38, 6) AS total FROM r),
+d AS (SELECT k AS draw, ({_u('k', "'draw'")} * (SELECT max(total)::DOUBLE FROM e))::DECIMAL(38, 6) AS x FROM range(5000) t(k))
+SELECT building_id, draw FROM d JOIN e ON x >= hi - w AND x < hi""")
 def _(t):
     return N.weighted_sample(t("fx_buildings"), 5000, "area_m2", "building_id").select("building_id", "draw")
 
 
+@query("f02_negative_strategies", f"""WITH {RURAL.format(n=10)}, {HARD.format(n=10)},
+ox AS (SELECT * FROM fx_osm_tags o WHERE building IN ('warehouse', 'house', 'yes') AND NOT EXISTS (SELECT 1 FROM fx_farms f WHERE sqrt(((f.lat - o.lat) * 111000) ** 2 + ((f.lng - o.lng) * 111000 * cos(radians(o.lat))) ** 2) < 5000)),
+ok AS (SELECT *, row_number() OVER (ORDER BY {_u('osm_id')}, osm_id) AS k FROM ox), fb AS (SELECT building_id, ord % 5 = 0 AS yes FROM fx_buildings), fn AS (SELECT building_id, row_number() OVER (ORDER BY {_u('building_id')}, building_id) AS k FROM fb WHERE NOT yes)
+SELECT 'random_rural' AS strategy, id, 0 AS label FROM rr UNION ALL SELECT 'hard_negative', id, 0 FROM hr UNION ALL SELECT 'osm_buildings', 'osm_' || osm_id, 0 FROM ok WHERE k <= 10 * (SELECT count(*) FROM fx_country)
+UNION ALL SELECT 'building_footprints', 'bf_' || building_id, 1 FROM fb WHERE yes UNION ALL SELECT 'building_footprints', 'bf_' || building_id, 0 FROM fn WHERE k <= 2 * (SELECT count(*) FROM fb WHERE yes)""")
+def _(t):
+    marked = t("fx_buildings").select("building_id", "lat", "lng", "country", F.col("country_key").alias("region"), (F.col("ord") % 5 == 0).cast("int").alias("label"))
+    more = {"osm_buildings": {"tagged": t("fx_osm_tags"), "kinds": ["warehouse", "house", "yes"]}, "building_footprints": {"footprints": marked, "ratio": 2.0}}
+    out = None
+    for name in ("random_rural", "hard_negative", "osm_buildings", "building_footprints"):
+        rows = N.generate_negatives(name, t("fx_country"), t("fx_farms"), 10, 5000.0, **more.get(name, {})).select(F.lit(name).alias("strategy"), "id", "label")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query("l10_gallery_sample", f"SELECT candidate_id, o AS grp FROM (SELECT candidate_id, {OUTCOME} AS o, row_number() OVER (PARTITION BY {OUTCOME} ORDER BY {_u('candidate_id')}, candidate_id) AS r FROM fx_scored) WHERE r <= 12")
 def _(t):
     return N.gallery_sample(t("fx_scored"), outcome_class(), 12, "candidate_id").select("candidate_id", F.col("group").alias("grp"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,16 @@ def read_farm_source(spark: SparkSession, path: str, source: str, country: str,
     return farms(rows.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items() if c in rows.columns]), source, country, species, categories)
 
 
+def known_farms(sources: Sequence[DataFrame], radius: float = 100.0) -> DataFrame:
+    """The farms of all sources (with ord, their order) without doubles: of farms nearer than the radius the first stays."""
+    from geoquill.operators.spatial import dedup_proximity
+
+    rows = sources[0]
+    for more in sources[1:]:
+        rows = rows.unionByName(more)
+    return dedup_proximity(rows.where(valid_coords()), radius)
+
+
 def read_candidates(spark: SparkSession, path: str, countries: Sequence[str] = ()) -> DataFrame:
     """Candidates that write_candidates wrote; partitions of other countries aren't read."""
     df = spark.read.option("mergeSchema", "true").parquet(path)
@@ -74,6 +84,31 @@ def choose_provider(countries: DataFrame, coverage: DataFrame, first: str, secon
     return countries.join(covered, "iso_code", "left").withColumn("provider", F.when(F.col("_c"), first).otherwise(second)).drop("_c")
 
 
+def _google(buildings: DataFrame, coverage: DataFrame, confidence: float) -> DataFrame:
+    return buildings.where((F.col("provider") == "google_open_buildings") & (F.col("confidence") >= confidence))
+
+
+def _microsoft(buildings: DataFrame, coverage: DataFrame, confidence: float) -> DataFrame:
+    return buildings.where(F.col("provider") == "ms_buildings")
+
+
+def _auto(buildings: DataFrame, coverage: DataFrame, confidence: float) -> DataFrame:
+    chosen = choose_provider(buildings.select("iso_code").distinct(), coverage, "google_open_buildings", "ms_buildings").withColumnRenamed("provider", "_chosen")
+    kept = buildings.join(chosen, "iso_code").where((F.col("provider") == F.col("_chosen")) & ((F.col("_chosen") == "ms_buildings") | (F.col("confidence") >= confidence)))
+    return kept.drop("_chosen")
+
+
+#: Footprints by the name of their provider: (buildings with iso_code, provider and confidence; coverage with iso_code; least confidence) -> buildings.
+FOOTPRINT_PROVIDERS: dict[str, Callable[[DataFrame, DataFrame, float], DataFrame]] = {"google_open_buildings": _google, "ms_buildings": _microsoft, "auto": _auto}
+
+
+def footprints(name: str, buildings: DataFrame, coverage: DataFrame, confidence: float = 0.65) -> DataFrame:
+    """Footprints of a provider; `auto` takes, country by country, the first provider where it covers the country and else the second."""
+    if name not in FOOTPRINT_PROVIDERS:
+        raise ValueError(f"unknown footprint provider {name!r}; known: {sorted(FOOTPRINT_PROVIDERS)}")
+    return FOOTPRINT_PROVIDERS[name](buildings, coverage, confidence)
+
+
 def elements(rows: DataFrame, column: str = "value") -> DataFrame:
     """Map elements of JSON documents: osm_id, lat, lng, name, tags. Elements without a position are skipped; the first of each id stays."""
     e = rows.select(F.monotonically_increasing_id().alias("_o"), F.from_json(column, ELEMENTS)["elements"].alias("e")).select("_o", F.posexplode("e").alias("_p", "e"))
@@ -93,6 +128,44 @@ def features(rows: DataFrame, column: str = "value") -> DataFrame:
     return f.withColumns({"lng": F.coalesce(F.get("xy", F.lit(0)), "centroid_lon"), "lat": F.coalesce(F.get("xy", F.lit(1)), "centroid_lat")}).drop("xy")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_patch_meta(spark: SparkSession, root: str, digest: str | None = None) -> DataFrame:
+    """Registry of extracted patches: patch_meta.csv, or patch_meta.parquet where there is none; rows of one imagery configuration where a digest is given."""
+    if exists(spark, f"{root}/patch_meta.csv"):
+        meta = spark.read.csv(f"{root}/patch_meta.csv", header=True, inferSchema=True)
+    elif exists(spark, f"{root}/patch_meta.parquet"):
+        meta = spark.read.parquet(f"{root}/patch_meta.parquet")
+    else:
+        raise FileNotFoundError(f"no patch_meta.csv or patch_meta.parquet in {root}")
+    meta = meta.withColumn("candidate_id", F.col("candidate_id").cast("string"))
+    return meta.where(F.col("imagery_config_hash") == digest) if digest and "imagery_config_hash" in meta.columns else meta
+
+
+def read_failed_ids(spark: SparkSession, root: str) -> DataFrame:
+    """candidate_id of patches that failed; none where there is no failed_patches.csv."""
+    if not exists(spark, f"{root}/failed_patches.csv"):
+        return spark.createDataFrame([], "candidate_id string")
+    return spark.read.csv(f"{root}/failed_patches.csv", header=True).select(F.col("candidate_id").cast("string").alias("candidate_id")).distinct()
+
+
+def read_splits(spark: SparkSession, root: str, stem: str) -> DataFrame | None:
+    """candidate_id, split of a configuration: splits/<stem>.csv, or the shared split_assignments.csv of older runs; None where there is neither."""
+    for path in (f"{root}/splits/{stem}.csv", f"{root}/split_assignments.csv"):
+        if exists(spark, path):
+            return spark.read.csv(path, header=True).select(F.col("candidate_id").cast("string").alias("candidate_id"), "split")
+    return None
+
+
+def read_scored(spark: SparkSession, root: str, stem: str) -> DataFrame:
+    """Scored candidates of a configuration, or those of older runs that lie at the root."""
+    path = f"{root}/{stem}/current"
+    return spark.read.parquet(path if exists(spark, path) else f"{root}/current")
+
+
 def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
