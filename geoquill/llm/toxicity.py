@@ -10,8 +10,8 @@ Scale: one pass over the texts without a shuffle; the automaton is bounded by th
 pre-aggregated groupBy.
 
 Defined cases: null and empty text count as a text without words (low score); null ids are scored, and never train; repeated
-ids in labels count once (toxic if any row says so); repeated rows get equal scores, and a score of 0.5 counts as toxic; texts of any length are read whole; with no labels of both kinds the
-fixed lexicon decides alone; an empty table gives an empty result; extra columns are carried, but tox_weight, tox_words and tox_score are overwritten.
+ids in labels count once (toxic if any row says so); repeated rows get equal scores, and a score of 0.5 counts as toxic; texts of any length are read whole; with no labels of both kinds, or none that hits go with, the
+fixed slopes decide; an empty table gives an empty result; extra columns are carried, but tox_weight, tox_words and tox_score are overwritten.
 """
 
 from __future__ import annotations
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[flo
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return lexicon, DEFAULT_MODEL
-    return lexicon, fit_logistic(_features(np.array([r["weight"] for r in rows]), np.array([r["words"] for r in rows])), y)
+    model = fit_logistic(_features(np.array([r["weight"] for r in rows]), np.array([r["words"] for r in rows])), y)
+    return lexicon, model if max(model[:2]) > 0 else DEFAULT_MODEL  # labels that hits don't go with tell nothing
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], model: tuple[float, ...], exceptions=EXCEPTIONS) -> DataFrame:
