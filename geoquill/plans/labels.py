@@ -14,6 +14,28 @@ def _case(values: dict, key: str, other: str = "NULL") -> str:
     return f"CASE {key} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in values.items()) + f" ELSE {other} END"
 
 
+# Fixed values, written out apart from the operators' own tables: what the labels, tags, categories and species of the data should become.
+THREE = {"NotFarm": 0, "Farm: Poultry: Meat Chickens": 1, "Farm: Poultry: Eggs": 1, "Farm: Poultry: Unspecified/Other": 1, "Farm: Pigs": 2, "Farm: Cattle": 2}
+SEVEN = {
+    "NotFarm": 0, "Farm: Poultry: Meat Chickens": 1, "Farm: Poultry: Eggs": 2, "Farm: Poultry: Unspecified/Other": 3, "Farm: Pigs": 4, "Farm: Cattle": 5, "Farm: Mixed": 6, "Farm: Unknown": 6,
+    "Farm: PigsOrPoultry": 6,
+}
+FIVE_OF_SEVEN = {0: 0, 1: 1, 2: 1, 3: 1, 4: 2, 5: 3, 6: 4}
+THREE_OF_SEVEN = {0: 0, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2}
+COUNTRY_KEYS = {"USA": "united_states", "GBR": "united_kingdom", "ZAF": "south_africa"}
+KINDS = {"cows/cattle": "cattle", "pigs (unconfirmed)": "pigs"}
+CATEGORIES = {"farm (meat)": ("farm", "farm_meat"), "farm (eggs)": ("farm", "farm_eggs"), "farm (dairy)": ("farm", "farm_dairy"), "slaughterhouse": ("processing", "slaughterhouse"), "farm": ("farm", "farm_generic")}
+TAG_GROUPS = {
+    "building=barn": ("farm", "barn"), "building=warehouse": ("industrial", "warehouse"), "building=yes": ("unknown", "building_unclassified"), "building=chicken_coop": ("farm", "farm_eggs"),
+    "building=house": ("residential", "house"), "landuse=farmyard": ("farm", "farm_generic"),
+}
+WORDS_OF = {
+    "Chickens": ("chicken", "poultry", "broiler", "layer", "egg", "hen", "hatchery"), "Pigs": ("pig", "swine", "pork", "sow", "boar", "sty"), "Cattle": ("cattle", "cow", "beef", "dairy", "buffalo"),
+    "Ducks": ("duck",), "Turkeys": ("turkey",),
+}
+OSM_WORDS = "sty|chicken|poultry|cowshed|livestock|animal_breeding|pig|farm"
+
+
 @query("p01_valid_coords", "SELECT id, lat, lng FROM fx_farms WHERE lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0")
 def _(t):
     return t("fx_farms").where(L.valid_coords()).select("id", "lat", "lng")
@@ -48,7 +70,7 @@ def _(t):
     return t("fx_clusters").where(keep).select("cluster_id", "final_label")
 
 
-OSM_FARM = f"(coalesce(original_label, '') ILIKE '%osm%' AND (coalesce(standardized_label LIKE 'Farm%', FALSE) OR standardized_label IS NULL AND regexp_matches(lower(coalesce(original_label, '')), '{L.OSM_FARM_WORDS}')))"
+OSM_FARM = f"(coalesce(original_label, '') ILIKE '%osm%' AND (coalesce(standardized_label LIKE 'Farm%', FALSE) OR standardized_label IS NULL AND regexp_matches(lower(coalesce(original_label, '')), '{OSM_WORDS}')))"
 
 
 @query("p09_exclude_osm_farms", f"SELECT cluster_id, original_label, standardized_label FROM fx_clusters WHERE NOT {OSM_FARM}")
@@ -57,7 +79,7 @@ def _(t):
 
 
 @query("p10_labels", f"""SELECT cluster_id, CASE WHEN final_label IS NULL THEN -1 WHEN final_label = 'NotFarm' THEN 0 ELSE 1 END AS "binary", CASE WHEN final_label IS NULL THEN -1 WHEN final_label LIKE '%Poultry%' THEN 1 ELSE 0 END AS poultry,
-{_case(L.THREE_CLASS, 'final_label', '-1')} AS three, {_case(L.SEVEN_CLASS, 'final_label', '-1')} AS seven FROM fx_clusters""")
+{_case(THREE, 'final_label', '-1')} AS three, {_case(SEVEN, 'final_label', '-1')} AS seven FROM fx_clusters""")
 def _(t):
     return t("fx_clusters").select("cluster_id", L.label_binary("final_label").alias("binary"), L.label_poultry("final_label").alias("poultry"), L.label_three_class("final_label").alias("three"), L.label_multiclass("final_label").alias("seven"))
 
@@ -65,7 +87,7 @@ def _(t):
 CODES = "CASE ord % 4 WHEN 0 THEN 'USA' WHEN 1 THEN 'GBR' WHEN 2 THEN 'ZAF' ELSE adm0 END"
 
 
-@query("p11_adm0_to_country", f"SELECT cluster_id, {_case(L.ADM0_KEYS, 'code', 'lower(code)')} AS country_key, CASE code WHEN 'USA' THEN 'United States' WHEN 'GBR' THEN 'United Kingdom' WHEN 'ZAF' THEN 'South Africa' ELSE code END AS country FROM (SELECT cluster_id, {CODES} AS code FROM fx_clusters)")
+@query("p11_adm0_to_country", f"SELECT cluster_id, {_case(COUNTRY_KEYS, 'code', 'lower(code)')} AS country_key, CASE code WHEN 'USA' THEN 'United States' WHEN 'GBR' THEN 'United Kingdom' WHEN 'ZAF' THEN 'South Africa' ELSE code END AS country FROM (SELECT cluster_id, {CODES} AS code FROM fx_clusters)")
 def _(t):
     return t("fx_clusters").withColumn("code", F.expr(CODES)).select("cluster_id", L.country_key_of("code").alias("country_key"), L.country_name_of("code").alias("country"))
 
@@ -76,9 +98,9 @@ def _(t):
 
 
 CAT = "trim(split_part(regexp_replace(lower(trim(category)), '\\s*\\(unconfirmed\\)\\s*$', ''), ',', 1))"
-SPECIES = f"coalesce({_case(L.SPECIES_ALIASES, 'lower(trim(coalesce(species, chr(32))))')}, lower(trim(coalesce(species, ''))))"
-UNIFY = f"""u AS (SELECT *, {SPECIES} AS kind, CASE WHEN source = 'FarmTransparency' THEN {_case({k: v[0] + '/' + v[1] for k, v in L.FACILITY_CATEGORIES.items()}, CAT)} END AS c1,
-  {_case({k: v[0] + '/' + v[1] for k, v in L.TAG_LABELS.items()}, 'lower(trim(category))')} AS c2 FROM fx_farms),
+SPECIES = f"coalesce({_case(KINDS, 'lower(trim(coalesce(species, chr(32))))')}, lower(trim(coalesce(species, ''))))"
+UNIFY = f"""u AS (SELECT *, {SPECIES} AS kind, CASE WHEN source = 'FarmTransparency' THEN {_case({k: v[0] + '/' + v[1] for k, v in CATEGORIES.items()}, CAT)} END AS c1,
+  {_case({k: v[0] + '/' + v[1] for k, v in TAG_GROUPS.items()}, 'lower(trim(category))')} AS c2 FROM fx_farms),
 v AS (SELECT *, coalesce(c1, c2, CASE WHEN kind <> '' THEN 'farm/farm_generic' ELSE 'unknown/unknown' END) AS gl FROM u)"""
 
 
@@ -87,7 +109,7 @@ def _(t):
     return t("fx_farms").select("id", L.unify_label("source", "category", "species").alias("u")).select("id", F.col("u.group").alias("grp"), "u.label", "u.species", "u.is_farm")
 
 
-TAGS = {**{k: v[1] for k, v in L.TAG_LABELS.items()}}
+TAGS = {**{k: v[1] for k, v in TAG_GROUPS.items()}}
 
 
 @query("p13_unify_tags", f"""SELECT osm_id, coalesce({_case(TAGS, "'building=' || building")}, {_case(TAGS, "'landuse=' || landuse")}, 'unknown') AS label FROM fx_osm_tags""")
@@ -97,7 +119,7 @@ def _(t):
     return d.select("osm_id", L.unify_label("source", "none", "none", tags)["label"].alias("label"))
 
 
-@query("p14_match_category", f"SELECT id, {_case({k: v[0] for k, v in L.FACILITY_CATEGORIES.items()}, CAT)} AS grp, {_case({k: v[1] for k, v in L.FACILITY_CATEGORIES.items()}, CAT)} AS label FROM fx_farms")
+@query("p14_match_category", f"SELECT id, {_case({k: v[0] for k, v in CATEGORIES.items()}, CAT)} AS grp, {_case({k: v[1] for k, v in CATEGORIES.items()}, CAT)} AS label FROM fx_farms")
 def _(t):
     return t("fx_farms").select("id", L.match_category("category").alias("m")).select("id", F.col("m.group").alias("grp"), "m.label")
 
@@ -107,7 +129,7 @@ def _(t):
     return t("fx_farms").select("id", L.normalise_species("species").alias("species"))
 
 
-KEYWORDS = " ".join(f"WHEN {' OR '.join(f'contains(x, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{s}'" for s, ws in L.SPECIES_KEYWORDS.items())
+KEYWORDS = " ".join(f"WHEN {' OR '.join(f'contains(x, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{s}'" for s, ws in WORDS_OF.items())
 
 
 @query("p16_classify_species", f"SELECT osm_id, coalesce(s, 'Unknown') AS species, CASE WHEN s IS NULL THEN 'Farm' ELSE 'Farm (meat)' END AS category FROM (SELECT osm_id, CASE {KEYWORDS} END AS s FROM (SELECT osm_id, lower(concat_ws(' ', coalesce(name, ''), building, landuse)) AS x FROM fx_osm_tags))")
@@ -132,7 +154,7 @@ def _(t):
     return t("fx_scored").select("candidate_id", L.predict_label(F.array(1 - s, s))["label"].alias("two"), L.predict_label(F.array(1 - s, s / 2, F.lit(0.3)))["label"].alias("three"))
 
 
-@query("p41_three_way", f"SELECT cluster_id, CASE WHEN final_label = 'NotFarm' THEN 'NotFarm' WHEN final_label LIKE '%Poultry%' THEN 'Poultry' WHEN final_label IS NOT NULL THEN 'OtherFarm' END AS kind, {_case(L.SEVEN_TO_FIVE, 's', '-1')} AS five, {_case(L.SEVEN_TO_THREE, 's', '-1')} AS three FROM (SELECT *, {_case(L.SEVEN_CLASS, 'final_label', '-1')} AS s FROM fx_clusters)")
+@query("p41_three_way", f"SELECT cluster_id, CASE WHEN final_label = 'NotFarm' THEN 'NotFarm' WHEN final_label LIKE '%Poultry%' THEN 'Poultry' WHEN final_label IS NOT NULL THEN 'OtherFarm' END AS kind, {_case(FIVE_OF_SEVEN, 's', '-1')} AS five, {_case(THREE_OF_SEVEN, 's', '-1')} AS three FROM (SELECT *, {_case(SEVEN, 'final_label', '-1')} AS s FROM fx_clusters)")
 def _(t):
     seven = L.label_multiclass("final_label")
     return t("fx_clusters").select("cluster_id", L.three_way("final_label").alias("kind"), L.collapse(seven, L.SEVEN_TO_FIVE).alias("five"), L.collapse(seven, L.SEVEN_TO_THREE).alias("three"))
@@ -148,7 +170,7 @@ def _(t):
     return t("fx_clusters").select("cluster_id", L.maps_url().alias("url"))
 
 
-@query("p47_is_multiclass", f"SELECT max({_case(L.SEVEN_CLASS, 'final_label', '-1')}) > 1 AS multi FROM fx_clusters")
+@query("p47_is_multiclass", f"SELECT max({_case(SEVEN, 'final_label', '-1')}) > 1 AS multi FROM fx_clusters")
 def _(t):
     return t("fx_clusters").agg((F.max(L.label_multiclass("final_label")) > 1).alias("multi"))
 
