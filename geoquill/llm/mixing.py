@@ -110,10 +110,11 @@ def _plan_mix(docs: DataFrame, weights, share: float, most: float, seed: int) ->
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the number of the copy (copy_no, or with underscores where docs has it) from 1. Rows alike in all columns count together."""
-    row, copies, copy_no = unused(docs, "row_", "copies", "copy_no")
-    taken = plan_mix(docs, weights, share, most, seed).groupBy(F.col("row_").alias(row)).agg(F.sum("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
-    rows = docs.withColumn(row, row_hash(docs)).dropDuplicates([row])
-    return rows.join(taken, row).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(row, copies)
+    r1, r2, copies, copy_no = unused(docs, "r1", "r2", "copies", "copy_no")
+    taken = plan_mix(docs, weights, share, most, seed).groupBy(F.col("row_.a").alias(r1), F.col("row_.b").alias(r2)).agg(F.sum("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    h = row_hash(docs)
+    rows = docs.withColumns({r1: h["a"], r2: h["b"]}).dropDuplicates([r1, r2])
+    return rows.join(taken, [r1, r2]).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(r1, r2, copies)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
