@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geoquill.operators import patches as P
 from geoquill.operators import raster as R
 from geoquill.plans.registry import query
+from geoquill.plans.space import greedy
 
 KEPT = "fx_pixels WHERE obs_ts >= '1993-01-01' AND obs_ts < '1998-01-01' AND cloud_pct < 30"
 COMPOSITE = f"c AS (SELECT tile_id, row, col, {', '.join(f'median({b}) AS {b}' for b in R.BANDS)} FROM {KEPT} GROUP BY tile_id, row, col)"
@@ -53,25 +54,68 @@ def _(t):
     return R.detect_footprints(b, 500, 40000, 0.6).select("building_id", "length_m", "width_m", F.round("aspect_ratio", 6).alias("aspect_ratio"))
 
 
-@query("p26_morphological_open")
+CROSS = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(di, dj)"
+#: CTEs: masks (source, tile_id, row, col, mask) after opening by a disc of radius 1; beyond a tile's box nothing counts, pixels missing inside it are false.
+OPENED = f"""box AS (SELECT source, tile_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM masks GROUP BY ALL), yes AS (SELECT source, tile_id, row, col FROM masks WHERE mask),
+cells AS (SELECT source, tile_id, r.row, c.col FROM box, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c),
+around AS (SELECT x.source, x.tile_id, x.row, x.col, x.row + di AS nr, x.col + dj AS nc FROM cells x JOIN box b USING (source, tile_id), {CROSS} WHERE x.row + di BETWEEN r0 AND r1 AND x.col + dj BETWEEN c0 AND c1),
+left_ AS (SELECT a.source, a.tile_id, a.row, a.col FROM around a LEFT JOIN yes y ON y.source = a.source AND y.tile_id = a.tile_id AND y.row = nr AND y.col = nc GROUP BY ALL HAVING bool_and(y.row IS NOT NULL)),
+grown AS (SELECT DISTINCT a.source, a.tile_id, a.row, a.col FROM around a JOIN left_ e ON e.source = a.source AND e.tile_id = a.tile_id AND e.row = nr AND e.col = nc),
+opened AS (SELECT m.source, m.tile_id, m.row, m.col, g.row IS NOT NULL AS mask FROM masks m LEFT JOIN grown g USING (source, tile_id, row, col))"""
+
+
+def components(masks: str) -> str:
+    """CTEs px (true pixels of the masks with their place on the whole map) and comp (source, p, component: the least pixel of its 8-connected part)."""
+    return f"""px AS (SELECT source, tile_id, row, col, (tile_id // 10) * 8 + row AS gr, (tile_id % 10) * 8 + col AS gc, ((tile_id // 10) * 8 + row) * 80 + (tile_id % 10) * 8 + col AS p FROM {masks} WHERE mask),
+near AS (SELECT a.source, a.p AS a, b.p AS b FROM px a JOIN px b ON a.source = b.source AND b.gr BETWEEN a.gr - 1 AND a.gr + 1 AND b.gc BETWEEN a.gc - 1 AND a.gc + 1 AND a.p <> b.p),
+reach AS (SELECT source, p AS s, p AS t FROM px UNION SELECT r.source, r.s, n.b FROM reach r JOIN near n ON n.source = r.source AND n.a = r.t AND n.b > -1),
+comp AS (SELECT source, s AS p, min(t) AS component FROM reach GROUP BY ALL)"""
+
+
+def geometry(cell: float) -> str:
+    """CTE shapes: geometry of each component."""
+    return f"""sides AS (SELECT source, component, count(*) AS n_pixels, (max(gr) - min(gr) + 1) * {cell}::DOUBLE * 111000e0 AS h, (max(gc) - min(gc) + 1) * {cell}::DOUBLE * 111000e0 * 0.9e0 AS w,
+  -60e0 + (avg(gc) + 0.5e0) * {cell}::DOUBLE AS centroid_lon, -30e0 + (avg(gr) + 0.5e0) * {cell}::DOUBLE AS centroid_lat FROM px JOIN comp USING (source, p) GROUP BY ALL),
+shapes AS (SELECT source, component, n_pixels, n_pixels * ({cell}::DOUBLE * 111000e0) ** 2 * 0.9e0 AS area_m2, greatest(h, w) AS length_m, least(h, w) AS width_m, greatest(h, w) / greatest(least(h, w), 0.1e0) AS aspect_ratio, centroid_lon, centroid_lat FROM sides)"""
+
+
+def _sar(limit: float) -> str:
+    return f"masks AS (SELECT 'sar' AS source, tile_id, row, col, median(vv_db) > {limit} AS mask FROM fx_pixels GROUP BY ALL)"
+
+
+@query("p26_morphological_open", f"WITH {_sar(-10)}, {OPENED} SELECT tile_id, row, col, mask FROM opened")
 def _(t):
     return R.morphological_open(R.mask_sar(t("fx_pixels"), -10.0), 1)
 
 
-@query("p27_vectorize_mask")
+@query("p27_vectorize_mask", f"WITH RECURSIVE {_sar(-9)}, {components('masks')} SELECT tile_id, row, col, component FROM px JOIN comp USING (source, p)")
 def _(t):
     return R.vectorize_mask(R.mask_sar(t("fx_pixels"), -9.0), 8, 8, 10).select("tile_id", "row", "col", "component")
 
 
-@query("p25_geometry_properties")
+SHAPE = ("component", "n_pixels", "area_m2", "length_m", "width_m", "aspect_ratio", "centroid_lon", "centroid_lat")
+SHAPE_SQL = "component, n_pixels, round(area_m2, 4) AS area_m2, round(length_m, 4) AS length_m, round(width_m, 4) AS width_m, round(aspect_ratio, 4) AS aspect_ratio, round(centroid_lon, 8) AS centroid_lon, round(centroid_lat, 8) AS centroid_lat"
+
+
+def _shape(df, *more):
+    digits = {"area_m2": 4, "length_m": 4, "width_m": 4, "aspect_ratio": 4, "centroid_lon": 8, "centroid_lat": 8}
+    return df.select(*more, *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in SHAPE])
+
+
+@query("p25_geometry_properties", f"WITH RECURSIVE {_sar(-9)}, {components('masks')}, {geometry(1e-3)} SELECT {SHAPE_SQL} FROM shapes")
 def _(t):
     found = R.vectorize_mask(R.mask_sar(t("fx_pixels"), -9.0), 8, 8, 10)
-    return R.geometry_properties(found, 1e-3, (-60.0, -30.0), 0.9)
+    return _shape(R.geometry_properties(found, 1e-3, (-60.0, -30.0), 0.9))
 
 
-@query("u09_run_tiles")
+@query("u09_run_tiles", f"""WITH RECURSIVE masks AS (SELECT 'landcover' AS source, tile_id, row, col, arg_min(landcover, (-n) * 100 + landcover) = 6 AS mask FROM (SELECT tile_id, row, col, landcover, count(*) AS n FROM fx_pixels GROUP BY ALL) GROUP BY ALL
+  UNION ALL SELECT 'sar', tile_id, row, col, median(vv_db) > -12 FROM fx_pixels GROUP BY ALL), {OPENED}, {components('opened')}, {geometry(1e-4)},
+tiled AS (SELECT *, floor((centroid_lat + 30) / (1e-4::DOUBLE * 8)) * 10 + floor((centroid_lon + 60) / (1e-4::DOUBLE * 8)) AS tile FROM shapes WHERE area_m2 >= 100),
+capped AS (SELECT *, centroid_lat AS lat, centroid_lon AS lng, CASE source WHEN 'sar' THEN 1099511627776 ELSE 0 END + component AS ord FROM (SELECT *, row_number() OVER (PARTITION BY source, tile ORDER BY component) AS k FROM tiled) WHERE k <= 2),
+{{greedy}} SELECT source, {SHAPE_SQL} FROM capped SEMI JOIN kept USING (ord)""".format(greedy=greedy("capped", 30e0)))
 def _(t):
-    return R.run_tiles(t("fx_pixels"), ["ndbi", "metal_roof", "landcover", "sar"], (8, 8), 10, 1e-4, (-60.0, -30.0), 0.9, 0, 100.0)
+    got = R.run_tiles(t("fx_pixels"), ["landcover", "sar"], (8, 8), 10, 1e-4, (-60.0, -30.0), 0.9, 1, 100.0, cap=2, dedup_m=30.0)
+    return _shape(got, "source")
 
 
 @query("p28_channel_subset", "SELECT candidate_id, round(list_sum(list_transform(data[33:48], lambda x: CAST(x AS DOUBLE))), 6) AS first, round(list_sum(list_transform(data[1:16], lambda x: CAST(x AS DOUBLE))), 6) AS second FROM fx_patches")
