@@ -37,8 +37,8 @@ from geoquill.llm.common import prepare, read, settled, sieved, text_of, unused,
 
 WORDS = 5
 LEAST = 80  # per cent
-ENTRIES = 1_500_000  # hashes a bucket holds, about: in few buckets the sets' numbers repeat and take little room
-CHUNK = 1_000_000  # hashes a task deals at once
+ENTRIES = 500_000  # hashes a bucket holds, about
+CHUNK = 500_000  # hashes a task deals at once
 LOW_BYTES = 6  # of the lowest hashes, which only choose candidates
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(WORDS)]
 
@@ -94,6 +94,17 @@ def unpacked(parts: Iterable[bytes], size: int = 8) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def runs(x: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers (and equal ones of the other arrays) begin, and how long they are."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = x[1:] != x[:-1]
+    for y in more:
+        new |= y[1:] != y[:-1]
+    begin = np.concatenate([[0], np.flatnonzero(new) + 1])
+    return begin, np.diff(begin, append=len(x))
+
+
 def needed(n: int) -> int:
     """The least overlap of a set of n shingles with any that it links with."""
     return -(-LEAST * n // 100)
@@ -139,10 +150,13 @@ def _dealt(keys: np.ndarray, tokens: list[np.ndarray], buckets: int, key_size: i
     of = token % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
     of, token, key = of[order], token[order], key[order]
-    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
-    end = np.append(begin[1:], len(of))
-    part = lambda x, size: [packed(x[a:b], size) for a, b in zip(begin, end, strict=True)]
-    return pd.DataFrame({"bucket": of[begin].astype(np.int64), "token": part(token, token_size), "key": part(key, key_size)})
+    begin, size = runs(of)
+    first, times = runs(of, key)  # a set's tokens in a bucket stand together, so its key is sent once
+    at = np.searchsorted(first, np.append(begin, len(of)))
+    return pd.DataFrame({
+        "bucket": of[begin].astype(np.int64), "token": [packed(token[a : a + n], token_size) for a, n in zip(begin, size, strict=True)],
+        "key": [packed(key[first[a:b]], key_size) for a, b in zip(at, at[1:], strict=False)], "times": [packed(times[a:b], 4) for a, b in zip(at, at[1:], strict=False)],
+    })
 
 
 def _deal(frames: Iterator[pd.DataFrame], tokens_of: Callable, buckets: int, key_size: int = 8, token_size: int = 8) -> Iterator[pd.DataFrame]:
@@ -170,15 +184,17 @@ def _deal(frames: Iterator[pd.DataFrame], tokens_of: Callable, buckets: int, key
 
 def _shared(frame: pd.DataFrame, key_size: int = 8, token_size: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """token, key and number of keys of the token, for the tokens of a bucket that several keys have."""
-    token, key = unpacked(frame["token"], token_size), unpacked(frame["key"], key_size)
+    token = unpacked(frame["token"], token_size)
+    key = np.repeat(unpacked(frame["key"], key_size), unpacked(frame["times"], 4))
     order = np.lexsort((key, token))
     token, key = token[order], key[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    token, key = token[new], key[new]
-    _, at, times = np.unique(token, return_inverse=True, return_counts=True)
-    times = times[at]
-    return token[times > 1], key[times > 1], times[times > 1]
+    del order
+    alone, _ = runs(token, key)
+    token, key = token[alone], key[alone]
+    _, times = runs(token)
+    times = np.repeat(times, times)
+    many = times > 1
+    return token[many], key[many], times[many]
 
 
 def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
@@ -196,7 +212,7 @@ def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
         key, times = np.unique(_shared(frame, size, LOW_BYTES)[1], return_counts=True)
         return pd.DataFrame({"key": key, "held": times.astype(np.int64)})
 
-    dealt = table.where("n > 0").select(short, "k2", "low").mapInPandas(deal, "bucket long, token binary, key binary")
+    dealt = table.where("n > 0").select(short, "k2", "low").mapInPandas(deal, "bucket long, token binary, key binary, times binary")
     held = dealt.groupBy("bucket").applyInPandas(count, "key long, held long").groupBy("key").agg(F.sum("held").alias("held"))
     # Sets that agree in these bytes count as one above, so they stay whatever they share.
     keyed = keys.withColumn("key", short)
@@ -226,21 +242,25 @@ def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         cut = np.searchsorted(of[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
         few = np.minimum(times, 0xFFFF)  # only an order, the same for all
-        part = lambda x, size: [packed(x[order[cut[k] : cut[k + 1]]], size) for k in full]
-        return pd.DataFrame({"part": full, "key": part(key, 8), "token": part(token, 8), "times": part(few, 2)})
+        rows = []
+        for k in full:
+            at = order[cut[k] : cut[k + 1]]
+            first, n = runs(key[at])
+            rows.append((k, packed(key[at][first]), packed(n, 4), packed(token[at]), packed(few[at], 2)))
+        return pd.DataFrame(rows, columns=["part", "key", "n", "token", "times"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        key, token, times = unpacked(frame["key"]), unpacked(frame["token"]).view(np.uint64), unpacked(frame["times"], 2)
+        token, times = unpacked(frame["token"]).view(np.uint64), unpacked(frame["times"], 2)
+        key = np.repeat(unpacked(frame["key"]), unpacked(frame["n"], 4))
         order = np.lexsort((token, times, key))
         key, token = key[order], token[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        end = np.append(begin[1:], len(key))
-        return pd.DataFrame({"sid": key[begin], "m": end - begin, "tokens": [token[a:b].tobytes() for a, b in zip(begin, end, strict=True)]})
+        begin, size = runs(key)
+        return pd.DataFrame({"sid": key[begin], "m": size, "tokens": [token[a : a + n].tobytes() for a, n in zip(begin, size, strict=True)]})
 
     texts = sieved(docs.select(text_of().alias("text"), _row(docs)[0]), "r1", chosen)
     rows = texts.join(chosen.select("r1", F.col("sid").alias("key"), "k1", "k2"), "r1").select("key", "k1", "k2", "text")
-    dealt = rows.mapInPandas(deal, "bucket long, token binary, key binary")
-    parts = dealt.groupBy("bucket").applyInPandas(share, "part long, key binary, token binary, times binary")
+    dealt = rows.mapInPandas(deal, "bucket long, token binary, key binary, times binary")
+    parts = dealt.groupBy("bucket").applyInPandas(share, "part long, key binary, n binary, token binary, times binary")
     gathered = parts.groupBy("part").applyInPandas(gather, "sid long, m long, tokens binary")
     return gathered.join(chosen.select("sid", "n"), "sid").where(F.col("m") * 100 >= F.col("n") * LEAST).select("sid", "n", "m", "tokens")
 
