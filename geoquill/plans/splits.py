@@ -42,6 +42,12 @@ def _(t):
     return P.stratified_split(_candidates(t).where("label >= 0"), 0.1, 0.15).select("candidate_id", "split")
 
 
+@query("w04_stratified_split_with_holdout", f"""WITH c AS (SELECT * FROM {LABELLED} WHERE label >= 0), r AS (SELECT candidate_id, row_number() OVER (PARTITION BY label ORDER BY {_u('candidate_id')}, candidate_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM c)
+SELECT candidate_id, {_place('r', 'floor(n * 0.0007e0)', 'floor(n * 0.1e0)')} AS split FROM r""")
+def _(t):
+    return P.stratified_split(_candidates(t).where("label >= 0"), 0.1, 0.0007, at_least=0).select("candidate_id", "split")
+
+
 @query("w05_region_split", """
 WITH f AS (SELECT ord, id, lower(country) AS country_key, coalesce(state, '') AS state FROM fx_farms),
 s AS (SELECT *, state = '' AND country_key IN ('nation_1', 'nation_2') AS wait, CASE WHEN state = '' AND country_key IN ('nation_1', 'nation_2') THEN NULL WHEN state = '' AND country_key IN ('nation_3', 'nation_6', 'nation_9') THEN 'train'

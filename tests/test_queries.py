@@ -143,3 +143,64 @@ def test_merge_keeps_the_last(spark):
     new = spark.createDataFrame([("A", "a1", "y", 1), ("A", "a2", "y", 2), ("A", "a2", "z", 3)], base.schema)
     got = {r["cluster_id"]: r["final_label"] for r in lookups.merge_clusters(base, [new], kind).collect()}
     assert got == {"a1": "y", "a2": "z", "b1": "x"}
+
+
+def test_patches_of_a_folder(spark, tmp_path):
+    import numpy as np
+
+    from geoquill.sources import readers
+
+    (tmp_path / "x").mkdir()
+    for k in range(3):
+        np.save(tmp_path / "x" / f"c{k}.npy", np.full((2, 3, 4), k, np.float32))
+    got = {r["candidate_id"]: r for r in readers.read_patches(spark, str(tmp_path)).collect()}
+    assert set(got) == {"c0", "c1", "c2"} and [got["c2"][c] for c in ("n_channels", "height", "width")] == [2, 3, 4] and set(got["c2"]["data"]) == {2.0}
+
+
+def test_failures_start_anew(spark, tmp_path):
+    from geoquill.sources import sinks
+
+    df = spark.createDataFrame([("a", "x" * 300), ("b", None)], "candidate_id string, error string")
+    sinks.append_failures(df, f"{tmp_path}/f")
+    assert {r["candidate_id"]: len(r["error"] or "") for r in spark.read.parquet(f"{tmp_path}/f").collect()} == {"a": 200, "b": 0}
+    sinks.clear_failures(df, f"{tmp_path}/f")
+    assert spark.read.parquet(f"{tmp_path}/f").count() == 0
+
+
+def test_ranks_and_quantiles_over_many_parts(spark, monkeypatch):
+    import numpy as np
+
+    from geoquill.operators import ranks
+
+    monkeypatch.setattr(ranks, "PART_ROWS", 40)
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b", None][int(k)], float(v), i) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 30, 500), strict=True))]
+    df = spark.createDataFrame(rows, "k string, v double, i long").repartition(5)
+    got = ranks.ordered_rank(df, ["k"], ["v", "i"]).collect()
+    for key in ("a", "b", None):
+        want = sorted((v, i) for k, v, i in rows if k == key)
+        assert [(r["v"], r["i"]) for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["rank"])] == want
+    for r in ranks.quantiles(df, ["k"], "v", (0.1, 0.5, 0.97), ("x", "y", "z")).collect():
+        values = [v for k, v, _ in rows if k == r["k"]]
+        assert r["_n"] == len(values) and [r["x"], r["y"], r["z"]] == [float(q) for q in np.round(np.quantile(values, (0.1, 0.5, 0.97)), 9)] or np.allclose([r["x"], r["y"], r["z"]], np.quantile(values, (0.1, 0.5, 0.97)))
+
+
+def test_dedup_at_one_spot_and_in_a_chain(spark):
+    from geoquill.operators import spatial
+
+    spot = [(k, 10.0, 20.0) for k in range(400)]
+    chain = [(1000 + k, 30.0, 20.0 + k * 60 / 111000 / 0.866) for k in range(40)]  # each near its neighbours only
+    lost = [(5000, None, 1.0)]
+    got = {r["ord"] for r in spatial.dedup_proximity(spark.createDataFrame(spot + chain + lost, "ord long, lat double, lng double"), 100.0).collect()}
+    assert got == {0, 5000, *range(1000, 1040, 2)}
+
+
+def test_boxes_by_cells_are_those_by_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from geoquill.operators import spatial
+
+    boxes = spark.range(60).select(F.col("id").alias("o"), F.concat(F.lit("v"), "id").alias("v"), (F.col("id") % 10 * 3.0).alias("min_lon"), (F.col("id") % 6 * 2.0).alias("min_lat")).withColumns({"max_lon": F.col("min_lon") + 4 + F.col("o") % 3, "max_lat": F.col("min_lat") + 3})
+    points = spark.range(300).select("id", (F.col("id") * 7 % 400 / 10).alias("lng"), (F.col("id") * 11 % 170 / 10).alias("lat"))
+    look = lambda bound: sorted(map(tuple, spatial.bbox_lookup(points, boxes, "v", "o", "id", bound).collect()))
+    assert look(5) == look(1000) and any(r[-1] for r in look(5))
