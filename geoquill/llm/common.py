@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,22 +76,27 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The written result of build(); the tables that build() wrote on the way are dropped, for nothing reads them any more."""
-    scopes = _SCOPES.open
-    scopes.append([])
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, the tables that the block wrote: for work that gives plain values."""
+    _SCOPES.open.append([])
     try:
-        made, own = build(), scopes[-1]
-        scopes[-1] = []
-        out = write_table(made, name)
-        kept, scopes[-1] = scopes[-1], own
+        yield
     finally:
-        dropped = scopes.pop()
-        for folder in dropped:
+        for folder in _SCOPES.open.pop():
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if scopes:
-        scopes[-1] += kept
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of build(); the tables that build() wrote on the way are dropped, for nothing reads them any more."""
+    with scratch(spark):
+        made = build()
+        own, _SCOPES.open[-1] = _SCOPES.open[-1], []
+        out = write_table(made, name)
+        kept, _SCOPES.open[-1] = _SCOPES.open[-1], own
+    if _SCOPES.open:
+        _SCOPES.open[-1] += kept
     return out
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoquill.llm.common import crc_mod, hash_sample, prepare, read, text_of, unused, write_table
+from geoquill.llm.common import crc_mod, hash_sample, prepare, read, scratch, text_of, unused, write_table
 
 # Words, phrases that excuse them, and look-alikes with the letters they stand for.
 LEXICON = {"idiot": 6.0, "moron": 6.0, "stupid": 5.0, "scum": 6.0, "trash": 5.0, "loser": 5.0, "clown": 5.0, "pathetic": 5.0, "worthless": 5.0, "disgusting": 5.0}
@@ -149,9 +149,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[float, ...]]:
     """Lexicon and logistic coefficients from the labelled sample."""
-    sample = write_table(labelled_sample(docs, labels, TRAIN_TOXIC, TRAIN_CLEAN), "toxicity_sample")
-    lexicon = {f" {w}": x for w, x in LEXICON.items()} | learn_lexicon(sample)
-    rows = with_hits(sample, lexicon).select("_hits.weight", "_hits.words", "toxic").collect()  # at most TRAIN_TOXIC + TRAIN_CLEAN
+    with scratch(docs.sparkSession):
+        sample = write_table(labelled_sample(docs, labels, TRAIN_TOXIC, TRAIN_CLEAN), "toxicity_sample")
+        lexicon = {f" {w}": x for w, x in LEXICON.items()} | learn_lexicon(sample)
+        rows = with_hits(sample, lexicon).select("_hits.weight", "_hits.words", "toxic").collect()  # at most TRAIN_TOXIC + TRAIN_CLEAN
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return lexicon, DEFAULT_MODEL
