@@ -34,15 +34,16 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (base * i + longer + 1).cast("int"), (base + F.when(F.lit(i) >= parts - rest, 1).otherwise(0)).cast("int")
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys by which a line finds lines shorter by 0 to `edits`: for segment i only shifts that leave the edits balanced. Those of own_places are its index keys."""
+def probe_keys(line: Column, length: Column, edits: int, least: int) -> list[Column]:
+    """Keys by which a line finds lines shorter by 0 to `edits`: for segment i only shifts that leave the edits balanced. Those of own_places are its index keys.
+    Lines of fewer than `least` characters have none. The test stands inside each key and not around all, so that generated code computes what keys share once."""
     out = []
     for less in range(edits + 1):
         other = (length - less).cast("int")
         for i in range(edits + 1):
             start, size = segment(other, i, edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                ok = (start + shift >= 1) & (start + shift + size - 1 <= length)
+                ok = (length >= least) & (start + shift >= 1) & (start + shift + size - 1 <= length)
                 out.append(F.when(ok, F.hash(F.lit(i), other, line.substr((start + shift).cast("int"), size))))
     return out
 
@@ -133,14 +134,14 @@ def letters_apart(a: str, b: str) -> Column:
 
 
 def near_lines(docs: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
-    """id of lines that have an earlier line within `edits` edits, other than themselves. uniq: id, h, first, probe (null for lines that have no near copies).
+    """id of lines that have an earlier line within `edits` edits, other than themselves. uniq: id, h, first, probe (nulls for lines that have no near copies).
 
     Every probe first meets the earliest line of its key. Only where a key has more lines, and the later line of a pair isn't
     known as late yet, do they meet each other, and then only where the counts of a group of letters agree and all counts together differ by two for each
     edit at most: a family of like lines costs about its size, and so do lines that share a segment alone.
     """
     at = own_places(edits)
-    long = uniq.where("probe is not null")
+    long = uniq.where(F.get("probe", F.lit(at[0])).isNotNull())
     index = long.select(F.explode(F.array(*[F.get("probe", F.lit(k)) for k in at])).alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "id").alias("at"))
     heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).select("key", "n", F.col("head.id").alias("head"))
     probe = long.select("id", F.posexplode("probe").alias("place", "key")).where("key is not null")
@@ -167,8 +168,9 @@ def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHAR
 
 
 def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    length, place = F.length("line"), F.struct("doc_id", "row_", "line_no")
-    keys = F.when(length >= max(least, edits + 1), F.array(*probe_keys(F.col("line"), length, edits)))
+    # Rows of one id are told apart by half of their hash here: it only has to differ within the id.
+    place = F.struct("doc_id", F.col("row_.a").alias("row"), "line_no")
+    keys = F.array(*probe_keys(F.col("line"), F.length("line"), edits, max(least, edits + 1)))
     keyed = lines(docs).select("h", place.alias("first"), keys.alias("probe"))
     uniq = keyed.groupBy("h").agg(F.min(F.struct("first", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n")
     uniq = write_table(uniq.withColumn("id", F.monotonically_increasing_id()), "lines")
