@@ -12,10 +12,10 @@
    A set whose rows pass these bounds for another group is a query for that group: it is held against the union of all shingles of the group, and
    only where that overlap suffices is the group opened and its members compared one by one.
 
-Scale: texts are read once, and again, shuffled, for those sets that step 2 keeps of the lowest hashes. Hashes are shuffled as packed arrays by bucket, whose
+Scale: texts are read once, and again for those sets that step 2 keeps of the lowest hashes, shuffled where these are more than BROADCAST. Hashes are shuffled as packed arrays by bucket, whose
 number follows the number of hashes, and copies within a partition are one set before that. A family of near copies costs about its size: members
-meet their head, and not each other unless the bounds let them link across groups. Nothing is collected or broadcast but the sieve of
-`sieved`, which has a fixed bound; the joins are plain shuffles that AQE splits where one shingle or group is hot.
+meet their head, and not each other unless the bounds let them link across groups. Nothing is collected, and nothing broadcast but that list and the sieve of
+`sieved`, which have fixed bounds; a bucket holds the sets of a shingle, so one that very many different sets hold makes its bucket larger; the joins are plain shuffles that AQE splits where one shingle or group is hot.
 
 Defined cases: A-Z are lower-cased, words are split at 0x20 and 0x09 to 0x0D; with 1 to 4 words the whole sequence is the one
 shingle; without words or text the set is empty and links with nothing; a null id takes part and is a component's name only where no member has an id; repeated
@@ -39,6 +39,8 @@ WORDS = 5
 LEAST = 80  # per cent
 ENTRIES = 500_000  # hashes a bucket holds, about
 CHUNK = 500_000  # hashes a task deals at once
+#: Rows of four numbers that are broadcast at most, to read the texts of chosen sets where they lie; beyond that the texts are shuffled to them.
+BROADCAST = 500_000
 LOW_BYTES = 6  # of the lowest hashes, which only choose candidates
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(WORDS)]
 
@@ -223,8 +225,8 @@ def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """sid, n, m, tokens (packed, rare ones first): the shared shingles of those chosen sets that share 0.8 n or more."""
-    total = int(chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    buckets = 1 + total // ENTRIES
+    seen = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = 1 + int(seen["n"]) // ENTRIES
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _Ids()
@@ -257,8 +259,9 @@ def members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         begin, size = runs(key)
         return pd.DataFrame({"sid": key[begin], "m": size, "tokens": [token[a : a + n].tobytes() for a, n in zip(begin, size, strict=True)]})
 
-    texts = sieved(docs.select(text_of().alias("text"), _row(docs)[0]), "r1", chosen)
-    rows = texts.join(chosen.select("r1", F.col("sid").alias("key"), "k1", "k2"), "r1").select("key", "k1", "k2", "text")
+    texts, wanted = docs.select(text_of().alias("text"), _row(docs)[0]), chosen.select("r1", F.col("sid").alias("key"), "k1", "k2")
+    rows = texts.join(F.broadcast(wanted), "r1") if seen["rows"] <= BROADCAST else sieved(texts, "r1", chosen).join(wanted, "r1")
+    rows = rows.select("key", "k1", "k2", "text")
     dealt = rows.mapInPandas(deal, "bucket long, token binary, key binary, times binary")
     parts = dealt.groupBy("bucket").applyInPandas(share, "part long, key binary, n binary, token binary, times binary")
     gathered = parts.groupBy("part").applyInPandas(gather, "sid long, m long, tokens binary")
