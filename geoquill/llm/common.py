@@ -104,12 +104,12 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
 SIEVE = 1 << 21
 
 
-def sieved(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows of df whose hash, a number or hash_128, is in wanted. Hash classes, at most SIEVE of them and broadcast on that bound, hold back nearly all other rows
+def sieved(df: DataFrame, column: str, wanted: DataFrame, exact: bool = True) -> DataFrame:
+    """Rows of df whose hash, a number or hash_128, is in wanted (exact: and no others). Hash classes, at most SIEVE of them and broadcast on that bound, hold back nearly all other rows
     before the shuffle while wanted is small; beyond that they pass, and the join decides."""
     classes = wanted.select(F.pmod(F.xxhash64(column), F.lit(SIEVE)).alias("_class")).distinct()
     some = df.withColumn("_class", F.pmod(F.xxhash64(column), F.lit(SIEVE))).join(F.broadcast(classes), "_class", "left_semi").drop("_class")
-    return some.join(wanted.select(column), column, "left_semi")
+    return some.join(wanted.select(column), column, "left_semi") if exact else some
 
 
 def hash_128(*columns: str) -> Column:

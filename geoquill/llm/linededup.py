@@ -118,7 +118,8 @@ LETTERS = "etaoinshrdlucmwfgypbvkjxqz0123456789"
 
 
 def letter_counts(line: Column) -> Column:
-    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+    """Counts of LETTERS, up to 127: a byte each, as these are shuffled. Cut-off counts differ by no more than the counts do."""
+    return F.array(*[F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127)).cast("byte") for c in LETTERS])
 
 
 def letter_keys(counts: Column, edits: int) -> Column:
@@ -144,8 +145,8 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
     long = uniq.where(F.get("probe", F.lit(at[0])).isNotNull())
     index = long.select(F.explode(F.array(*[F.get("probe", F.lit(k)) for k in at])).alias("key"), F.struct(F.col("first.doc_id").alias("doc_id"), "id").alias("at"))
     heads = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).select("key", "n", F.col("head.id").alias("head"))
-    probe = long.select("id", F.posexplode("probe").alias("place", "key")).where("key is not null")
-    met = write_table(probe.join(heads, "key").where("id <> head or n > 1").select("key", "id", "head", "n", F.col("place").isin(at).alias("own")), "line_met")
+    probe = long.select("id", F.posexplode("probe").alias("place", "key")).where("key is not null").select("id", "key", F.col("place").isin(at).alias("own"))
+    met = write_table(probe.join(heads, "key").where("id <> head or n > 1").select("key", "id", "head", "n", "own"), "line_met")
     first = write_table(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
     texts = _texts(first, docs, uniq)
     late = write_table(_late(first, texts, edits), "late_first")
@@ -176,7 +177,8 @@ def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     uniq = write_table(uniq.withColumn("id", F.monotonically_increasing_id()), "lines")
     late = write_table(near_lines(docs, uniq, edits), "late")
     firsts = uniq.select("id", "h", "first", "n").join(late.withColumn("late", F.lit(True)), "id", "left").where("n > 1 or late").select("h", "first", "late")
-    gone = lines(docs).select("h", "doc_id", "row_", "line_no").join(firsts, "h")
+    firsts = write_table(firsts, "firsts")
+    gone = sieved(lines(docs).select("h", "doc_id", "row_", "line_no"), "h", firsts, exact=False).join(firsts, "h")
     gone = gone.where(F.col("late") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("row_").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
