@@ -215,10 +215,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH rows AS (SELECT DISTINCT doc_id, text FROM documents),
 parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM rows),
-full AS (SELECT * FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-uniq AS (SELECT line, min(row(doc_id, line_no)) AS first, length(line) AS n FROM full GROUP BY line),
+filled AS (SELECT * FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+uniq AS (SELECT line, min(row(doc_id, line_no)) AS first, length(line) AS n FROM filled GROUP BY line),
 late AS (SELECT DISTINCT b.line FROM uniq a JOIN uniq b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.n >= 32 AND b.n >= 32 AND a.first < b.first AND levenshtein(a.line, b.line) <= 2),
-gone AS (SELECT p.doc_id, p.text, p.line_no FROM full p JOIN uniq u USING (line)
+gone AS (SELECT p.doc_id, p.text, p.line_no FROM filled p JOIN uniq u USING (line)
          WHERE row(p.doc_id, p.line_no) <> u.first OR p.line IN (SELECT line FROM late)),
 drops AS (SELECT doc_id, text, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS l FROM gone GROUP BY 1, 2)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::INT AS n_lines, coalesce(r.n, 0)::INT AS n_dropped, coalesce(r.l, '') AS dropped_lines
