@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 from geoquill.sources.tables import write_table
 
-#: Rows of a part, about.
-PART_ROWS = 500_000
+#: Rows of a part, about, once there are as many parts as the session has shuffle partitions; and the least that a part is cut to before.
+PART_ROWS, LEAST_PART = 500_000, 10_000
 
 
 def in_parts(df: DataFrame, *order: str | Column) -> DataFrame:
-    """df, written, with _part: rising in the given order, about PART_ROWS rows each; rows alike in the order are in one part."""
-    n = max(1, df.count() // PART_ROWS + 1)
-    return write_table((df.repartitionByRange(n, *order) if n > 1 else df.coalesce(1)).withColumn("_part", F.spark_partition_id()), "parts")
+    """df, written, with _part: rising in the given order, at most about PART_ROWS rows each; rows alike in the order are in one part.
+
+    df is computed once, for the first table; counts and the borders' sample come from that.
+    """
+    rows = write_table(df, "rows")
+    count = rows.count()
+    n = max(count // PART_ROWS + 1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // LEAST_PART + 1))
+    return write_table((rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)).withColumn("_part", F.spark_partition_id()), "parts")
 
 
 def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
