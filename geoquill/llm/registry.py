@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoquill.llm import decontam, jaccard, langid, linededup, lmscore, media, mixing, resample, secrets, toxicity, urlfilter
+from geoquill.llm import centroids, decontam, jaccard, langid, linededup, lmscore, media, mixing, resample, secrets, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_decontaminate": decontam.op10_decontaminate,
         "op11_resample": resample.op11_resample,
+        "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL, "op6_jaccard_join": jaccard.OP6_SQL, "op8_line_dedup": linededup.OP8_SQL, "op11_resample": resample.OP11_SQL}
+    return {"op4_mix_sources": mixing.OP4_SQL, "op6_jaccard_join": jaccard.OP6_SQL, "op8_line_dedup": linededup.OP8_SQL, "op11_resample": resample.OP11_SQL, "op13_centroid_clusters": centroids.OP13_SQL}
