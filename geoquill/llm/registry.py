@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoquill.llm import centroids, decontam, jaccard, langid, linededup, lmscore, media, mixing, resample, secrets, toxicity, urlfilter
+from geoquill.llm import centroids, decontam, jaccard, langid, linededup, lmscore, maintext, media, mixing, resample, secrets, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_decontaminate": decontam.op10_decontaminate,
         "op11_resample": resample.op11_resample,
+        "op12_html_extract": maintext.op12_html_extract,
         "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
