@@ -1,7 +1,7 @@
 """Pixel tables: composites, spectral indices, masks, opening, components and their geometry.
 
-A pixel table has tile_id, row, col and bands. Opening and labelling work on one tile at a time, whose side is fixed, so a group is bounded; components
-that touch across tile borders are joined afterwards by label propagation over border pairs.
+A pixel table has tile_id, row, col and bands. Opening and labelling work on one tile at a time, whose side is fixed, so a group is bounded. Tiles are numbered row by row, `across` of them in a row. For
+opening each tile first gets a halo, the pixels of its neighbours that can matter to it, so tile borders leave no trace; components that touch across borders are joined afterwards as a graph of border pairs.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoquill.operators.graphs import least_labels
 from geoquill.operators.lookups import cap_per_group
 from geoquill.operators.spatial import dedup_proximity
 from geoquill.sources.tables import write_table
@@ -67,14 +68,18 @@ def _disc(radius: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
 
 
-def opened(mask: np.ndarray, radius: int) -> np.ndarray:
-    """Least, then greatest, over a disc; beyond the edge nothing counts."""
+def opened(mask: np.ndarray, radius: int, there: np.ndarray | None = None) -> np.ndarray:
+    """Least, then greatest, over a disc; what lies beyond the edge or isn't there doesn't count."""
+    there = np.ones(mask.shape, bool) if there is None else there
+
     def sweep(a: np.ndarray, pick: Callable, fill: bool) -> np.ndarray:
         h, w = a.shape
         wide = np.pad(a, radius, constant_values=fill)
         return pick.reduce([wide[radius + i : radius + i + h, radius + j : radius + j + w] for i, j in _disc(radius)])
 
-    return sweep(sweep(mask, np.logical_and, True), np.logical_or, False) if radius > 0 else mask
+    if radius <= 0:
+        return mask & there
+    return sweep(sweep(mask | ~there, np.logical_and, True) & there, np.logical_or, False) & there
 
 
 def _grid(frame: pd.DataFrame) -> tuple[np.ndarray, int, int]:
@@ -84,66 +89,100 @@ def _grid(frame: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     return grid, r0, c0
 
 
-def morphological_open(masks: DataFrame, radius: int) -> DataFrame:
-    """masks (tile_id, row, col, mask) after opening; tiles whose edges matter should come with a halo of `radius` pixels."""
+def with_halo(pixels: DataFrame, reach: int, tile: tuple[int, int], across: int, *columns: str) -> DataFrame:
+    """Pixels sent to every tile that they are in or at most `reach` away from: target (a tile), own (whether it is the pixel's), tile_id, row, col, gr, gc (place on the whole map) and columns.
+
+    Only pixels near a border are sent more than once. Tiles beyond the map's sides are no targets.
+    """
+    gr, gc = F.floor(F.col("tile_id") / across) * tile[0] + F.col("row"), F.pmod("tile_id", F.lit(across)) * tile[1] + F.col("col")
+    placed = pixels.select("tile_id", "row", "col", *columns).withColumns({"gr": gr.cast("long"), "gc": gc.cast("long")})
+    at = lambda c, n: F.floor(c / n).cast("long")
+    rows = F.sequence(F.greatest(at(F.col("gr") - reach, tile[0]), F.lit(0).cast("long")), at(F.col("gr") + reach, tile[0]))
+    cols = F.sequence(F.greatest(at(F.col("gc") - reach, tile[1]), F.lit(0).cast("long")), F.least(at(F.col("gc") + reach, tile[1]), F.lit(across - 1).cast("long")))
+    spread = placed.withColumn("target", F.explode(F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: r * across + c)))))
+    return spread.withColumn("own", F.col("target") == F.col("tile_id"))
+
+
+def morphological_open(masks: DataFrame, radius: int, tile: tuple[int, int], across: int) -> DataFrame:
+    """masks (tile_id, row, col, mask) after opening by a disc over the whole map, as if it weren't cut in tiles: pixels without a row don't count. A null mask is false.
+
+    An opened pixel depends on the pixels within twice the radius, so each tile gets a halo as wide, works on it and gives back its own pixels.
+    """
+    columns = masks.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce("mask", F.lit(False)).alias("mask"))
+    if radius <= 0:
+        return columns
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(frame)
-        done = opened(grid, radius)
-        return frame.assign(mask=done[frame["row"] - r0, frame["col"] - c0])
+        r, c = frame["gr"].to_numpy(), frame["gc"].to_numpy()
+        r, c = r - r.min(), c - c.min()
+        mask, there = np.zeros((r.max() + 1, c.max() + 1), bool), np.zeros((r.max() + 1, c.max() + 1), bool)
+        mask[r, c], there[r, c] = frame["mask"].to_numpy(bool), True
+        done = opened(mask, radius, there)[r, c]
+        own = frame["own"].to_numpy(bool)
+        return frame.loc[own, ["tile_id", "row", "col"]].assign(mask=done[own])
 
-    schema = masks.select("tile_id", "row", "col", "mask").schema
-    return masks.select("tile_id", "row", "col", "mask").groupBy("tile_id").applyInPandas(work, schema)
+    spread = with_halo(columns, 2 * radius, tile, across, "mask").select("target", "own", "tile_id", "row", "col", "gr", "gc", "mask")
+    return spread.groupBy("target").applyInPandas(work, "tile_id long, row int, col int, mask boolean")
 
 
 def labelled(mask: np.ndarray) -> np.ndarray:
-    """Component of each true pixel, 8-connected, as the least flat index in it; -1 elsewhere."""
+    """Component of each true pixel, 8-connected, as the least flat index in it; -1 elsewhere.
+
+    Two passes over runs: runs of true pixels in a row are tied to those they touch in the row above, and then each is named after the least run that it is tied to.
+    """
     h, w = mask.shape
-    label = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
-    while True:
-        wide = np.pad(label, 1, constant_values=h * w)
-        low = np.minimum.reduce([wide[i : i + h, j : j + w] for i in range(3) for j in range(3)])
-        low = np.where(mask, low, h * w)
-        if (low == label).all():
-            return np.where(mask, label, -1)
-        label = low
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1] - 1
+    # Places on one line, with room between rows so that no run touches another row's.
+    from_, to = row * (w + 2) + start, row * (w + 2) + end
+    first = np.searchsorted(to, from_ - (w + 2) - 1, side="left")
+    last = np.searchsorted(from_, to - (w + 2) + 1, side="right")
+    root = list(range(len(row)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        for other in range(a, b):
+            x, y = find(k), find(other)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    name = np.array([find(k) for k in range(len(row))], np.int64)
+    out = np.full(h * w, -1, np.int64)
+    size = end - start + 1
+    flat = np.repeat(row * w + start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(row) else np.zeros(0, np.int64)
+    out[flat] = np.repeat((row * w + start)[name], size) if len(row) else 0
+    return out.reshape(h, w)
 
 
 def vectorize_mask(masks: DataFrame, tile_rows: int, tile_cols: int, tiles_across: int) -> DataFrame:
-    """tile_id, row, col, component of the true pixels. tile_id numbers tiles row by row, tiles_across of them in a row; a component's name is its least global pixel."""
+    """tile_id, row, col, gr, gc, component of the true pixels. A component's name is its least pixel on the whole map, counted row by row.
+
+    Tiles are labelled by themselves; a border pixel that touches one of another tile ties their names, and names are joined in rounds that grow with the logarithm of the number of tiles that a component runs through.
+    """
+    width = tiles_across * tile_cols
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         grid, r0, c0 = _grid(frame)
         k = labelled(grid)[frame["row"] - r0, frame["col"] - c0]
         out = frame[k >= 0][["tile_id", "row", "col"]].copy()
-        out["local"] = k[k >= 0]
+        out["gr"] = out["tile_id"] // tiles_across * tile_rows + out["row"]
+        out["gc"] = out["tile_id"] % tiles_across * tile_cols + out["col"]
+        out["name"] = (out["gr"] * width + out["gc"]).groupby(k[k >= 0]).transform("min")
         return out
 
-    local = masks.select("tile_id", "row", "col", "mask").groupBy("tile_id").applyInPandas(work, "tile_id long, row int, col int, local long")
-    gr = F.floor(F.col("tile_id") / tiles_across) * tile_rows + F.col("row")
-    gc = F.pmod("tile_id", F.lit(tiles_across)) * tile_cols + F.col("col")
-    placed = local.withColumns({"gr": gr, "gc": gc}).withColumn("pixel", F.col("gr") * (tiles_across * tile_cols) + F.col("gc"))
-    named = write_table(placed.withColumn("name", F.min("pixel").over(Window.partitionBy("tile_id", "local"))).drop("local", "pixel"), "pixels")
+    whole = masks.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.coalesce("mask", F.lit(False)).alias("mask"))
+    named = write_table(whole.groupBy("tile_id").applyInPandas(work, "tile_id long, row int, col int, gr long, gc long, name long"), "pixels")
     edge = named.where((F.col("row") == 0) | (F.col("row") == tile_rows - 1) | (F.col("col") == 0) | (F.col("col") == tile_cols - 1))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     probe = edge.select(F.col("name").alias("a"), "tile_id", "gr", "gc", F.explode(near).alias("s")).select("a", "tile_id", (F.col("gr") + F.col("s.i")).alias("gr"), (F.col("gc") + F.col("s.j")).alias("gc"))
     other = edge.select(F.col("name").alias("b"), F.col("tile_id").alias("tile_b"), "gr", "gc")
-    pairs = probe.join(other, ["gr", "gc"]).where(F.col("tile_id") != F.col("tile_b")).select("a", "b").distinct()
-    return named.join(_least_labels(pairs), "name", "left").select("tile_id", "row", "col", "gr", "gc", F.coalesce("comp", "name").alias("component"))
-
-
-def _least_labels(pairs: DataFrame) -> DataFrame:
-    """name, comp: the least name that pairs lead to, by spreading labels until they rest."""
-    both = write_table(pairs.union(pairs.select("b", "a")).distinct(), "border")
-    labels = write_table(both.groupBy(F.col("a").alias("name")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
-    while True:
-        low = both.join(labels.select(F.col("name").alias("b"), "comp"), "b").groupBy(F.col("a").alias("name")).agg(F.min("comp").alias("near"))
-        jump = labels.select(F.col("name").alias("via"), F.col("comp").alias("far"))
-        nxt = labels.join(low, "name").select("name", F.least("comp", "near").alias("via"), F.col("comp").alias("old")).join(jump, "via", "left")
-        nxt = write_table(nxt.select("name", F.least("via", F.coalesce("far", "via")).alias("comp"), "old"), "labels")
-        labels = nxt.select("name", "comp")
-        if nxt.where("comp <> old").isEmpty():
-            return labels
+    pairs = probe.join(other, ["gr", "gc"]).where(F.col("tile_id") != F.col("tile_b")).select("a", "b")
+    return named.join(least_labels(pairs), "name", "left").select("tile_id", "row", "col", "gr", "gc", F.coalesce("comp", "name").alias("component"))
 
 
 def geometry_properties(pixels: DataFrame, cell_deg: float, origin: tuple[float, float], cos_lat: float) -> DataFrame:
@@ -159,13 +198,17 @@ def geometry_properties(pixels: DataFrame, cell_deg: float, origin: tuple[float,
     return per.select("component", "n_pixels", (F.col("n_pixels") * (cell_deg * M) ** 2 * cos_lat).alias("area_m2"), long.alias("length_m"), short.alias("width_m"), (long / F.greatest(short, F.lit(0.1))).alias("aspect_ratio"), "centroid_lon", "centroid_lat")
 
 
-#: Detection methods by name: pixel observations -> masks (tile_id, row, col, mask).
-def _from_composite(mask: Callable[[], Column]) -> Callable[[DataFrame], DataFrame]:
-    return lambda obs: spectral_indices(composite_median(obs, "1990-01-01", "2100-01-01", 101)).select("tile_id", "row", "col", mask().alias("mask"))
+def _from_composite(mask: Callable[..., Column]) -> Callable[..., DataFrame]:
+    def method(obs: DataFrame, start: str = "1990-01-01", end: str = "2100-01-01", max_cloud: float = 101, **limits: float) -> DataFrame:
+        return spectral_indices(composite_median(obs, start, end, max_cloud)).select("tile_id", "row", "col", mask(**limits).alias("mask"))
+
+    return method
 
 
-METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "ndbi": _from_composite(mask_ndbi), "metal_roof": _from_composite(mask_metal_roof), "landcover": lambda obs: mask_landcover(obs, 6), "sar": lambda obs: mask_sar(obs, -12.0),
+#: Detection methods by name: (pixel observations, options by name) -> masks (tile_id, row, col, mask). Optical ones take the composite's dates and cloud limit, and all the limits of their mask.
+METHODS: dict[str, Callable[..., DataFrame]] = {
+    "ndbi": _from_composite(mask_ndbi), "metal_roof": _from_composite(mask_metal_roof),
+    "landcover": lambda obs, built=6, column="landcover": mask_landcover(obs, built, column), "sar": lambda obs, threshold=-12.0, column="vv_db": mask_sar(obs, threshold, column),
 }
 
 
@@ -199,14 +242,14 @@ def imagery(obs: DataFrame, sources: Sequence[dict]) -> DataFrame:
 
 def run_tiles(
     obs: DataFrame, methods: Sequence[str], tile: tuple[int, int], across: int, cell_deg: float, origin: tuple[float, float], cos_lat: float, radius: int = 0, least: float = 0.0, most: float = float("inf"),
-    cap: int | None = None, dedup_m: float | None = None,
+    cap: int | None = None, dedup_m: float | None = None, options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Detections of each method: mask, opening, components, geometry, area filter; the first `cap` of each tile and method by component; and, over all methods, those that
+    """Detections of each method, with its options: mask, opening across tile borders, components, geometry, area filter; the first `cap` of each tile and method by component; and, over all methods, those that
     no earlier detection (by method, then component) is nearer to than dedup_m. With lat, lng, tile (of the centroid) and ord, the place in that order."""
     out = None
     for at, name in enumerate(methods):
-        mask = METHODS[name](obs)
-        found = vectorize_mask(morphological_open(mask, radius) if radius else mask, *tile, across)
+        mask = METHODS[name](obs, **(options or {}).get(name, {}))
+        found = vectorize_mask(morphological_open(mask, radius, tile, across) if radius else mask, *tile, across)
         rows = geometry_properties(found, cell_deg, origin, cos_lat).where(F.col("area_m2").between(least, most)).withColumns({"source": F.lit(name), "ord": F.lit(at).cast("long") * (1 << 40) + F.col("component")})
         out = rows if out is None else out.unionByName(rows)
     place = lambda c, o, n: F.floor((F.col(c) - o) / (cell_deg * n))

@@ -55,13 +55,12 @@ def _(t):
 
 
 CROSS = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(di, dj)"
-#: CTEs: masks (source, tile_id, row, col, mask) after opening by a disc of radius 1; beyond a tile's box nothing counts, pixels missing inside it are false.
-OPENED = f"""box AS (SELECT source, tile_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM masks GROUP BY ALL), yes AS (SELECT source, tile_id, row, col FROM masks WHERE mask),
-cells AS (SELECT source, tile_id, r.row, c.col FROM box, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS row) r, LATERAL (SELECT unnest(range(c0, c1 + 1)) AS col) c),
-around AS (SELECT x.source, x.tile_id, x.row, x.col, x.row + di AS nr, x.col + dj AS nc FROM cells x JOIN box b USING (source, tile_id), {CROSS} WHERE x.row + di BETWEEN r0 AND r1 AND x.col + dj BETWEEN c0 AND c1),
-left_ AS (SELECT a.source, a.tile_id, a.row, a.col FROM around a LEFT JOIN yes y ON y.source = a.source AND y.tile_id = a.tile_id AND y.row = nr AND y.col = nc GROUP BY ALL HAVING bool_and(y.row IS NOT NULL)),
-grown AS (SELECT DISTINCT a.source, a.tile_id, a.row, a.col FROM around a JOIN left_ e ON e.source = a.source AND e.tile_id = a.tile_id AND e.row = nr AND e.col = nc),
-opened AS (SELECT m.source, m.tile_id, m.row, m.col, g.row IS NOT NULL AS mask FROM masks m LEFT JOIN grown g USING (source, tile_id, row, col))"""
+#: CTEs: masks (source, tile_id, row, col, mask) after opening by a disc of radius 1 over the whole map, 10 tiles of 8 by 8 pixels wide; pixels without a row don't count.
+OPENED = f"""spot AS (SELECT *, (tile_id // 10) * 8 + row AS gr, (tile_id % 10) * 8 + col AS gc FROM masks),
+around AS (SELECT x.source, x.gr, x.gc, y.gr AS nr, y.gc AS nc, y.mask AS m FROM (SELECT *, gr + di AS hr, gc + dj AS hc FROM spot, {CROSS}) x JOIN spot y ON y.source = x.source AND y.gr = x.hr AND y.gc = x.hc),
+left_ AS (SELECT source, gr, gc FROM around GROUP BY ALL HAVING bool_and(m)),
+grown AS (SELECT DISTINCT a.source, a.gr, a.gc FROM around a JOIN left_ e ON e.source = a.source AND e.gr = nr AND e.gc = nc),
+opened AS (SELECT m.source, m.tile_id, m.row, m.col, g.gr IS NOT NULL AS mask FROM spot m LEFT JOIN grown g USING (source, gr, gc))"""
 
 
 def components(masks: str) -> str:
@@ -85,7 +84,7 @@ def _sar(limit: float) -> str:
 
 @query("p26_morphological_open", f"WITH {_sar(-10)}, {OPENED} SELECT tile_id, row, col, mask FROM opened")
 def _(t):
-    return R.morphological_open(R.mask_sar(t("fx_pixels"), -10.0), 1)
+    return R.morphological_open(R.mask_sar(t("fx_pixels"), -10.0), 1, (8, 8), 10)
 
 
 @query("p27_vectorize_mask", f"WITH RECURSIVE {_sar(-9)}, {components('masks')} SELECT tile_id, row, col, component FROM px JOIN comp USING (source, p)")
@@ -108,13 +107,19 @@ def _(t):
     return _shape(R.geometry_properties(found, 1e-3, (-60.0, -30.0), 0.9))
 
 
-@query("u09_run_tiles", f"""WITH RECURSIVE masks AS (SELECT 'landcover' AS source, tile_id, row, col, arg_min(landcover, (-n) * 100 + landcover) = 6 AS mask FROM (SELECT tile_id, row, col, landcover, count(*) AS n FROM fx_pixels GROUP BY ALL) GROUP BY ALL
-  UNION ALL SELECT 'sar', tile_id, row, col, median(vv_db) > -12 FROM fx_pixels GROUP BY ALL), {OPENED}, {components('opened')}, {geometry(1e-4)},
+#: u09: optical and radar masks of the whole map, opened, with at most two detections of a tile and method.
+TILE_OPTIONS = {"metal_roof": {"start": "1993-01-01", "end": "1998-01-01", "max_cloud": 30, "bright": 900, "green": 0.5, "swir": 2500}, "sar": {"threshold": -8.5}}
+
+
+@query("u09_run_tiles", f"""WITH RECURSIVE {COMPOSITE}, {INDICES}, masks AS (SELECT 'metal_roof' AS source, tile_id, row, col, coalesce(brightness > 900 AND ndvi < 0.5 AND swir > 2500 AND mndwi < 0.1, FALSE) AS mask FROM i
+  UNION ALL SELECT 'sar', tile_id, row, col, median(vv_db) > -8.5 FROM fx_pixels GROUP BY ALL
+  UNION ALL SELECT 'landcover', tile_id, row, col, arg_min(landcover, (-n) * 100 + landcover) = 6 FROM (SELECT tile_id, row, col, landcover, count(*) AS n FROM fx_pixels GROUP BY ALL) GROUP BY ALL),
+{OPENED}, {components('opened')}, {geometry(1e-4)},
 tiled AS (SELECT *, floor((centroid_lat + 30) / (1e-4::DOUBLE * 8)) * 10 + floor((centroid_lon + 60) / (1e-4::DOUBLE * 8)) AS tile FROM shapes WHERE area_m2 >= 100),
-capped AS (SELECT *, centroid_lat AS lat, centroid_lon AS lng, CASE source WHEN 'sar' THEN 1099511627776 ELSE 0 END + component AS ord FROM (SELECT *, row_number() OVER (PARTITION BY source, tile ORDER BY component) AS k FROM tiled) WHERE k <= 2),
+capped AS (SELECT *, centroid_lat AS lat, centroid_lon AS lng, CASE source WHEN 'landcover' THEN 2199023255552 WHEN 'sar' THEN 1099511627776 ELSE 0 END + component AS ord FROM (SELECT *, row_number() OVER (PARTITION BY source, tile ORDER BY component) AS k FROM tiled) WHERE k <= 2),
 {{greedy}} SELECT source, {SHAPE_SQL} FROM capped SEMI JOIN kept USING (ord)""".format(greedy=greedy("capped", 30e0)))
 def _(t):
-    got = R.run_tiles(t("fx_pixels"), ["landcover", "sar"], (8, 8), 10, 1e-4, (-60.0, -30.0), 0.9, 1, 100.0, cap=2, dedup_m=30.0)
+    got = R.run_tiles(t("fx_pixels"), ["metal_roof", "sar", "landcover"], (8, 8), 10, 1e-4, (-60.0, -30.0), 0.9, 1, 100.0, cap=2, dedup_m=30.0, options=TILE_OPTIONS)
     return _shape(got, "source")
 
 

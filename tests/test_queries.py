@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from geoquill.operators import lookups, metrics, patches, raster, spatial, splits
+from geoquill.operators import graphs, lookups, metrics, patches, raster, spatial, splits
 from geoquill.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -89,9 +89,61 @@ def test_components_across_tiles(spark):
     df = spark.createDataFrame(rows, "tile_id long, row int, col int, mask boolean")
     got = {(r["gr"], r["gc"]): r["component"] for r in raster.vectorize_mask(df, 8, 8, 3).collect()}
     assert got == {(r, c): whole[r, c] for r in range(24) for c in range(24) if mask[r, c]}
-    opened = {(r["tile_id"], r["row"], r["col"]): r["mask"] for r in raster.morphological_open(df.where("tile_id = 0"), 1).collect()}
-    want = raster.opened(mask[:8, :8], 1)
-    assert all(opened[0, r, c] == want[r, c] for r in range(8) for c in range(8)) and (want <= mask[:8, :8]).all()
+
+
+def test_opening_leaves_no_trace_of_tiles(spark):
+    """A mask cut in tiles opens as the whole one does, also with a halo wider than a tile and with pixels that have no row."""
+    rng = np.random.default_rng(8)
+    mask, there = rng.random((24, 32)) < 0.8, rng.random((24, 32)) < 0.95
+    rows = [((r // 8) * 4 + c // 8, r % 8, c % 8, bool(mask[r, c])) for r in range(24) for c in range(32) if there[r, c]]
+    df = spark.createDataFrame(rows, "tile_id long, row int, col int, mask boolean")
+    for radius in (0, 1, 2, 5):
+        got = {(r["tile_id"] // 4 * 8 + r["row"], r["tile_id"] % 4 * 8 + r["col"]): r["mask"] for r in raster.morphological_open(df, radius, (8, 8), 4).collect()}
+        want = np.zeros(mask.shape, bool)
+        for r, c in np.argwhere(there):  # by the definition
+            disc = [(r + i, c + j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+            solid = lambda y, x: all(mask[y + i, x + j] for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius and 0 <= y + i < 24 and 0 <= x + j < 32 and there[y + i, x + j])
+            want[r, c] = any(solid(y, x) for y, x in disc if 0 <= y < 24 and 0 <= x < 32 and there[y, x])
+        assert len(got) == there.sum() and all(v == want[p] for p, v in got.items()), radius
+
+
+def test_labels_of_a_spiral(spark):
+    """Labels equal those of a flood fill, for random masks and a spiral, whose one path runs through all of the tile."""
+    spiral = np.zeros((41, 41), bool)
+    r, c, dr, dc = 0, 0, 0, 1
+    spiral[0, 0] = True
+    while True:
+        for _ in range(2):
+            y, x = r + 2 * dr, c + 2 * dc
+            if 0 <= y < 41 and 0 <= x < 41 and not spiral[y, x]:
+                break
+            dr, dc = dc, -dr
+        else:
+            break
+        spiral[r + dr, c + dc] = spiral[y, x] = True
+        r, c = y, x
+    rng = np.random.default_rng(9)
+    for mask in (spiral, np.zeros((3, 4), bool), np.ones((1, 5), bool), *(rng.random((rng.integers(1, 30), rng.integers(1, 30))) < p for p in (0.2, 0.4, 0.6))):
+        want = np.full(mask.shape, -1)
+        for at in np.argwhere(mask):
+            if want[tuple(at)] < 0:
+                todo, name = [tuple(at)], at[0] * mask.shape[1] + at[1]
+                while todo:
+                    y, x = todo.pop()
+                    if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and want[y, x] < 0:
+                        want[y, x] = name
+                        todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert (raster.labelled(mask) == want).all()
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark):
+    n, rounds = 10_000, []
+    order = np.random.default_rng(4).permutation(n)
+    for names in (np.arange(n), order):
+        df = spark.createDataFrame([(int(names[k]), int(names[k + 1])) for k in range(n - 1)] + [(n + 5, n + 3), (n + 3, n + 4), (n + 7, n + 7)], "a long, b long")
+        got = dict(tuple(r) for r in graphs.least_labels(df, rounds).collect())
+        assert got == dict.fromkeys(range(n), 0) | {n + 5: n + 3, n + 4: n + 3, n + 3: n + 3}
+    assert max(rounds) <= 20
 
 
 def test_augmentation_is_stable_and_bounded(spark):
