@@ -117,9 +117,8 @@ def morphological_open(masks: DataFrame, radius: int, tile: tuple[int, int], acr
         r, c = r - r.min(), c - c.min()
         mask, there = np.zeros((r.max() + 1, c.max() + 1), bool), np.zeros((r.max() + 1, c.max() + 1), bool)
         mask[r, c], there[r, c] = frame["mask"].to_numpy(bool), True
-        done = opened(mask, radius, there)[r, c]
-        own = frame["own"].to_numpy(bool)
-        return frame.loc[own, ["tile_id", "row", "col"]].assign(mask=done[own])
+        done = frame[["tile_id", "row", "col"]].assign(mask=opened(mask, radius, there)[r, c])
+        return done[frame["own"].to_numpy(bool)]
 
     spread = with_halo(columns, 2 * radius, tile, across, "mask").select("target", "own", "tile_id", "row", "col", "gr", "gc", "mask")
     return spread.groupBy("target").applyInPandas(work, "tile_id long, row int, col int, mask boolean")

@@ -1,12 +1,16 @@
 """Spatial joins on points: nearest within a radius, far-from filters, matches, first-wins dedup, box lookup and tiles.
 
 A distance test alone would be planned as a nested-loop join, so points are put in grid cells at least one radius wide: one
-side goes to its own cell and the other to the nine around it, and the join is on the cell with the distance left to test. AQE splits dense
-cells. Metres are degrees times 111000, longitudes also times the cosine of the latitude that each operator names.
+side goes to its own cell and the other to the nine around it, and the join is on the cell with the distance left to test. Semi joins stop at a point's first match; where the nearest of many is wanted, cells are
+halved until few points are left in each. Metres are degrees times 111000, longitudes also times the cosine of the latitude that each operator names.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,10 @@ from geoquill.sources.tables import kept, steps, write_table
 M = 111_000.0
 EARTH = 6_371_000.0
 REGISTRY_BOUND = 10_000
+#: Reference points of a cell that points are compared with one by one; fuller cells are halved, DEPTH times at most.
+CELL_POINTS, DEPTH = 256, 20
+#: Rows of a block that greedy dedup resolves in one task.
+BLOCK_ROWS = 50_000
 
 
 def small(df: DataFrame, bound: int = REGISTRY_BOUND) -> DataFrame:
@@ -32,22 +40,73 @@ def _points(df: DataFrame) -> DataFrame:
     return df.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, columns: tuple[str, ...] = ()) -> DataFrame:
+def nearest_within(
+    left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, columns: tuple[str, ...] = (), most: int = CELL_POINTS, compared: list[int] | None = None,
+) -> DataFrame:
     """Adds match_id, match_m (infinite where none is within the radius, which counts) and the match's columns, named match_*.
 
-    One cosine, at the mean latitude of the reference points. The least id wins a tie.
+    One cosine, at the mean latitude of the reference points. The least id wins a tie. Of reference points at one spot only the least id is compared. Where no cell of the radius's size has more than `most` reference points left,
+    a point is compared with those of its nine cells; otherwise cells are halved where they are full (`_close_cells`). compared: gets the number of pairs of points, of full cells only.
     """
+    named = [f"match_{c}" for c in columns]
     refs = _points(right).select(F.col(right_id).alias("match_id"), *[F.col(c).alias(f"match_{c}") for c in columns], F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
     cos = F.broadcast(refs.agg(F.coalesce(F.cos(F.radians(F.avg("rlat"))), F.lit(1.0)).alias("k")))  # one row
-    x, y = F.col("lng") * M * F.col("k"), F.col("lat") * M
-    own = _points(left).select(left_id, "lat", "lng").crossJoin(cos).select(left_id, x.alias("x"), y.alias("y"), F.floor(x / radius).alias("cx"), F.floor(y / radius).alias("cy"))
-    rx, ry = F.col("rlng") * M * F.col("k"), F.col("rlat") * M
-    spread = refs.crossJoin(cos).withColumns({"rx": rx, "ry": ry}).withColumn("c", F.explode(around(F.floor(F.col("rx") / radius), F.floor(F.col("ry") / radius)))).select("match_id", *[f"match_{c}" for c in columns], "rx", "ry", "c.*")
+    spots = refs.groupBy("rlat", "rlng").agg(F.min(F.struct("match_id", *named)).alias("r")).crossJoin(cos)
+    spots = spots.select("r.*", (F.col("rlng") * M * F.col("k")).alias("rx"), (F.col("rlat") * M).alias("ry"))
+    own = _points(left).select(left_id, "lat", "lng").crossJoin(cos).select(left_id, (F.col("lng") * M * F.col("k")).alias("x"), (F.col("lat") * M).alias("y"))
     far = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2)
-    best = own.join(spread, ["cx", "cy"]).withColumn("match_m", far).where(F.col("match_m") <= radius).groupBy(left_id).agg(F.min(F.struct("match_m", "match_id", *[f"match_{c}" for c in columns])).alias("b"))
+    nearest = lambda pairs: pairs.withColumn("match_m", far).where(F.col("match_m") <= radius).groupBy(left_id).agg(F.min(F.struct("match_m", "match_id", *named)).alias("b"))
+    cell = lambda c, side: F.floor(F.col(c) / side)
+    full = spots.groupBy(cell("rx", radius), cell("ry", radius)).count().where(F.col("count") > most).isEmpty()
+    if full:
+        spread = spots.withColumn("c", F.explode(around(cell("rx", radius), cell("ry", radius)))).select("match_id", *named, "rx", "ry", "c.*")
+        best = nearest(own.withColumns({"cx": cell("x", radius), "cy": cell("y", radius)}).join(spread, ["cx", "cy"]))
+    else:
+        with steps(left.sparkSession) as made:
+            spots, own = write_table(spots, "spots"), write_table(own, "own")
+            pairs = None
+            for level, cells in _close_cells(own, spots, radius, most):
+                side = radius / 2**level
+                part = cells.join(own.withColumns({"qx": cell("x", side), "qy": cell("y", side)}), ["qx", "qy"]).join(spots.withColumns({"sx": cell("rx", side), "sy": cell("ry", side)}), ["sx", "sy"])
+                part = part.select(left_id, "x", "y", "rx", "ry", "match_id", *named)
+                pairs = part if pairs is None else pairs.union(part)
+            if compared is not None:
+                compared.append(pairs.count() if pairs is not None else 0)
+            best = kept(made, nearest(pairs if pairs is not None else own.crossJoin(spots.limit(0))), "nearest")
     return left.join(best.select(left_id, "b.*"), left_id, "left").withColumn("match_m", F.coalesce("match_m", F.lit(float("inf"))))
 
 
+def _close_cells(own: DataFrame, spots: DataFrame, radius: float, most: int) -> list[tuple[int, DataFrame]]:
+    """Pairs of cells, (qx, qy) of points and (sx, sy) of reference points, that hold every nearest pair within the radius: a table for each level, whose cells are radius / 2**level wide.
+
+    A level starts with the pairs of the level before whose reference cell has more than `most` points, both cells cut in four. The farthest that a cell's points can be from the nearest reference cell is the bound of their
+    distances, which is handed down; cells that lie beyond it, or the radius, go. So rings are searched only as far as a nearer point can be, and cells, not points, are paired.
+    """
+    cell = lambda c, side: F.floor(F.col(c) / side)
+    out, open_ = [], None
+    for level in range(DEPTH + 1):
+        side = radius / 2**level
+        q = own.select(cell("x", side).alias("qx"), cell("y", side).alias("qy")).distinct()
+        s = spots.groupBy(cell("rx", side).alias("sx"), cell("ry", side).alias("sy")).agg(F.count(F.lit(1)).alias("n"))
+        if open_ is None:
+            pairs = q.withColumn("c", F.explode(around(F.col("qx"), F.col("qy")))).select("qx", "qy", F.col("c.cx").alias("sx"), F.col("c.cy").alias("sy"), F.lit(float(radius)).alias("bound")).join(s, ["sx", "sy"])
+        else:
+            half = lambda c: F.floor(F.col(c) / 2)
+            pairs = open_.select(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("sx").alias("tx"), F.col("sy").alias("ty"), "bound")
+            pairs = pairs.join(q.withColumns({"px": half("qx"), "py": half("qy")}), ["px", "py"]).join(s.withColumns({"tx": half("sx"), "ty": half("sy")}), ["tx", "ty"])
+        dx, dy = F.abs(F.col("sx") - F.col("qx")), F.abs(F.col("sy") - F.col("qy"))
+        least = side * F.sqrt(F.greatest(dx - 1, F.lit(0)) ** 2 + F.greatest(dy - 1, F.lit(0)) ** 2)
+        worst = side * F.sqrt((dx + 1) ** 2 + (dy + 1) ** 2) * (1 + 1e-9)
+        bound = F.least("bound", F.min(worst).over(Window.partitionBy("qx", "qy")))  # a row a reference cell near the cell
+        pairs = write_table(pairs.withColumn("bound", bound).where(least <= F.col("bound")).select("qx", "qy", "sx", "sy", "n", "bound"), f"cells_{level}")
+        done = F.lit(True) if level == DEPTH else F.col("n") <= most
+        out.append((level, pairs.where(done).select("qx", "qy", "sx", "sy")))
+        open_ = pairs.where(~done)
+        if open_.isEmpty():
+            return out
+    return out
+
+
 def _near(points: DataFrame, refs: DataFrame, radius: float, inclusive: bool, how: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Semi or anti join of points to references within the radius, with the cosine at each point."""
     refs = _points(refs).select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
@@ -98,29 +157,87 @@ def validate_matches(candidates: DataFrame, known: DataFrame, radius: float = 20
     return out.withColumns({"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4)})
 
 
-def dedup_proximity(df: DataFrame, radius: float, key: str = "ord") -> DataFrame:
-    """Greedy dedup: rows in order of `key`, which is unique; a row nearer than the radius to an earlier kept row goes (cosine at the kept row).
+def _resolve(radius: float, key: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Greedy dedup of a block: its own rows that are kept, or that can't be decided here because an earlier row near them, which stands in the halo or depends on one that does, isn't."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(key, kind="stable")
+        kept_at: dict[tuple[int, int], list[tuple[float, float, float]]] = {}
+        open_at: dict[tuple[int, int], list[tuple[float, float, float]]] = {}
+        state = []
+        for lat, lng, cx, cy, own in zip(frame["lat"], frame["lng"], frame["cx"], frame["cy"], frame["own"], strict=True):
+
+            def near(at: dict, lat: float = lat, lng: float = lng, cx: int = cx, cy: int = cy) -> bool:
+                return any(
+                    math.sqrt(((lat - y) * M) ** 2 + ((lng - x) * M * k) ** 2) < radius for i in (cx, cx - 1, cx + 1) for j in (cy, cy - 1, cy + 1) for y, x, k in at.get((i, j), ())
+                )
+
+            if near(kept_at):
+                state.append(-1)
+                continue
+            open_here = not own or near(open_at)
+            (open_at if open_here else kept_at).setdefault((cx, cy), []).append((lat, lng, math.cos(math.radians(lat))))
+            state.append(0 if open_here else 1)
+        frame = frame.assign(state=state, kept=[x == 1 for x in state])
+        return frame.loc[frame["own"] & (frame["state"] >= 0), [key, "lat", "lng", "cx", "cy", "kept"]]
+
+    return work
+
+
+def _block_level(rows: DataFrame, most: int) -> tuple[int, int]:
+    """The largest level, up to 20, of blocks 2**level cells wide of which none has more than `most` rows, 0 if there is none; and the most rows of a cell."""
+    cells = rows.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(0, 21, 2)])))
+    scale = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    full = cells.groupBy("level", F.floor(F.col("cx") / scale).alias("bx"), F.floor(F.col("cy") / scale).alias("by")).agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
+    most_of = {r["level"]: r["n"] for r in full.collect()}
+    return max([k for k, n in most_of.items() if n <= most], default=0), most_of.get(0, 0)
+
+
+def dedup_proximity(df: DataFrame, radius: float, key: str = "ord", block_rows: int = BLOCK_ROWS, rounds: list[int] | None = None) -> DataFrame:
+    """Greedy dedup: rows in order of `key`, a number that no two rows share; a row nearer than the radius to an earlier kept row goes (cosine at the kept row). Rows without a place stay.
 
-    Rows stand in cells a radius wide. Each round keeps the rows that come before every undecided row of their cell and the eight around it, and decides those near
-    them; so a cell gives one row to compare, and n rows at one spot cost n, not n squared. Rounds go on until all are decided: as many as the longest
-    chain of neighbouring cells whose order rises. Every round is a written table, so lost executors cost one round, and only the kept keys outlive the call.
+    Rows at one spot are the first of them. The others stand in cells a radius wide, and cells in blocks as wide as leave no block more than `block_rows` rows. A task resolves a block in order, with a halo of the cells
+    around it; what depends on an undecided row of the halo waits for the next round, whose blocks are shifted by half and, as fewer rows are left, wider. Where one cell alone has more rows than that, a round takes only
+    rows up to the key that leaves it few enough: earlier rows never depend on later ones, and what is kept of them clears most of the cell. rounds: gets the number of rounds. A round is a written table; a lost executor costs tasks of one.
     """
-    pts = _points(df).select(key, "lat", "lng")
-    widest = F.broadcast(pts.agg(F.cos(F.radians(F.least(F.coalesce(F.max(F.abs("lat")), F.lit(0.0)), F.lit(89.0)))).alias("k")))
+    if radius <= 0:
+        return df
+    spots = _points(df).groupBy("lat", "lng").agg(F.min(key).alias(key))
+    widest = F.broadcast(spots.agg(F.cos(F.radians(F.least(F.coalesce(F.max(F.abs("lat")), F.lit(0.0)), F.lit(89.0)))).alias("k")))  # one row
     tall, wide = radius / M, F.lit(radius / M) / F.col("k")
-    spread = lambda rows, *names: rows.select(*names, F.explode(around(F.col("cx"), F.col("cy"))).alias("c")).select(*names, "c.*")
     far = F.sqrt(((F.col("lat") - F.col("klat")) * M) ** 2 + ((F.col("lng") - F.col("klng")) * M * F.cos(F.radians("klat"))) ** 2)
     with steps(df.sparkSession) as made:
-        at = pts.crossJoin(widest).select(key, "lat", "lng", F.floor(F.col("lng") / wide).alias("cx"), F.floor(F.col("lat") / tall).alias("cy"))
-        open_, found = write_table(at, "undecided"), None
-        while not open_.isEmpty():
-            heads = open_.groupBy("cx", "cy").agg(F.min(key).alias("_head"))
-            least = spread(heads, "_head").groupBy("cx", "cy").agg(F.min("_head").alias("_least"))
-            new = write_table(open_.join(least, ["cx", "cy"]).where(F.col(key) == F.col("_least")).select(key, "lat", "lng", "cx", "cy"), "kept")
+        at = spots.crossJoin(widest).select(key, "lat", "lng", F.floor(F.col("lng") / wide).alias("cx"), F.floor(F.col("lat") / tall).alias("cy"))
+        open_, found, turn = write_table(at, "undecided"), None, 0
+        while True:
+            level, fullest = _block_level(open_, block_rows)
+            if not fullest:
+                break
+            turn += 1
+            part, rest = open_, None
+            if fullest > block_rows:
+                hot = open_.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, F.array(*[F.lit(0.5**k) for k in range(1, 31)]), F.lit(10_000)).alias("q")).where(F.col("n") > block_rows)
+                last = hot.select(F.get("q", F.greatest(F.ceil(F.log2(F.col("n") / block_rows)).cast("int") - 1, F.lit(0))).alias("last")).agg(F.min("last")).first()[0]
+                part, rest = open_.where(F.col(key) <= last), open_.where(F.col(key) > last)
+                level, _ = _block_level(part, block_rows)
+            size = 1 << level
+            shift = size // 2 if turn % 2 == 0 else 0
+            block = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + (d + shift)) / size) for d in (0, -1, 1)]))  # noqa: B023, E731
+            spread = part.withColumn("bx", F.explode(block("cx"))).withColumn("by", F.explode(block("cy")))
+            spread = spread.withColumn("own", (F.col("bx") == F.floor((F.col("cx") + shift) / size)) & (F.col("by") == F.floor((F.col("cy") + shift) / size)))
+            schema = ", ".join(f"`{c}` {t}" for c, t in part.select(key, "lat", "lng", "cx", "cy").dtypes) + ", kept boolean"
+            done = write_table(spread.groupBy("bx", "by").applyInPandas(_resolve(radius, key), schema), "resolved")
+            new = done.where("kept")
             found = new.select(key) if found is None else found.union(new.select(key))
-            near = spread(new.select(F.col("lat").alias("klat"), F.col("lng").alias("klng"), "cx", "cy"), "klat", "klng").withColumnsRenamed({"cx": "kx", "cy": "ky"})
+            left = done.where("not kept").drop("kept")
+            left = left if rest is None else left.unionByName(rest)
+            if left.isEmpty():
+                break
+            near = new.select(F.col("lat").alias("klat"), F.col("lng").alias("klng"), F.explode(around(F.col("cx"), F.col("cy"))).alias("c")).select("klat", "klng", F.col("c.cx").alias("kx"), F.col("c.cy").alias("ky"))
             on = (F.col("cx") == F.col("kx")) & (F.col("cy") == F.col("ky")) & (far < radius)
-            open_ = write_table(open_.join(near, on, "left_anti").join(new.select(key), key, "left_anti"), "undecided")
+            open_ = write_table(left.join(near, on, "left_anti"), "undecided")
+        if rounds is not None:
+            rounds.append(turn)
         if found is None:
             return df
         first = kept(made, found, "kept")

@@ -2,9 +2,11 @@
 
 import math
 import os
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from geoquill.operators import graphs, lookups, metrics, patches, raster, spatial, splits
@@ -146,6 +148,53 @@ def test_components_of_a_long_chain_take_few_rounds(spark):
     assert max(rounds) <= 20
 
 
+def greedy(rows, radius):
+    kept = []
+    for key, lat, lng in sorted(rows):
+        if not any(math.hypot((lat - y) * 111_000, (lng - x) * 111_000 * math.cos(math.radians(y))) < radius for _, y, x in kept):
+            kept.append((key, lat, lng))
+    return {k for k, _, _ in kept}
+
+
+def test_greedy_dedup_in_blocks(spark):
+    """Equal to the sequential rule: scattered rows over many blocks, a cell fuller than a block, rows at one spot, and rows without a place."""
+    rng = random.Random(5)
+    rows = [(lat, lng) for lat, lng in ((rng.uniform(10, 10.2), rng.uniform(20, 20.2)) for _ in range(700))] + [(10.1 + rng.uniform(0, 0.004), 20.1 + rng.uniform(0, 0.004)) for _ in range(400)] + [(10.05, 20.05)] * 60
+    rng.shuffle(rows)
+    rows = [(k, *r) for k, r in enumerate(rows)]
+    df = spark.createDataFrame([*rows, (5000, None, 20.0), (5001, 10.0, None)], "ord long, lat double, lng double")
+    for most in (30, 200, 50_000):
+        assert {r["ord"] for r in spatial.dedup_proximity(df, 700.0, block_rows=most).collect()} == greedy(rows, 700.0) | {5000, 5001}
+    assert spatial.dedup_proximity(df.limit(0), 700.0).count() == 0
+
+
+def test_greedy_dedup_of_a_long_chain(spark):
+    """A chain over 10,000 cells, in which every row depends on the one before: few rounds, also over many blocks."""
+    rows, rounds = [(k, 0.0, k * 0.9 * 100 / 111_000) for k in range(10_000)], []
+    df = spark.createDataFrame(rows, "ord long, lat double, lng double")
+    want = set(range(0, 10_000, 2))
+    for most in (2_000, 50_000):
+        assert {r["ord"] for r in spatial.dedup_proximity(df, 100.0, block_rows=most, rounds=rounds).collect()} == want
+    assert rounds[0] < 20 and rounds[1] == 1
+
+
+def test_nearest_in_full_cells(spark):
+    """Halved cells find what comparing all pairs finds, for points among, beside and far from the references, with ties and spots of several ids; pairs stay near the number of points."""
+    rng, compared = random.Random(6), []
+    refs = [(k, 10 + rng.gauss(0, 0.0004), 20 + rng.gauss(0, 0.0004)) for k in range(1500)] + [(k, 10.0, 20.0) for k in range(1500, 1600)] + [(k, 10 + rng.uniform(-0.05, 0.05), 20 + rng.uniform(-0.05, 0.05)) for k in range(1600, 1700)]
+    points = [(k, 10 + rng.gauss(0, 0.0004), 20 + rng.gauss(0, 0.0004)) for k in range(1200)] + [(k, 10 + rng.uniform(-0.05, 0.05), 20 + rng.uniform(-0.05, 0.05)) for k in range(1200, 1500)] + [(1500, 10.0, 20.0), (1501, None, 1.0)]
+    left, right = spark.createDataFrame(points, "pid long, lat double, lng double"), spark.createDataFrame(refs, "rid long, lat double, lng double").withColumn("tag", F.concat(F.lit("t"), "rid"))
+    got = {r["pid"]: (r["match_id"], r["match_tag"], r["match_m"]) for r in spatial.nearest_within(left, right, 500.0, "pid", "rid", ("tag",), most=20, compared=compared).collect()}
+    k = math.cos(math.radians(np.mean([r[1] for r in refs])))
+    x, y = np.array([r[2] for r in refs]) * 111_000 * k, np.array([r[1] for r in refs]) * 111_000
+    for i, lat, lng in points:
+        best = (math.inf, None) if lat is None else min((d, r) for d, r in zip(np.hypot(x - lng * 111_000 * k, y - lat * 111_000), range(len(refs)), strict=True))
+        want = (best[1], f"t{best[1]}") if best[0] <= 500 else (None, None)
+        assert got[i][:2] == want and (got[i][2] == math.inf if want[0] is None else abs(got[i][2] - best[0]) < 1e-6)
+    assert compared[0] < 400 * len(points) < len(points) * len(refs)
+    assert got == {r["pid"]: (r["match_id"], r["match_tag"], r["match_m"]) for r in spatial.nearest_within(left, right, 500.0, "pid", "rid", ("tag",), most=10**6).collect()}
+
+
 def test_augmentation_is_stable_and_bounded(spark):
     df = spark.createDataFrame([(k, 4, 4, 4, [float((k + j) % 7) / 7 for j in range(64)]) for k in range(20)], "candidate_id long, n_channels int, height int, width int, data array<float>")
     how = patches.Augment(rotate_deg=20, crop=(0.6, 1.0), brightness=0.2, band_jitter=0.1, noise=0.05, channel_dropout=0.2, cutout=2)
