@@ -155,17 +155,21 @@ def _(t):
     return back.select("f.properties.*", F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"))
 
 
-@query("ts1_resume_scoring", "SELECT CAST(user_id AS VARCHAR) AS candidate_id, count(*) > 0 AS seen FROM events GROUP BY 1")
+@query("ts1_resume_scoring", "SELECT CAST(user_id AS VARCHAR) AS candidate_id, user_id % 7 <> 3 AS seen, CASE WHEN user_id % 7 = 3 THEN 2 ELSE 1 END AS attempts FROM events WHERE user_id % 11 <> 5 GROUP BY ALL")
 def _(t):
+    """Three runs: half of the ids, all of them, nothing new. A seventh of them always fails and is tried twice; an eleventh was done before."""
     from geoquill.streaming.scoring import resume_scoring
 
     events = t("events").select(F.col("user_id").cast("string").alias("candidate_id"))
     spark = events.sparkSession
     base = _folder(spark, "stream")
-    half = F.pmod(F.xxhash64("candidate_id"), F.lit(2))
-    for k in range(2):  # two batches of files; the second also replays the first
-        events.where(half <= k).write.mode("append").parquet(f"{base}/in")
+    half, number = F.pmod(F.xxhash64("candidate_id"), F.lit(2)), F.col("candidate_id").cast("long")
+    score = lambda d: d.select("candidate_id", F.when(F.col("candidate_id").cast("long") % 7 == 3, "no image").alias("error"))
+    for k in range(3):
+        if k < 2:
+            events.where(half <= k).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema("candidate_id string").parquet(f"{base}/in")
-        score = lambda d: d.select("candidate_id", F.lit(True).alias("seen"), F.lit(None).cast("string").alias("error"))
-        resume_scoring(stream, score, f"{base}/registry", f"{base}/failures", "h1", f"{base}/check").awaitTermination()
-    return spark.read.parquet(f"{base}/registry").select("candidate_id", "seen")
+        resume_scoring(stream, score, f"{base}/registry", f"{base}/failures", "h1", f"{base}/check", attempts=2, done=events.where(number % 11 == 5)).awaitTermination()
+    good = spark.read.schema("candidate_id string").parquet(f"{base}/registry/*/").select("candidate_id", F.lit(True).alias("seen"))
+    bad = spark.read.schema("candidate_id string").parquet(f"{base}/failures/*/").select("candidate_id", F.lit(False).alias("seen"))
+    return good.unionByName(bad).groupBy("candidate_id", "seen").agg(F.count(F.lit(1)).alias("attempts"))

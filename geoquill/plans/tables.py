@@ -157,12 +157,17 @@ def _(t):
     return spark.read.schema(events.schema).parquet(f"{base}/out").select("user_id")
 
 
-@query("ts3_retry_failed", "SELECT candidate_id FROM fx_scored WHERE ord % 9 = 0")
+@query("ts3_retry_failed", "SELECT candidate_id, CASE WHEN ord % 18 = 0 THEN 'no image' END AS error FROM fx_scored WHERE ord % 9 = 0")
 def _(t):
-    from geoquill.streaming.scoring import retry_failed
-
-    s = t("fx_scored")
-    return retry_failed(s.select("candidate_id"), s.where("ord % 9 = 0").select("candidate_id"))
+    """A run whose ninth of ids fails, then a retry in which half of these fail again."""
+    from geoquill.streaming.scoring import resume_scoring, retry_failed
+
+    s = t("fx_scored").select("candidate_id", "ord")
+    spark, base = s.sparkSession, _folder(s.sparkSession, "retry")
+    s.write.parquet(f"{base}/in")
+    score = lambda every: lambda d: d.select("candidate_id", F.when(F.col("ord") % every == 0, "no image").alias("error"))
+    resume_scoring(spark.readStream.schema(s.schema).parquet(f"{base}/in"), score(9), f"{base}/registry", f"{base}/failures", "h1", f"{base}/check").awaitTermination()
+    return retry_failed(s, score(18), f"{base}/registry", f"{base}/failures", "h1")
 
 
 @query("s06_patch_registry", "SELECT k AS via, candidate_id, max(ord) AS ord FROM fx_scored, (SELECT unnest(['csv', 'parquet']) AS k) GROUP BY ALL UNION ALL SELECT 'h1', candidate_id, ord FROM fx_scored WHERE ord % 2 = 1")
