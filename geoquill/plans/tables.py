@@ -13,7 +13,7 @@ from geoquill.plans.flows import _folder
 from geoquill.plans.metrics import _binary
 from geoquill.plans.registry import query
 from geoquill.plans.splits import LABELLED, _candidates
-from geoquill.sources import readers, sinks
+from geoquill.sources import npy, readers, sinks
 
 
 @query("s02_second_farm_source", "SELECT id, name, lat, lng, species, NULL::VARCHAR AS category, 'OSM' AS source, 'Y' AS country, '' AS state FROM fx_farms WHERE lat IS NOT NULL AND lng IS NOT NULL AND lat <> 0 AND lng <> 0 AND source = 'OSM' AND species IN ('Chickens', 'Ducks')")
@@ -32,27 +32,23 @@ def _(t):
     return readers.read_clusters(d.sparkSession, path)
 
 
+def _patch_folder(t) -> tuple:
+    """The patches as .npy files."""
+    d = t("fx_patches").withColumn("candidate_id", F.col("candidate_id").cast("string"))
+    path = _folder(d.sparkSession, "npy")
+    npy.write_patch_files(d, path)
+    return d.sparkSession, path
+
+
 @query("s08_read_patches", "SELECT CAST(candidate_id AS VARCHAR) AS candidate_id, 4 AS n_channels, 4 AS height, 4 AS width, CAST(CAST(data[1] AS FLOAT) AS DOUBLE) AS first, CAST(CAST(data[64] AS FLOAT) AS DOUBLE) AS last FROM fx_patches")
 def _(t):
-    import io
+    return npy.patch_files(*_patch_folder(t)).select("candidate_id", "n_channels", "height", "width", F.get("data", F.lit(0)).cast("double").alias("first"), F.get("data", F.lit(63)).cast("double").alias("last"))
 
-    import numpy as np
-
-    d = t("fx_patches").select("candidate_id", "data")
-    path = _folder(d.sparkSession, "npy")
-    def pack(frames):
-        for frame in frames:
-            out = []
-            for data in frame["data"]:
-                sink = io.BytesIO()
-                np.save(sink, np.asarray(data, np.float32).reshape(4, 4, 4))
-                out.append(sink.getvalue())
-            yield frame[["candidate_id"]].assign(content=out)
 
-    packed = d.mapInPandas(pack, "candidate_id long, content binary")
-    # Files of a landed batch, kept as rows of a table with the columns that a binaryFile scan gives.
-    packed.select(F.concat(F.lit("f/"), F.col("candidate_id").cast("string"), F.lit(".npy")).alias("path"), "content").write.parquet(path)
-    return readers.decode_patches(d.sparkSession.read.parquet(path)).select("candidate_id", "n_channels", "height", "width", F.get("data", F.lit(0)).cast("double").alias("first"), F.get("data", F.lit(63)).cast("double").alias("last"))
+@query("s08_patch_shapes", "SELECT CAST(candidate_id AS VARCHAR) AS candidate_id, 4 * 4 * 4 AS n_values FROM fx_patches")
+def _(t):
+    shapes = npy.patch_files(*_patch_folder(t), columns=("candidate_id", "n_channels", "height", "width"))  # headers alone
+    return shapes.select("candidate_id", (F.col("n_channels") * F.col("height") * F.col("width")).alias("n_values"))
 
 
 @query("k04_append_registry", "SELECT candidate_id, CASE WHEN ord % 2 = 0 THEN 'h0' ELSE 'h1' END AS imagery_config_hash FROM fx_scored WHERE ord % 2 = 0")
