@@ -35,6 +35,16 @@ def _(t):
 ELEMENT = "osm_id, lat, lng, name, building"
 
 
+def _documents(items, key: str) -> str:
+    """A folder of JSON documents whose arrays hold the items (texts), one document a partition, with a line for each item."""
+    path, n = _folder(items.sparkSession, key), 4
+    dealt = items.select((F.pmod(F.xxhash64("item"), F.lit(n))).alias("k"), F.lit(1).alias("o"), F.concat("item", F.lit(",")).alias("line"))
+    ends = items.sparkSession.range(n).select(F.col("id").alias("k"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(f'{{"about": "a \\"}}[{{", "{key}": [').alias("line")), F.struct(F.lit(2).alias("o"), F.lit("null]}").alias("line")))).alias("e"))
+    lines = dealt.union(ends.select("k", "e.o", "e.line"))
+    lines.repartitionByRange(n, "k").sortWithinPartitions("k", "o").select("line").write.text(path)
+    return path
+
+
 @query("s09_osm_elements", "SELECT 'way/' || osm_id AS osm_id, lat, lng, coalesce(name, '') AS name, building FROM fx_osm_tags WHERE osm_id % 7 <> 0 UNION ALL SELECT 'node/' || osm_id, lat, lng, coalesce(name, ''), building FROM fx_osm_tags WHERE osm_id % 7 = 0 AND osm_id % 2 = 0")
 def _(t):
     tags = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("building"), F.col("building")), lambda k, v: v.isNotNull())
@@ -44,16 +54,18 @@ def _(t):
         F.when(node, "node").otherwise("way").alias("type"), F.col("osm_id").alias("id"), F.when(node & here, F.col("lat")).alias("lat"), F.when(node & here, F.col("lng")).alias("lon"),
         F.when(~node, F.struct(F.col("lat").alias("lat"), F.col("lng").alias("lon"))).alias("center"), tags.alias("tags"),
     )
-    landed = t("fx_osm_tags").select(F.to_json(F.struct(F.array(element, element).alias("elements"))).alias("value"))
-    return readers.elements(landed).select("osm_id", "lat", "lng", "name", F.try_element_at("tags", F.lit("building")).alias("building"))
+    rows = t("fx_osm_tags")
+    path = _documents(rows.select(F.explode(F.array(F.to_json(element), F.to_json(element))).alias("item")), "elements")
+    return readers.read_osm_elements(rows.sparkSession, path).select("osm_id", "lat", "lng", "name", F.try_element_at("tags", F.lit("building")).alias("building"))
 
 
 @query("s15_features", "SELECT provider AS source, area_m2, lat, lng FROM fx_buildings")
 def _(t):
     props = F.struct(F.col("provider").alias("source"), "area_m2", F.col("lng").alias("centroid_lon"), F.col("lat").alias("centroid_lat"))
     geometry = F.when(F.col("ord") % 3 != 0, F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")))
-    landed = t("fx_buildings").select(F.to_json(F.struct(F.array(F.struct(geometry.alias("geometry"), props.alias("properties"))).alias("features"))).alias("value"))
-    return readers.features(landed).select("source", "area_m2", "lat", "lng")
+    rows = t("fx_buildings")
+    path = _documents(rows.select(F.to_json(F.struct(geometry.alias("geometry"), props.alias("properties"))).alias("item")), "features")
+    return readers.read_features(rows.sparkSession, path).select("source", "area_m2", "lat", "lng")
 
 
 def _box(lng: pd.Series, lat: pd.Series) -> pd.Series:

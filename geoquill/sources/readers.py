@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoquill.functions.labels import category_any_of, species_in, valid_coords
+from geoquill.sources.documents import array_items
 
 FARM_COLUMNS = ("id", "name", "lat", "lng", "species", "category", "source", "country", "state")
 FARM_CSV = "Id string, Name string, Lat double, Lng double, Species string, Categories string, State string"
@@ -109,23 +110,48 @@ def footprints(name: str, buildings: DataFrame, coverage: DataFrame, confidence:
     return FOOTPRINT_PROVIDERS[name](buildings, coverage, confidence)
 
 
+def _element(e: Column) -> tuple[Column, ...]:
+    lat, lng = F.coalesce(e["lat"], e["center"]["lat"]), F.coalesce(e["lon"], e["center"]["lon"])
+    return F.concat_ws("/", e["type"], e["id"].cast("string")).alias("osm_id"), lat.alias("lat"), lng.alias("lng"), F.coalesce(F.try_element_at(e["tags"], F.lit("name")), F.lit("")).alias("name"), e["tags"].alias("tags")
+
+
+def _first_elements(rows: DataFrame, *order: str) -> DataFrame:
+    """Elements (in e) with a position, the first of each id in the order: the least place is summed up in each task first."""
+    out = rows.select(*order, *_element(F.col("e"))).where("lat is not null and lng is not null")
+    return out.groupBy("osm_id").agg(F.min_by(F.struct("lat", "lng", "name", "tags"), F.struct(*order)).alias("f")).select("osm_id", "f.*")
+
+
 def elements(rows: DataFrame, column: str = "value") -> DataFrame:
-    """Map elements of JSON documents: osm_id, lat, lng, name, tags. Elements without a position are skipped; the first of each id stays."""
+    """Map elements of JSON documents in a column: osm_id, lat, lng, name, tags. Elements without a position are skipped; the first of each id stays."""
     e = rows.select(F.monotonically_increasing_id().alias("_o"), F.from_json(column, ELEMENTS)["elements"].alias("e")).select("_o", F.posexplode("e").alias("_p", "e"))
-    lat, lng = F.coalesce("e.lat", "e.center.lat"), F.coalesce("e.lon", "e.center.lon")
-    out = e.select("_o", "_p", F.concat_ws("/", "e.type", F.col("e.id").cast("string")).alias("osm_id"), lat.alias("lat"), lng.alias("lng"), F.coalesce(F.try_element_at("e.tags", F.lit("name")), F.lit("")).alias("name"), F.col("e.tags").alias("tags"))
-    out = out.where("lat is not null and lng is not null")
-    return out.withColumn("_k", F.row_number().over(Window.partitionBy("osm_id").orderBy("_o", "_p"))).where("_k = 1").drop("_k", "_o", "_p")
+    return _first_elements(e, "_o", "_p")
 
 
 def read_osm_elements(spark: SparkSession, path: str) -> DataFrame:
-    return elements(spark.read.text(path, wholetext=True))
+    """Map elements of files, in order of path and place; a large file is read by several tasks."""
+    items = array_items(spark, path, "elements")
+    return _first_elements(items.select("path", "block", "n", F.from_json("value", _item(ELEMENTS)).alias("e")), "path", "block", "n")
+
+
+def _item(array: str) -> str:
+    """The item's type of `name array<type>`."""
+    return array.split(" array<", 1)[1][:-1]
+
+
+def _feature(f: Column) -> tuple[Column, ...]:
+    xy, p = f["geometry"]["coordinates"], f["properties"]
+    names = ("source", "area_m2", "length_m", "width_m", "aspect_ratio", "centroid_lon", "centroid_lat")
+    return *[p[c].alias(c) for c in names], F.coalesce(F.get(xy, F.lit(0)), p["centroid_lon"]).alias("lng"), F.coalesce(F.get(xy, F.lit(1)), p["centroid_lat"]).alias("lat")
 
 
 def features(rows: DataFrame, column: str = "value") -> DataFrame:
-    """Detections of GeoJSON texts with lat and lng; centroid properties stand in for a missing geometry."""
-    f = rows.select(F.explode(F.from_json(column, FEATURES)["features"]).alias("f")).select("f.properties.*", F.col("f.geometry.coordinates").alias("xy"))
-    return f.withColumns({"lng": F.coalesce(F.get("xy", F.lit(0)), "centroid_lon"), "lat": F.coalesce(F.get("xy", F.lit(1)), "centroid_lat")}).drop("xy")
+    """Detections of GeoJSON texts in a column, with lat and lng; centroid properties stand in for a missing geometry."""
+    return rows.select(F.explode(F.from_json(column, FEATURES)["features"]).alias("f")).select(*_feature(F.col("f")))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Detections of GeoJSON files; a large file is read by several tasks."""
+    return array_items(spark, path, "features").select(F.from_json("value", _item(FEATURES)).alias("f")).select(*_feature(F.col("f")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

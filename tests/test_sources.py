@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from geoquill.sources import npy, readers
+from geoquill.sources import documents, npy, readers
 
 
 @pytest.fixture
@@ -73,3 +73,39 @@ def test_patches_round_trip(spark, tmp_path):
     assert sorted(map(tuple, npy.patch_files(spark, str(tmp_path / "out")).collect())) == sorted((*r[:4], r[4]) for r in rows)
     os.mkdir(tmp_path / "empty")
     assert npy.patch_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_documents_larger_than_a_split(spark, tmp_path):
+    """Items of documents in every shape, cut anywhere: nested arrays and objects, braces and quotes in strings, arrays of the same name elsewhere, items over several splits, files without items."""
+    import json
+    import random
+
+    rng = random.Random(3)
+    odd = ['}', '{', '"', '\\', '\\"', ']', '[', 'é', '"elements": [', ' ', '\n', ',', 'x']
+
+    def value(depth=0):
+        kind = rng.randrange(6 if depth < 4 else 3)
+        text = lambda: "".join(rng.choice(odd) for _ in range(rng.randrange(12)))
+        if kind < 3:
+            return rng.choice([None, True, rng.random(), text()])
+        return [value(depth + 1) for _ in range(rng.randrange(4))] if kind < 4 else {text(): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    want = []
+    for k in range(6):
+        items = [{"id": i, "v": value(), "long": "}{" * (rng.randrange(2000) if rng.random() < 0.1 else 0)} for i in range(rng.choice([0, 1, 60]))]
+        doc = {"a": value(), "other": [{"elements": [{"id": -1}]}, {"id": -2}], "b": {"elements": [{"id": -3}]}, "elements": items, "more": [{"id": -4}]}
+        if k == 5:
+            del doc["elements"]
+            items = []
+        (tmp_path / f"{k}.json").write_text(json.dumps(doc, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5))
+        want += [(f"{k}.json", json.dumps(i, sort_keys=True)) for i in items]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (300, 1500, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            rows = documents.array_items(spark, str(tmp_path), "elements").collect()
+            got = [(r["path"].rsplit("/", 1)[1], json.dumps(json.loads(r["value"]), sort_keys=True)) for r in sorted(rows, key=lambda r: (r["path"], r["block"], r["n"]))]
+            assert got == want
+            assert size > 300 or len({(r["path"], r["block"]) for r in rows}) > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
