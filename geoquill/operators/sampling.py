@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from geoquill.functions.labels import valid_coords
 from geoquill.operators.lookups import cap_per_group, keep_first, uniform
+from geoquill.operators.ranks import in_parts, ordered_rank
 from geoquill.operators.spatial import M, dedup_proximity, drop_near_existing, far_from
 from geoquill.operators.splits import hash_rank
+from geoquill.sources.tables import kept, steps, write_table
 
 
 def sample_cap(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -39,23 +41,30 @@ def top_k_errors(df: DataFrame, n: int, key: str = "candidate_id") -> DataFrame:
     return fp.unionByName(kinds.where("outcome = 'FN'").orderBy("predicted_score", key).limit(n))
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 42, buckets: int = 1024) -> DataFrame:
+def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 42) -> DataFrame:
     """n draws with replacement in proportion to the weight, which isn't negative: the row drawn and the draw's number, from 0.
 
-    Draw k is the hash of k, a share of all weight. Rows lie on a line of weight in order of a hash, by buckets first: a draw finds its bucket among the buckets'
-    sums and then its row in the bucket, so no window holds all rows. Rows of null weight are never drawn.
+    Draw k is the hash of k, a share of all weight. Rows lie on a line of weight in order of a hash and the key, each from its start to the next one's. Starts and draws are sorted together by place, in range partitions: a draw takes the last start
+    before it, which may lie in an earlier part, so the work is a merge and no draw is compared with more than one row. Rows of null weight are never drawn; without any weight there are no draws.
     """
-    u = uniform(key, seed=seed)
-    rows = df.where(F.col(weight) > 0).withColumn("_b", F.floor(u * buckets).cast("int")).withColumn("_w", F.col(weight).cast("decimal(38, 6)"))
-    line = Window.orderBy("_b")
-    sums = rows.groupBy("_b").agg(F.sum("_w").cast("decimal(38, 6)").alias("_s")).select("_b", "_s", F.sum("_s").over(line).cast("decimal(38, 6)").alias("_end"))  # at most `buckets` rows
-    total = F.broadcast(sums.agg(F.max("_end").alias("_total")))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), F.lit("draw"), seed=seed).alias("_u")).crossJoin(total)
-    draws = draws.select("draw", (F.col("_u") * F.col("_total").cast("double")).cast("decimal(38, 6)").alias("_x"))
-    spots = draws.join(F.broadcast(sums), (F.col("_x") >= F.col("_end") - F.col("_s")) & (F.col("_x") < F.col("_end"))).select("draw", "_b", (F.col("_x") - (F.col("_end") - F.col("_s"))).alias("_x"))
-    placed = rows.withColumn("_to", F.sum("_w").over(Window.partitionBy("_b").orderBy(u, key)).cast("decimal(38, 6)"))
-    inside = (spots["_b"] == placed["_b"]) & (F.col("_x") >= F.col("_to") - F.col("_w")) & (F.col("_x") < F.col("_to"))
-    return spots.join(placed, inside).select(*df.columns, "draw")
+    spark = df.sparkSession
+    money = "decimal(38, 6)"
+    line = in_parts(df.where(F.col(weight) > 0).select(F.col(key).alias("_k"), uniform(key, seed=seed).alias("_u"), F.col(weight).cast(money).alias("_w")), "_u", "_k")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    sums = line.groupBy("_part").agg(F.sum("_w").cast(money).alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).cast(money))
+    ends = F.sum("_w").over(Window.partitionBy("_part").orderBy("_u", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    placed = line.withColumn("_to", ends).join(F.broadcast(sums), "_part").withColumn("_to", (F.col("_to") + F.col("_b")).cast(money))
+    starts = placed.select((F.col("_to") - F.col("_w")).cast(money).alias("_x"), F.lit(-1).cast("long").alias("draw"), F.struct(F.col("_k").alias("k"), F.col("_to").alias("to")).alias("_row"))
+    total = F.broadcast(sums.agg(F.sum("_s").cast("double").alias("_total")))
+    draws = spark.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), F.lit("draw"), seed=seed).alias("_share")).crossJoin(total)
+    draws = draws.where("_total is not null").select((F.col("_share") * F.col("_total")).cast(money).alias("_x"), "draw", F.lit(None).cast(starts.schema["_row"].dataType).alias("_row"))
+    both = in_parts(starts.union(draws), "_x", "draw")
+    last = both.where("_row is not null").groupBy("_part").agg(F.max_by("_row", "_x").alias("_row"))
+    parts = both.select("_part").distinct().join(last, "_part", "left").withColumn("_carried", F.last("_row", True).over(before)).select("_part", "_carried")
+    upto = Window.partitionBy("_part").orderBy("_x", "draw").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = both.withColumn("_row", F.last("_row", True).over(upto)).where("draw >= 0").join(F.broadcast(parts), "_part")
+    hit = drawn.select("draw", "_x", F.coalesce("_row", "_carried").alias("_row")).where(F.col("_x") < F.col("_row.to")).select("draw", F.col("_row.k").alias(key))
+    return df.join(hit, key).select(*df.columns, "draw")
 
 
 def negative_rows(df: DataFrame, prefix: str, source: str) -> DataFrame:
@@ -63,21 +72,38 @@ def negative_rows(df: DataFrame, prefix: str, source: str) -> DataFrame:
     return df.select(F.concat_ws("_", F.lit(prefix), "country_key", F.col("n").cast("string")).alias("id"), "lat", "lng", F.lit(0).alias("label"), F.lit(source).alias("source"), "country", F.lit("").alias("state"), F.col("country_key").alias("region"))
 
 
-def random_rural_negatives(boxes: DataFrame, positives: DataFrame, per_country: int, least: float, seed: int = 42) -> DataFrame:
-    """Uniform points of each box, at least `least` metres from its country's positives: the first per_country of 20 times as many tries."""
-    tries = boxes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20 * per_country - 1))))
-    u = lambda axis: uniform(F.col("country_key"), F.col("k"), F.lit(axis), seed=seed)
-    spots = tries.select("country_key", "country", "k", (F.col("min_lon") + (F.col("max_lon") - F.col("min_lon")) * u("x")).alias("lng"), (F.col("min_lat") + (F.col("max_lat") - F.col("min_lat")) * u("y")).alias("lat"))
-    far = far_from(spots, positives, least)
-    kept = far.withColumn("n", F.row_number().over(Window.partitionBy("country_key").orderBy("k")) - 1).where(F.col("n") < per_country)
-    return negative_rows(kept, "neg", "random_rural")
+def random_rural_negatives(boxes: DataFrame, positives: DataFrame, per_country: int, least: float, seed: int = 42, batch: int = 4, tried: list[int] | None = None) -> DataFrame:
+    """Uniform points of each box, at least `least` metres from its country's positives: the first per_country of at most 20 times as many tries.
+
+    Tries are made `batch` times per_country at once, and after that only for countries that are still short. tried: gets the number of tries.
+    """
+    most, done, found, short, total = 20 * per_country, 0, None, boxes, 0
+    with steps(boxes.sparkSession) as made:
+        while done < most:
+            size = min(batch * per_country, most - done)
+            tries = short.withColumn("k", F.explode(F.sequence(F.lit(done), F.lit(done + size - 1))))
+            u = lambda axis: uniform(F.col("country_key"), F.col("k"), F.lit(axis), seed=seed)
+            spots = tries.select("country_key", "country", "k", (F.col("min_lon") + (F.col("max_lon") - F.col("min_lon")) * u("x")).alias("lng"), (F.col("min_lat") + (F.col("max_lat") - F.col("min_lat")) * u("y")).alias("lat"))
+            far = write_table(far_from(spots, positives, least), "far")
+            found, done = far if found is None else found.union(far), done + size
+            if tried is not None:
+                total += size * short.count()
+            short = boxes.join(found.groupBy("country_key").count().where(F.col("count") >= per_country), "country_key", "left_anti")
+            if done < most and short.isEmpty():
+                break
+        if tried is not None:
+            tried.append(total)
+        if found is None:
+            found = boxes.limit(0).select("country_key", "country", F.lit(0).alias("k"), F.lit(0.0).alias("lng"), F.lit(0.0).alias("lat"))
+        kept_ = found.withColumn("n", F.row_number().over(Window.partitionBy("country_key").orderBy("k")) - 1).where(F.col("n") < per_country)  # at most 20 * per_country rows
+        return kept(made, negative_rows(kept_, "neg", "random_rural"), "rural")
 
 
 def hard_negatives(boxes: DataFrame, positives: DataFrame, per_country: int, least: float, seed: int = 42) -> DataFrame:
     """Positives drawn with replacement and moved by `least` to three times as many metres in any direction; points outside the box go."""
     named = positives.where("lat is not null and lng is not null").select("country", "ord", "lat", "lng")
-    numbered = named.withColumn("i", F.row_number().over(Window.partitionBy("country").orderBy("ord")) - 1)
-    sizes = named.groupBy("country").agg(F.count(F.lit(1)).alias("size"))
+    numbered = ordered_rank(named, ["country"], ["ord"], "i").withColumn("i", (F.col("i") - 1).cast("int"))
+    sizes = numbered.groupBy("country").agg(F.count(F.lit(1)).alias("size"))
     draws = boxes.join(sizes, "country").withColumn("n", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_country), F.col("size")).cast("int") - 1)))
     u = lambda axis: uniform(F.col("country_key"), F.col("n"), F.lit(axis), seed=seed)
     draws = draws.withColumn("i", F.floor(u("pick") * F.col("size")).cast("int")).withColumns({"bearing": 2 * F.pi() * u("bearing"), "far": least * (1 + 2 * u("far"))})

@@ -286,21 +286,32 @@ def region_bounds(df: DataFrame, states: DataFrame, countries: DataFrame, state_
 
 
 def generate_tiles(boxes: DataFrame, size: float, seeds: DataFrame | None = None, factor: float = 1.5, key: str = "country_key") -> DataFrame:
-    """Tiles (key, i, j) of each box; with seeds only those whose zone, the tile's size times the factor around its centre, has one."""
+    """Tiles (key, i, j) of each box; with seeds only those whose zone, the tile's size times the factor around its centre, has one.
+
+    With seeds, tiles are made from these: a seed names the few tiles whose zone can hold it, and no others are made, however fine the grid is.
+    """
     n = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo)) / size).cast("int") - 1
-    tiles = boxes.select("*", F.explode(F.sequence(F.lit(0), n("min_lon", "max_lon"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), n("min_lat", "max_lat"))).alias("j"))
     side = lambda lo, hi, k: (F.col(lo) + F.col(k) * size, F.least(F.col(lo) + (F.col(k) + 1) * size, F.col(hi)))
     (x0, x1), (y0, y1) = side("min_lon", "max_lon", "i"), side("min_lat", "max_lat", "j")
-    tiles = tiles.withColumns({"tile_min_lon": x0, "tile_max_lon": x1, "tile_min_lat": y0, "tile_max_lat": y1}).select(key, "i", "j", "tile_min_lon", "tile_min_lat", "tile_max_lon", "tile_max_lat")
+    corners = {"tile_min_lon": x0, "tile_max_lon": x1, "tile_min_lat": y0, "tile_max_lat": y1}
+    names = (key, "i", "j", "tile_min_lon", "tile_min_lat", "tile_max_lon", "tile_max_lat")
     if seeds is None:
-        return tiles
+        tiles = boxes.select("*", F.explode(F.sequence(F.lit(0), n("min_lon", "max_lon"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), n("min_lat", "max_lat"))).alias("j"))
+        return tiles.withColumns(corners).select(*names)
     half = size * factor / 2
+    wide = boxes.select(key, *[F.col(c).alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+    wide = wide.select("*", *[(F.col(f"_{c}") + (d * half)).alias(c) for c, d in (("min_lon", -1), ("min_lat", -1), ("max_lon", 1), ("max_lat", 1))])
+    near = in_boxes(_points(seeds).select("lat", "lng"), wide).select("lat", "lng", key, *[F.col(f"_{c}").alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+
+    def places(at: str, lo: str, hi: str) -> Column:
+        # A tile's centre is (k + 1/2) * size from the box's edge, or less in a last tile that is cut off.
+        first, last = F.floor((F.col(at) - half - F.col(lo)) / size - 0.5), F.ceil((F.col(at) + half - F.col(lo)) / size + 0.5)
+        first, last = F.greatest(first.cast("int"), F.lit(0)), F.least(last.cast("int"), n(lo, hi))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    tiles = near.withColumn("i", F.explode(places("lng", "min_lon", "max_lon"))).withColumn("j", F.explode(places("lat", "min_lat", "max_lat"))).withColumns(corners)
     cx, cy = (F.col("tile_min_lon") + F.col("tile_max_lon")) / 2, (F.col("tile_min_lat") + F.col("tile_max_lat")) / 2
-    cell = lambda c: F.floor(c / half)
-    own = tiles.withColumns({"tx": cx, "ty": cy}).withColumns({"cx": cell(F.col("tx")), "cy": cell(F.col("ty"))})
-    near = _points(seeds).select("lat", "lng", F.explode(around(cell(F.col("lng")), cell(F.col("lat")))).alias("c")).select("lat", "lng", F.col("c.cx").alias("rcx"), F.col("c.cy").alias("rcy"))
-    on = (F.col("cx") == F.col("rcx")) & (F.col("cy") == F.col("rcy")) & F.col("lng").between(F.col("tx") - half, F.col("tx") + half) & F.col("lat").between(F.col("ty") - half, F.col("ty") + half)
-    return own.join(near, on, "left_semi").drop("tx", "ty", "cx", "cy")
+    return tiles.where(F.col("lng").between(cx - half, cx + half) & F.col("lat").between(cy - half, cy + half)).select(*names).distinct()
 
 
 def label_buildings(buildings: DataFrame, farms: DataFrame, radius: float, key: str = "building_id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geoquill.functions.labels import category_any_of, species_in, valid_coords
 from geoquill.sources.documents import array_items
+from geoquill.sources.tables import write_table
 
 FARM_COLUMNS = ("id", "name", "lat", "lng", "species", "category", "source", "country", "state")
 FARM_CSV = "Id string, Name string, Lat double, Lng double, Species string, Categories string, State string"
@@ -74,9 +75,25 @@ def query_buildings(buildings: DataFrame, bounds: tuple[float, float, float, flo
 
 
 def query_country_buildings(buildings: DataFrame, least: float, most: float, tile: float, cap: int) -> DataFrame:
-    """The first `cap` footprints of each country, tile by tile in order of latitude and longitude."""
-    order = Window.partitionBy("country_key").orderBy(F.floor(F.col("lat") / tile), F.floor(F.col("lng") / tile), "ord")
-    return buildings.where(F.col("area_m2").between(least, most)).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).drop("_k")
+    """The first `cap` footprints of each country, tile by tile in order of latitude and longitude, and by ord in a tile.
+
+    Tiles are counted first, and summed up in order; only tiles that the cap reaches, at most `cap` a country, are read then, within their bounds, which reach the scan, and rows are numbered inside a tile alone.
+    """
+    from geoquill.operators.spatial import small
+
+    fit = F.col("area_m2").between(least, most)
+    at = [F.floor(F.col("lat") / tile).alias("_ty"), F.floor(F.col("lng") / tile).alias("_tx")]
+    earlier = Window.partitionBy("country_key").orderBy("_ty", "_tx").rowsBetween(Window.unboundedPreceding, -1)  # a row a tile
+    tiles = buildings.where(fit).groupBy("country_key", *at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    wanted = write_table(tiles.where(F.col("_before") < cap).drop("_n"), "tiles")
+    low = wanted.agg(F.min("_ty"), F.max("_ty"), F.min("_tx"), F.max("_tx")).first()
+    if low[0] is None:
+        return buildings.limit(0)
+    edge = lambda lo, hi: (float((lo - 1) * tile), float((hi + 2) * tile))  # noqa: E731  a tile to spare for rounding
+    inside = fit & F.col("lat").between(*edge(low[0], low[1])) & F.col("lng").between(*edge(low[2], low[3]))
+    rows = buildings.where(inside).select("*", *at).join(small(wanted), ["country_key", "_ty", "_tx"])
+    order = Window.partitionBy("country_key", "_ty", "_tx").orderBy("ord")
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).where(F.col("_k") + F.col("_before") <= cap).select(*buildings.columns)
 
 
 def choose_provider(countries: DataFrame, coverage: DataFrame, first: str, second: str) -> DataFrame:

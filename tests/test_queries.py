@@ -195,6 +195,61 @@ def test_nearest_in_full_cells(spark):
     assert got == {r["pid"]: (r["match_id"], r["match_tag"], r["match_m"]) for r in spatial.nearest_within(left, right, 500.0, "pid", "rid", ("tag",), most=10**6).collect()}
 
 
+def test_draws_merge_with_the_line(spark, monkeypatch):
+    """Draws equal a search on the cumulated weights, over many parts, also where one row holds most of the weight; the plan has no join with more than one row a draw."""
+    from geoquill.operators import ranks, sampling
+
+    monkeypatch.setattr(ranks, "PART_ROWS", 100)
+    monkeypatch.setattr(ranks, "LEAST_PART", 50)
+    weights = {f"r{k}": (5e6 if k == 77 else 0.0 if k % 10 == 0 else None if k % 11 == 0 else float(k % 13 + 1)) for k in range(900)}
+    df = spark.createDataFrame(list(weights.items()), "rid string, w double")
+    u = lambda *parts: int(__import__("hashlib").md5(":".join([*map(str, parts), "42"]).encode()).hexdigest()[:8], 16) / 4294967296
+    line = sorted((u(k), k, w) for k, w in weights.items() if w)
+    ends = np.cumsum([w for _, _, w in line])
+    for n in (0, 1, 2000):
+        got = {r["draw"]: r["rid"] for r in sampling.weighted_sample(df, n, "w", "rid").collect()}
+        assert got == {k: line[int(np.searchsorted(ends, u(k, "draw") * ends[-1], side="right"))][1] for k in range(n)}
+    assert sampling.weighted_sample(df.where("w is null"), 5, "w", "rid").count() == 0
+
+
+def test_tiles_come_from_seeds(spark):
+    """A fine grid of a continent with seeds makes few rows, and those that testing every tile gives on a coarse one."""
+    rng = random.Random(2)
+    boxes = spark.createDataFrame([("a", -60.0, -30.0, 40.0, 30.3), ("b", 39.0, -10.0, 41.7, 5.0)], "country_key string, min_lon double, min_lat double, max_lon double, max_lat double")
+    seeds = spark.createDataFrame([(rng.uniform(-32, 32), rng.uniform(-62, 43)) for _ in range(1000)] + [(None, 1.0), (30.29, 39.99), (5.1, 41.69)], "lat double, lng double")
+    assert spatial.generate_tiles(boxes, 0.001, seeds).count() < 10_000
+    every = spatial.generate_tiles(boxes, 0.7)
+    half = 0.7 * 1.5 / 2
+    x, y = (F.col("tile_min_lon") + F.col("tile_max_lon")) / 2, (F.col("tile_min_lat") + F.col("tile_max_lat")) / 2
+    want = every.join(seeds, (F.col("lng").between(x - half, x + half)) & (F.col("lat").between(y - half, y + half)), "left_semi")
+    assert sorted(map(tuple, spatial.generate_tiles(boxes, 0.7, seeds).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tries_stop_when_there_are_enough(spark):
+    from geoquill.operators import sampling
+
+    boxes = spark.createDataFrame([("a", "A", 0.0, 0.0, 1.0, 1.0), ("b", "B", 0.0, 0.0, 0.02, 0.02)], "country_key string, country string, min_lon double, min_lat double, max_lon double, max_lat double")
+    near = spark.createDataFrame([("B", 0.01, 0.01)], "country string, lat double, lng double")
+    tried: list[int] = []
+    got = sampling.random_rural_negatives(boxes, near, 50, 1300.0, tried=tried)
+    whole = sampling.random_rural_negatives(boxes, near, 50, 1300.0, batch=20, tried=tried)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert tried[0] <= 200 + 1000 and tried[1] == 2000 and {r[0]: r[1] for r in got.groupBy("region").count().collect()}["a"] == 50
+
+
+def test_country_buildings_read_only_reached_tiles(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, f"c{rng.randrange(3)}", rng.uniform(0, 1), rng.uniform(0, 1), 100.0 if k % 5 else 1.0) for k in range(2000)] + [(9000 + k, "hot", 0.501, 0.501, 50.0) for k in range(500)]
+    spark.createDataFrame(rows, "ord long, country_key string, lat double, lng double, area_m2 double").write.parquet(f"{tmp_path}/b")
+    got = readers.query_country_buildings(spark.read.parquet(f"{tmp_path}/b"), 10, 1000, 0.1, 40)
+    want = []
+    for c in ("c0", "c1", "c2", "hot"):
+        want += sorted((r for r in rows if r[1] == c and r[4] >= 10), key=lambda r: (math.floor(r[2] / 0.1), math.floor(r[3] / 0.1), r[0]))[:40]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(lat" in plan and "LessThanOrEqual(lng" in plan
+
+
 def test_augmentation_is_stable_and_bounded(spark):
     df = spark.createDataFrame([(k, 4, 4, 4, [float((k + j) % 7) / 7 for j in range(64)]) for k in range(20)], "candidate_id long, n_channels int, height int, width int, data array<float>")
     how = patches.Augment(rotate_deg=20, crop=(0.6, 1.0), brightness=0.2, band_jitter=0.1, noise=0.05, channel_dropout=0.2, cutout=2)
