@@ -244,33 +244,3 @@ def scored_candidates(
     if splits is None:
         return out.withColumn("split", F.lit(without_split))
     return out.join(splits.groupBy("candidate_id").agg(F.max("split").alias("split")), "candidate_id", "left").withColumn("split", F.coalesce("split", F.lit("unknown")))
-
-
-def evaluate_classifier(model, patches: DataFrame, labels: DataFrame, slices: Sequence[str]) -> DataFrame:
-    """Rates of a fitted or loaded pipeline on every slice: by split, and by split and country (null: all). labels: candidate_id, label, split, country; label -1 has no truth."""
-    from pyspark.ml.functions import vector_to_array
-
-    from geoquill.operators.metrics import counts, rates
-
-    held = labels.where(F.col("split").isin(list(slices)) & (F.col("label") >= 0))
-    scored = model.transform(classifier_features(patches).join(held, "candidate_id")).withColumn("predicted_score", vector_to_array("probability")[1]).withColumn("true_label", F.col("label").cast("int"))
-    sums = scored.groupingSets([[F.col("split")], [F.col("split"), F.col("country")]], "split", "country").agg(F.count(F.lit(1)).alias("n"), *counts())
-    return rates(sums)
-
-
-def fit_patch_classifier(patches: DataFrame, labels: DataFrame, weight: str | None = None):
-    """A Spark ML pipeline on channel means, fitted to labels of 0 or more: labels has candidate_id, label and, if named, a weight."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-
-    train = classifier_features(patches).join(labels.where("label >= 0"), "candidate_id")
-    lr = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50, regParam=1e-3, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), lr]).fit(train)
-
-
-def classifier_features(patches: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    means = band_means(patches).groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("channel", "mean"))).alias("m"))
-    return means.select("candidate_id", array_to_vector(F.transform("m", lambda s: s["mean"])).alias("features"))

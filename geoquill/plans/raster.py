@@ -225,17 +225,17 @@ def _(t):
 
 @query("f05_fit_patch_classifier")
 def _(t):
-    """Fits on the training split, saves and loads the pipeline, and rates it on the slices held out."""
-    from pyspark.ml import PipelineModel
-
+    """Three classes: fits on the training slice with class and region weights, stops by the validation slice, saves and loads the model, and rates it on the slices held out, and by country."""
+    from geoquill.operators import training
     from geoquill.plans.flows import _folder
 
     d = t("fx_patches")
-    slices = F.when(F.col("candidate_id") % 5 < 3, "train").when(F.col("candidate_id") % 5 == 3, "test").otherwise("eval")
-    labels = d.select("candidate_id", (F.col("label") % 2).cast("double").alias("label"), slices.alias("split"), F.concat(F.lit("c"), F.col("candidate_id") % 3).alias("country"))
+    slices = F.when(F.col("candidate_id") % 7 < 4, "train").when(F.col("candidate_id") % 7 == 4, "val").when(F.col("candidate_id") % 7 == 5, "test").otherwise("eval")
+    labels = d.select("candidate_id", (F.col("label") % 3).alias("label"), slices.alias("split"), F.concat(F.lit("c"), F.col("candidate_id") % 3).alias("country"))
     path = _folder(d.sparkSession, "classifier")
-    P.fit_patch_classifier(d, labels.where("split = 'train'").select("candidate_id", "label")).write().overwrite().save(path)
-    return P.evaluate_classifier(PipelineModel.load(path), d, labels, ["test", "eval"])
+    training.fit_patches(d, labels, training.Training(epochs=12, batches=2, patience=3, region_weighted=True)).save(d.sparkSession, path)
+    held = labels.where(F.col("split").isin("test", "eval"))
+    return training.slice_rates(training.predictions(training.PatchModel.read(d.sparkSession, path), d, held))
 
 
 @query("f03_imagery_providers", """

@@ -52,4 +52,4 @@ def test_fitted_classifier_is_rated_on_held_out_slices(spark):
     for split in ("test", "eval"):
         part = [r for r in got if r["split"] == split]
         whole = next(r for r in part if r["country"] is None)
-        assert whole["n"] == sum(r["n"] for r in part if r["country"]) == whole["tp"] + whole["fp"] + whole["fn"] + whole["tn"]
+        assert whole["n"] == sum(r["n"] for r in part if r["country"]) and 0 <= whole["accuracy"] <= 1 and whole["loss"] > 0
