@@ -183,7 +183,7 @@ def extract(page: str | None, weights: Weights) -> str:
             k += 1
         scores += [cost, weights.word(b) * b.words]
     first, last = best_region(scores)
-    first, last = (first + 1) // 2, last // 2
+    first, last = first // 2, last // 2
     if first >= last:
         return ""
     first, last = _grown(blocks, first, -1, weights), _grown(blocks, last - 1, 1, weights) + 1

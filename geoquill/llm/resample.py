@@ -47,11 +47,12 @@ def bucket(feature: Column, buckets: int = BUCKETS) -> Column:
 
 def features(found: Column, n: int = 1) -> Column:
     """Runs of 1 to n of the words, joined by one space."""
-    runs = [found]
-    for size in range(2, n + 1):
+
+    def runs(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(found) - (size - 1))
-        runs.append(F.when(F.size(found) >= size, F.transform(starts, lambda i, size=size: F.array_join(F.slice(found, i, size), " "))).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*runs)) if n > 1 else found
+        return F.when(F.size(found) >= size, F.transform(starts, lambda i: F.array_join(F.slice(found, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(found, *map(runs, range(2, n + 1)))) if n > 1 else found
 
 
 def bucket_counts(df: DataFrame, text: str = "text", n: int = 1, buckets: int = BUCKETS) -> dict[int, int]:
