@@ -138,40 +138,55 @@ def _sampled(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (a[:, y0, x0] * (1 - fx) + a[:, y0, x1] * fx) * (1 - fy) + (a[:, y1, x0] * (1 - fx) + a[:, y1, x1] * fx) * fy
 
 
-def augmented(a: np.ndarray, how: Augment, rng: np.random.Generator) -> np.ndarray:
-    a = a.astype(np.float32)
+class Draws:
+    """Random numbers from 0 to 1 by name, which depend on seed, candidate and epoch alone: those of `lookups.uniform`, so that other engines can tell them."""
+
+    def __init__(self, seed: int, candidate: object, epoch: int) -> None:
+        self.seed, self.place = seed, f"{candidate}:{epoch}"
+
+    def __call__(self, name: str) -> float:
+        return int(hashlib.md5(f"{self.place}:{name}:{self.seed}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    def between(self, name: str, low: float, high: float) -> float:
+        return low + (high - low) * self(name)
+
+    def normal(self, name: str, scale: float, shape: tuple[int, ...]) -> np.ndarray:
+        return np.random.default_rng(int(self(name) * 4294967296)).normal(0, scale, shape)
+
+
+def augmented(a: np.ndarray, how: Augment, draws: Draws) -> np.ndarray:
+    a = a.astype(float)
     c, h, w = a.shape
     b = min(how.n_bands, c)
-    if rng.random() < how.h_flip:
+    if draws("h_flip") < how.h_flip:
         a = a[:, :, ::-1]
-    if rng.random() < how.v_flip:
+    if draws("v_flip") < how.v_flip:
         a = a[:, ::-1]
     if how.rot90 and h == w:
-        a = np.rot90(a, int(rng.integers(0, 4)), (1, 2))
+        a = np.rot90(a, int(draws("rot90") * 4), (1, 2))
     yy, xx = np.mgrid[0:h, 0:w].astype(float)
     if how.rotate_deg:
-        t = np.deg2rad(rng.uniform(-how.rotate_deg, how.rotate_deg))
+        t = np.deg2rad(draws.between("rotate", -how.rotate_deg, how.rotate_deg))
         y, x = yy - (h - 1) / 2, xx - (w - 1) / 2
         a = _sampled(a, y * np.cos(t) - x * np.sin(t) + (h - 1) / 2, y * np.sin(t) + x * np.cos(t) + (w - 1) / 2)
     if how.crop:
-        s = rng.uniform(*how.crop)
-        y0, x0 = rng.uniform(0, (1 - s) * (h - 1) + 1e-9), rng.uniform(0, (1 - s) * (w - 1) + 1e-9)
-        a = _sampled(a, y0 + yy * s, x0 + xx * s)
-    a = np.array(a, np.float32)
+        s = draws.between("crop", *how.crop)
+        a = _sampled(a, draws("crop_y") * (1 - s) * (h - 1) + yy * s, draws("crop_x") * (1 - s) * (w - 1) + xx * s)
+    a = np.array(a)
     if how.brightness:
-        a[:b] *= 1 + rng.uniform(-how.brightness, how.brightness)
+        a[:b] *= 1 + draws.between("brightness", -how.brightness, how.brightness)
     if how.band_jitter:
-        a[:b] *= 1 + rng.uniform(-how.band_jitter, how.band_jitter, (b, 1, 1))
+        a[:b] *= np.array([1 + draws.between(f"jitter{k}", -how.band_jitter, how.band_jitter) for k in range(b)])[:, None, None]
     if how.noise:
-        a[:b] += rng.normal(0, how.noise, a[:b].shape)
+        a[:b] += draws.normal("noise", how.noise, a[:b].shape)
     if how.channel_dropout:
-        a[rng.random(c) < how.channel_dropout] = 0
+        a[np.array([draws(f"drop{k}") < how.channel_dropout for k in range(c)])] = 0
     if how.cutout:
-        y, x = int(rng.integers(0, h)), int(rng.integers(0, w))
+        y, x = int(draws("cut_y") * h), int(draws("cut_x") * w)
         a[:, y : y + how.cutout, x : x + how.cutout] = 0
     a[:b] = np.clip(a[:b], 0, 1)
     a[b:] = np.clip(a[b:], -1, 1)
-    return a
+    return a.astype(np.float32)
 
 
 def augment_patches(df: DataFrame, how: Augment, seed: int, epoch: int = 0) -> DataFrame:
@@ -181,8 +196,7 @@ def augment_patches(df: DataFrame, how: Augment, seed: int, epoch: int = 0) -> D
         for frame in frames:
             out = []
             for i, c, h, w, d in zip(frame["candidate_id"], frame["n_channels"], frame["height"], frame["width"], frame["data"], strict=True):
-                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{i}:{epoch}".encode()).digest()[:8], "little"))
-                out.append(augmented(np.asarray(d, np.float32).reshape(c, h, w), how, rng).ravel())
+                out.append(augmented(np.asarray(d, np.float32).reshape(c, h, w), how, Draws(seed, i, epoch)).ravel())
             yield frame.assign(data=out)
 
     kept = df.select("candidate_id", "n_channels", "height", "width", F.col("data").cast("array<float>").alias("data"))

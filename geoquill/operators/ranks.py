@@ -40,16 +40,25 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """keys, _n (rows with a value), and the exact quantiles, by linear interpolation, of the column's values in each group."""
-    ranked = ordered_rank(df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v")), keys, ["_v"])
-    sizes = ranked.groupBy(*keys).agg(F.max("rank").alias("_n"))
-    place = [F.lit(p) * (F.col("_n") - 1) for p in shares]
-    at = F.col("rank") - 1
+    """keys, _n (rows with a value), and the exact quantiles, by linear interpolation, of the column's values in each group.
+
+    Values are counted first, so rows of one value, however many, are a row; counts are then summed up over range partitions.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = in_parts(counted, *keys, "_v")
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(upto), F.lit(0))).drop("_s")
+    within = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    same = lambda *cs: [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in cs]
+    placed = parts.withColumn("_within", within).alias("x").join(sums.alias("y"), same(*keys, "_part")).select("x.*", (F.col("_within") + F.col("_before")).alias("_to"))
+    sizes = parts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    joined = placed.alias("x").join(sizes.alias("y"), same(*keys)).select("x.*", "_n") if keys else placed.crossJoin(F.broadcast(sizes))  # one row
+    # A value holds the places (from 0) from _to - _c to before _to.
+    holds = lambda place: (place >= F.col("_to") - F.col("_c")) & (place < F.col("_to"))
+    spot = [F.lit(p) * (F.col("_n") - 1) for p in shares]
     wanted = F.lit(False)
-    for x in place:
-        wanted = wanted | (at == F.floor(x)) | (at == F.ceil(x))
-    joined = ranked.alias("x").join(sizes.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]) if keys else ranked.alias("x").crossJoin(F.broadcast(sizes).alias("y"))
-    few = joined.select("x.*", "_n").where(wanted)
-    low, high = lambda x: F.max(F.when(at == F.floor(x), F.col("_v"))), lambda x: F.max(F.when(at == F.ceil(x), F.col("_v")))
+    for x in spot:
+        wanted = wanted | holds(F.floor(x)) | holds(F.ceil(x))
+    low, high = lambda x: F.max(F.when(holds(F.floor(x)), F.col("_v"))), lambda x: F.max(F.when(holds(F.ceil(x)), F.col("_v")))
     value = lambda x: low(x) + (high(x) - low(x)) * F.max(x - F.floor(x))
-    return few.groupBy(*keys).agg(F.max("_n").alias("_n"), *(value(x).alias(n) for x, n in zip(place, names, strict=True)))
+    return joined.where(wanted).groupBy(*keys).agg(F.max("_n").alias("_n"), *(value(x).alias(n) for x, n in zip(spot, names, strict=True)))

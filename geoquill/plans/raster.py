@@ -150,6 +150,44 @@ def _(t):
     return P.augment_patches(d, P.Augment(rotate_deg=15, crop=(0.7, 1.0), brightness=0.1, band_jitter=0.05, noise=0.01, channel_dropout=0.1, cutout=2), 42)
 
 
+def _drawn(name: str) -> str:
+    return f"(('0x' || substr(md5(candidate_id || ':3:{name}:7'), 1, 8))::BIGINT / 4294967296e0)"
+
+
+def _bilinear(values: str, y: str, x: str) -> str:
+    """Values of 4 by 4 pixels of the channel of place p at (y, x), lists of clipped places; list comprehension over p."""
+    at = lambda i, j: f"{values}[((p // 16) * 16 + {i} * 4 + {j} + 1)::BIGINT]"
+    i, j, fy, fx = f"floor({y}[p + 1])::INT", f"floor({x}[p + 1])::INT", f"({y}[p + 1] - floor({y}[p + 1]))", f"({x}[p + 1] - floor({x}[p + 1]))"
+    k, n = f"least({i} + 1, 3)", f"least({j} + 1, 3)"
+    return f"list_transform(range(64), lambda p: ({at(i, j)} * (1 - {fx}) + {at(i, n)} * {fx}) * (1 - {fy}) + ({at(k, j)} * (1 - {fx}) + {at(k, n)} * {fx}) * {fy})"
+
+
+def _places(y: str, x: str) -> str:
+    grid = lambda e: f"list_transform(range(64), lambda p: least(greatest({e}, 0e0), 3e0))"
+    return f"{grid(y)} AS y, {grid(x)} AS x"
+
+
+I, J = "((p % 16) // 4)", "(p % 4)"
+R_SQL = f"CASE k WHEN 0 THEN {I} WHEN 1 THEN {J} WHEN 2 THEN 3 - {I} ELSE 3 - {J} END"
+Q_SQL = f"CASE k WHEN 0 THEN {J} WHEN 1 THEN 3 - {I} WHEN 2 THEN 3 - {J} ELSE {I} END"
+
+
+@query("p31_augment_drawn", f"""
+WITH d AS (SELECT candidate_id, list_transform(data, lambda v: v::FLOAT::DOUBLE) AS a, {_drawn('h_flip')} < 0.5 AS hf, {_drawn('v_flip')} < 0.5 AS vf, floor({_drawn('rot90')} * 4)::INT AS k, radians(-15e0 + 30e0 * {_drawn('rotate')}) AS t,
+  0.7e0 + (1.0e0 - 0.7e0) * {_drawn('crop')} AS s, 1 + (-0.1e0 + 0.2e0 * {_drawn('brightness')}) AS br, [{', '.join(f"1 + (-0.05e0 + 0.1e0 * {_drawn(f'jitter{k}')})" for k in range(3))}, 1e0] AS jit, [{', '.join(f"{_drawn(f'drop{k}')} < 0.1" for k in range(4))}] AS dropped,
+  floor({_drawn('cut_y')} * 4)::INT AS cy, floor({_drawn('cut_x')} * 4)::INT AS cx, {_drawn('crop_y')} AS uy, {_drawn('crop_x')} AS ux FROM fx_patches),
+f AS (SELECT *, list_transform(range(64), lambda p: a[((p // 16) * 16 + (CASE WHEN vf THEN 3 - ({R_SQL}) ELSE {R_SQL} END) * 4 + (CASE WHEN hf THEN 3 - ({Q_SQL}) ELSE {Q_SQL} END) + 1)::BIGINT]) AS b FROM d),
+g AS (SELECT *, {_places(f"({I} - 1.5e0) * cos(t) - ({J} - 1.5e0) * sin(t) + 1.5e0", f"({I} - 1.5e0) * sin(t) + ({J} - 1.5e0) * cos(t) + 1.5e0")} FROM f),
+h AS (SELECT * EXCLUDE (y, x), {_bilinear('b', 'y', 'x')} AS e FROM g), i AS (SELECT *, {_places(f"uy * (1 - s) * 3 + {I} * s", f"ux * (1 - s) * 3 + {J} * s")} FROM h), m AS (SELECT *, {_bilinear('e', 'y', 'x')} AS o FROM i),
+n AS (SELECT candidate_id, unnest(range(64)) AS p, unnest(list_transform(range(64), lambda p: CASE WHEN dropped[p // 16 + 1] OR ({I} BETWEEN cy AND cy + 1 AND {J} BETWEEN cx AND cx + 1) THEN 0e0
+  ELSE least(greatest(o[p + 1] * CASE WHEN p // 16 < 3 THEN br * jit[p // 16 + 1] ELSE 1e0 END, CASE WHEN p // 16 < 3 THEN 0e0 ELSE -1e0 END), 1e0) END)) AS v FROM m)
+SELECT candidate_id, p::INT AS place, round(v::FLOAT::DOUBLE, 5) AS value FROM n""")
+def _(t):
+    """Flips, turns, rotation, crop, brightness, jitter, dropout and cutout; their draws are hashes that SQL can make too."""
+    how = P.Augment(rotate_deg=15, crop=(0.7, 1.0), brightness=0.1, band_jitter=0.05, channel_dropout=0.1, cutout=2)
+    return P.augment_patches(t("fx_patches"), how, 7, 3).select("candidate_id", F.posexplode("data").alias("place", "v")).select("candidate_id", "place", F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
 @query("p32_clear_fraction", "SELECT candidate_id, round(1 - len(list_filter(data, lambda x: x < 0)) / 64e0, 4) AS clear FROM fx_patches")
 def _(t):
     d = t("fx_patches").withColumn("data", F.transform("data", lambda x: F.when(x < 0, F.lit(float("nan"))).otherwise(x)))

@@ -250,6 +250,23 @@ def test_country_buildings_read_only_reached_tiles(spark, tmp_path):
     assert "GreaterThanOrEqual(lat" in plan and "LessThanOrEqual(lng" in plan
 
 
+def test_quantiles_count_hot_values(spark, monkeypatch):
+    """Exact quantiles where one value holds most rows of a group, over many parts, with null keys and values; the hot value is one row of the parts."""
+    from geoquill.operators import ranks
+
+    monkeypatch.setattr(ranks, "PART_ROWS", 50)
+    monkeypatch.setattr(ranks, "LEAST_PART", 20)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.5] * 8 + [rng.random(), None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for keys in ((), ("g",)):
+        got = {tuple(r[k] for k in keys): (r["_n"], r["q0"], r["q1"], r["q2"]) for r in ranks.quantiles(df, keys, "v", (0.05, 0.5, 0.987), ("q0", "q1", "q2")).collect()}
+        for key in {tuple(r[:1] if keys else ()) for r in rows}:
+            v = [x for g, x in rows if x is not None and (not keys or (g,) == key)]
+            assert got[key][0] == len(v) and np.allclose(got[key][1:], np.quantile(v, [0.05, 0.5, 0.987]))
+    assert ranks.quantiles(df.limit(0), ("g",), "v", (0.5,), ("q",)).count() == 0
+
+
 def test_augmentation_is_stable_and_bounded(spark):
     df = spark.createDataFrame([(k, 4, 4, 4, [float((k + j) % 7) / 7 for j in range(64)]) for k in range(20)], "candidate_id long, n_channels int, height int, width int, data array<float>")
     how = patches.Augment(rotate_deg=20, crop=(0.6, 1.0), brightness=0.2, band_jitter=0.1, noise=0.05, channel_dropout=0.2, cutout=2)
