@@ -80,9 +80,9 @@ def _(t):
     return d.select("building_id", F.round("c.lng", 6).alias("lng"), F.round("c.lat", 6).alias("lat"))
 
 
-@query("j16_tile_filter", "SELECT DISTINCT b.building_id FROM fx_buildings b JOIN fx_country c ON b.lng BETWEEN c.min_lon AND c.max_lon AND b.lat BETWEEN c.min_lat AND c.max_lat WHERE c.ord < 5")
+@query("j16_tile_filter", "SELECT DISTINCT b.building_id FROM fx_buildings b JOIN fx_country c ON b.lng BETWEEN c.min_lon AND c.max_lon AND b.lat BETWEEN c.min_lat AND c.max_lat")
 def _(t):
-    return S.tile_filter(t("fx_buildings"), t("fx_country").where("ord < 5"), "building_id", bound=2).select("building_id")
+    return S.tile_filter(t("fx_buildings"), t("fx_country"), "building_id", bound=2).select("building_id")
 
 
 @query("u07_find_farms", "SELECT osm_id, species FROM (SELECT osm_id, CASE WHEN contains(x, 'chicken') OR contains(x, 'poultry') OR contains(x, 'broiler') OR contains(x, 'layer') OR contains(x, 'egg') OR contains(x, 'hen') OR contains(x, 'hatchery') THEN 'Chickens' END AS species FROM (SELECT osm_id, lower(concat_ws(' ', coalesce(name, ''), building, landuse)) AS x FROM fx_osm_tags)) WHERE species IS NOT NULL")

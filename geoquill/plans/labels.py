@@ -222,13 +222,13 @@ MERGED = {"adm0": "string", "cluster_id": "string", "final_label": "string", "nu
 
 
 @query("u02_merge_clusters", """
-WITH n AS (SELECT adm0, cluster_id, final_label, num_bldgs + 1 AS num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'NAT1%' OR adm0 LIKE 'NAT2%'), m AS (SELECT adm0, cluster_id, 'NotFarm' AS final_label, num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'NAT2%' AND ord % 2 = 0),
+WITH n AS (SELECT adm0, cluster_id, final_label, num_bldgs + 1 AS num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'NAT1%' OR adm0 LIKE 'NAT2%'), m AS (SELECT adm0, cluster_id, 'NotFarm' AS final_label, num_bldgs, ord FROM fx_clusters WHERE adm0 LIKE 'NAT2%'),
 a AS (SELECT adm0, cluster_id, final_label, num_bldgs, ord, 0 AS k FROM fx_clusters WHERE adm0 NOT LIKE 'NAT1%' AND adm0 NOT LIKE 'NAT2%' UNION ALL SELECT *, 1 FROM n UNION ALL SELECT *, 2 FROM m)
 SELECT adm0, cluster_id, final_label, num_bldgs, ord FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, ord DESC) AS r FROM a) WHERE r = 1""")
 def _(t):
     c = t("fx_clusters")
     one = c.where("adm0 like 'NAT1%' or adm0 like 'NAT2%'").withColumn("num_bldgs", F.col("num_bldgs") + 1)
-    two = c.where("adm0 like 'NAT2%' and ord % 2 = 0").withColumn("final_label", F.lit("NotFarm"))
+    two = c.where("adm0 like 'NAT2%'").withColumn("final_label", F.lit("NotFarm"))
     return J.merge_clusters(c, [one, two], MERGED)
 
 

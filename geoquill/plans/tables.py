@@ -51,13 +51,13 @@ def _(t):
     return shapes.select("candidate_id", (F.col("n_channels") * F.col("height") * F.col("width")).alias("n_values"))
 
 
-@query("k04_append_registry", "SELECT candidate_id, CASE WHEN ord % 2 = 0 THEN 'h0' ELSE 'h1' END AS imagery_config_hash FROM fx_scored WHERE ord % 2 = 0")
+@query("k04_append_registry", "SELECT candidate_id, CASE WHEN ord % 2 = 0 THEN 'h0' ELSE 'h1' END AS imagery_config_hash FROM fx_scored")
 def _(t):
     d = t("fx_scored").select("candidate_id", F.when(F.col("ord") % 2 == 0, "h0").otherwise("h1").alias("imagery_config_hash"))
     path = _folder(d.sparkSession, "registry")
     for k in ("h0", "h1"):
         sinks.append_registry(d.where(F.col("imagery_config_hash") == k), path)
-    return d.sparkSession.read.parquet(path).where("imagery_config_hash = 'h0'").select("candidate_id", "imagery_config_hash")
+    return d.sparkSession.read.parquet(path).select("candidate_id", "imagery_config_hash")
 
 
 @query("k05_append_failures", "SELECT candidate_id, substr(repeat(candidate_id || '!', 40), 1, 200) AS error FROM fx_scored WHERE ord % 9 = 0")
@@ -261,9 +261,9 @@ def _(t):
     return readers.decode_patches(files).select("candidate_id", "n_channels", "height", F.get("data", F.lit(1)).cast("double").alias("second"), F.get("data", F.lit(33)).cast("double").alias("later"))
 
 
-@query("p06_with_region", "SELECT f.id, c.country_key, CASE WHEN c.country_key IS NULL THEN NULL WHEN coalesce(f.state, '') <> '' THEN c.country_key || '/' || f.state ELSE c.country_key END AS region FROM fx_farms f LEFT JOIN (SELECT * FROM fx_country WHERE ord % 2 = 0) c ON f.country = c.country")
+@query("p06_with_region", "SELECT f.id, c.country_key, CASE WHEN c.country_key IS NULL THEN NULL WHEN coalesce(f.state, '') <> '' THEN c.country_key || '/' || f.state ELSE c.country_key END AS region FROM fx_farms f LEFT JOIN fx_country c ON f.country = c.country")
 def _(t):
-    return L.with_region(t("fx_farms"), t("fx_country").where("ord % 2 = 0")).select("id", "country_key", "region")
+    return L.with_region(t("fx_farms"), t("fx_country")).select("id", "country_key", "region")
 
 
 @query("u04_all_regions", "SELECT id FROM fx_farms WHERE lower(country) IN ('nation_1', 'nation_3') OR lower(country) = 'nation_2' AND coalesce(state, '') IN ('', 'S2')")
