@@ -32,6 +32,8 @@ from geoquill.llm.common import prepare, read, settled, text_of, unused, write_t
 SEED, LEAST_WORDS = 6, 3
 LEAST = 0.5
 BLOCK_BYTES = 8 << 20
+#: Pairs of equal seeds that are held at once.
+PAIRS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,27 +61,29 @@ def runs(ids: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def tile(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least: int = SEED) -> tuple[int, int]:
-    """Marked words of the item and number of tiles. seeds: (position in item, in doc) of equal runs of `least` words."""
-    begun, spans = set(), []
-    for i, j in sorted(seeds):
-        if (i, j) in begun:
-            continue
-        n = least
-        begun.add((i, j))
-        while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
-            begun.add((i + n - least + 1, j + n - least + 1))
-            n += 1
-        spans.append((-n, i, j))
+def diagonals(item: np.ndarray, at: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds (item, place in it, place in the text; count: how many follow each other) that go on where another one ends, joined to one. A word that is repeated thousands of times costs a run a diagonal."""
+    order = np.lexsort((at, place - at, item))
+    item, at, place, count = item[order], at[order], place[order], count[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (at[1:] != at[:-1] + count[:-1])
+    first = np.flatnonzero(new)
+    return item[first], at[first], place[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def tile(size: int, spans: list[tuple[int, int, int]], least: int = SEED) -> tuple[int, int]:
+    """Marked words of an item of `size` words, and number of tiles. spans: (words, place in the item, place in the text) of the longest equal runs, each of `least` words or more."""
+    spans = [(-n, i, j) for n, i, j in spans]
     heapq.heapify(spans)
-    in_item, in_doc, tiles = np.zeros(len(item), bool), set(), 0
-    while spans:
+    in_item, in_doc, tiles, left = np.zeros(size, bool), set(), 0, size
+    while spans and left >= least:
         n, i, j = heapq.heappop(spans)
         free = [not in_item[i + k] and j + k not in in_doc for k in range(-n)]
         if all(free):
             in_item[i : i - n] = True
             in_doc.update(range(j, j - n))
             tiles += 1
+            left += n
             continue
         k = 0  # what a longer tile has left of this match may still be tiles
         while k < -n:
@@ -109,8 +113,8 @@ class Seeds:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys >> np.uint64(44)).astype(int)] = True
 
-    def found(self, every: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """document, place in all words, and the range of seeds, for every run of the documents' words that is a seed."""
+    def found(self, every: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """document, and its runs of seeds: items, places in them and in the document, and seeds of the run. At most about PAIRS pairs of equal seeds are held at once."""
         if len(every) < self.size:
             return
         h = runs(every, self.size)
@@ -118,7 +122,17 @@ class Seeds:
         lo, hi = np.searchsorted(self.keys, h[hit], "left"), np.searchsorted(self.keys, h[hit], "right")
         doc = np.searchsorted(ends, hit, "right")
         whole = (hi > lo) & (hit + self.size <= ends[np.minimum(doc, len(ends) - 1)])
-        yield from zip(doc[whole].tolist(), hit[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), strict=True)
+        hit, lo, hi, doc = hit[whole], lo[whole], hi[whole], doc[whole]
+        edges = np.flatnonzero(np.diff(doc)) + 1
+        for part in np.split(np.arange(len(hit)), edges) if len(hit) else ():
+            d, joined = int(doc[part[0]]), []
+            before = int(ends[d - 1]) if d else 0
+            chunk = (np.cumsum(hi[part] - lo[part]) - 1) // PAIRS
+            for some in np.split(part, np.flatnonzero(np.diff(chunk)) + 1):
+                n = hi[some] - lo[some]
+                seed = np.repeat(lo[some] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                joined.append(diagonals(self.of[seed], self.at[seed], np.repeat(hit[some] - before, n), np.ones(len(seed), int)))
+            yield d, *(diagonals(*map(np.concatenate, zip(*joined, strict=True))) if len(joined) > 1 else joined[0])
 
 
 class Tiler:
@@ -144,16 +158,15 @@ class Tiler:
         lengths = np.array([len(ws) for ws in words], int)
         out = [(-1, 0, 0, 0)] * len(texts)
         ends = np.cumsum(lengths)
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for seeds in self.seeds:
-            for d, p, a, b in seeds.found(every, ends):
-                for k in range(a, b):
-                    pairs.setdefault((d, int(seeds.of[k])), []).append((int(seeds.at[k]), p - int(ends[d] - lengths[d])))
-        for (d, k), places in pairs.items():
-            item = self.items[k]
-            marked, tiles = tile(item, every[ends[d] - lengths[d] : ends[d]], places, min(SEED, len(item)))
-            if out[d][0] < 0 or self.order(k, marked) < self.order(*out[d][:2]):
-                out[d] = k, marked, len(item), tiles
+            for d, item, at, place, count in seeds.found(every, ends):
+                for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+                    k = int(item[part[0]])
+                    least = min(SEED, len(self.items[k]))
+                    spans = list(zip((count[part] + (least - 1)).tolist(), at[part].tolist(), place[part].tolist(), strict=True))
+                    marked, tiles = tile(len(self.items[k]), spans, least)
+                    if out[d][0] < 0 or self.order(k, marked) < self.order(*out[d][:2]):
+                        out[d] = k, marked, len(self.items[k]), tiles
         return out
 
 

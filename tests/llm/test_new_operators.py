@@ -215,3 +215,17 @@ def test_contract(spark, name):
     got = registry.queries()[name](spark, str(DATA / "sf0.001"))
     assert dict(got.dtypes) == kinds[name]
     assert json.dumps([str(r) for r in got.limit(2).collect()])
+
+
+def test_a_repeated_word_costs_its_length():
+    """Item and text of one word: the pairs of places are many, runs are few."""
+    import time
+
+    from geoquill.llm import decontam
+
+    tiler = decontam.Tiler([(1, " ".join(["word"] * 60)), (2, " ".join(f"w{k % 7}" for k in range(50)))])
+    for n in (59, 60, 8_000, 200_000):
+        began = time.time()
+        assert tiler.best([" ".join(["word"] * n)]) == [(0, min(n, 60), 60, 1)]
+        assert time.time() - began < 8
+    assert tiler.best(["a b c", " ".join(f"w{k % 7}" for k in range(3, 5000))])[1][:3] == (1, 50, 50)

@@ -788,7 +788,10 @@ def test_tiling_against_brute_force():
             doc += item[a : a + rng.randrange(1, 14)] if rng.random() < 0.6 else [rng.randrange(6, 9)]
         item, doc = np.array(item, np.uint64), np.array(doc, np.uint64)
         seeds = [(i, j) for i in range(len(item) - 3) for j in range(len(doc) - 3) if (item[i : i + 4] == doc[j : j + 4]).all()]
-        assert decontam.tile(item, doc, seeds, 4) == brute_tiling(item.tolist(), doc.tolist(), 4)
+        at, place = np.array(seeds, int).reshape(-1, 2).T
+        _, at, place, count = decontam.diagonals(np.zeros(len(at), int), at, place, np.ones(len(at), int))
+        spans = list(zip((count + 3).tolist(), at.tolist(), place.tolist(), strict=True))
+        assert decontam.tile(len(item), spans, 4) == brute_tiling(item.tolist(), doc.tolist(), 4)
 
 
 def test_decontamination_against_brute_force(spark):
