@@ -1,15 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines are what newline bytes divide. A line that isn't blank is a repeat, and dropped, when the same line stands earlier in the corpus (by
-doc_id, row, line number), or, if it has MIN_CHARS characters or more, when an earlier line of as many is within MAX_EDITS edits, whether or not that
-one was kept: MIN_CHARS says what a near copy is, not which lines are read, for two edits in a few characters are another text. Distinct
+doc_id, row, line number), or when an earlier line is within as many edits as the shorter of the two allows, one for each CHARS_PER_EDIT characters up to MAX_EDITS, whether or not that
+one was kept: two edits in a few characters are another text. Distinct
 lines are cut into MAX_EDITS + 1 segments; two lines within the threshold share a segment
 at nearly the same place, so each line's segments are indexed by (number, length, content) and each line probes, for every
 length it could match, the few substrings that the shift bounds allow. Candidates are verified by a banded bit-parallel edit distance: an automaton
 whose states, MAX_EDITS + 1 lanes of 2 * MAX_EDITS + 1 diagonals each, are the bits of one integer that every character moves at once.
 
 Scale: identical lines are aggregated first, by 128 bits of their content, so the join sees each distinct line once, by a number, and no copies meet each other; only
-hashes are shuffled, and texts are fetched for candidates alone, through a sieve. Keys of 32 bits that fall together by chance cost a comparison. Both sides of the join are plain shuffles that AQE can split.
+hashes are shuffled, and texts are fetched for candidates alone, through a sieve. Keys of KEY_BITS bits that fall together by chance cost a comparison. Both sides of the join are plain shuffles that AQE can split.
 
 Defined cases: null text is no line and stays null; an empty text is one blank line; blank lines (nothing but 0x20 and 0x09 to 0x0D) are never repeats; null doc_ids come first in order; rows
 alike in doc_id and text count as one row, and all of them keep or lose the same lines; lines of any length are compared whole; of equal lines the earliest stays, so there are no
@@ -24,7 +24,14 @@ from pyspark.sql import functions as F
 from geoquill.llm.common import WORD, hash_128, prepare, read, settled, sieved, unused, write_table
 
 MAX_EDITS = 2
-MIN_CHARS = 32
+CHARS_PER_EDIT = 16
+#: Enough for some 10^12 keys with few that fall together; each bit more is shuffled with every probe.
+KEY_BITS = 44
+
+
+def allowed(length: Column, edits: int, every: int = CHARS_PER_EDIT) -> Column:
+    """Edits within which a line of the length has near copies."""
+    return F.least(F.lit(edits), F.floor(length / every).cast("int"))
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -44,7 +51,7 @@ def probe_keys(line: Column, length: Column, edits: int, least: int) -> list[Col
             start, size = segment(other, i, edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 ok = (length >= least) & (start + shift >= 1) & (start + shift + size - 1 <= length)
-                out.append(F.when(ok, F.hash(F.lit(i), other, line.substr((start + shift).cast("int"), size))))
+                out.append(F.when(ok, F.shiftrightunsigned(F.xxhash64(F.lit(i), other, line.substr((start + shift).cast("int"), size)), 64 - KEY_BITS)))
     return out
 
 
@@ -107,10 +114,14 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return near & (end.bitwiseAND(F.call_function("shiftleft", num(1), F.greatest(last, F.lit(0)))) != 0)
 
 
-def _late(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """id of the later line of those pairs (a, b) that are within `edits` edits."""
+def _late(pairs: DataFrame, texts: DataFrame, edits: int, every: int) -> DataFrame:
+    """id of the later line of those pairs (a, b) that are within the edits that the shorter line allows."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    a, b = F.col("line_a"), F.col("line_b")
+    limit, near = allowed(F.least(F.length(a), F.length(b)), edits, every), F.lit(False)
+    for k in range(1, edits + 1):
+        near = F.when(limit == k, within(a, b, k)).otherwise(near)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
     return both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
@@ -134,8 +145,8 @@ def letters_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
 
-def near_lines(docs: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
-    """id of lines that have an earlier line within `edits` edits, other than themselves. uniq: id, h, first, probe (nulls for lines that have no near copies).
+def near_lines(docs: DataFrame, uniq: DataFrame, edits: int, every: int) -> DataFrame:
+    """id of lines that have an earlier line within the edits allowed, other than themselves. uniq: id, h, first, probe (nulls for lines that have no near copies).
 
     Every probe first meets the earliest line of its key. Only where a key has more lines, and the later line of a pair isn't
     known as late yet, do they meet each other, and then only where the counts of a group of letters agree and all counts together differ by two for each
@@ -149,7 +160,7 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
     met = write_table(probe.join(heads, "key").where("id <> head or n > 1").select("key", "id", "head", "n", "own"), "line_met")
     first = write_table(met.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "line_pairs")
     texts = _texts(first, docs, uniq)
-    late = write_table(_late(first, texts, edits), "late_first")
+    late = write_table(_late(first, texts, edits, every), "late_first")
     letters = texts.select("id", "first", letter_counts(F.col("line")).alias("counts")).withColumn("letters", F.explode(letter_keys(F.col("counts"), edits)))
     more = met.where("n > 1").select("key", "id", "own").join(letters, "id").join(late.withColumn("done", F.lit(True)), "id", "left")
     more = write_table(more.select("key", "letters", "id", "first", "counts", "own", F.coalesce("done", F.lit(False)).alias("done")), "line_more")
@@ -160,22 +171,22 @@ def near_lines(docs: DataFrame, uniq: DataFrame, edits: int) -> DataFrame:
     open_s = s.where("not done_b").join(r, ["key", "letters"]).where(like & (F.col("fa") < F.col("fb"))).select("a", "b")
     rest = open_r.union(open_s).distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     rest = write_table(rest, "line_pairs_rest")
-    return late if rest.isEmpty() else late.union(_late(rest, texts, edits)).distinct()
+    return late if rest.isEmpty() else late.union(_late(rest, texts, edits, every)).distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """row_, dropped: the line numbers to drop, for rows that have any. least: characters of a line that has near copies."""
-    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, least), "drops")
+def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, every: int = CHARS_PER_EDIT) -> DataFrame:
+    """row_, dropped: the line numbers to drop, for rows that have any. A line has near copies within one edit for each `every` characters, up to `edits`."""
+    return settled(docs.sparkSession, lambda: _dropped_lines(docs, edits, every), "drops")
 
 
-def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def _dropped_lines(docs: DataFrame, edits: int, every: int) -> DataFrame:
     # Rows of one id are told apart by half of their hash here: it only has to differ within the id.
     place = F.struct("doc_id", F.col("row_.a").alias("row"), "line_no")
-    keys = F.array(*probe_keys(F.col("line"), F.length("line"), edits, max(least, edits + 1)))
+    keys = F.array(*probe_keys(F.col("line"), F.length("line"), edits, max(every, edits + 1)))
     keyed = lines(docs).select("h", place.alias("first"), keys.alias("probe"))
     uniq = keyed.groupBy("h").agg(F.min(F.struct("first", "probe")).alias("m"), F.count(F.lit(1)).alias("n")).select("h", "m.*", "n")
     uniq = write_table(uniq.withColumn("id", F.monotonically_increasing_id()), "lines")
-    late = write_table(near_lines(docs, uniq, edits), "late")
+    late = write_table(near_lines(docs, uniq, edits, every), "late")
     firsts = uniq.select("id", "h", "first", "n").join(late.withColumn("late", F.lit(True)), "id", "left").where("n > 1 or late").select("h", "first", "late")
     firsts = write_table(firsts, "firsts")
     gone = sieved(lines(docs).select("h", "doc_id", "row_", "line_no"), "h", firsts, exact=False).join(firsts, "h")
@@ -183,11 +194,11 @@ def _dropped_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return gone.groupBy("row_").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = MAX_EDITS, every: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with repeats cut out of text; a document that had lines and lost all of them goes."""
     names = docs.columns
     row, drops = unused(docs, "row_", "drops")
-    found = dropped_lines(docs, edits, least).select(F.col("row_").alias(row), F.col("dropped").alias(drops))
+    found = dropped_lines(docs, edits, every).select(F.col("row_").alias(row), F.col("dropped").alias(drops))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(drops), i))
     out = docs.withColumn(row, hash_128("doc_id", "text")).join(found, row, "left")
@@ -217,7 +228,7 @@ WITH rows AS (SELECT DISTINCT doc_id, text FROM documents),
 parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM rows),
 filled AS (SELECT * FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 uniq AS (SELECT line, min(row(doc_id, line_no)) AS first, length(line) AS n FROM filled GROUP BY line),
-late AS (SELECT DISTINCT b.line FROM uniq a JOIN uniq b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.n >= 32 AND b.n >= 32 AND a.first < b.first AND levenshtein(a.line, b.line) <= 2),
+late AS (SELECT DISTINCT b.line FROM uniq a JOIN uniq b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.n >= 16 AND b.n >= 16 AND a.first < b.first AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 16)),
 gone AS (SELECT p.doc_id, p.text, p.line_no FROM filled p JOIN uniq u USING (line)
          WHERE row(p.doc_id, p.line_no) <> u.first OR p.line IN (SELECT line FROM late)),
 drops AS (SELECT doc_id, text, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS l FROM gone GROUP BY 1, 2)

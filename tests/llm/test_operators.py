@@ -663,7 +663,7 @@ def test_line_dedup_against_brute_force(spark):
         for k, line in enumerate(t.split("\n")):
             first.setdefault(line, (i, k))
     for i, t in docs:
-        gone = [k for k, x in enumerate(t.split("\n")) if x.strip() and (first[x] != (i, k) or len(x) >= 32 and any(len(y) >= 32 and first[y] < first[x] and edits(x, y) <= 2 for y in first))]
+        gone = [k for k, x in enumerate(t.split("\n")) if x.strip() and (first[x] != (i, k) or any(first[y] < first[x] and edits(x, y) <= min(2, min(len(x), len(y)) // 16) for y in first))]
         want[i] = gone
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = linededup._rows(df).join(linededup.dropped_lines(df), "row_", "left").collect()
