@@ -27,7 +27,7 @@ from geoquill.llm import webp
 from geoquill.llm.common import prepare, read, text_of
 
 UNIT, ROW, MOST = 64, 16, 16384
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 
 
 def payload(data: bytes) -> bytes:

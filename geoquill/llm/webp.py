@@ -26,8 +26,8 @@ BLACK = 0xFF000000
 PREDICTOR, CROSS, SUBTRACT_GREEN, PALETTE = range(4)
 
 
-#: Fewer images than this are read pixel by pixel.
-FEW = 16
+#: Fewer images than this are read pixel by pixel, which then costs less than array operations do.
+FEW = 96
 
 
 class Bits:
@@ -74,8 +74,15 @@ class Prefix:
         self.table = np.repeat(16 * symbols + sizes, each)[_reversed(self.bits)]
 
 
+@functools.lru_cache(4096)
+def _length_code(lengths: tuple[int, ...]) -> tuple[list[int], int]:
+    """Table and mask of the code that lengths are sent by."""
+    code = Prefix(lengths)
+    return code.table.tolist(), (1 << code.bits) - 1
+
+
 def read_prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
+    lengths = bytearray(size)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
@@ -85,8 +92,7 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
     of = [0] * 19
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         of[k] = bits.read(3)
-    code = Prefix(of)
-    table, mask = code.table.tolist(), (1 << code.bits) - 1
+    table, mask = _length_code(tuple(of))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
@@ -111,7 +117,7 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
             if at + times > size:
                 raise ValueError("a run of code lengths is too long")
             if s == 16:
-                lengths[at : at + times] = [before] * times
+                lengths[at : at + times] = bytes([before]) * times
             at += times
         window >>= n
         held -= n
@@ -469,13 +475,16 @@ class Writer:
             self.n -= 8 * whole
 
     def fields(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Many fields at once."""
-        of = np.repeat(np.arange(len(values)), sizes)
-        if not len(of):
+        """Many fields of up to 63 bits at once; one without bits has the value 0."""
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
             return
-        place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
-        packed = np.packbits((values[of] >> place & 1).astype(np.uint8), bitorder="little").tobytes()
-        self.put(int.from_bytes(packed, "little"), len(of))
+        at = ends - sizes
+        word, shift, v = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, "<u8")
+        np.add.at(out, word, v << shift)  # no bit is set twice, so sums are unions
+        np.add.at(out, word + 1, v >> np.uint64(1) >> (np.uint64(63) - shift))
+        self.put(int.from_bytes(out.tobytes(), "little"), int(ends[-1]))
 
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) >> 3, "little")
@@ -492,26 +501,31 @@ def write_lengths(w: Writer, lengths: np.ndarray) -> None:
         w.put(0b101 | int(used[0]) << 3, 11)
         return
     runs = SPELT.findall(np.asarray(lengths, np.uint8).tobytes())
-    symbols = [x[0] if (n := len(x)) < 3 else 17 if n < 11 else 18 for x in runs]
-    kinds = sorted(set(symbols))
+    size, code, head = _length_codes(tuple(sorted({_length_symbol(x) for x in set(runs)})))
+    w.put(head, 5 + 3 * len(LENGTH_ORDER))
+    bits = "".join([_spelling(x, size, code[_length_symbol(x)]) for x in reversed(runs)]) + "0"
+    w.put(int(bits, 2), len(bits))
+
+
+@functools.lru_cache(1024)
+def _length_symbol(run: bytes) -> int:
+    return run[0] if len(run) < 3 else 17 if len(run) < 11 else 18
+
+
+@functools.lru_cache(4096)
+def _length_codes(kinds: tuple[int, ...]) -> tuple[int, dict[int, int], int]:
+    """A code of one length for the symbols that lengths are sent by: the bits of each, its words, and how it is announced."""
     size = max(1, (len(kinds) - 1).bit_length())
-    if len(kinds) > 1:
-        kinds = sorted(kinds + [k for k in range(19) if k not in kinds][: (1 << size) - len(kinds)])
-    w.put(15 << 1, 5)
-    w.put(sum((size if k in kinds else 0) << 3 * at for at, k in enumerate(LENGTH_ORDER)), 3 * len(LENGTH_ORDER))
-    code = dict(zip(kinds, _reversed(size).tolist(), strict=False))
-    size *= len(kinds) > 1
-    value, n = 0, 1
-    for x, s in zip(runs, symbols, strict=True):
-        value |= code[s] << n
-        n += size
-        if s == 17:
-            value |= (len(x) - 3) << n
-            n += 3
-        elif s == 18:
-            value |= (len(x) - 11) << n
-            n += 7
-    w.put(value, n)
+    full = sorted([*kinds, *[k for k in range(19) if k not in kinds][: (1 << size) - len(kinds)]]) if len(kinds) > 1 else kinds
+    head = 15 << 1 | sum((size if k in full else 0) << 3 * at for at, k in enumerate(LENGTH_ORDER)) << 5
+    return size * (len(kinds) > 1), dict(zip(full, _reversed(size).tolist(), strict=False)), head
+
+
+@functools.lru_cache(1 << 14)
+def _spelling(run: bytes, size: int, word: int) -> str:
+    """The bits of a run, the first one last."""
+    n = len(run)
+    return ("" if n < 3 else f"{n - 3:03b}" if n < 11 else f"{n - 11:07b}") + (f"{word:0{size}b}" if size else "")
 
 
 def mixed_lengths(counts: np.ndarray) -> np.ndarray:
@@ -620,6 +634,14 @@ def references(flat: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _joined(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Fields that follow one another, values and numbers of bits, as one field: 58 or 60 bits at most for a reference or a pixel."""
+    value, size = parts[0]
+    for v, n in parts[1:]:
+        value, size = value | v << size, size + n
+    return value, size
+
+
 def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     """An entropy-coded image with references, a colour cache where it helps, and a code of mixed lengths for each channel."""
     refs = references(flat)
@@ -631,8 +653,7 @@ def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     bits = min(8, max(1, len(flat).bit_length() - 2))
     slot = (np.uint64(CACHE_FACTOR) * flat.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
     last = _before(slot)
-    hit = np.zeros(len(flat), bool)
-    hit[last >= 0] = flat[last[last >= 0]] == flat[last >= 0]
+    hit = (last >= 0) & (flat[last] == flat)
     channels = _octets(flat)
     if (channels.min(0) == channels.max(0))[[0, 1, 3]].all() or hit[alone].sum() < 8:  # one channel alone costs no more than the cache
         hit[:], bits = False, 0
@@ -652,14 +673,14 @@ def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     for one in lengths:
         write_lengths(w, one)
     words = [code_words(one) for one in lengths]
-    value, count = np.zeros((len(flat), 4), np.int64), np.zeros((len(flat), 4), np.int64)
-    for k, c in enumerate((2, 1, 3, 0)):
-        value[plain, k], count[plain, k] = words[k][0][channels[plain, c]], words[k][1][channels[plain, c]]
-    value[cached, 0], count[cached, 0] = words[0][0][280 + slot[cached]], words[0][1][280 + slot[cached]]
+    spell = lambda k, symbols: (words[k][0][symbols], words[k][1][symbols])
+    value, count = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+    own = channels[plain]
+    value[plain], count[plain] = _joined([spell(k, own[:, c]) for k, c in enumerate((2, 1, 3, 0))])
+    value[cached], count[cached] = spell(0, 280 + slot[cached])
     if refs:
-        value[n] = np.stack([words[0][0][256 + size_symbol], size_extra, words[4][0][far_symbol], far_extra], 1)
-        count[n] = np.stack([words[0][1][256 + size_symbol], size_bits, words[4][1][far_symbol], far_bits], 1)
-    w.fields(value.ravel(), count.ravel())
+        value[n], count[n] = _joined([spell(0, 256 + size_symbol), (size_extra, size_bits), spell(4, far_symbol), (far_extra, far_bits)])
+    w.fields(value, count)
 
 
 def _cost(octets: np.ndarray) -> float:
@@ -692,13 +713,15 @@ def encode(pixels: np.ndarray) -> bytes:
     flat = np.ascontiguousarray(pixels).ravel()
     w = Writer()
     _start(w, width, height)
-    table, index = np.unique(flat, return_inverse=True)
+    table = np.sort(flat)
+    table = table[np.append(True, table[1:] != table[:-1])]
     octets = _octets(flat)
     forms = [(_cost(octets), -1, octets)]
     for form, more in ((SUBTRACT_GREEN, 0), ((PREDICTOR, 1), 60), ((PREDICTOR, 2), 60)):
         left = _subtracted(octets, width, form)
         forms.append((_cost(left) + more, form, left))
     if len(table) <= 256:
+        index = np.searchsorted(table, flat)
         steps = _octets(table).copy()
         steps[1:] -= _octets(table)[:-1]
         forms.append((_cost(steps) + _cost(_octets(index.astype(np.uint32) << np.uint32(8))), PALETTE, steps))
