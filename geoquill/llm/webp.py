@@ -75,9 +75,12 @@ class Prefix:
 
 
 @functools.lru_cache(4096)
-def _length_code(lengths: tuple[int, ...]) -> tuple[list[int], int]:
-    """Table and mask of the code that lengths are sent by."""
-    code = Prefix(lengths)
+def _length_code(packed: int) -> tuple[list[int], int]:
+    """Table and mask of the code that lengths are sent by, from its own lengths, three bits each in LENGTH_ORDER."""
+    of = [0] * 19
+    for at, k in enumerate(LENGTH_ORDER):
+        of[k] = packed >> 3 * at & 7
+    code = Prefix(of)
     return code.table.tolist(), (1 << code.bits) - 1
 
 
@@ -89,10 +92,7 @@ def read_prefix(bits: Bits, size: int) -> Prefix:
         if two:
             lengths[bits.read(8)] = 1
         return Prefix(lengths)
-    of = [0] * 19
-    for k in LENGTH_ORDER[: 4 + bits.read(4)]:
-        of[k] = bits.read(3)
-    table, mask = _length_code(tuple(of))
+    table, mask = _length_code(bits.read(3 * (4 + bits.read(4))))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
@@ -501,9 +501,9 @@ def write_lengths(w: Writer, lengths: np.ndarray) -> None:
         w.put(0b101 | int(used[0]) << 3, 11)
         return
     runs = SPELT.findall(np.asarray(lengths, np.uint8).tobytes())
-    size, code, head = _length_codes(tuple(sorted({_length_symbol(x) for x in set(runs)})))
-    w.put(head, 5 + 3 * len(LENGTH_ORDER))
-    bits = "".join([_spelling(x, size, code[_length_symbol(x)]) for x in reversed(runs)]) + "0"
+    spelling = _spelling(tuple(sorted(set(map(_length_symbol, set(runs))))))
+    w.put(spelling.head, 5 + 3 * len(LENGTH_ORDER))
+    bits = "".join(map(spelling.__getitem__, reversed(runs))) + "0"
     w.put(int(bits, 2), len(bits))
 
 
@@ -512,20 +512,22 @@ def _length_symbol(run: bytes) -> int:
     return run[0] if len(run) < 3 else 17 if len(run) < 11 else 18
 
 
-@functools.lru_cache(4096)
-def _length_codes(kinds: tuple[int, ...]) -> tuple[int, dict[int, int], int]:
-    """A code of one length for the symbols that lengths are sent by: the bits of each, its words, and how it is announced."""
-    size = max(1, (len(kinds) - 1).bit_length())
-    full = sorted([*kinds, *[k for k in range(19) if k not in kinds][: (1 << size) - len(kinds)]]) if len(kinds) > 1 else kinds
-    head = 15 << 1 | sum((size if k in full else 0) << 3 * at for at, k in enumerate(LENGTH_ORDER)) << 5
-    return size * (len(kinds) > 1), dict(zip(full, _reversed(size).tolist(), strict=False)), head
+class Spelling(dict):
+    """The bits of runs, the first one last, by a code of one length for the symbols (kinds) that lengths are sent by; head announces that code."""
 
+    def __init__(self, kinds: Sequence[int]) -> None:
+        size = max(1, (len(kinds) - 1).bit_length())
+        full = sorted([*kinds, *[k for k in range(19) if k not in kinds][: (1 << size) - len(kinds)]]) if len(kinds) > 1 else kinds
+        self.head = 15 << 1 | sum((size if k in full else 0) << 3 * at for at, k in enumerate(LENGTH_ORDER)) << 5
+        self.words = {k: f"{word:0{size}b}" if len(kinds) > 1 else "" for k, word in zip(full, _reversed(size).tolist(), strict=False)}
 
-@functools.lru_cache(1 << 14)
-def _spelling(run: bytes, size: int, word: int) -> str:
-    """The bits of a run, the first one last."""
-    n = len(run)
-    return ("" if n < 3 else f"{n - 3:03b}" if n < 11 else f"{n - 11:07b}") + (f"{word:0{size}b}" if size else "")
+    def __missing__(self, run: bytes) -> str:
+        n = len(run)
+        out = self[run] = ("" if n < 3 else f"{n - 3:03b}" if n < 11 else f"{n - 11:07b}") + self.words[_length_symbol(run)]
+        return out
+
+
+_spelling = functools.lru_cache(4096)(Spelling)
 
 
 def mixed_lengths(counts: np.ndarray) -> np.ndarray:
@@ -652,19 +654,20 @@ def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     alone = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
     bits = min(8, max(1, len(flat).bit_length() - 2))
     slot = (np.uint64(CACHE_FACTOR) * flat.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
-    last = _before(slot)
+    last = _before(slot.astype(np.uint8))
     hit = (last >= 0) & (flat[last] == flat)
     channels = _octets(flat)
-    if (channels.min(0) == channels.max(0))[[0, 1, 3]].all() or hit[alone].sum() < 8:  # one channel alone costs no more than the cache
+    if not ((flat ^ flat[0]) & np.uint32(0xFFFF00FF)).any() or hit[alone].sum() < 8:  # one channel alone costs no more than the cache
         hit[:], bits = False, 0
     cached = alone[hit[alone]]
     plain = alone[~hit[alone]]
+    own = channels[plain]
     n, size, far = (np.array(x, np.int64) for x in (zip(*refs, strict=True) if refs else ((), (), ())))
     near = _near_codes(width)
-    size_symbol, size_extra, size_bits = _split(size)
-    far_symbol, far_extra, far_bits = _split(np.array([near.get(d, d + len(NEAR)) for d in far.tolist()], np.int64))
-    green = np.bincount(np.concatenate([channels[plain, 2], 256 + size_symbol, 280 + slot[cached]]), minlength=280 + (1 << bits if bits else 0))
-    lengths = [mixed_lengths(green), *(mixed_lengths(np.bincount(channels[plain, c], minlength=256)) for c in (1, 3, 0)), mixed_lengths(np.bincount(far_symbol, minlength=40))]
+    both = np.concatenate([size, np.array([near.get(d, d + len(NEAR)) for d in far.tolist()], np.int64)])
+    (size_symbol, far_symbol), (size_extra, far_extra), (size_bits, far_bits) = (x.reshape(2, -1) for x in _split(both))
+    green = np.bincount(np.concatenate([own[:, 2], 256 + size_symbol, 280 + slot[cached]]), minlength=280 + (1 << bits if bits else 0))
+    lengths = [mixed_lengths(green), *(mixed_lengths(np.bincount(own[:, c], minlength=256)) for c in (1, 3, 0)), mixed_lengths(np.bincount(far_symbol, minlength=40))]
     w.put(1 if bits else 0, 1)
     if bits:
         w.put(bits, 4)
@@ -675,7 +678,6 @@ def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     words = [code_words(one) for one in lengths]
     spell = lambda k, symbols: (words[k][0][symbols], words[k][1][symbols])
     value, count = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-    own = channels[plain]
     value[plain], count[plain] = _joined([spell(k, own[:, c]) for k, c in enumerate((2, 1, 3, 0))])
     value[cached], count[cached] = spell(0, 280 + slot[cached])
     if refs:
@@ -683,11 +685,23 @@ def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     w.fields(value, count)
 
 
-def _cost(octets: np.ndarray) -> float:
-    """Bits of pixels (n, 4) by the entropy of their channels."""
-    n = np.bincount((octets + np.arange(0, 1024, 256, dtype=np.int32)).ravel(), minlength=1024)
-    n = n[n > 0]
-    return float((n * np.log2(len(octets) / n)).sum()) + 5 * len(n)
+def _weighed(counts: np.ndarray) -> np.ndarray:
+    return counts * np.log2(np.maximum(counts, 1))
+
+
+#: _weighed of small counts, which most images have alone.
+WEIGHED = _weighed(np.arange(1 << 14))
+CHANNEL = np.arange(0, 1024, 256)
+
+
+def _costs(forms: np.ndarray) -> list[float]:
+    """Bits of each form (forms, pixels, 4) by the entropy of its channels."""
+    n, out = forms.shape[1], []
+    for form in forms:
+        counts = np.bincount((form + CHANNEL).ravel(), minlength=1024)
+        inside = WEIGHED[counts] if n < len(WEIGHED) else _weighed(counts)
+        out.append(float(4 * n * np.log2(n) - inside.sum()) + 5 * np.count_nonzero(counts))
+    return out
 
 
 def _subtracted(octets: np.ndarray, width: int, form: int | tuple[int, int]) -> np.ndarray:
@@ -716,15 +730,14 @@ def encode(pixels: np.ndarray) -> bytes:
     table = np.sort(flat)
     table = table[np.append(True, table[1:] != table[:-1])]
     octets = _octets(flat)
-    forms = [(_cost(octets), -1, octets)]
-    for form, more in ((SUBTRACT_GREEN, 0), ((PREDICTOR, 1), 60), ((PREDICTOR, 2), 60)):
-        left = _subtracted(octets, width, form)
-        forms.append((_cost(left) + more, form, left))
+    kinds = [-1, SUBTRACT_GREEN, (PREDICTOR, 1), (PREDICTOR, 2)]
+    shapes = np.stack([octets, *(_subtracted(octets, width, form) for form in kinds[1:])])
+    forms = [(bits + more, form, left) for bits, more, form, left in zip(_costs(shapes), (0, 0, 60, 60), kinds, shapes, strict=True)]
     if len(table) <= 256:
         index = np.searchsorted(table, flat)
         steps = _octets(table).copy()
         steps[1:] -= _octets(table)[:-1]
-        forms.append((_cost(steps) + _cost(_octets(index.astype(np.uint32) << np.uint32(8))), PALETTE, steps))
+        forms.append((_costs(steps[None])[0] + _costs(_octets(index.astype(np.uint32) << np.uint32(8))[None])[0], PALETTE, steps))
     _, form, left = min(forms, key=lambda x: x[0])
     left = flat if form == -1 else _pixels(left)
     wide = width
