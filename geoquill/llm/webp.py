@@ -601,11 +601,12 @@ def _near_codes(width: int) -> dict[int, int]:
     return out
 
 
-def _before(values: np.ndarray) -> np.ndarray:
-    """For each place the last one before it with the same value, or -1."""
-    order = np.argsort(values, kind="stable")
+def _before(values: np.ndarray, size: int) -> np.ndarray:
+    """For each place the last one before it with the same value, of size bits (the highest count where places leave no room for all), or -1."""
+    place = len(values).bit_length()
+    keys = np.sort(values.astype(np.uint64) >> np.uint64(max(0, size + place - 64)) << np.uint64(place) | np.arange(len(values), dtype=np.uint64))
+    order, same = (keys & np.uint64((1 << place) - 1)).astype(np.int64), np.diff(keys >> np.uint64(place)) == 0
     out = np.full(len(values), -1)
-    same = values[order[1:]] == values[order[:-1]]
     out[order[1:][same]] = order[:-1][same]
     return out
 
@@ -616,7 +617,7 @@ def references(flat: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     p = flat.astype(np.uint64)
     triple = p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ p[2:] * np.uint64(0x165667B19E3779F9)
-    back = _before(triple)
+    back = _before(triple, 64)
     out, at = [], 0
     for n in np.flatnonzero(back >= 0).tolist():
         if n < at:
@@ -654,7 +655,7 @@ def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
     alone = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
     bits = min(8, max(1, len(flat).bit_length() - 2))
     slot = (np.uint64(CACHE_FACTOR) * flat.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
-    last = _before(slot.astype(np.uint8))
+    last = _before(slot, bits)
     hit = (last >= 0) & (flat[last] == flat)
     channels = _octets(flat)
     if not ((flat ^ flat[0]) & np.uint32(0xFFFF00FF)).any() or hit[alone].sum() < 8:  # one channel alone costs no more than the cache
