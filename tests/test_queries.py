@@ -178,6 +178,16 @@ def test_greedy_dedup_of_a_long_chain(spark):
     assert rounds[0] < 20 and rounds[1] == 1
 
 
+def test_nearest_ties_go_to_the_least_id(spark):
+    """References as far to the left as to the right are a tie, whatever the last bits of their places say."""
+    at = lambda k: -60.0 + k / 20110.0
+    left = spark.createDataFrame([(k, -30.0, at(100 * k)) for k in range(1, 200)], "pid long, lat double, lng double")
+    refs = [(2 * k + side, -30.0, at(100 * k + (7 if side else -7) * (-1 if k % 2 else 1))) for k in range(1, 200) for side in (0, 1)]
+    right = spark.createDataFrame(refs, "rid long, lat double, lng double")
+    for most in (1, 10**6):
+        assert {r["pid"]: r["match_id"] for r in spatial.nearest_within(left, right, 100.0, "pid", "rid", most=most).collect()} == {k: 2 * k for k in range(1, 200)}
+
+
 def test_nearest_in_full_cells(spark):
     """Halved cells find what comparing all pairs finds, for points among, beside and far from the references, with ties and spots of several ids; pairs stay near the number of points."""
     rng, compared = random.Random(6), []
