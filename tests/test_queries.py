@@ -387,3 +387,31 @@ def test_boxes_by_cells_are_those_by_broadcast(spark):
     points = spark.range(300).select("id", (F.col("id") * 7 % 400 / 10).alias("lng"), (F.col("id") * 11 % 170 / 10).alias("lat"))
     look = lambda bound: sorted(map(tuple, spatial.bbox_lookup(points, boxes, "v", "o", "id", bound).collect()))
     assert look(5) == look(1000) and any(r[-1] for r in look(5))
+
+
+def test_radar_mask_keeps_no_values(spark):
+    """The mask is that of the median, of odd, even, missing and NaN values, but is made from counts."""
+    rng = random.Random(8)
+    values = [-13.0, -12.0, -11.0, -11.5, -12.5, float("nan"), None]
+    rows = [(tile, 0, 0, rng.choice(values)) for tile in range(200) for _ in range(rng.randrange(1, 6))]
+    df = spark.createDataFrame(rows, "tile_id long, row int, col int, vv_db double")
+    got = raster.mask_sar(df, -12.0)
+    want = df.groupBy("tile_id", "row", "col").agg((F.median("vv_db") > -12.0).alias("mask"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_tiles_share_a_group(spark):
+    """Tiles of 8 by 8 pixels are opened and labelled by blocks, and block borders leave no trace."""
+    rng = np.random.default_rng(9)
+    mask = rng.random((600, 80)) < 0.45
+    rows = [(int(r // 8 * 10 + c // 8), int(r % 8), int(c % 8), bool(mask[r, c])) for r in range(600) for c in range(80)]
+    df = spark.createDataFrame(rows, "tile_id long, row int, col int, mask boolean")
+    assert raster.with_halo(df, 2, (8, 8), 10).select("target").distinct().count() == 3
+    names = raster.labelled(mask)
+    for blocks, found in ((3, raster.vectorize_mask(df, 8, 8, 10)), (1, raster.vectorize_mask(df.where("tile_id < 320"), 8, 8, 10))):
+        got = {(r["gr"], r["gc"]): r["component"] for r in found.collect()}
+        part = names if blocks == 3 else raster.labelled(mask[:256])
+        assert got == {(int(r), int(c)): int(part[r, c]) for r, c in zip(*np.nonzero(part >= 0), strict=True)}
+    opened = raster.opened(mask, 1)
+    assert {(r["tile_id"] // 10 * 8 + r["row"], r["tile_id"] % 10 * 8 + r["col"]) for r in raster.morphological_open(df, 1, (8, 8), 10).where("mask").collect()} == {(int(r), int(c)) for r, c in zip(*np.nonzero(opened), strict=True)}
