@@ -9,8 +9,8 @@
    matrix at its first shingles alone, where m - i >= 0.8 n.
 4. First every set is compared with the head of each of its cells, the set that leaves most of itself there: the middle of a family of near copies. Linked sets
    are groups. The matrix then has a row for each shingle and group, with the most that a member may share and the least size there.
-   A set whose rows pass these bounds for another group is a query for that group: it is held against the union of all shingles of the group, and
-   only where that overlap suffices is the group opened and its members compared one by one.
+   A set whose rows pass these bounds for another group is a query for that group, if their sketches (a bit a shingle, modulo 8192) leave enough in common: a bit that
+   only the set has is a shingle that only it has. The query is held against the union of all shingles of the group, and only where that overlap suffices is the group opened and its members compared one by one.
 
 Scale: texts are read once, and again for those sets that step 2 keeps of the lowest hashes, shuffled where these are more than BROADCAST. Hashes are shuffled as packed arrays by bucket, whose
 number follows the number of hashes, and copies within a partition are one set before that. A family of near copies costs about its size: members
@@ -42,6 +42,8 @@ CHUNK = 500_000  # hashes a task deals at once
 #: Rows of four numbers that are broadcast at most, to read the texts of chosen sets where they lie; beyond that the texts are shuffled to them.
 BROADCAST = 500_000
 LOW_BYTES = 6  # of the lowest hashes, which only choose candidates
+#: 64-bit words of a sketch.
+SKETCH = 128
 _STEP = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(WORDS)]
 
 
@@ -350,10 +352,13 @@ def links(table: DataFrame) -> DataFrame:
     open_rows = write_table(_open_rows(write_table(grouped.join(mixed, "token"), "matrix_mixed")), "matrix_open")
     cells = _cells(open_rows)
     meets = open_rows.join(cells.withColumnRenamed("comp", "other"), "token").where((F.col("comp") != F.col("other")) & (F.col("reach") >= LEAST * F.col("cell_n")) & (F.col("cell_reach") >= LEAST * F.col("n")))
-    queries = write_table(meets.groupBy("sid", "n", F.col("other").alias("comp")).agg(F.min("cell_n").alias("cell_n")), "queries")
+    met = write_table(meets.groupBy("sid", "n", F.col("other").alias("comp")).agg(F.min("cell_n").alias("cell_n")), "met")
+    inside = table.join(named, "sid", "left").select("tokens", F.coalesce("comp", "sid").alias("comp")).join(met.select("comp").distinct(), "comp", "left_semi")
+    unions = write_table(each_token(inside, "comp").distinct(), "unions")
+    queries = write_table(_queries(met, unions, table), "queries")
     if queries.isEmpty():
         return groups
-    qualified = write_table(_qualified(queries, table, named), "qualified")
+    qualified = write_table(_qualified(queries, unions, table), "qualified")
     asking = open_rows.select("token", F.col("sid").alias("q"), F.col("n").alias("qn"), F.col("reach").alias("q_reach"))
     opened = qualified.withColumnRenamed("sid", "q").join(asking, "q").join(open_rows, ["token", "comp"])
     pairs = opened.where((F.col("q_reach") >= LEAST * F.col("n")) & (F.col("reach") >= LEAST * F.col("qn"))).select(F.least("q", "sid").alias("a"), F.greatest("q", "sid").alias("b"))
@@ -380,11 +385,24 @@ def _open_rows(grouped: DataFrame) -> DataFrame:
     return grouped.join(second, "token").where((reach >= LEAST * F.col("n")) & (F.col("reach") >= LEAST * least)).select("token", "sid", "n", "reach", "comp")
 
 
-def _qualified(queries: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame:
+def _sketches(rows: DataFrame, name: str) -> DataFrame:
+    """name, m (its rows) and words (word, bits), from rows of name and token: a bit for each token, modulo 64 * SKETCH, in the words that have one. Of a bounded size, however many tokens there are."""
+    word, bit = F.pmod(F.shiftright("token", 6), F.lit(SKETCH)).cast("int"), F.expr("bit_or(shiftleft(1L, CAST(token & 63 AS INT)))")
+    words = rows.groupBy(name, word.alias("word")).agg(bit.alias("bits"), F.count(F.lit(1)).alias("m"))
+    return words.groupBy(name).agg(F.sum("m").alias("m"), F.collect_list(F.struct("word", "bits")).alias("words"))
+
+
+def _queries(met: DataFrame, unions: DataFrame, table: DataFrame) -> DataFrame:
+    """Those of met (sid, n, comp, cell_n) whose sketches don't rule out that enough of the set is in the group's union. A set has one shingle at least for each bit that the union lacks."""
+    asking = _sketches(each_token(table.join(met.select("sid").distinct(), "sid", "left_semi"), "sid"), "sid")
+    groups = _sketches(unions, "comp").select("comp", F.map_from_entries("words").alias("bits"))
+    groups = groups.select("comp", F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.coalesce(F.try_element_at("bits", k), F.lit(0).cast("long"))).alias("bits"))
+    lacks = F.aggregate("words", F.lit(0), lambda n, w: n + F.bit_count(w["bits"].bitwiseAND(F.bitwise_not(F.get("bits", w["word"])))))
+    return met.join(asking, "sid").join(groups, "comp").where((F.col("m") - lacks) * (100 + LEAST) >= (F.col("n") + F.col("cell_n")) * LEAST).select(*met.columns)
+
+
+def _qualified(queries: DataFrame, unions: DataFrame, table: DataFrame) -> DataFrame:
     """sid, comp: queries that share enough with the union of all shingles of the group."""
-    asked = queries.select("comp").distinct()
-    inside = table.join(named, "sid", "left").select("tokens", F.coalesce("comp", "sid").alias("comp")).join(asked, "comp", "left_semi")
-    unions = write_table(each_token(inside, "comp").distinct(), "unions")
     asking = each_token(table.join(queries.select("sid").distinct(), "sid", "left_semi"), "sid").join(queries, "sid")
     held = asking.join(unions, ["comp", "token"]).groupBy("sid", "comp", "n", "cell_n").agg(F.count(F.lit(1)).alias("held"))
     return held.where(F.col("held") * (100 + LEAST) >= (F.col("n") + F.col("cell_n")) * LEAST).select("sid", "comp")

@@ -547,6 +547,28 @@ def test_jaccard_against_brute_force(spark, seed, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_family_that_shares_a_passage_is_not_compared_in_full(spark, monkeypatch):
+    """Texts that share their rarest words, but too few to link, meet in the matrix; few of these pairs may go on to the count of all common shingles."""
+    draw = random.Random(5)
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    pool = [words(f"p{k}", 40) for k in range(8)]
+    rows = [(k, " ".join([words(f"r{k % 5}", 40), *draw.sample(pool, 4)])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " " + words("end", 3 + k)) for k in range(4)]
+    counts = {}
+    ask = jaccard._qualified
+    monkeypatch.setattr(jaccard, "_qualified", lambda queries, *more: counts.update(asked=queries.count()) or ask(queries, *more))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()}
+    sets = {k: {tuple(x) for x in zip(*[t.split()[i:] for i in range(5)], strict=False)} for k, t in rows}
+    want = {k: k for k in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert counts.get("asked", 0) < 100
+
+
 def test_jaccard_odd_input(spark):
     got = jaccard.with_components(with_extra(odd(spark))).collect()
     by = {r["doc_id"]: r for r in got}
