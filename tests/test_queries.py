@@ -415,3 +415,18 @@ def test_small_tiles_share_a_group(spark):
         assert got == {(int(r), int(c)): int(part[r, c]) for r, c in zip(*np.nonzero(part >= 0), strict=True)}
     opened = raster.opened(mask, 1)
     assert {(r["tile_id"] // 10 * 8 + r["row"], r["tile_id"] % 10 * 8 + r["col"]) for r in raster.morphological_open(df, 1, (8, 8), 10).where("mask").collect()} == {(int(r), int(c)) for r, c in zip(*np.nonzero(opened), strict=True)}
+
+
+def test_landcover_takes_the_least_of_the_most_frequent_classes_without_a_sort(spark, capsys):
+    from geoquill.operators.raster import mask_landcover
+
+    rows = [(0, 1), (0, 1), (0, 6), (1, 6), (1, 1), (2, 6), (2, 6), (2, 1), (3, None), (3, 6), (4, None), (4, 6), (4, 6), (5, -(1 << 31)), (5, 6), (6, (1 << 31) - 1), (6, 6), (7, None)]
+    df = spark.createDataFrame([(1, 0, c, k) for c, k in rows], "tile_id long, row int, col int, landcover int")
+    want = {0: False, 1: False, 2: True, 3: None, 4: True, 5: False, 6: True, 7: None}
+    for kind in ("int", "string"):
+        got = mask_landcover(df.withColumn("landcover", df["landcover"].cast(kind)), 6)
+        assert kind == "string" or {r["col"]: r["mask"] for r in got.collect()} == want
+        got.explain()
+        assert ("SortAggregate" in capsys.readouterr().out) == (kind == "string")
+    at = {k: mask_landcover(df, k).where("mask").count() for k in (-(1 << 31), (1 << 31) - 1)}
+    assert at == {-(1 << 31): 1, (1 << 31) - 1: 0}
