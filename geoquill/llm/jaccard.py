@@ -13,7 +13,7 @@
    only the set has is a shingle that only it has. The query is held against the union of all shingles of the group, and only where that overlap suffices is the group opened and its members compared one by one.
 
 Scale: texts are read once, and again for those sets that step 2 keeps of the lowest hashes, shuffled where these are more than BROADCAST. Hashes are shuffled as packed arrays by bucket, whose
-number follows the number of hashes, and copies within a partition are one set before that. A family of near copies costs about its size: members
+number follows the number of hashes, and copies within a partition are one set before that; what a bucket counts goes on packed, too. A family of near copies costs about its size: members
 meet their head, and not each other unless the bounds let them link across groups. Nothing is collected, and nothing broadcast but that list and the sieve of
 `sieved`, which have fixed bounds; a bucket holds the sets of a shingle, so one that very many different sets hold makes its bucket larger; the joins are plain shuffles that AQE splits where one shingle or group is hot.
 
@@ -39,6 +39,7 @@ WORDS = 5
 LEAST = 80  # per cent
 ENTRIES = 500_000  # hashes a bucket holds, about
 CHUNK = 500_000  # hashes a task deals at once
+COUNTS = 4_000_000  # counts of keys that a task sums, at most about
 #: Rows of four numbers that are broadcast at most, to read the texts of chosen sets where they lie; beyond that the texts are shuffled to them.
 BROADCAST = 500_000
 LOW_BYTES = 6  # of the lowest hashes, which only choose candidates
@@ -201,6 +202,33 @@ def _shared(frame: pd.DataFrame, key_size: int = 8, token_size: int = 8) -> tupl
     return token[many], key[many], times[many]
 
 
+def _counts(dealt: DataFrame, size: int, parts: int) -> DataFrame:
+    """part, key, times, packed: of every key in a bucket, how many of its tokens other keys have there. A row for a bucket and part, as there may be as many (bucket, key) as there are tokens."""
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        key, times = np.unique(_shared(frame, size, LOW_BYTES)[1], return_counts=True)
+        of = key % parts
+        order = np.argsort(of, kind="stable")
+        of, key, times = of[order], key[order], times[order].astype(np.int64)
+        begin, n = runs(of)
+        cut = [slice(a, a + k) for a, k in zip(begin, n, strict=True)]
+        return pd.DataFrame({"part": of[begin], "key": [packed(key[c], size) for c in cut], "times": [packed(times[c], 4) for c in cut]})
+
+    return dealt.groupBy("bucket").applyInPandas(count, "part long, key binary, times binary")
+
+
+def _totals(counts: DataFrame, size: int) -> DataFrame:
+    """key, held: _counts summed over the buckets, a row a key."""
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        key, times = unpacked(frame["key"], size), unpacked(frame["times"], 4)
+        order = np.argsort(key, kind="stable")
+        begin, _ = runs(key[order])
+        return pd.DataFrame({"key": key[order][begin], "held": np.add.reduceat(times[order], begin)})
+
+    return counts.groupBy("part").applyInPandas(total, "key long, held long")
+
+
 def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of keys whose sets share enough of their lowest hashes."""
     seen = table.agg(F.coalesce(F.sum(F.length("low") / LOW_BYTES), F.lit(0)).alias("low"), F.count(F.lit(1)).alias("rows")).first()
@@ -212,12 +240,8 @@ def candidates(table: DataFrame, keys: DataFrame) -> DataFrame:
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _deal(frames, lambda r: unpacked([r.low], LOW_BYTES).view(np.uint64), buckets, size, LOW_BYTES)
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        key, times = np.unique(_shared(frame, size, LOW_BYTES)[1], return_counts=True)
-        return pd.DataFrame({"key": key, "held": times.astype(np.int64)})
-
     dealt = table.where("n > 0").select(short, "k2", "low").mapInPandas(deal, "bucket long, token binary, key binary, times binary")
-    held = dealt.groupBy("bucket").applyInPandas(count, "key long, held long").groupBy("key").agg(F.sum("held").alias("held"))
+    held = _totals(_counts(dealt, size, 1 + int(seen["low"]) // COUNTS), size)
     # Sets that agree in these bytes count as one above, so they stay whatever they share.
     keyed = keys.withColumn("key", short)
     same = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key", F.lit(True).alias("same"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -569,6 +570,26 @@ def test_jaccard_family_that_shares_a_passage_is_not_compared_in_full(spark, mon
     assert counts.get("asked", 0) < 100
 
 
+def test_jaccard_counts_of_buckets_grow_with_the_input(spark, monkeypatch):
+    """Each set shares hashes in most buckets, whose number grows with the input; the rows between them and the sums may not be a row for each (bucket, set)."""
+    monkeypatch.setattr(jaccard, "ENTRIES", 200)
+    draw = random.Random(11)
+    made, all_totals = {}, jaccard._totals
+    monkeypatch.setattr(jaccard, "_totals", lambda counts, *more: made.update(rows=counts.count()) or all_totals(counts, *more))
+    for parts, most in ((10**9, 20), (1500, 60)):
+        monkeypatch.setattr(jaccard, "COUNTS", parts)
+        pool = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(30)]
+        rows = [(k, " ".join(draw.sample(pool, 8))) for k in range(120)]
+        table = jaccard.sets(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+        got = {r["k1"] for r in jaccard.candidates(table, table.select("k1", "k2", "n")).collect()}
+        low = {r["k1"]: set(jaccard.unpacked([r["low"]], jaccard.LOW_BYTES).tolist()) for r in table.collect()}
+        counts = Counter(x for s in low.values() for x in s)
+        n = {r["k1"]: r["n"] for r in table.collect()}
+        assert got == {k for k, s in low.items() if sum(counts[x] > 1 for x in s) >= max(1, -(-80 * n[k] // 100) // 10)}
+        assert sum(map(len, low.values())) // 200 > 12 and made["rows"] <= most
+        table.unpersist()
+
+
 def test_jaccard_odd_input(spark):
     got = jaccard.with_components(with_extra(odd(spark))).collect()
     by = {r["doc_id"]: r for r in got}
