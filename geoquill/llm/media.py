@@ -4,7 +4,7 @@ A payload (bytes, zero-padded to a positive multiple of 64) becomes an image of
 the format's height needs; bytes beyond the payload in the last row are zero. `stored` gives the file, `samples` the bytes that its
 pixels hold.
 
-Scale: one pass, no shuffle; a task holds one Arrow batch of texts and files, and decodes the files of TOGETHER payload bytes at once, so that one array operation
+Scale: one pass, no shuffle; a task holds one Arrow batch of texts and files, encodes WRITTEN and decodes TOGETHER payload bytes at once, so that one array operation
 serves many files.
 
 Defined cases: null counts as an empty text, whose payload is 64 zero bytes; equal texts give equal values; null and repeated ids are kept; texts are stored whole, but one
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,19 +27,35 @@ from geoquill.llm import webp
 from geoquill.llm.common import prepare, read, text_of
 
 UNIT, ROW, MOST = 64, 16, 16384
-TOGETHER = 8 << 20
+TOGETHER, WRITTEN = 6 << 20, 1 << 20
 
 
 def payload(data: bytes) -> bytes:
     return data.ljust(max(1, -(-len(data) // UNIT)) * UNIT, b"\0")
 
 
-def stored(data: bytes) -> bytes:
-    """The WebP file of a payload."""
+def _image(data: bytes) -> np.ndarray:
     n = len(data) // 4
     width = ROW if n <= ROW * MOST else MOST
     height = -(-n // width)
-    return webp.encode(np.frombuffer(data.ljust(4 * width * height, b"\0"), ">u4").astype(np.uint32).reshape(height, width))
+    return np.frombuffer(data.ljust(4 * width * height, b"\0"), ">u4").astype(np.uint32).reshape(height, width)
+
+
+def stored(data: bytes) -> bytes:
+    """The WebP file of a payload."""
+    return webp.encode(_image(data))
+
+
+def all_stored(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """stored() of many payloads, encoded together, WRITTEN bytes at once."""
+    images, held = [], 0
+    for p in payloads:
+        if images and held + len(p) > WRITTEN:
+            yield from webp.encode_many(images)
+            images, held = [], 0
+        images.append(_image(p))
+        held += len(p)
+    yield from webp.encode_many(images) if images else ()
 
 
 def samples(file: bytes, n: int) -> bytes:
@@ -74,10 +90,8 @@ DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byte
 
 
 def store(texts: pd.Series) -> pd.Series:
-    made: dict[str, bytes] = {}  # copies within an Arrow batch are encoded once
-    for t in texts:
-        if t not in made:
-            made[t] = stored(payload(t.encode("utf-8", "surrogatepass")))
+    different = list(dict.fromkeys(texts))  # copies within an Arrow batch are encoded once
+    made = dict(zip(different, all_stored(payload(t.encode("utf-8", "surrogatepass")) for t in different), strict=True))
     return pd.Series([made[t] for t in texts])
 
 

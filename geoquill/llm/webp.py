@@ -27,7 +27,7 @@ PREDICTOR, CROSS, SUBTRACT_GREEN, PALETTE = range(4)
 
 
 #: Fewer images than this are read pixel by pixel, which then costs less than array operations do.
-FEW = 96
+FEW = 48
 
 
 class Bits:
@@ -57,21 +57,43 @@ def _reversed(n: int) -> np.ndarray:
 
 
 class Prefix:
-    """A canonical prefix code from its lengths. table: 16 * symbol + length by the next `bits` bits of the stream."""
+    """A canonical prefix code from its lengths. table: 16 * symbol + length by the next `bits` bits of the stream. Both are made when they are needed, those of many codes at once by `make_tables`."""
 
     def __init__(self, lengths: Sequence[int]) -> None:
-        lengths = np.asarray(lengths)
-        used = np.flatnonzero(lengths)
-        if len(used) <= 1:
-            self.bits, self.table = 0, np.array([16 * (int(used[0]) if len(used) else 0)], np.int64)
-            return
-        symbols = used[np.argsort(lengths[used], kind="stable")]
-        sizes = lengths[symbols].astype(np.int64)
-        self.bits = int(sizes[-1])
-        each = 1 << (self.bits - sizes)
-        if each.sum() != 1 << self.bits:
-            raise ValueError("the prefix code isn't complete")
-        self.table = np.repeat(16 * symbols + sizes, each)[_reversed(self.bits)]
+        self.lengths = bytes(lengths)
+
+    def __getattr__(self, name: str) -> object:
+        if name not in ("bits", "table"):
+            raise AttributeError(name)
+        make_tables([self])
+        return self.__dict__[name]
+
+
+def make_tables(codes: Sequence[Prefix]) -> None:
+    sizes = np.array([len(c.lengths) for c in codes])
+    ends = np.cumsum(sizes)
+    lengths = np.frombuffer(b"".join([c.lengths for c in codes]), np.uint8)
+    used = np.flatnonzero(lengths)
+    code, size = np.searchsorted(ends, used, "right"), lengths[used].astype(np.int64)
+    order = np.argsort(code << 4 | size, kind="stable")
+    code, size, symbol = code[order], size[order], (used - (ends - sizes)[code])[order]
+    number = np.bincount(code, minlength=len(codes))
+    last = np.cumsum(number) - 1
+    many = number > 1
+    most = np.zeros(len(codes), np.int64)
+    most[many] = size[last[many]]
+    for k in np.flatnonzero(~many).tolist():
+        codes[k].bits, codes[k].table = 0, np.array([16 * symbol[last[k]] if number[k] else 0], np.int32)
+    mixed = many[code]
+    code, entry, each = code[mixed], (16 * symbol + size)[mixed].astype(np.int32), (1 << np.maximum(most[code] - size, 0))[mixed]
+    if (np.bincount(code, each, len(codes))[many] != 1 << most[many]).any():
+        raise ValueError("the prefix code isn't complete")
+    for bits in np.unique(most[many]).tolist():
+        own = many & (most == bits)
+        pick = own[code]
+        rows = np.repeat(entry[pick], each[pick]).reshape(-1, 1 << bits)[:, _reversed(bits)]
+        for k, row in zip(np.flatnonzero(own).tolist(), rows, strict=True):
+            codes[k].bits, codes[k].table = bits, row
 
 
 @functools.lru_cache(4096)
@@ -236,54 +258,55 @@ def _steps(images: list[Image]) -> list[np.ndarray]:
     """images: the longest first, without groups."""
     parts = [i.bits.data for i in images]
     starts = np.cumsum([0, *(len(x) for x in parts)])
-    raw = np.frombuffer(b"".join(parts) + bytes(8), np.uint8).astype(np.uint64)
-    words = raw[: len(raw) - 7].copy()
-    for k in range(1, 8):
-        words |= raw[k : len(raw) - 7 + k] << np.uint64(8 * k)
+    data = b"".join(parts) + bytes(8)
+    words = np.ndarray(len(data) - 7, "<i8", data, strides=(1,)).copy()  # from each byte on; the sign's bits come in above the 57 that are used
     tables = [c for i in images for c in i.codes[0]]
+    make_tables(tables)
     ends = np.cumsum([0, *(len(c.table) for c in tables)])
     table = np.concatenate([c.table for c in tables])
     base = ends[:-1].reshape(-1, 5).T.copy()
-    mask = np.array([(1 << c.bits) - 1 for c in tables], np.uint64).reshape(-1, 5).T.copy()
+    mask = np.array([(1 << c.bits) - 1 for c in tables]).reshape(-1, 5).T.copy()
     pos = np.array([i.bits.at for i in images], np.int64) + 8 * starts[:-1]
     last = np.array([i.bits.size for i in images], np.int64) + 8 * starts[:-1]
     totals = [i.total for i in images]
     total, width = np.array(totals), np.array([i.width for i in images])
     offset = np.cumsum([0, *totals])
-    pixels = np.zeros(offset[-1], np.int64)
+    pixels = np.zeros(offset[-1], np.int32)  # the bits of uint32
     slots = np.cumsum([0, *(1 << i.cache_bits for i in images)])
-    cache, shift = np.zeros(slots[-1], np.int64), np.array([32 - i.cache_bits for i in images])
+    cache, shift = np.zeros(slots[-1], np.int32), np.array([min(31, 32 - i.cache_bits) for i in images], np.uint32)
+    cached = np.array([i.cache_bits > 0 for i in images])
     left, far = np.zeros(len(images), np.int64), np.ones(len(images), np.int64)
     near = np.array(NEAR)
 
     def peek(p: np.ndarray) -> np.ndarray:
-        return words[p >> 3] >> (p & 7).astype(np.uint64)
+        return words[p >> 3] >> (p & 7)
 
     def value(symbol: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         extra = np.maximum(0, (symbol - 2) >> 1)
-        more = (peek(p) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        more = peek(p) & ((1 << extra) - 1)
         return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, p + extra
 
     k, n = len(images), 0
     while k >= FEW:
         p, copying = pos[:k], left[:k] > 0
         w = peek(p)
-        e = table[base[0, :k] + (w & mask[0, :k]).astype(np.int64)]
+        e = table[base[0, :k] + (w & mask[0, :k])]
         symbol, size = e >> 4, e & 15
-        w >>= size.astype(np.uint64)
-        r = table[base[1, :k] + (w & mask[1, :k]).astype(np.int64)]
-        w >>= (r & 15).astype(np.uint64)
-        b = table[base[2, :k] + (w & mask[2, :k]).astype(np.int64)]
+        w >>= size
+        r = table[base[1, :k] + (w & mask[1, :k])]
+        red = r & 15
+        w >>= red
+        b = table[base[2, :k] + (w & mask[2, :k])]
         p1 = p + size
-        p3 = p1 + (r & 15) + (b & 15)
-        a = table[base[3, :k] + (peek(np.minimum(p3, last[:k])) & mask[3, :k]).astype(np.int64)]
+        p3 = p1 + (red + (b & 15))
+        a = table[base[3, :k] + (peek(np.minimum(p3, last[:k])) & mask[3, :k])]
         plain = symbol < 256
-        new = np.where(plain, (a >> 4) << 24 | (r >> 4) << 16 | symbol << 8 | b >> 4, cache[slots[:k] + np.where(plain, 0, np.maximum(symbol - 280, 0)) * ~copying])
+        new = np.where(plain, (a >> 4) << 24 | (r >> 4) << 16 | symbol << 8 | b >> 4, cache[slots[:k] + np.maximum(symbol - 280, 0)])
         pos[:k] = np.where(copying, p, np.where(plain, p3 + (a & 15), p1))
         refs = np.flatnonzero(~copying & ~plain & (symbol < 280))
         if len(refs):
-            length, q = value(symbol[refs] - 256, pos[refs])
-            e = table[base[4, refs] + (peek(q) & mask[4, refs]).astype(np.int64)]
+            length, q = value(symbol[refs].astype(np.int64) - 256, pos[refs])
+            e = table[base[4, refs] + (peek(q) & mask[4, refs])].astype(np.int64)
             code, q = value(e >> 4, q + (e & 15))
             at = near[np.minimum(code, len(near)) - 1]
             back = np.where(code > len(near), code - len(near), np.maximum(1, at[:, 0] + at[:, 1] * width[refs]))
@@ -295,7 +318,7 @@ def _steps(images: list[Image]) -> list[np.ndarray]:
             new = np.where(copying, pixels[offset[:k] + np.maximum(n - far[:k], 0)], new)
             left[:k] -= copying
         pixels[offset[:k] + n] = new
-        cache[slots[:k] + ((CACHE_FACTOR * new & 0xFFFFFFFF) >> shift[:k])] = new
+        cache[slots[:k] + (new.view(np.uint32) * np.uint32(CACHE_FACTOR) >> shift[:k]) * cached[:k]] = new
         if (pos[:k] > last[:k]).any():
             raise ValueError("the stream ends early")
         n += 1
@@ -304,11 +327,11 @@ def _steps(images: list[Image]) -> list[np.ndarray]:
     out = []
     for j, i in enumerate(images):
         i.bits.seek(int(pos[j] - 8 * starts[j]))
-        own = pixels[offset[j] : offset[j + 1]]
+        own = pixels[offset[j] : offset[j + 1]].view(np.uint32)
         if i.total > n:
-            out.append(read_on(i, Progress(own.tolist(), n, i.bits.at, int(left[j]), int(far[j]), cache[slots[j] : slots[j + 1]].tolist())))
+            out.append(read_on(i, Progress(own.tolist(), n, i.bits.at, int(left[j]), int(far[j]), cache[slots[j] : slots[j + 1]].view(np.uint32).tolist())))
         else:
-            out.append(own.astype(np.uint32))
+            out.append(own)
     return out
 
 
@@ -474,18 +497,6 @@ class Writer:
             self.value >>= 8 * whole
             self.n -= 8 * whole
 
-    def fields(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Many fields of up to 63 bits at once; one without bits has the value 0."""
-        ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1]:
-            return
-        at = ends - sizes
-        word, shift, v = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
-        out = np.zeros((int(ends[-1]) >> 6) + 2, "<u8")
-        np.add.at(out, word, v << shift)  # no bit is set twice, so sums are unions
-        np.add.at(out, word + 1, v >> np.uint64(1) >> (np.uint64(63) - shift))
-        self.put(int.from_bytes(out.tobytes(), "little"), int(ends[-1]))
-
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
@@ -496,11 +507,11 @@ SPELT = re.compile(rb"\x00{3,138}|[\x00-\x0f]")
 
 def write_lengths(w: Writer, lengths: np.ndarray) -> None:
     """A prefix code: simple where it has one symbol below 256, else its lengths, runs of zeros by 17 and 18, under a code of one length."""
-    used = np.flatnonzero(lengths)
-    if len(used) == 1 and used[0] < 256:
-        w.put(0b101 | int(used[0]) << 3, 11)
+    data = np.asarray(lengths, np.uint8).tobytes()
+    if data.count(0) == len(data) - 1 and (used := len(data.rstrip(b"\0")) - 1) < 256:
+        w.put(0b101 | used << 3, 11)
         return
-    runs = SPELT.findall(np.asarray(lengths, np.uint8).tobytes())
+    runs = SPELT.findall(data)
     spelling = _spelling(tuple(sorted(set(map(_length_symbol, set(runs))))))
     w.put(spelling.head, 5 + 3 * len(LENGTH_ORDER))
     bits = "".join(map(spelling.__getitem__, reversed(runs))) + "0"
@@ -530,42 +541,54 @@ class Spelling(dict):
 _spelling = functools.lru_cache(4096)(Spelling)
 
 
-def mixed_lengths(counts: np.ndarray) -> np.ndarray:
-    """Lengths of a complete prefix code, at most 15: the rounded-up information of each symbol, shortened, common symbols first, until the code is full."""
+def mixed_lengths(counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Lengths of many complete prefix codes, at most 15, whose symbols' counts end at `ends`: the rounded-up information of each symbol, shortened, common symbols first, until the code is full."""
     out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
-    if len(used) <= 1:
-        out[used[:1] if len(used) else 0] = 1
+    code = np.searchsorted(ends, used, "right")
+    number = np.bincount(code, minlength=len(ends))
+    out[np.concatenate([[0], ends[:-1]])[number == 0]] = 1
+    out[used[number[code] == 1]] = 1
+    used = used[number[code] > 1]
+    n = number[number > 1]
+    if not len(n):
         return out
-    c = np.maximum(counts[used], -(-int(counts.sum()) // (1 << 13))).astype(np.float64)
-    sizes = np.maximum(1, np.ceil(np.log2(c.sum() / c))).astype(np.int64)
-    most = int(sizes.max())
-    room = (1 << most) - int((1 << (most - sizes)).sum())
-    order = np.argsort(-c, kind="stable").tolist()
-    sizes = sizes.tolist()
-    while room:
-        for k in order:
-            gain = 1 << (most - sizes[k])
-            if gain <= room and sizes[k] > 1:
-                sizes[k] -= 1
-                room -= gain
-                if not room:
-                    break
-    out[used] = sizes
+    begin = np.cumsum(n) - n
+    least = -(-np.add.reduceat(counts[used], begin) // (1 << 13))
+    c = np.maximum(counts[used], np.repeat(least, n)).astype(np.float64)
+    sizes = np.maximum(1, np.ceil(np.log2(np.repeat(np.add.reduceat(c, begin), n) / c))).astype(np.int64)
+    most = np.maximum.reduceat(sizes, begin)
+    room = (1 << most) - np.add.reduceat(1 << (np.repeat(most, n) - sizes), begin)
+    order = np.lexsort((-c, np.repeat(np.arange(len(n)), n)))
+    sizes = sizes[order]
+    open_codes = np.argsort(-n, kind="stable")
+    while len(open_codes := open_codes[room[open_codes] > 0]):  # a symbol of each code at a step, the longest codes first
+        at, high, left = begin[open_codes], most[open_codes], room[open_codes]
+        ends_at = np.searchsorted(-n[open_codes], -np.arange(n[open_codes[0]]), "left").tolist()
+        for j, k in enumerate(ends_at):
+            size = sizes[at[:k] + j]
+            gain = 1 << (high[:k] - size)
+            shorter = (gain <= left[:k]) & (size > 1)
+            sizes[at[:k] + j] = size - shorter
+            left[:k] -= gain * shorter
+        room[open_codes] = left
+    out[used[order]] = sizes
     return out
 
 
-def code_words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol the bits of its code, first one lowest, and their number; none where there is one symbol."""
+def code_words(lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol of many codes the bits of its word, first one lowest, and their number; none where a code has one symbol."""
     words, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
-    if len(used) > 1:
-        symbols = used[np.argsort(lengths[used], kind="stable")]
-        size = lengths[symbols]
-        most = int(size[-1])
-        each = 1 << (most - size)
-        words[symbols] = _reversed(most)[np.cumsum(each) - each]
-        sizes[symbols] = size
+    code = np.searchsorted(ends, used, "right")
+    several = np.bincount(code, minlength=len(ends))[code] > 1
+    used, code = used[several], code[several]
+    size = lengths[used]
+    order = np.argsort(code << 4 | size, kind="stable")
+    used, code, size = used[order], code[order], size[order]
+    each = 1 << (15 - size)  # words begin where the shorter ones of their code end; a complete code takes all 1 << 15
+    words[used] = _reversed(15)[np.cumsum(each) - each & (1 << 15) - 1]
+    sizes[used] = size
     return words, sizes
 
 
@@ -611,13 +634,14 @@ def _before(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def references(flat: np.ndarray) -> list[tuple[int, int, int]]:
-    """Place, length and distance of back-references, from left to right: runs of three pixels and more that stand at the last place where their first three do."""
-    if len(flat) < 4:
-        return []
+def _triples(flat: np.ndarray) -> np.ndarray:
+    """Hashes of three pixels each, which begin at all places but the last two."""
     p = flat.astype(np.uint64)
-    triple = p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ p[2:] * np.uint64(0x165667B19E3779F9)
-    back = _before(triple, 64)
+    return p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ p[2:] * np.uint64(0x165667B19E3779F9)
+
+
+def references(flat: np.ndarray, back: np.ndarray) -> list[tuple[int, int, int]]:
+    """Place, length and distance of back-references, from left to right: runs of three pixels and more that stand at the last place where their first three do (back, or -1)."""
     out, at = [], 0
     for n in np.flatnonzero(back >= 0).tolist():
         if n < at:
@@ -645,45 +669,82 @@ def _joined(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return value, size
 
 
-def write_image(w: Writer, flat: np.ndarray, width: int, main: bool) -> None:
-    """An entropy-coded image with references, a colour cache where it helps, and a code of mixed lengths for each channel."""
-    refs = references(flat)
-    copied = np.zeros(len(flat) + 1, np.int64)
-    for n, size, _ in refs:
-        copied[n] += 1
-        copied[n + size] -= 1
-    alone = np.flatnonzero(np.cumsum(copied[:-1]) == 0)
-    bits = min(8, max(1, len(flat).bit_length() - 2))
-    slot = (np.uint64(CACHE_FACTOR) * flat.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
-    last = _before(slot, bits)
-    hit = (last >= 0) & (flat[last] == flat)
-    channels = _octets(flat)
-    if not ((flat ^ flat[0]) & np.uint32(0xFFFF00FF)).any() or hit[alone].sum() < 8:  # one channel alone costs no more than the cache
-        hit[:], bits = False, 0
-    cached = alone[hit[alone]]
-    plain = alone[~hit[alone]]
-    own = channels[plain]
-    n, size, far = (np.array(x, np.int64) for x in (zip(*refs, strict=True) if refs else ((), (), ())))
-    near = _near_codes(width)
-    both = np.concatenate([size, np.array([near.get(d, d + len(NEAR)) for d in far.tolist()], np.int64)])
+class Layout:
+    """An entropy-coded image to be written, with references, a colour cache where it helps, and a code of mixed lengths for each channel. `lay_out` finds the cache's bits, the codes' lengths, and the pixels' fields as one."""
+
+    def __init__(self, flat: np.ndarray, width: int, main: bool) -> None:
+        self.flat, self.width, self.main = flat, width, main
+        self.bits, self.codes, self.fields = 0, [], (0, 0)
+
+    def write(self, w: Writer) -> None:
+        w.put(1 if self.bits else 0, 1)
+        if self.bits:
+            w.put(self.bits, 4)
+        if self.main:
+            w.put(0, 1)
+        for lengths in self.codes:
+            write_lengths(w, lengths)
+        w.put(*self.fields)
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Fields of up to 63 bits that follow one another, joined to one up to each end; a field without bits has the value 0."""
+    done = np.concatenate([[0], np.cumsum(sizes)])
+    total = np.diff(done[np.concatenate([[0], ends])])
+    words = (total >> 6) + 2
+    first = np.cumsum(words) - words
+    at = done[:-1] + np.repeat(64 * first - (done[ends] - total), np.diff(ends, prepend=0))
+    word, shift, v = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
+    out = np.zeros(int(words.sum()), "<u8")
+    np.add.at(out, word, v << shift)  # no bit is set twice, so sums are unions
+    np.add.at(out, word + 1, v >> np.uint64(1) >> (np.uint64(63) - shift))
+    return [(int.from_bytes(out[a : a + n].tobytes(), "little"), bits) for a, n, bits in zip(first.tolist(), words.tolist(), total.tolist(), strict=True)]
+
+
+def lay_out(layouts: Sequence[Layout]) -> None:
+    """Fills in what layouts are written with, by array operations over the pixels of all of them."""
+    sizes = np.array([len(x.flat) for x in layouts])
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    flat = np.concatenate([x.flat for x in layouts])
+    of = np.repeat(np.arange(len(layouts)), sizes)
+    triple = np.zeros(len(flat), np.uint64)
+    triple[:-2] = _triples(flat)
+    whole = np.arange(len(flat)) < ends[of] - 2
+    triple = np.where(whole, triple + of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.arange(len(flat)).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    back = np.where(whole, _before(triple, 64) - begin[of], -1)
+    refs = [(a + n, size, far, k) for k, (x, a, b) in enumerate(zip(layouts, begin.tolist(), ends.tolist(), strict=True)) if b - a >= 4 for n, size, far in references(x.flat, back[a:b])]
+    at, size, far, owner = np.array(refs, np.int64).reshape(-1, 4).T
+    alone = np.cumsum(np.bincount(at, minlength=len(flat) + 1) - np.bincount(at + size, minlength=len(flat) + 1))[:-1] == 0
+
+    bits = np.clip([n.bit_length() - 2 for n in sizes.tolist()], 1, 8)
+    slot = (flat * np.uint32(CACHE_FACTOR) >> (32 - bits).astype(np.uint32)[of]).astype(np.int64)
+    last = _before(of << 8 | slot, 8 + len(layouts).bit_length())
+    hit = (last >= 0) & (flat[last] == flat) & alone
+    varied = np.bincount(of, ((flat ^ flat[begin][of]) & np.uint32(0xFFFF00FF)) != 0, len(layouts)) > 0
+    bits[~varied | (np.bincount(of[hit], minlength=len(layouts)) < 8)] = 0  # one channel alone costs no more than the cache
+    hit &= bits[of] > 0
+    plain, cached = np.flatnonzero(alone & ~hit), np.flatnonzero(hit)
+
+    sizes_of = np.stack([280 + np.where(bits > 0, 1 << bits, 0), *np.repeat([[256], [256], [256], [40]], len(layouts), 1)], 1).ravel()
+    code_ends = np.cumsum(sizes_of)
+    first = (code_ends - sizes_of).reshape(-1, 5)
+    near = [_near_codes(x.width) for x in layouts]
+    both = np.concatenate([size, np.array([near[k].get(d, d + len(NEAR)) for d, k in zip(far.tolist(), owner.tolist(), strict=True)], np.int64)])
     (size_symbol, far_symbol), (size_extra, far_extra), (size_bits, far_bits) = (x.reshape(2, -1) for x in _split(both))
-    green = np.bincount(np.concatenate([own[:, 2], 256 + size_symbol, 280 + slot[cached]]), minlength=280 + (1 << bits if bits else 0))
-    lengths = [mixed_lengths(green), *(mixed_lengths(np.bincount(own[:, c], minlength=256)) for c in (1, 3, 0)), mixed_lengths(np.bincount(far_symbol, minlength=40))]
-    w.put(1 if bits else 0, 1)
-    if bits:
-        w.put(bits, 4)
-    if main:
-        w.put(0, 1)
-    for one in lengths:
-        write_lengths(w, one)
-    words = [code_words(one) for one in lengths]
-    spell = lambda k, symbols: (words[k][0][symbols], words[k][1][symbols])
+    own = _octets(flat[plain])
+    pixel = [first[of[plain], k] + own[:, c] for k, c in enumerate((2, 1, 3, 0))]
+    stored, length, away = first[of[cached], 0] + 280 + slot[cached], first[owner, 0] + 256 + size_symbol, first[owner, 4] + far_symbol
+    lengths = mixed_lengths(np.bincount(np.concatenate([*pixel, stored, length, away]), minlength=int(code_ends[-1])), code_ends)
+    words, word_bits = code_words(lengths, code_ends)
+    spell = lambda symbols: (words[symbols], word_bits[symbols])
     value, count = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-    value[plain], count[plain] = _joined([spell(k, own[:, c]) for k, c in enumerate((2, 1, 3, 0))])
-    value[cached], count[cached] = spell(0, 280 + slot[cached])
-    if refs:
-        value[n], count[n] = _joined([spell(0, 256 + size_symbol), (size_extra, size_bits), spell(4, far_symbol), (far_extra, far_bits)])
-    w.fields(value, count)
+    value[plain], count[plain] = _joined([spell(x) for x in pixel])
+    value[cached], count[cached] = spell(stored)
+    value[at], count[at] = _joined([spell(length), (size_extra, size_bits), spell(away), (far_extra, far_bits)])
+    ends_of = code_ends.reshape(-1, 5).tolist()
+    for x, b, a, e, fields in zip(layouts, bits.tolist(), first.tolist(), ends_of, _packed(value, count, ends), strict=True):
+        x.bits, x.codes, x.fields = b, [lengths[i:j] for i, j in zip(a, e, strict=True)], fields
 
 
 def _weighed(counts: np.ndarray) -> np.ndarray:
@@ -692,17 +753,15 @@ def _weighed(counts: np.ndarray) -> np.ndarray:
 
 #: _weighed of small counts, which most images have alone.
 WEIGHED = _weighed(np.arange(1 << 14))
-CHANNEL = np.arange(0, 1024, 256)
+CHANNEL = np.arange(0, 4096, 256).reshape(4, 1, 4)
 
 
 def _costs(forms: np.ndarray) -> list[float]:
     """Bits of each form (forms, pixels, 4) by the entropy of its channels."""
-    n, out = forms.shape[1], []
-    for form in forms:
-        counts = np.bincount((form + CHANNEL).ravel(), minlength=1024)
-        inside = WEIGHED[counts] if n < len(WEIGHED) else _weighed(counts)
-        out.append(float(4 * n * np.log2(n) - inside.sum()) + 5 * np.count_nonzero(counts))
-    return out
+    k, n = forms.shape[:2]
+    counts = np.bincount((forms + CHANNEL[:k]).ravel(), minlength=1024 * k).reshape(k, 1024)
+    inside = WEIGHED[counts] if n < len(WEIGHED) else _weighed(counts)
+    return (4 * n * np.log2(n) - inside.sum(1) + 5 * np.count_nonzero(counts, 1)).tolist()
 
 
 def _subtracted(octets: np.ndarray, width: int, form: int | tuple[int, int]) -> np.ndarray:
@@ -723,11 +782,32 @@ def _subtracted(octets: np.ndarray, width: int, form: int | tuple[int, int]) ->
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of pixels (height, width), in the form that the entropy of its channels says is the smallest."""
+    """A lossless WebP file of pixels (height, width)."""
+    return encode_many([pixels])[0]
+
+
+def encode_many(images: Sequence[np.ndarray]) -> list[bytes]:
+    """Lossless WebP files; those of one call are made together."""
+    plans = [_plan(pixels) for pixels in images]
+    lay_out([part for plan in plans for part in plan if isinstance(part, Layout)])
+    out = []
+    for pixels, plan in zip(images, plans, strict=True):
+        w = Writer()
+        _start(w, pixels.shape[1], pixels.shape[0])
+        for part in plan:
+            if isinstance(part, Layout):
+                part.write(w)
+            else:
+                w.put(*part)
+        out.append(_file(w.bytes()))
+    return out
+
+
+def _plan(pixels: np.ndarray) -> list[Layout | tuple[int, int]]:
+    """What a file holds after its start, bit fields (value, bits) and images, in the form that the entropy of its channels says is the smallest."""
     height, width = pixels.shape
     flat = np.ascontiguousarray(pixels).ravel()
-    w = Writer()
-    _start(w, width, height)
+    out: list[Layout | tuple[int, int]] = []
     table = np.sort(flat)
     table = table[np.append(True, table[1:] != table[:-1])]
     octets = _octets(flat)
@@ -743,22 +823,16 @@ def encode(pixels: np.ndarray) -> bytes:
     left = flat if form == -1 else _pixels(left)
     wide = width
     if form == PALETTE:
-        w.put(1 | PALETTE << 1, 3)
-        w.put(len(table) - 1, 8)
-        write_image(w, left, len(table), False)
+        out += [(1 | PALETTE << 1, 3), (len(table) - 1, 8), Layout(left, len(table), False)]
         bundle = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
         wide = (width + (1 << bundle) - 1) >> bundle
         cells = np.zeros((height, wide << bundle), np.int64)
         cells[:, :width] = index.reshape(height, width)
         left = ((cells.reshape(height, wide, 1 << bundle) << ((8 >> bundle) * np.arange(1 << bundle))).sum(2).ravel().astype(np.uint32) << np.uint32(8)) | np.uint32(BLACK)
     elif form == SUBTRACT_GREEN:
-        w.put(1 | SUBTRACT_GREEN << 1, 3)
+        out.append((1 | SUBTRACT_GREEN << 1, 3))
     elif form != -1:
-        w.put(1 | PREDICTOR << 1, 3)
-        w.put(7, 3)
         block = 1 << 9
         cells = ((width + block - 1) // block) * ((height + block - 1) // block)
-        write_image(w, np.full(cells, BLACK | form[1] << 8, np.uint32), (width + block - 1) // block, False)
-    w.put(0, 1)
-    write_image(w, left, wide, True)
-    return _file(w.bytes())
+        out += [(1 | PREDICTOR << 1, 3), (7, 3), Layout(np.full(cells, BLACK | form[1] << 8, np.uint32), (width + block - 1) // block, False)]
+    return [*out, (0, 1), Layout(left, wide, True)]

@@ -477,6 +477,20 @@ def test_webp_encoder_forms(form):
     assert (webp.decode(webp.encode(pixels)) == pixels).all()
 
 
+def test_media_prefix_codes_are_made_together(monkeypatch):
+    """Of many texts a few array operations make all codes, for files as they come alone, and read them; not a call for each of five codes a file."""
+    rng = random.Random(8)
+    payloads = [media.payload(words(rng, n).encode()) for n in (0, 1, 3, 900, *range(5, 300, 5))] + [bytes(64), b"\xff" * 640]
+    calls = Counter()
+    for name in ("mixed_lengths", "code_words", "make_tables"):
+        monkeypatch.setattr(webp, name, lambda *a, name=name, made=getattr(webp, name): calls.update([name]) or made(*a))
+    files = list(media.all_stored(payloads))
+    assert calls == {"mixed_lengths": 1, "code_words": 1} and files == [media.stored(p) for p in payloads]
+    calls.clear()
+    assert list(media.all_samples(files, [len(p) for p in payloads])) == payloads
+    assert calls["make_tables"] < len(files)
+
+
 def test_media_round_trip(spark):
     docs = odd(spark)
     got = media.with_media(with_extra(docs)).collect()
