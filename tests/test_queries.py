@@ -205,6 +205,43 @@ def test_nearest_in_full_cells(spark):
     assert got == {r["pid"]: (r["match_id"], r["match_tag"], r["match_m"]) for r in spatial.nearest_within(left, right, 500.0, "pid", "rid", ("tag",), most=10**6).collect()}
 
 
+def dense(spark, n_left, n_right):
+    rng = random.Random(8)
+    made = lambda n: [(k, 10 + rng.uniform(0, 0.02), 20 + rng.uniform(0, 0.02)) for k in range(n)]
+    return spark.createDataFrame(made(n_left), "pid long, lat double, lng double"), spark.createDataFrame(made(n_right), "rid long, lat double, lng double")
+
+
+def test_nearest_compares_with_few_cells(spark):
+    """Among evenly dense references a point meets those of its own cell and of the few that a known point leaves in reach, not of all cells around."""
+    left, right = dense(spark, 800, 3000)
+    compared = []
+    got = {r["pid"]: r["match_id"] for r in spatial.nearest_within(left, right, 1500.0, "pid", "rid", most=20, compared=compared).collect()}
+    assert compared[0] < 60 * 800
+    assert got == {r["pid"]: r["match_id"] for r in spatial.nearest_within(left, right, 1500.0, "pid", "rid", most=10**6).collect()}
+
+
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_nearest_sorts_no_pairs(spark, monkeypatch, most):
+    """No plan sorts what a join of points and references gives: pairs are taken by hash, and only a point's few best are sorted."""
+    plans, write = [], spatial.write_table
+    for module in (spatial, __import__("geoquill.sources.tables", fromlist=["tables"])):
+        monkeypatch.setattr(module, "write_table", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan())) or write(df, name))
+    left, right = dense(spark, 300, 600)
+    spatial.nearest_within(left, right, 1500.0, "pid", "rid", most=most).collect()
+
+    def below(node):
+        return [node.children().apply(k) for k in range(node.children().size())]
+
+    def joins(node):
+        return "Join" in node.nodeName() or "Exchange" not in node.nodeName() and any(joins(c) for c in below(node))
+
+    def sorted_pairs(node):
+        return node.nodeName() == "SortAggregate" and joins(node) or any(sorted_pairs(c) for c in below(node))
+
+    nearest = [plan for name, plan in plans if name == "nearest"]
+    assert len(nearest) == 1 and not sorted_pairs(nearest[0])
+
+
 def test_draws_merge_with_the_line(spark, monkeypatch):
     """Draws equal a search on the cumulated weights, over many parts, also where one row holds most of the weight; the plan has no join with more than one row a draw."""
     from geoquill.operators import ranks, sampling
