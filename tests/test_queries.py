@@ -242,6 +242,24 @@ def test_nearest_sorts_no_pairs(spark, monkeypatch, most):
     assert len(nearest) == 1 and not sorted_pairs(nearest[0])
 
 
+def test_labels_keep_rows_of_odd_ids(spark, monkeypatch):
+    """A building without an id stays, unlabelled, and two rows of one id stay two, as in the SQL; the second source is asked for those alone that the first leaves."""
+    asked, nearest = [], spatial._nearest
+    monkeypatch.setattr(spatial, "_nearest", lambda left, *args: asked.append(sorted(str(r[0]) for r in left.select("building_id").collect())) or nearest(left, *args))
+    buildings = spark.createDataFrame([("a", 10.0, 20.0), ("b", 10.5, 20.0), ("b", 10.5, 20.0), (None, 10.0, 20.0), ("c", None, 20.0), ("d", 11.0, 20.0)], "building_id string, lat double, lng double")
+    farms = spark.createDataFrame(
+        [("f1", 10.0, 20.0001, "FarmTransparency", "Farm (meat)", "Pigs"), ("f2", 10.5, 20.0001, "OSM", "building=barn", None), ("f3", 10.0, 20.0, "OSM", "building=barn", None)],
+        "id string, lat double, lng double, source string, category string, species string",
+    )
+    tags = spark.createDataFrame([(1, 11.0, 20.0, "barn", None)], "osm_id long, lat double, lng double, building string, landuse string")
+    labelled = spatial.label_buildings(buildings, farms, 1000)
+    got = labelled.collect()
+    assert sorted((str(r["building_id"]), r["matched_id"], r["source_label"]) for r in got) == [("None", "", ""), ("a", "f1", "farm_transparency"), ("b", "f2", "osm"), ("b", "f2", "osm"), ("c", "", ""), ("d", "", "")]
+    assert asked == [["None", "a", "b", "b", "c", "d"], ["None", "b", "b", "c", "d"]]
+    rich = spatial.enrich_with_tags(labelled, tags, 1000).collect()
+    assert len(rich) == 6 and {str(r["building_id"]): (r["label"], r["unified_label"]) for r in rich}["d"] == (1, "barn")
+
+
 def test_draws_merge_with_the_line(spark, monkeypatch):
     """Draws equal a search on the cumulated weights, over many parts, also where one row holds most of the weight; the plan has no join with more than one row a draw."""
     from geoquill.operators import ranks, sampling
