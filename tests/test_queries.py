@@ -220,26 +220,44 @@ def test_nearest_compares_with_few_cells(spark):
     assert got == {r["pid"]: r["match_id"] for r in spatial.nearest_within(left, right, 1500.0, "pid", "rid", most=10**6).collect()}
 
 
+def nearest_plans(monkeypatch):
+    """Gets the plan of each nearest join's result."""
+    plans, write = [], spatial.write_table
+    note = lambda df, name: (plans.append(df._jdf.queryExecution().sparkPlan()) if name == "nearest" else None) or write(df, name)
+    for module in (spatial, __import__("geoquill.sources.tables", fromlist=["tables"])):
+        monkeypatch.setattr(module, "write_table", note)
+    return plans
+
+
+def sorts_pairs(node):
+    """A sort aggregate stands above a join without an exchange between; that of the spots (rlat, rlng) is of references alone."""
+    below = lambda n: [n.children().apply(k) for k in range(n.children().size())]
+
+    def joins(n):
+        return "Join" in n.nodeName() or "Exchange" not in n.nodeName() and any(joins(c) for c in below(n))
+
+    of_pairs = node.nodeName() == "SortAggregate" and "rlat" not in node.groupingExpressions().toString()
+    return of_pairs and joins(node) or any(sorts_pairs(c) for c in below(node))
+
+
 @pytest.mark.parametrize("most", [20, 10**6])
 def test_nearest_sorts_no_pairs(spark, monkeypatch, most):
     """No plan sorts what a join of points and references gives: pairs are taken by hash, and only a point's few best are sorted."""
-    plans, write = [], spatial.write_table
-    for module in (spatial, __import__("geoquill.sources.tables", fromlist=["tables"])):
-        monkeypatch.setattr(module, "write_table", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan())) or write(df, name))
+    plans = nearest_plans(monkeypatch)
     left, right = dense(spark, 300, 600)
     spatial.nearest_within(left, right, 1500.0, "pid", "rid", most=most).collect()
+    assert len(plans) == 1 and not sorts_pairs(plans[0])
 
-    def below(node):
-        return [node.children().apply(k) for k in range(node.children().size())]
 
-    def joins(node):
-        return "Join" in node.nodeName() or "Exchange" not in node.nodeName() and any(joins(c) for c in below(node))
-
-    def sorted_pairs(node):
-        return node.nodeName() == "SortAggregate" and joins(node) or any(sorted_pairs(c) for c in below(node))
-
-    nearest = [plan for name, plan in plans if name == "nearest"]
-    assert len(nearest) == 1 and not sorted_pairs(nearest[0])
+@needs_data
+@pytest.mark.parametrize("name, joins", [("u06_building_candidates", 3)])
+def test_queries_sort_no_pairs(spark, monkeypatch, name, joins):
+    """The same for queries on the nearest join, each of whose joins is made once."""
+    from geoquill.plans import registry
+
+    plans = nearest_plans(monkeypatch)
+    registry.queries()[name](spark, SF).collect()
+    assert len(plans) == joins and not any(map(sorts_pairs, plans))
 
 
 def test_labels_keep_rows_of_odd_ids(spark, monkeypatch):
