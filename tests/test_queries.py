@@ -250,7 +250,7 @@ def test_nearest_sorts_no_pairs(spark, monkeypatch, most):
 
 
 @needs_data
-@pytest.mark.parametrize("name, joins", [("u06_building_candidates", 3)])
+@pytest.mark.parametrize("name, joins", [("u06_building_candidates", 3), ("j06_nearest_within", 1)])
 def test_queries_sort_no_pairs(spark, monkeypatch, name, joins):
     """The same for queries on the nearest join, each of whose joins is made once."""
     from geoquill.plans import registry
